@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        import tempfile
-
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -41,8 +43,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long, so Arrow batches hold few rows: bounds the Python workers' memory."""
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a session, unless PYTHONPATH has it."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_loomspark_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "loomspark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "loomspark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(path))
+    context._loomspark_shipped = True
+
+
+def for_python(spark: SparkSession, rows: int = 500) -> None:
+    """Before Python runs on texts: ships the package, and has Arrow batches hold few rows, as texts can be long; that
+    bounds the workers' memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

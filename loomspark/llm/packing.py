@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialise
+from .common import for_python, materialise
 
 CAPACITY = 4096
 END_ID = 1
@@ -82,7 +82,7 @@ def encoder(path: str) -> Encoder:
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: key, piece, start, length, ids_crc32."""
     path = tokenizer or default_tokenizer()
-    arrow_batches(df.sparkSession)
+    for_python(df.sparkSession)
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
