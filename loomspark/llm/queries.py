@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality_rules
+from . import minhash, mixing, packing, pii, quality_rules
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and text, with surrogates for personal data."""
+    return pii.replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -32,7 +37,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_minhash, op8_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op5_minhash, op7_pii, op8_packing, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
