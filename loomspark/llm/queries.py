@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, minhash, mixing, packing, pii, quality_rules
+from . import fingerprints, minhash, mixing, packing, pii, quality_rules, toxicity
 from .common import table
 
 
@@ -16,6 +16,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and n_passages."""
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and copy_of, a row per document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
@@ -42,7 +48,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op5_minhash, op7_pii, op8_packing, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op5_minhash, op7_pii, op8_packing, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,10 +36,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all rows, in order, and the offsets of the rows among them. lower: ASCII letters in lower case."""
+#: For plain words: ASCII letters and digits, and whatever isn't ASCII.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def word_hashes(column: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all rows, in order, and the offsets of the rows among them. plain: words have letters and
+    digits only, and ASCII letters count as lower case."""
     raw, at = text_bytes(column)
-    inside = ~_SPACES[raw]
+    inside = _PLAIN[raw] if plain else ~_SPACES[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[0] = True
     first[1:-1] = ~inside[:-1]
@@ -50,7 +56,7 @@ def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     if not len(starts):
         return np.zeros(0, np.uint64), counts
     kept = raw[inside].astype(np.uint64)
-    if lower:
+    if plain:
         kept += np.uint64(32) * ((kept >= 65) & (kept <= 90))
     begins = np.flatnonzero(first[inside])
     place = np.arange(len(kept)) - np.repeat(begins, np.diff(np.append(begins, len(kept))))
