@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, minhash, mixing, packing, pii, quality_rules, toxicity
+from . import fingerprints, minhash, mixing, packing, pii, quality_rules, toxicity, warc
 from .common import table
 
 
@@ -22,6 +22,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and copy_of, a row per document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
@@ -48,7 +53,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op5_minhash, op7_pii, op8_packing, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_warc, op5_minhash, op7_pii, op8_packing, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
