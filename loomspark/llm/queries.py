@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, minhash, mixing, packing, pii, quality_rules, toxicity, warc
+from . import fingerprints, language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, toxicity, warc
 from .common import table
 
 
@@ -27,11 +27,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score and kept."""
+    return quality_classifier.quality(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id and copy_of, a row per document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, lang, confidence, text_lang and declared."""
+    return language_id.languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text, with surrogates for personal data."""
     return pii.replace_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -53,7 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_warc, op5_minhash, op7_pii, op8_packing, op9_quality_rules, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_warc, op4_quality_classifier, op5_minhash, op6_language_id, op7_pii, op8_packing, op9_quality_rules, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
