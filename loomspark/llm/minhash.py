@@ -9,11 +9,11 @@
 3. Each distinct text gets 64 samples, in 16 bands of 4. A pair of weighted similarity 0.8 misses all bands with
    a probability of 0.0002.
 4. In each bucket the members are held against the most popular one (that with the largest buckets: an
-   original rather than an edited copy of it), so the pairs are no more than the rows. Buckets whose members are then
-   of several classes are compared in blocks, by signature, between classes. Nothing is capped.
-5. Pairs whose signatures agree in 38 of 64 samples or more (a pair of similarity 0.8 fails that with a probability
-   of 0.00004) are verified by exact weighted Jaccard similarity.
-6. Links make classes (connected components).
+   original rather than an edited copy of it), so the pairs are no more than the rows. Pairs whose signatures agree in
+   38 of 64 samples or more (a pair of similarity 0.8 fails that with a probability of 0.00004) are verified by exact
+   weighted Jaccard similarity. Links make classes (connected components).
+5. Buckets whose members are then of several classes are compared between classes, in pairs of blocks, by signature and
+   then by similarity; a pair that is of one class by then is passed over. Nothing is capped. Links make classes again.
 
 Defined results: texts with the same words are copies of each other, whatever the white space; texts without
 words, null among them, are such copies too. Texts under five words have one shingle of all their words. Null keys
@@ -222,29 +222,37 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "ga", "gb").mapInArrow(run, "a string, b string")
 
 
-def between_classes(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members(tid, bucket, label) of one bucket but different labels, with signatures that agree often enough.
+def between_classes(members: DataFrame, signed: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members(tid, bucket, band, label) of one bucket but different labels: for any two labels with a
+    link in a group one link at least, directly or by way of others.
 
-    Buckets are cut into blocks of about BLOCK members by hash, and each two blocks are one group, so no group grows with its bucket."""
+    Buckets are cut into blocks of about BLOCK members by hash, and each two blocks are one group, so no group grows with
+    its bucket. A pair is looked at in the first band that it shares, if its signatures agree often enough."""
     mixed = members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x != y")
-    rows = members.join(mixed.select("bucket", "n"), "bucket").join(signed.select("tid", "signature"), "tid")
+    rows = members.join(mixed.select("bucket", "n"), "bucket").join(signed.select("tid", "signature"), "tid").join(vecs, "tid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "tid", "label", "signature")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "tid", "label", "signature", "shingles", "levels")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("tid")
+        table = pa.Table.from_batches(list(batches)).sort_by("tid").combine_chunks()
         tid, (_, label) = table["tid"].to_pylist(), np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
         own, sig = table["own"].to_numpy(), np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SAMPLES)
-        apart, a, b = key[1].as_py() != key[2].as_py(), [], []
+        apart, band, label, a, b = key[1].as_py() != key[2].as_py(), table["band"][0].as_py(), label.copy(), [], []
+        vector = [(x.as_buffer(), y.as_buffer()) for x, y in zip(table["shingles"], table["levels"], strict=True)]
         for i in range(len(tid) - 1):
-            ok = (label[i + 1 :] != label[i]) & ((sig[i + 1 :] == sig[i]).sum(1) >= AGREE)
+            same = sig[i + 1 :] == sig[i]
+            ok = (label[i + 1 :] != label[i]) & (same.sum(1) >= AGREE)
             if apart:
                 ok &= own[i + 1 :] != own[i]
-            for j in np.flatnonzero(ok) + i + 1:
-                a.append(tid[i])
-                b.append(tid[j])
+            at = np.flatnonzero(ok)
+            at = at[same[at].reshape(-1, BANDS, BAND).all(2).argmax(1) == band] + i + 1
+            for j in at:
+                if label[j] != label[i] and similarity(*vector[i], *vector[j]) >= least:
+                    a.append(tid[i])
+                    b.append(tid[j])
+                    label[label == label[j]] = label[i]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a string, b string").distinct()
@@ -256,11 +264,11 @@ def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     idf = idf_table(*document_frequencies(texts))
     signed = materialise(signatures(texts, idf).dropDuplicates(["tid"]), "signatures")
 
-    keys = signed.select("tid", F.explode("keys").alias("bucket"))
+    keys = signed.select("tid", F.posexplode("keys").alias("band", "bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(keys.join(shared, "bucket"), "members")
     popular = members.groupBy("tid").agg(F.sum("n").alias("popularity"))
-    members = members.select("tid", "bucket").join(popular, "tid")
+    members = members.select("tid", "band", "bucket").join(popular, "tid")
     hubs = members.groupBy("bucket").agg(F.max(F.struct("popularity", F.col("tid").alias("hub"))).alias("h")).select("bucket", "h.hub")
     pairs = members.join(hubs, "bucket").filter("tid != hub").select(F.col("hub").alias("a"), F.col("tid").alias("b")).distinct()
 
@@ -268,8 +276,8 @@ def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     vecs = materialise(vectors(texts.join(wanted, "tid", "left_semi"), idf).dropDuplicates(["tid"]), "vectors")
     links = materialise(verify(alike(pairs, signed), vecs, least), "links")
     labels = components(links)
-    labelled = members.select("tid", "bucket").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-    more = materialise(verify(between_classes(labelled, signed), vecs, least), "links")
+    labelled = members.select("tid", "band", "bucket").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    more = materialise(between_classes(labelled, signed, vecs, least), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     return labels.select(F.col("node").alias("tid"), "label")
