@@ -29,10 +29,12 @@ PATTERNS = {
     "card": r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w]|[.-]\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
     "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)",
-    "secret": r"(?<=(?i:token|secret|password|passwd|pwd|api_key|apikey|api-key|access_key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+.-]{8,}",
+    "secret": r"(?<![\p{L}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|pwd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 PATTERN = "|".join(PATTERNS.values())
+#: What every form has one of, so that most texts needn't be searched by the pattern: a sign, or a part of a title.
+SIGNS, TITLES = "[0-9@=:]", ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Госп")
 
 #: Titles of women; all others of the pattern are of men.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
@@ -51,16 +53,24 @@ STREAM = 128  # numbers of a surrogate's stream; longer entities use it again
 
 
 def mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1))
+    """All mentions of a text, in order; null if there can't be any."""
+    likely = text.rlike(SIGNS)
+    for title in TITLES:
+        likely |= text.contains(title)
+    return F.when(likely, F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)))
+
+
+#: What stands before the value of a secret.
+_LABEL = r"^[\p{L}_-]+\s{0,3}[=:]\s{0,3}[\"']?"
 
 
 def kind_of(mention: Column) -> Column:
     """The kind of a mention, from its own form."""
     digits = F.length(F.regexp_replace(mention, r"\D", ""))
-    kind = F.when(mention.contains("@"), "email")
+    kind = F.when(mention.rlike(_LABEL), "secret").when(mention.contains("@"), "email")
     kind = kind.when(mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
     kind = kind.when(mention.rlike(r"^[\d -]+$") & digits.between(13, 19), "card").when(mention.rlike(r"^[+(\d][\d ().-]*$") & digits.between(5, 15), "phone")
-    return kind.when(mention.rlike(r"^\p{Lu}\p{Ll}+\.? \p{Lu}\p{Ll}"), "name").otherwise("secret")
+    return kind.otherwise("name")
 
 
 def entity_of(mention: Column) -> Column:
@@ -72,7 +82,7 @@ def entity_of(mention: Column) -> Column:
         form = form.when(kind == "phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits))
         gender = F.when(F.regexp_extract(mention, r"^(\p{L}+)", 1).isin(*FEMALE_TITLES), "f").otherwise("m")
         form = form.when(kind == "name", F.concat_ws(" ", gender, F.regexp_replace(mention, r"^\p{L}+\.? ", "")))
-        return F.concat_ws(":", kind, form.otherwise(mention))
+        return F.concat_ws(":", kind, form.otherwise(F.regexp_replace(mention, _LABEL, "")))
 
     return let(kind_of(mention), normal)
 
@@ -166,8 +176,9 @@ def render(mention: Column, stand_in: Column) -> Column:
 
     digits = F.array_join(F.transform(F.split(mention, ""), digit), "")
     name = F.concat(F.regexp_extract(mention, r"^(\p{L}+\.? )", 1), F.substr(form, F.lit(3)))
+    label = F.regexp_extract(mention, f"({_LABEL})", 1)
     upper = (mention == F.upper(mention)) & (mention != F.lower(mention))
-    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "name", name).when((kind == "email") & upper, F.upper(form)).otherwise(form)
+    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "name", name).when(kind == "secret", F.concat(label, form)).when((kind == "email") & upper, F.upper(form)).otherwise(form)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -198,14 +209,14 @@ def replace_private(df: DataFrame, text: str = "text", key: str = "corpus") -> D
     clean = found.filter("_found is null or size(_found) = 0").select("_row.*")
 
     hit = found.filter("size(_found) > 0").withColumn("_id", F.md5("_text"))
-    per_text = hit.select("_id", F.explode(F.array_distinct(F.transform("_found", entity_of))).alias("entity")).distinct()
-    per_text = materialise(per_text, "mentions")
+    per_text = hit.select("_id", F.explode(F.array_distinct("_found")).alias("mention")).distinct()
+    per_text = materialise(per_text.withColumn("entity", entity_of(F.col("mention"))), "mentions")
     table = assign(per_text.select("entity").distinct(), key)
-    own = per_text.join(table, "entity").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_map"))
+    rendered = per_text.join(table, "entity").select("_id", "mention", render(F.col("mention"), F.col("surrogate")).alias("stand_in"))
+    own = rendered.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "stand_in"))).alias("_map"))
 
     gaps = F.split(F.col("_text"), PATTERN, -1)
-    stand_ins = F.transform("_found", lambda m: render(m, F.element_at(F.col("_map"), entity_of(m))))
-    new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("_found")), stand_ins, lambda a, b: F.concat(a, b)), ""), F.element_at(gaps, -1))
-    # a long text's mentions are looked up once
+    stand_ins = F.transform("_found", lambda m: F.element_at(F.col("_map"), m))
+    new = let(gaps, lambda g: F.concat(F.array_join(F.zip_with(F.slice(g, 1, F.size("_found")), stand_ins, lambda a, b: F.concat(a, b)), ""), F.element_at(g, -1)))
     done = hit.join(own, "_id").withColumn("_new", new).select(*[(F.col("_new") if c == text else F.col("_row").getField(c)).alias(c) for c in df.columns])
-    return clean.unionByName(done) if len(set(df.columns)) == len(df.columns) else clean.union(done)
+    return clean.unionByName(done)
