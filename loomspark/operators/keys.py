@@ -111,3 +111,11 @@ def earlier_pick(children: DataFrame, parents: DataFrame, null_rate: float, *par
     ranked = number_rows(parents.filter("anchor is not null"), F.to_date("anchor"), [F.col("anchor"), F.col("rid")], "_rank").select(F.col("rid").alias("pick"), "_rank")
     rank = F.when((F.col("n_before") > 0) & (uniform(F.col("rid"), *parts, "null") >= null_rate), below(F.col("n_before"), F.col("rid"), *parts) + 1)
     return counted.withColumn("_rank", rank).join(ranked, "_rank", "left").drop("_rank", "n_before")
+
+
+def sort_anchors(rows: DataFrame) -> DataFrame:
+    """rows(rid, anchor) with the anchors that aren't null in ascending order over the rows that have one."""
+    some = rows.filter("anchor is not null")
+    by_row = number_rows(some.select("rid"), F.shiftright("rid", 16), [F.col("rid")], "_place")
+    by_time = number_rows(some.select("anchor", F.col("rid").alias("_tie")), F.to_date("anchor"), [F.col("anchor"), F.col("_tie")], "_place").drop("_tie")
+    return by_row.join(by_time, "_place").drop("_place").unionByName(rows.filter("anchor is null").select("rid", "anchor"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import ship
+
 
 def count_where(df: DataFrame, predicate: Column, name: str = "n") -> DataFrame:
     return df.agg(F.count_if(predicate).alias(name))
@@ -53,12 +56,11 @@ def insert_ignore(table: DataFrame, rows: DataFrame, key: str, order: list[str])
 def replay_limits(df: DataFrame, key: str, at: str, tie: str, limit: int, window: float) -> DataFrame:
     """df(key, at in seconds, tie) with allowed and retry_after, as a sliding-window limiter decides: hits that are denied
     don't count. A key's rows come to one task in order, one after another: it holds limit times of one key, never a group."""
+    ship(df.sparkSession)
     kind = df.select(key, at, tie).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) + ", allowed boolean, retry_after long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import deque
-
         current, kept = object(), deque()
         for frame in frames:
             allowed, wait = [], []

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a session, unless PYTHONPATH has it."""
+    root = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_loomspark_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "loomspark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "loomspark").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(path))
+    context._loomspark_shipped = True
