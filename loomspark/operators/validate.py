@@ -39,8 +39,16 @@ def type_violation(c: Column, column, actual: str) -> Column:
 def row_checks(df: DataFrame, table: Table) -> DataFrame:
     """(kind, name, violations) of not-null, type, enum and check rules: one scan."""
     kinds, rules = dict(df.dtypes), []
+    declared = {c.name: c.spark_type() for c in table.columns}
+    # checks read values of the declared types; text that isn't of its type is null to them, and a violation of type
+
+    def typed(c: str) -> Column:
+        value = F.col(f"`{c}`")
+        return (value.try_cast(declared[c]) if kinds[c] == "string" and c in declared else value).alias(c)
+
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_raw"), *[typed(c) for c in df.columns])
     for c in table.columns:
-        value = F.col(f"`{c.name}`")
+        value = F.col("_raw").getField(c.name)
         rules.append(("not_null", c.name, value.isNull() if not c.nullable else F.lit(False)))
         rules.append(("type", c.name, F.coalesce(type_violation(value, c, kinds[c.name]), F.lit(False))))
         if c.enum is not None:

@@ -75,14 +75,16 @@ def plain_check(definition: str) -> str:
         if new == body:
             break
         body = new
-    body = re.sub(r"=\s*ANY\s*\(+\s*ARRAY\[(.*?)\]\s*\)+", lambda m: f"IN ({m[1]})", body, flags=re.I | re.S)
+    while m := re.search(r"=\s*ANY\s*(\(+)\s*ARRAY\[(.*?)\]", body, flags=re.I | re.S):
+        rest = body[m.end() :]
+        for _ in m[1]:  # as many close as have been opened
+            rest = rest.lstrip().removeprefix(")")
+        body = f"{body[: m.start()]}IN ({m[2]}){rest}"
     while body.startswith("(") and _closes_last(body):
         body = body[1:-1].strip()
     m = re.fullmatch(r"\(?\s*(\w+)\s*>=\s*('[^']*'|-?[\d.]+)\s*\)?\s+AND\s+\(?\s*\1\s*<=\s*('[^']*'|-?[\d.]+)\s*\)?", body, flags=re.I)
     if m:
         return f"{m[1]} BETWEEN {m[2]} AND {m[3]}"
-    if " IN (" in body.upper() and body.count("(") < body.count(")"):
-        body = body[: len(body) - (body.count(")") - body.count("("))]
     return body
 
 
