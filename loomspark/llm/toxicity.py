@@ -1,8 +1,10 @@
 """Toxic passages by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-1. Tokens are counted by documents of either label, in a bounded sample of TRAIN_ROWS labelled rows. A token's score is
+1. Tokens are counted by documents of either label, in a bounded sample of TRAIN_ROWS labelled rows; copies of a toxic
+   passage count once, as a token's documents are no more than the different words before it (a bitmap). A token's score is
    its log-odds under an informative Dirichlet prior (a tenth of the sample, spread as the tokens are in both labels
-   together) less two standard deviations; tokens without a positive score cost GAP.
+   together) less DEVIATIONS standard deviations, if they are over LEAST. Words' first STEM bytes are tokens too, so that inflected forms count together; a
+   word has the better score of the two, and words without such a score cost GAP.
 2. A linear-time scan finds all maximal scoring segments of a text: the passages.
 3. Scores of chance segments follow an extreme-value law: a text of n tokens has K n exp(-lambda s) of score s or
    more. lambda makes the expected factor exp(lambda * score) of a clean token 1; K is counted on clean rows. A passage is
@@ -27,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import for_python
-from .words import word_hashes
+from .words import mix, word_hashes
 
 TRAIN_ROWS = 200_000
 PRIOR = 0.1
 GAP = 0.1
+STEM = 4
+DEVIATIONS = 2.5
+LEAST = 2.0  # log-odds that a toxic token has before the deviations go off; less tells a language or a topic
 SIGNIFICANT = 0.05
 
 
@@ -76,11 +81,16 @@ def segments(scores: list[float], places: list[int], gap: float = GAP) -> list[t
 def passages_of(column: pa.Array, model: Model) -> tuple[list[list[tuple[int, int, float]]], np.ndarray]:
     """Segments of each row of a text column, in tokens, and the rows' tokens."""
     words, at = word_hashes(column, plain=True)
+    stems, _ = word_hashes(column, plain=True, stem=STEM)
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(at) - 1)]
     if len(words) and len(model.tokens):
-        near = np.minimum(np.searchsorted(model.tokens, words), len(model.tokens) - 1)
-        hit = np.flatnonzero(model.tokens[near] == words)
-        score, bounds = model.scores[near[hit]], np.searchsorted(hit, at)
+        found = np.zeros(len(words))
+        for tokens in (words, stems):
+            near = np.minimum(np.searchsorted(model.tokens, tokens), len(model.tokens) - 1)
+            same = model.tokens[near] == tokens
+            found[same] = np.maximum(found[same], model.scores[near[same]])
+        hit = np.flatnonzero(found)
+        score, bounds = found[hit], np.searchsorted(hit, at)
         for i in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[i], bounds[i + 1]
             out[i] = segments(score[a:b].tolist(), (hit[a:b] - at[i]).tolist())
@@ -110,35 +120,48 @@ def training_sample(df: DataFrame, labels: DataFrame, key: str, text: str, label
 
 
 def count_tokens(sample: DataFrame) -> DataFrame:
-    """(token, toxic, clean): documents of each label that hold a token."""
+    """(token, toxic, clean, contexts): documents of each label that hold a token, and a bitmap of the words that stand before
+    it in toxic ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, at = word_hashes(batch.column("text"), plain=True)
+            stems, _ = word_hashes(batch.column("text"), plain=True, stem=STEM)
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            before = np.concatenate([words[:1], words[:-1]])
+            before[at[:-1][np.diff(at) > 0]] = 0
+            context = np.where(toxic[row], np.uint64(1) << (mix(before) >> np.uint64(58)), np.uint64(0)) if len(words) else words
+            words, row, context = np.concatenate([words, stems]), np.tile(row, 2), np.tile(context, 2)
             order = np.lexsort((row, words))
-            words, row = words[order], row[order]
-            new = np.concatenate([[True], (words[1:] != words[:-1]) | (row[1:] != row[:-1])]) if len(words) else np.zeros(0, bool)
-            tokens, which = np.unique(words[new], return_inverse=True)
-            n = np.bincount(which, minlength=len(tokens))
-            bad = np.bincount(which, weights=toxic[row[new]], minlength=len(tokens)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(bad), pa.array(n - bad)], ["token", "toxic", "clean"])
+            words, row, context = words[order], row[order], context[order]
+            first = np.ones(len(words), bool)
+            first[1:] = words[1:] != words[:-1]
+            new = first.copy()
+            new[1:] |= row[1:] != row[:-1]
+            starts = np.flatnonzero(first)
+            n = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else starts
+            bad = np.add.reduceat((new & toxic[row]).astype(np.int64), starts) if len(starts) else starts
+            bits = np.bitwise_or.reduceat(context, starts) if len(starts) else words
+            yield pa.RecordBatch.from_arrays([pa.array(words[starts].view(np.int64)), pa.array(bad), pa.array(n - bad), pa.array(bits.view(np.int64))], ["token", "toxic", "clean", "contexts"])
 
-    counted = sample.filter("counted").select("text", "toxic").mapInArrow(run, "token long, toxic long, clean long")
-    return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.filter("counted").select("text", "toxic").mapInArrow(run, "token long, toxic long, clean long, contexts long")
+    return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
 
 
 def log_odds(counts: DataFrame) -> DataFrame:
-    """(token, score, clean_share) of the tokens with a positive score."""
+    """(token, score, clean_share) of the tokens with log-odds over LEAST and a positive score."""
+    # a token that stands in copies of one passage only has few words before it, however many the copies are
+    seen = -64 * F.log(F.greatest(F.lit(1), 64 - F.bit_count("contexts")) / F.lit(64.0))
+    counts = counts.withColumn("toxic", F.least(F.col("toxic").cast("double"), F.greatest(seen, F.lit(0.0))))
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = float(totals["t"] or 0), float(totals["c"] or 0)
     prior = (F.col("toxic") + F.col("clean")) * PRIOR
     n0 = PRIOR * (t + c)
     bad, good = F.col("toxic") + prior, F.col("clean") + prior
     delta = F.log(bad / (F.lit(t + n0) - bad)) - F.log(good / (F.lit(c + n0) - good))
-    score = delta - 2 * F.sqrt(1 / bad + 1 / good)
-    return counts.filter("toxic >= 2").select("token", score.alias("score"), (good / F.lit(max(c + n0, 1.0))).alias("clean_share")).filter("score > 0")
+    score = delta - DEVIATIONS * F.sqrt(1 / bad + 1 / good)
+    return counts.filter((F.col("toxic") > 1.5) & (delta > LEAST) & (score > 0)).select("token", score.alias("score"), (good / F.lit(max(c + n0, 1.0))).alias("clean_share"))
 
 
 def _solve_rate(scores: np.ndarray, shares: np.ndarray, gap: float = GAP) -> float:

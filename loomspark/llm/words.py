@@ -41,9 +41,9 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
-def word_hashes(column: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, plain: bool = False, stem: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all rows, in order, and the offsets of the rows among them. plain: words have letters and
-    digits only, and ASCII letters count as lower case."""
+    digits only, and ASCII letters count as lower case. stem: hashes are of that many first bytes of each word."""
     raw, at = text_bytes(column)
     inside = _PLAIN[raw] if plain else ~_SPACES[raw]
     first = np.zeros(len(raw) + 1, bool)
@@ -61,7 +61,10 @@ def word_hashes(column: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.n
     begins = np.flatnonzero(first[inside])
     place = np.arange(len(kept)) - np.repeat(begins, np.diff(np.append(begins, len(kept))))
     factors = _FACTORS[place % _PLACES] * (np.uint64(2) * (place // _PLACES).astype(np.uint64) + np.uint64(1))
-    return mix(np.add.reduceat((kept + np.uint64(1)) * factors, begins)), counts
+    parts = (kept + np.uint64(1)) * factors
+    if stem:
+        return mix(np.add.reduceat(parts * (place < stem), begins) + np.uint64(stem)), counts
+    return mix(np.add.reduceat(parts, begins)), counts
 
 
 _WINDOW = np.random.default_rng(4711).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
