@@ -20,6 +20,9 @@ Defined results: a null or empty text has the closing id alone; texts of any len
 
 from __future__ import annotations
 
+import gc
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +36,10 @@ from .common import for_python, materialise
 CAPACITY = 4096
 END_ID = 1
 #: Bounds of the memory that a worker keeps words in; without effect on results.
-CACHED_WORDS, CACHED_LENGTH = 500_000, 64
+CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+#: Signs that may follow a word; the tokenizer puts them into one pre-token, and the letters before them into another.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PLAIN = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(_SIGNS)}]*)").fullmatch
 
 _encoders: dict = {}
 
@@ -46,30 +52,76 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Ids of whole texts, as little-endian 32-bit bytes. The tokenizer's pre-tokens never cross white space and its
-    normaliser looks at no context beyond it, so ids of the stretches between blanks, once joined, are the text's ids."""
+    normaliser looks at no context beyond it, so ids of the stretches between blanks, once joined, are the text's ids. A
+    stretch of letters and then signs has two pre-tokens, and the letters' ids don't depend on their case; new runs of
+    letters are encoded as one string, cut at the ids that end words."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        # two generations of words: what is still used moves on when the elder one goes
+        self.tokenizer, self.known, self.elder = Tokenizer.from_file(path), {"": b""}, {}
+        self.of_letters = Tokenizer.from_file(path)  # for lower-case letters, which its normaliser and its pattern leave as they are
+        self.of_letters.normalizer = normalizers.Sequence([])
+        self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in batch(parts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        if new := [x for x in {*parts} if x not in known]:
-            if len(known) + len(new) > CACHED_WORDS:
-                known = self.known = {"": b""}
-                new = [x for x in {*parts} if x]
-            ids = dict(zip(new, self._encode(new), strict=True))
-            known.update((k, v) for k, v in ids.items() if len(k) <= CACHED_LENGTH)
-            return b"".join([known.get(x) if x in known else ids[x] for x in parts])
-        return b"".join(map(known.__getitem__, parts))
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_letters(self, parts: list[str]) -> list[bytes]:
+        ids = np.asarray(self.of_letters.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(parts):
+            return self._encode(parts)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, stretches: set[str]) -> list[str]:
+        """Adds stretches to those known, with the letters and signs that they are made of; returns those too long to stay."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.elder = {"": b""}, self.known
+        known, elder, odd, made, letters, signs = self.known, self.elder, [], [], set(), set()
+        for x in stretches:
+            if x in known:
+                continue
+            if x in elder:
+                known[x] = elder[x]
+                continue
+            if x.isascii():
+                word = x.rstrip(_SIGNS)
+                tail = x[len(word) :]
+                plain = word.isalpha()
+            elif plain := _PLAIN(x):
+                word, tail = plain[1], plain[2]
+            if not plain:
+                odd.append(x)
+                continue
+            word = word.lower()
+            letters.add(word)
+            if word != x:
+                signs.add(tail)
+                made.append((x, word, tail))
+        letters, signs = [x for x in letters if x not in known], [x for x in signs if x not in known]
+        known.update(zip(signs, self._encode(signs), strict=True))
+        if letters:
+            known.update(zip(letters, self._encode_letters(letters), strict=True))
+        known.update(zip(odd, self._encode(odd), strict=True))
+        for x, word, tail in made:
+            known[x] = known[word] + known[tail] if tail else known[word]
+        return [x for part in (odd, letters, signs) for x in part if len(x) > CACHED_LENGTH] + [x[0] for x in made if len(x[0]) > CACHED_LENGTH]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        rows = [x.replace("\n", " ").split(" ") for x in texts]
+        long = self._learn(set().union(*rows))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, row)) for row in rows]
+        for x in long:
+            self.known.pop(x, None)
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -82,20 +134,27 @@ def encoder(path: str) -> Encoder:
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: key, piece, start, length, ids_crc32."""
     path = tokenizer or default_tokenizer()
-    for_python(df.sparkSession)
+    for_python(df.sparkSession, 1000)
     end = np.asarray([END_ID], "<u4").tobytes()
 
+    def cut(batch: pa.RecordBatch, ids_of: list[bytes]) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for k, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
+            ids += end
+            for i, at in enumerate(range(0, len(ids), 4 * capacity)):
+                part = ids[at : at + 4 * capacity]
+                rows.append((k, i, at // 4, len(part) // 4, zlib.crc32(part)))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
-            rows: list[tuple] = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = (encode(t) if t else b"") + end
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((k, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        gc.disable()  # words are many objects without cycles, and looking for some takes a sixth of the time
+        try:
+            for batch in batches:
+                yield cut(batch, encode([t or "" for t in batch.column(1).to_pylist()]))
+        finally:
+            gc.enable()
 
     names = [key, "piece", "start", "length", "ids_crc32"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
