@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, new_path, ship
+
+__all__ = ["SPACE", "WORD", "for_python", "let", "materialise", "n_words", "new_path", "ship", "table"]
+
 #: ASCII white space: what separates words.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,47 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python, once a session, unless PYTHONPATH has it."""
-    root = Path(__file__).resolve().parents[2]
-    context = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_loomspark_shipped", False):
-        return
-    path = Path(tempfile.mkdtemp(prefix="spark-")) / "loomspark.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted((root / "loomspark").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    context.addPyFile(str(path))
-    context._loomspark_shipped = True
-
-
-def for_python(spark: SparkSession, rows: int = 500) -> None:
-    """Before Python runs on texts: ships the package, and has Arrow batches hold few rows, as texts can be long; that
+def for_python(spark: SparkSession, rows: int = 100, size: str = "4m") -> None:
+    """Before Python runs on texts: ships the package, and bounds Arrow batches in rows and bytes, as texts can be long; that
     bounds the workers' memory."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
