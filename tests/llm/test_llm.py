@@ -1,0 +1,607 @@
+"""The training-data operators against brute force, held-out labels or exact round trips, and on odd rows."""
+
+import base64
+import collections
+import gzip
+import hashlib
+import io
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from loomspark.llm import fingerprints, graph, language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, queries, toxicity, warc, words
+from loomspark.llm.common import new_path
+
+SF = "/root/testdata/sf0.001"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(30_000))
+#: Nulls, empty, blank and very long texts, ties, repeated rows, null and repeated keys.
+ODD = [(1, "one two three four five six", "en", "a"), (1, "one two three four five six", "en", "a"), (2, None, None, None), (3, "", "", "b"), (None, " \t\n", "en", None), (None, None, "en", "b"), (4, LONG, "en", "b"), (5, "x", "de", "a"), (5, "y\ny\ny", "de", "a"), (6, "é ü 漢字   😀", "fr", "c"), (7, LONG + " end", "en", "b")]
+
+
+def read(spark, name):
+    return spark.read.parquet(f"{SF}/{name}.parquet")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return read(spark, "documents").cache()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, with columns named as operators' own are."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
+    clash = ["_row", "_text", "tid", "label", "size", "key", "_key", "score", "words", "position", "_id", "n", "length", "piece", "keys", "pattern", "a.b"]
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(clash)])
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+# words
+
+
+def test_word_hashes_follow_words():
+    texts = ["a b  a", None, "", "\t x\ny ", "a\x00 a", "é é", "a" * 3000 + " " + "a" * 3001]
+    hashes, at = words.word_hashes(pa.array(texts, pa.string()))
+    split = [WORDS.findall(t or "") for t in texts]
+    assert np.diff(at).tolist() == [len(x) for x in split]
+    flat = list(itertools.chain(*split))
+    assert len(set(zip(flat, hashes.tolist()))) == len(set(flat)) == len(set(hashes.tolist()))
+    sliced, at2 = words.word_hashes(pa.array(["zz", *texts], pa.string()).slice(1))
+    assert (sliced == hashes).all() and (at2 == at).all()
+
+
+def test_shingles_follow_windows():
+    texts = ["a b c d e f", "b c d e f", "a b", None, "a b c d e", "a"]
+    found, at = words.shingles(*words.word_hashes(pa.array(texts)), 5)
+    windows = [[tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else [] for w in ((t or "").split() for t in texts)]
+    assert np.diff(at).tolist() == [len(x) for x in windows]
+    flat = list(itertools.chain(*windows))
+    assert len(set(zip(flat, found.tolist()))) == len(set(flat)) == len(set(found.tolist()))
+
+
+# 1 mixing
+
+
+def test_mixing_against_brute_force(spark, docs):
+    got = mixing.mix(docs).toPandas().set_index("doc_id")
+    rows = docs.toPandas()
+    size = {k: len(WORDS.findall(t or "")) for k, t in zip(rows["doc_id"], rows["text"])}
+    assert all(got["size"][k] == n for k, n in size.items())
+    totals = collections.Counter()
+    for k, s in zip(rows["doc_id"], rows["source"]):
+        totals[s] += size[k]
+    names = sorted(totals)
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    target, left, want = {}, set(names), sum(totals.values())
+    while True:  # what is cut off goes to the others by weight
+        share = (want - sum(target.values())) / sum(weight[s] for s in left)
+        cut = {s for s in left if share * weight[s] > 3 * totals[s]}
+        target |= {s: 3.0 * totals[s] for s in cut}
+        left -= cut
+        if not cut:
+            break
+    target |= {s: share * weight[s] for s in left}
+    for s, g in got.groupby("source"):
+        assert abs(g["target"].iloc[0] - target[s]) < 1e-6 and abs(g["taken"].sum() - target[s]) <= 1
+    assert (got["taken"] <= 3 * got["size"]).all()
+    again = mixing.mix(docs.repartition(7)).toPandas().set_index("doc_id")
+    assert (again["taken"].sort_index() == got["taken"].sort_index()).all()
+
+
+def test_mixing_caps_and_schedules(spark):
+    rows = [(i, "w " * 10, s) for i, s in enumerate("aaaaaaaaaaaaaaaaaaaaabbc")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    by = got.groupby("source")["taken"].sum()
+    assert by["c"] == 30 and by["b"] == 60 and by["a"] == 150  # 240 words; c and b stop at three times theirs
+    knots = [(0.0, 1.5, 0.0), (1.0, 0.5, 1.0)]
+    df = spark.createDataFrame([(knots, s / 10) for s in range(11)], "knots array<struct<t: double, w: double, area: double>>, s double")
+    for s, t in df.select("s", mixing.position(F.col("knots"), F.col("s"))).collect():
+        assert abs(1.5 * t - t * t / 2 - s) < 1e-9
+
+
+def test_mixing_odd_rows(odd, none):
+    got = mixing.mix(odd).toPandas()
+    assert len(got) == len(ODD) and (got["taken"] <= 3 * got["size"]).all()
+    assert mixing.mix(none).count() == 0
+    whole = mixing.mixed_documents(odd)
+    assert whole.columns == odd.columns and mixing.mixed_documents(none).count() == 0
+    words_of = sum(len(WORDS.findall(r["text"] or "")) for r in whole.collect())
+    assert abs(words_of - got["taken"].sum()) < 70_000
+
+
+# 2 toxicity
+
+
+def _segments(s):
+    """The definition: the maximum segment, then the same left and right of it."""
+    best = max(((sum(s[i:j]), -i, -j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0))
+    if best[0] <= 1e-9:
+        return []
+    i, j = -best[1], -best[2]
+    shortest = min((b for b in range(i + 1, len(s) + 1) if abs(sum(s[i:b]) - best[0]) < 1e-9), default=j)
+    right = [(a + shortest, b + shortest, v) for a, b, v in _segments(s[shortest:])]
+    return _segments(s[:i]) + [(i, shortest, best[0])] + right
+
+
+def test_segments_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        n = rng.randint(1, 13)
+        places = sorted(rng.sample(range(n), rng.randint(0, n)))
+        scores = [rng.choice([0.1731, 0.3373, 0.5519, 1.0937]) for _ in places]
+        line = [-toxicity.GAP] * n
+        for p, c in zip(places, scores):
+            line[p] = c
+        assert [(a, b, round(v, 6)) for a, b, v in toxicity.segments(scores, places)] == [(a, b, round(v, 6)) for a, b, v in _segments(line)]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    base = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    got = toxicity.toxicity(d, labels).join(labels, "doc_id").filter("held_out").select("toxic", "predicted", "score", "doc_id").toPandas()
+    assert got["doc_id"].map(lambda k: zlib.crc32(str(k).encode()) % 3 == 1).all()
+    assert got["predicted"][got["toxic"] == 1].mean() > 0.75 and got["predicted"][got["toxic"] == 0].mean() < 0.01
+    assert ((got["score"] >= 0.7) == (got["predicted"] == 1)).all()
+
+
+def test_toxicity_odd_rows(spark, odd, none):
+    labels = spark.createDataFrame([(1, 0), (3, 1), (3, None), (None, 1), (4, 1), (5, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity(odd, labels).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["score"] for r in toxicity.toxicity(odd, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.toxicity(none, labels).count() == 0
+
+
+# 3 warc
+
+
+def test_warc_round_trip(spark):
+    pages = read(spark, "pages")
+    got = warc.round_trip(pages).toPandas().set_index("page_id")
+    best = {}
+    rows = pages.toPandas()
+    for k, h in zip(rows["page_id"], rows["html"]):
+        best[h or ""] = max(best.get(h or "", -1), k)
+    for k, h in zip(rows["page_id"], rows["html"]):
+        raw, r = (h or "").encode(), got.loc[k]
+        assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        first = best[h or ""]
+        assert (r["record_type"], r["refers_to"]) == ("response", r["refers_to"]) if first == k else ("revisit", first)
+
+
+def test_warc_odd_rows_filters_and_empty_tables(spark):
+    rows = [(1, "http://a", "x"), (2, "http://b\r\n", "x"), (2, "http://b", "x"), (None, None, None), (5, None, ""), (7, "u", "ü" * 3000), (9, "u", "HTTP/1.1\r\n\r\nWARC/1.1")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("key", F.lit(1))
+    path = new_path(spark, "warc")
+    warc.archive(df, path)
+    got = {(r["record_id"], r["url"]): r for r in warc.read(spark, path).collect()}
+    assert len(got) == len(rows) and got["urn:key:7", "u"]["payload"].decode() == "ü" * 3000 and got["urn:key:9", "u"]["payload"] == b"HTTP/1.1\r\n\r\nWARC/1.1"
+    assert got["urn:key:1", "http://a"]["refers_to"] == "urn:key:2" and got["urn:key:", None]["refers_to"] == "urn:key:5"
+    assert warc.read(spark, path).filter("record_type = 'revisit' and url like 'http://%'").count() == 2
+    assert all(r["payload"] is None for r in warc.read(spark, path, payload=False).collect())
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_filters_skip_payloads(tmp_path):
+    record = warc.encode("response", "a", "u", None, b"payload", None)
+    (tmp_path / "x.warc.gz").write_bytes(warc.member(record.replace(b"sha1:", b"sha1:WRONG")) + warc.member(warc.encode("revisit", "b", "u", None, b"payload", "a")))
+    reader = warc.Reader({"path": str(tmp_path)})
+    assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload_bytes",), 3)])) == [warc.EqualTo(("payload_bytes",), 3)]
+    assert [b.column("record_id").to_pylist() for p in reader.partitions() for b in reader.read(p)] == [["b"]]  # the other's digest is never looked at
+    with pytest.raises(ValueError):
+        reader = warc.Reader({"path": str(tmp_path)})
+        [list(reader.read(p)) for p in reader.partitions()]
+
+
+def test_warc_forms_and_splits():
+    rng = random.Random(3)
+    records = [warc.encode("response" if i % 3 else "revisit", f"id{i}", f"u{i}", None, rng.randbytes(rng.choice([0, 5, 3000, 100_000])), "id1") for i in range(30)]
+    blocks = [r.partition(b"\r\n\r\n")[2][:-4] for r in records]
+
+    def walk(data, packed, step):
+        out = []
+        for a in range(0, len(data), step):
+            source, n = warc.Source(io.BytesIO(data), a, min(a + step, len(data)), packed), 0
+            while (head := source.head()) is not None:
+                n += 1
+                out.append((head["warc-record-id"], source.body() if n % 2 else None))
+        return out
+
+    plain = b"".join(records)
+    for data, packed, step in ((b"".join(map(warc.member, records)), True, 1 << 40), (b"".join(map(gzip.compress, records)), True, 1 << 40), (plain, False, 1 << 40), (plain, False, 1000), (plain, False, 77_777)):
+        got = walk(data, packed, step)
+        assert [k for k, _ in got] == [f"<id{i}>" for i in range(30)] and all(b is None or b == blocks[int(k[3:-1])] for k, b in got)
+    assert gzip.decompress(warc.member(records[2])) == records[2]
+
+
+# 4 quality classifier
+
+
+def test_weak_labels_agree_with_labels(spark, docs):
+    got = quality_classifier.quality(docs).join(read(spark, "labels"), "doc_id").select("quality", "kept", "score").toPandas()
+    assert ((got["quality"] == 1) == got["kept"]).mean() > 0.95
+
+
+def test_expectation_maximisation_finds_accuracies():
+    rng = np.random.default_rng(1)
+    truth = rng.random(20_000) < 0.7
+    rates = (0.95, 0.9, 0.85, 0.8, 0.9, 0.75, 0.7, 0.85)
+    votes = np.stack([np.where(rng.random(len(truth)) < r, truth, ~truth) for r in rates], 1)
+    patterns, n = np.unique(np.where(votes, quality_classifier.GOOD, quality_classifier.BAD) @ 3 ** np.arange(8), return_counts=True)
+    _, share, table = quality_classifier.expectation_maximisation(patterns, n.astype(float))
+    assert abs(share - 0.7) < 0.02 and all(abs(table[j, 1, quality_classifier.GOOD] - r) < 0.03 for j, r in enumerate(rates))
+
+
+def test_quality_odd_rows(odd, none):
+    got = quality_classifier.quality(odd).collect()
+    assert len(got) == len(ODD) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert quality_classifier.quality(none).count() == 0
+
+
+# 5 minhash
+
+
+def _similarities(texts, idf):
+    vectors = []
+    for t in texts:
+        found, level, _ = minhash.weighted(pa.array([t]), idf)
+        vectors.append(dict(zip(found.tolist(), minhash._WEIGHTS[level].tolist())))
+    inverted, pairs = collections.defaultdict(list), {}
+    for i, v in enumerate(vectors):
+        for s in v:
+            inverted[s].append(i)
+    for a, b in {p for v in inverted.values() for p in itertools.combinations(v, 2)}:
+        both = sum(min(w, vectors[b][s]) for s, w in vectors[a].items() if s in vectors[b])
+        pairs[a, b] = both / (sum(vectors[a].values()) + sum(vectors[b].values()) - both)
+    return pairs
+
+
+def test_classes_against_brute_force(spark, docs):
+    extra = docs.limit(30).toPandas()
+    rng = random.Random(2)
+    copies = []
+    for k, t in zip(extra["doc_id"], extra["text"]):
+        w = t.split(" ")
+        for c in range(3):
+            v = list(w)
+            for _ in range(max(1, len(w) * c // 200)):
+                v[rng.randrange(len(v))] = f"new{rng.random()}"
+            copies.append((100_000 + 10 * k + c, "  ".join(v)))
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    rows = table.toPandas()
+    got = minhash.near_duplicates(table).toPandas().set_index("doc_id")
+    idf = minhash.idf_table(*minhash.document_frequencies(table.select("text")))
+    parent = {k: k for k in rows["doc_id"]}
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    keys = rows["doc_id"].tolist()
+    for (a, b), s in _similarities(rows["text"].tolist(), idf).items():
+        if s >= minhash.SIMILARITY:
+            x, y = sorted((top(keys[a]), top(keys[b])))
+            parent[y] = x
+    assert {k: top(k) for k in keys} == got["class_id"].to_dict()
+    assert len(got) == len(rows) and got["class_id"].nunique() < len(keys) - 60
+
+
+def test_samples_follow_weights():
+    """Two texts' samples agree as often as their weighted Jaccard similarity says."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    agree, sample = [], minhash.Sampler()
+    for _ in range(60):
+        ids = rng.integers(0, 2**63, 400, dtype=np.uint64)
+        a, b = np.sort(ids[:300]), np.sort(ids[100:])
+        both = sample(np.concatenate([a, b]), np.full(600, 8, np.uint8), np.array([0, 300, 600]))
+        agree.append((both[0] == both[1]).mean())
+    assert abs(np.mean(agree) - 0.5) < 0.03
+
+
+def test_between_classes_loses_no_link(spark, monkeypatch):
+    """Members that no hub joins are found in pairs of blocks, also where buckets have many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rng = random.Random(9)
+    w = [f"a{i}" for i in range(120)]
+    rows = [(0, " ".join(w))]
+    for k in range(1, 40):
+        v = list(w)
+        for i in rng.sample(range(120), 5):
+            v[i] = f"b{k}x{i}"
+        rows.append((k, " ".join(v)))
+    rows += [(100 + k, rows[k][1] + " tail") for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(table).toPandas().set_index("doc_id")["class_id"]
+    assert all(got[k] == got[100 + k] for k in range(40))
+
+
+def test_components(spark):
+    links = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "c"), ("x", "y"), ("z", "z")], "a string, b string")
+    assert {r["node"]: r["label"] for r in graph.components(links).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(60)], "a string, b string")
+    assert {r["label"] for r in graph.components(chain).collect()} == {"000"}
+    assert graph.components(links.limit(0)).count() == 0
+
+
+def test_near_duplicates_odd_rows(odd, none):
+    got = minhash.near_duplicates(odd).select("doc_id", "class_id").collect()
+    assert len(got) == len(ODD)
+    kept = minhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    rows = kept.collect()
+    assert sorted((r["doc_id"] or -1) for r in rows if r["text"]) == [1, 4, 5, 5, 6] and len(rows) == 6  # one row stands for all without words
+    assert minhash.near_duplicates(none).count() == 0 and minhash.keep_one(none).count() == 0
+
+
+# 6 language
+
+
+def test_languages_of_pages(spark, docs):
+    pages = read(spark, "pages")
+    got = language_id.languages(pages, docs).join(pages.select("page_id", F.regexp_extract("url", r"//[^/]+/(\w\w)/", 1).alias("said")), "page_id").toPandas()
+    assert (got["lang"] == got["said"]).mean() > 0.97 and (got["text_lang"] == got["said"]).mean() > 0.95 and got["confidence"].between(0, 1).all()
+
+
+def test_languages_fuse_evidence(spark, docs):
+    """Without text, what the page declares and its host decide."""
+    rows = [(i, f"https://de.example.org/{i}", f"<html lang='de'><p>{t}</p></html>") for i, t in enumerate(r["text"] for r in docs.filter("lang = 'de'").limit(20).collect())]
+    rows += [(100, "https://de.example.org/x", "<html lang=de></html>"), (101, "https://de.example.org/y", None), (102, None, None), (None, "", ""), (None, "", "")]
+    got = {r["page_id"]: r for r in language_id.languages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("declared", F.lit(1)), docs).collect()}
+    assert got[100]["lang"] == got[101]["lang"] == got[102]["lang"] == "de" and got[101]["text_lang"] is None and got[100]["declared"] == "de"
+    assert language_id.languages(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0), docs).count() == 0
+    assert language_id.languages(spark.createDataFrame(rows, "page_id long, url string, html string"), docs.limit(0)).filter("lang is null").count() == len(rows)
+
+
+def test_visible_text():
+    page = "<html lang='fr'><head><title>T</title></head><body><nav>N</nav><script>var t='</p>';</script><p>Bon&nbsp;jour<br>x</p><!-- c --><footer>F</footer></body></html>"
+    assert language_id.visible(page).split() == ["Bon", "jour", "x"] and language_id.declared(page) == "fr"
+
+
+# 7 personal data
+
+PRIVATE = re.compile(r"[\w.]+@[\w.]+\.\w+|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\w)\d{16}(?!\w)|(?<=token = \")[0-9a-f]{40}")
+
+
+def _luhn(s):
+    d = [int(c) for c in s][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def test_surrogates(spark):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    new = {r["doc_id"]: r["text"] for r in pii.replace_private(base).select("doc_id", "text").collect()}
+    before, after, stands = set(), set(), {}
+    for r in base.select("doc_id", "text").collect():
+        old, now = PRIVATE.findall(r["text"]), PRIVATE.findall(new[r["doc_id"]])
+        assert len(old) == len(now) and PRIVATE.sub("#", r["text"]) == PRIVATE.sub("#", new[r["doc_id"]])
+        for a, b in zip(old, now):
+            assert stands.setdefault(a, b) == b  # one surrogate for each, everywhere
+            assert re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", b) or "@" in a or len(a) == 40 or "." in a
+            assert len(a) != 16 or not a.isdigit() or _luhn(a) == _luhn(b)
+        before |= set(old)
+        after |= set(now)
+    assert len(before) > 50 and not before & after and len(set(stands.values())) == len(stands)
+
+
+def test_surrogates_keep_format_gender_and_script(spark):
+    rows = ["Mail Bob.Smith@Mail5.Example.com or bob.smith@mail5.example.com, +1 (743) 555-3824 or 743-555-3824.", "ip 10.0.0.1, v1.2.3.4.5 card 4785380592391140 4785-3805-9239-1140", "Frau Anna Schmidt met Mr. Jones and Госпожа Иванова. Mrs Jones", 'password=135299847ac0e0f0dc token: "Abc_9xyz12"', "clean text 123 4.5 1999-12-31"]
+    got = [r["text"] for r in pii.replace_private(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    a, b = re.findall(r"\S+@\S+\.\w+", got[0])
+    assert a == b and re.sub(r"\D", "", re.search(r"\+1 (\(\d{3}\) \d{3}-\d{4})", got[0])[1]) == re.sub(r"\D", "", re.search(r"or (\d{3}-\d{3}-\d{4})", got[0])[1])
+    cards = re.findall(r"\d{16}|\d{4}-\d{4}-\d{4}-\d{4}", got[1])
+    assert cards[0] == cards[1].replace("-", "") and _luhn(cards[0]) == _luhn("4785380592391140") and "v1.2.3.4.5" in got[1] and "10.0.0.1" not in got[1]
+    names = re.fullmatch(r"Frau (\w+) \w+ met Mr\. (\w+) and Госпожа ([а-яА-Я]+)\. Mrs (\w+)", got[2])
+    assert names and names[1] in pii.GIVEN["f", "latin"] and names[2] != names[4]
+    assert got[3].startswith("password=") and "135299847" not in got[3] and got[3].endswith('"') and got[4] == rows[4]
+    assert pii.replace_private(spark.createDataFrame([(0, rows[0])], "doc_id long, text string"), key="other").first()["text"] != got[0]
+
+
+def test_surrogates_draw_again_on_collision(spark, monkeypatch):
+    """With very few surrogates to draw from, entities still get different ones."""
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda e, k, attempt: F.when(attempt < 3, F.concat(F.lit("ip:"), F.pmod(F.xxhash64(e, attempt), F.lit(12)).cast("string"))).otherwise(real(e, k, attempt)))
+    got = pii.assign(spark.createDataFrame([(f"ip:1.2.3.{i}",) for i in range(30)], "entity string"), "k").collect()
+    assert len(got) == 30 and len({r["surrogate"] for r in got}) == 30
+
+
+def test_surrogates_odd_rows(odd, none):
+    got = pii.replace_private(odd)
+    assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
+    assert pii.replace_private(none).count() == 0
+
+
+# 8 packing
+
+
+def test_packing_is_exact_and_gapless(spark, docs, odd):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()} | {10_000 + i: t for i, t in enumerate(["Don't I'll <|endoftext|> a<|startoftext|>b", "é ½ ２ naïvéx日本語 'S", LONG, None, ""])}
+    got = packing.pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).toPandas()
+    for k, t in texts.items():
+        ids = np.asarray([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        own = got[got["doc_id"] == k].sort_values("piece")
+        assert own["start"].tolist() == list(range(0, len(ids), 4096)) and own["length"].sum() == len(ids) and own["piece"].tolist() == list(range(len(own)))
+        assert [zlib.crc32(ids[s : s + n].tobytes()) for s, n in zip(own["start"], own["length"])] == own["ids_crc32"].tolist()
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 4096
+    assert got["sequence_id"].nunique() <= 1.02 * got["length"].sum() / 4096 + 1
+
+
+def test_packing_plans_near_the_bound():
+    rng = np.random.default_rng(7)
+    for lengths in (rng.integers(1, 4097, 5000), rng.integers(1300, 2100, 3000), np.full(999, 1365), np.concatenate([np.full(100, 3000), rng.integers(1, 200, 4000)])):
+        histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True))))
+        rows, n = packing.plan(histogram)
+        filled, placed = collections.defaultdict(list), collections.Counter()
+        for length, first, count, sequence, offset in rows.tolist():
+            placed[length] += count
+            for i in range(count):
+                filled[sequence + i].append((offset, length))
+        assert placed == histogram and len(filled) == n
+        for pieces in filled.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= 4096
+        rooms: list[int] = []  # first fit, longest first
+        for x in sorted(lengths.tolist(), reverse=True):
+            i = next((i for i, room in enumerate(rooms) if room >= x), None)
+            if i is None:
+                rooms.append(4096 - x)
+            else:
+                rooms[i] -= x
+        assert n <= 1.005 * len(rooms) + 1
+
+
+def test_packing_odd_rows(odd, none):
+    got = packing.pack_documents(odd).toPandas()
+    assert got[got["piece"] == 0].shape[0] == len(ODD) and packing.pack_documents(none).count() == 0
+
+
+# 9 quality rules
+
+
+def _measures(text):
+    text = text or ""
+    w, lines = WORDS.findall(text), [x for x in text.split("\n") if WORDS.search(x)]
+    windows = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    inside = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    seen, repeated = set(), 0
+    for x in lines:
+        repeated += x in seen
+        seen.add(x)
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), repeated, len(inside)
+
+
+def test_quality_rules_against_brute_force(spark, docs, odd, none):
+    more = spark.createDataFrame([(50_000 + i, t) for i, t in enumerate(["a b c d e a b c d e", "x x x x x x x", "a\n\na\n a\na", "é é # # <>", "😀 😀"])], "doc_id long, text string")
+    for table in (docs.select("doc_id", "text").unionByName(more), odd):
+        for r, t in zip(quality_rules.quality_rules(table, keep=("doc_id", "text")).collect(), (x["text"] for x in table.collect())):
+            assert r["text"] == t
+            n, chars, symbols, lines, repeats = _measures(t)
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeats)
+            assert r["base_failed"] == (n < 10 or 100 * repeats > 20 * n) and not (r["base_failed"] and r["kept"])
+    assert quality_rules.quality_rules(none).count() == 0
+    kept = quality_rules.filter_documents(odd)
+    assert kept.columns == odd.columns and quality_rules.filter_documents(none).count() == 0
+
+
+def test_quality_rules_keep_good_documents(spark, docs):
+    got = quality_rules.quality_rules(docs).join(read(spark, "labels"), "doc_id").filter("quality = 1 and n_words >= 10").agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert got > 0.97
+
+
+# 10 fingerprints
+
+
+def test_fingerprints_against_brute_force(spark, docs):
+    rows = docs.toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
+    got = fingerprints.edited_pairs(docs).toPandas().set_index("doc_id")
+    for i, (k, t) in enumerate(zip(rows["doc_id"], rows["text"])):
+        after = rows["text"][(i + 1) % len(rows)]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        own, other, theirs = (fingerprints.fingerprint(x) for x in (t, edited, after))
+        r = got.loc[k]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r["near_edited"] == (own == other).mean() and r["near_next"] == (own == theirs).mean()
+    assert (got["near_edited"] > got["near_next"]).mean() > 0.95
+    same = docs.join(docs.groupBy("text").count().filter("count > 1"), "text").select("doc_id", "text").toPandas()
+    assert all(got["fingerprint"].loc[g["doc_id"]].nunique() == 1 for _, g in same.groupby("text"))
+
+
+def _omh(text, k=fingerprints.KMER, slots=fingerprints.SLOTS):
+    """Order MinHash in plain words: number k-mers by occurrence, take the two next to each place on the ring, in text order."""
+    found = fingerprints.elements(np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)).tolist()
+    seen, numbered = collections.Counter(), []
+    for i in range(len(text) - k + 1):
+        numbered.append((text[i : i + k], seen[text[i : i + k]]))
+        seen[text[i : i + k]] += 1
+    assert len(set(zip(numbered, found))) == len(set(numbered)) == len(set(found))  # elements are numbered k-mers
+    bits = len(found).bit_length()
+    ring = sorted(((h >> bits << bits) | i) for i, h in enumerate(found))
+    out = []
+    for slot in range(slots):
+        start = sum(x < slot << 58 for x in ring)
+        chosen = sorted(ring[(start + j) % len(ring)] & ((1 << bits) - 1) for j in range(2))
+        out.append(tuple(found[i] for i in chosen))
+    return out
+
+
+def test_fingerprints_choose_minimal_kmers_in_text_order(docs):
+    texts = [r["text"][:400] for r in docs.limit(12).collect()] + ["abcabcabcabcabcabcabc"]
+    tuples = [_omh(t) for t in texts]
+    prints = [fingerprints.fingerprint(t).tolist() for t in texts]
+    for (a, x), (b, y) in itertools.combinations(zip(tuples, prints), 2):
+        assert all((p == q) <= (m == n) for p, q, m, n in zip(a, b, x, y))
+    pairs = {(t, p) for a, x in zip(tuples, prints) for t, p in zip(a, x)}
+    assert len(pairs) == len({t for t, _ in pairs})
+
+
+def test_fingerprints_follow_order():
+    """A text with its halves exchanged has the same words, but not the same order."""
+    rng = random.Random(1)
+    w = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    a, swapped, edited = " ".join(w), " ".join(w[150:] + w[:150]), " ".join([*w[:140], "zzz", *w[141:]])
+    own = fingerprints.fingerprint(a)
+    assert fingerprints.likeness(own, fingerprints.fingerprint(edited)) > 0.85 > 0.7 > fingerprints.likeness(own, fingerprints.fingerprint(swapped)) > 0.2
+
+
+def test_fingerprints_odd_rows(spark, odd, none):
+    got = fingerprints.edited_pairs(odd).collect()
+    assert len(got) == len(ODD) and all(r["n_chars"] == 0 and set(r["fingerprint"]) == {"0"} for r in got if r["doc_id"] == 2)
+    one = fingerprints.edited_pairs(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
+    assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0
+    assert fingerprints.edited_pairs(none).count() == 0 and fingerprints.fingerprints(odd).count() == len(ODD)
+
+
+# the pipeline and the queries
+
+
+def test_pipeline_against_its_parts(spark):
+    import corpus_pipeline
+
+    docs = read(spark, "documents")
+    at, kept = docs, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = corpus_pipeline.materialise(stage(spark, at, SF), name)
+        assert at.columns == docs.columns
+        kept.append(at.count())
+    rules = {r["doc_id"] for r in quality_rules.quality_rules(docs).filter("kept").collect()}
+    assert kept[0] == len(rules)
+    good = docs.filter(F.col("doc_id").isin(*rules))
+    assert kept[1] == kept[2] == minhash.near_duplicates(good).select("class_tid").distinct().count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, at, SF).toPandas()
+    assert (pieces["piece"] == 0).sum() == kept[3] and pieces.groupby("sequence_id")["length"].sum().max() <= 4096
+    again = corpus_pipeline.run(spark, SF).toPandas()
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, again[columns].to_numpy().tolist())) == sorted(map(tuple, pieces[columns].to_numpy().tolist()))
+
+
+def test_pipeline_stages_take_empty_tables(spark, docs):
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_queries_have_a_name_for_each_operator():
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert set(queries.oracle_sql()) <= set(queries.queries())
