@@ -28,7 +28,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 #: grow. The integral of each is 1.
 CURVES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
 REPEATS = 3
-ROWS_A_TASK = 20_000
+ROWS_A_TASK = 2_000
 
 
 def schedules(sources: DataFrame) -> DataFrame:
