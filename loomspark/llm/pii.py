@@ -1,7 +1,7 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-1. One pattern finds emails, IPv4 addresses, phone numbers, payment cards, social security numbers, secrets and
-   names with a title. A mention's kind and normal form make an entity: letter case, blanks and separators don't
+1. One pattern finds emails, IPv4 addresses, phone numbers, payment cards, social security numbers, secrets, access keys
+   and names with a title. A mention's kind and normal form make an entity: letter case, blanks and separators don't
    matter, so mentions of one entity in any document and format are one.
 2. Each distinct entity of the corpus draws a surrogate from a stream keyed by a secret: letters by letters of the
    same script and case, digits by digits, a card with a valid check digit by another valid one, a name by a name of
@@ -30,11 +30,12 @@ PATTERNS = {
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
     "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)",
     "secret": r"(?<![\p{L}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|pwd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}",
+    "access_key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9_-])",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 PATTERN = "|".join(PATTERNS.values())
-#: What every form has one of, so that most texts needn't be searched by the pattern: a sign, or a part of a title.
-SIGNS, TITLES = "[0-9@=:]", ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Госп")
+#: What every form has one of, so that most texts needn't be searched by the pattern: a sign, or a part of a title or key.
+SIGNS, TITLES = "[0-9@=:]", ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Госп", "AKIA", "ASIA", "gh", "sk-", "xox")
 
 #: Titles of women; all others of the pattern are of men.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
@@ -60,14 +61,15 @@ def mentions(text: Column) -> Column:
     return F.when(likely, F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)))
 
 
-#: What stands before the value of a secret.
+#: What stands before the value of a secret, and the part of an access key that tells its kind.
+_PREFIX = r"^(AKIA|ASIA|gh[pos]_|sk-|xox[abp]-)"
 _LABEL = r"^[\p{L}_-]+\s{0,3}[=:]\s{0,3}[\"']?"
 
 
 def kind_of(mention: Column) -> Column:
     """The kind of a mention, from its own form."""
     digits = F.length(F.regexp_replace(mention, r"\D", ""))
-    kind = F.when(mention.rlike(_LABEL), "secret").when(mention.contains("@"), "email")
+    kind = F.when(mention.rlike(_PREFIX + r"[A-Za-z0-9-]{10,}$"), "access_key").when(mention.rlike(_LABEL), "secret").when(mention.contains("@"), "email")
     kind = kind.when(mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
     kind = kind.when(mention.rlike(r"^[\d -]+$") & digits.between(13, 19), "card").when(mention.rlike(r"^[+(\d][\d ().-]*$") & digits.between(5, 15), "phone")
     return kind.otherwise("name")
@@ -158,6 +160,8 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
             return F.concat_ws(" ", F.substr(form, F.lit(1), F.lit(1)), F.when(both, given), surname)
 
         out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", let(body, card))
+        prefix = F.regexp_extract(form, _PREFIX, 1)
+        out = out.when(kind == "access_key", F.concat(prefix, disguise(F.substr(form, F.length(prefix) + 1), bits)))
         out = out.when(kind == "phone", F.concat(F.greatest(draw(bits, F.lit(0)) % 8 + 2, F.lit(2)).cast("string"), disguise(F.substr(form, F.lit(2)), bits, 1)))
         out = out.when(kind == "ssn", disguise(form, bits)).when(kind == "name", F.when(cyrillic, name("cyrillic")).otherwise(name("latin")))
         return F.concat_ws(":", kind, out.when(form.rlike("^[0-9a-f]+$"), hexed).otherwise(disguise(form, bits)))
