@@ -306,7 +306,7 @@ class Generator:
                 at = below(len(pool.records), rid, *parts)
             record = F.element_at(pool.as_array(), (at + 1).cast("int"))
             for c, key in columns:
-                text = record.getField(key)
+                text = F.coalesce(record.getField(key), V.text(rid, c.hint, None, *parts, "else"))  # a record may lack a field
                 out[c.name] = self._nulls(table, c, F.substring(text, 1, c.max_length) if c.max_length else text)
             price = next((c for c in table.columns if c.hint == "money" and c.dtype in ("NUMERIC", "FLOAT") and not c.unique and c.name not in taken and c.enum is None), None)
             if price is not None and {"price_min", "price_max"} <= pool.fields:

@@ -80,3 +80,17 @@ def capped_plan(counts: dict[str, int], cap: int = 1000) -> dict[str, int]:
         largest = max(out, key=lambda t: out[t])
         out[largest] -= 1
     return out
+
+
+#: Caps of a public service.
+MAX_DDL, MAX_TABLES, MAX_COLUMNS, MAX_ROWS = 50_000, 15, 120, 1000
+
+
+def check_caps(schema: Schema, ddl: str = "", rows: int = 1) -> None:
+    """Raises ConfigError for a schema or a request that is larger than a public service takes."""
+    columns = sum(len(t.columns) for t in schema.tables.values())
+    for what, n, most in (("bytes of DDL", len(ddl.encode()), MAX_DDL), ("tables", len(schema.tables), MAX_TABLES), ("columns", columns, MAX_COLUMNS), ("rows", rows, MAX_ROWS)):
+        if n > most:
+            raise ConfigError(f"{n} {what}; the most is {most}")
+    if not schema.tables:
+        raise ConfigError("there is no table")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,3 +106,21 @@ def json_rows(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
 
 def append_events(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def zipped_csv(tables: dict[str, DataFrame], order: dict[str, list[str]], rows: int = 1000) -> bytes:
+    """A ZIP of CSV files with the first rows of each table, for previews: rows is a bound, so it fits the driver."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, columns in order.items():
+            first = tables[name].orderBy(*columns).limit(rows)
+            lines = [r["line"] for r in first.select(*columns, csv_line(first).alias("line")).orderBy(*columns).collect()]
+            z.writestr(f"{name}.csv", "".join(f"{x}\r\n" for x in [",".join(first.columns), *lines]))
+    return out.getvalue()
+
+
+def payload(tables: dict[str, DataFrame], order: dict[str, list[str]], findings: DataFrame, seed: int, rows: int = 10) -> str:
+    """JSON with the order of tables, their row counts, their first rows and what validation found."""
+    found = findings.agg(F.count("*").alias("checked"), F.sum("violations").alias("violations")).first()
+    first = {t: [json.loads(r["row"]) for r in json_rows(tables[t], c, rows).orderBy("place").collect()] for t, c in order.items()}
+    return json.dumps({"seed": seed, "order": list(order), "counts": {t: tables[t].count() for t in order}, "rows": first, "validation": {"checked": found["checked"], "violations": found["violations"]}})

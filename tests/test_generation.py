@@ -1,12 +1,17 @@
 """Generated data: every constraint re-derived, determinism, errors, corrupted data, command line, sinks, streams."""
 
 import datetime as dt
+import io
+import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark import cli
 from loomspark.operators import keys as K
+from loomspark.operators import stats
+from loomspark.operators.budget import BudgetExceeded, within
 from loomspark.operators.coherence import RANKS, TERMINAL
 from loomspark.operators.generate import generate
 from loomspark.operators.validate import validate
@@ -169,3 +174,27 @@ def test_limiter_keeps_state_between_batches(spark):
     stream = spark.readStream.schema("key long, event_id long, at double").option("maxFilesPerTrigger", 1).parquet(path)
     got = {r["event_id"]: (r["allowed"], r["retry_after"]) for r in events.run_available(events.limited(stream, 2, 60.0), "limited").collect()}
     assert got == {1: (True, 0), 2: (True, 0), 3: (True, 0), 4: (False, 55), 5: (True, 0), 6: (True, 0)}
+
+
+def test_previews(spark, made):
+    data = files.zipped_csv({"orgs": made["orgs"].select("name")}, {"orgs": ["name"]}, 2)
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        lines = z.read("orgs.csv").decode().split("\r\n")
+    assert lines[0] == "name" and len(lines) == 4
+    found = json.loads(files.payload({"orgs": made["orgs"].select("name")}, {"orgs": ["name"]}, validate(made, parse_ddl(SCHEMA)), 42, 2))
+    assert found["counts"] == {"orgs": 4} and len(found["rows"]["orgs"]) == 2 and found["validation"]["violations"] == 0
+
+
+def test_budget(spark):
+    assert within(spark, 60, lambda: spark.range(10).count()) == 10
+    with pytest.raises(BudgetExceeded):
+        within(spark, 0.5, lambda: spark.range(10**13).selectExpr("sum(hash(id))").collect())
+
+
+def test_event_log(spark):
+    path = new_path(spark, "log")
+    lines = ['{"event": "pageview", "path": "", "session": "a", "ts": "2026-01-01T00:00:00Z"}', "not json", '{"event": "click", "target": "generate", "session": "b"}', '{"event": "other"}', '{"event": "pageview", "path": "/", "session": "b"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    report = stats.event_report(stats.read_events(spark, path))
+    assert report["pageviews"].first()[0] == 2 and report["unique_sessions"].first()[0] == 2
+    assert [tuple(r) for r in report["clicks"].collect()] == [("generate", 1)] and [tuple(r) for r in report["paths"].collect()] == [("/", 2)]

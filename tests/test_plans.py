@@ -8,7 +8,7 @@ import pytest
 from loomspark.plans import config as cfg
 from loomspark.plans.graph import plan_generation
 from loomspark.plans.model import SchemaError, bounds, hint_of
-from loomspark.plans.rows import ConfigError, Fanout, capped_plan, check_fanout, integer_plan, parse_rows
+from loomspark.plans.rows import ConfigError, Fanout, capped_plan, check_caps, check_fanout, integer_plan, parse_rows
 from loomspark.queries.synthesis import SMALL
 from loomspark.sources.database import assemble, jdbc_options, normalise_url, plain_check, redact
 from loomspark.sources.ddl import parse_ddl
@@ -97,3 +97,10 @@ def test_catalogue_gives_the_same_model():
 def test_urls():
     assert normalise_url("postgres://a") == "postgresql://a" and redact("x postgresql://u:secret@h/d y") == "x postgresql://u:***@h/d y"
     assert jdbc_options("postgresql+psycopg://u:p%40@h:99/d?sslmode=require") == {"url": "jdbc:postgresql://h:99/d?sslmode=require", "driver": "org.postgresql.Driver", "user": "u", "password": "p@"}
+
+
+def test_caps():
+    check_caps(parse_ddl(SMALL), SMALL, 1000)
+    for args in ((parse_ddl(SMALL), "x" * 60_000), (parse_ddl(SMALL), "", 1001), (parse_ddl("".join(f"CREATE TABLE t{i} (id INT);" for i in range(16))),), (parse_ddl(""),)):
+        with pytest.raises(ConfigError):
+            check_caps(*args)
