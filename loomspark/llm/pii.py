@@ -35,7 +35,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(PATTERNS.values())
 #: What every form has one of, so that most texts needn't be searched by the pattern: a sign, or a part of a title or key.
-SIGNS, TITLES = "[0-9@=:]", ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Госп", "AKIA", "ASIA", "gh", "sk-", "xox")
+SIGNS, TITLES = "[0-9@=:]", ("Mr", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Госп", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "sk-", "xox")
 
 #: Titles of women; all others of the pattern are of men.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
