@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments of token log-odds, calibrated by extreme-value statistics.
 
-1. Tokens are counted by documents of either label, in a bounded sample of TRAIN_ROWS labelled rows; copies of a toxic
-   passage count once, as a token's documents are no more than the different words before it (a bitmap). A token's score is
+1. Tokens are counted by documents of either label, in a bounded sample of TRAIN_ROWS labelled rows; equal and nearly
+   equal documents of one label count once, whatever the label, and all others in full. A token's score is
    its log-odds under an informative Dirichlet prior (a tenth of the sample, spread as the tokens are in both labels
    together) less DEVIATIONS standard deviations, if they are over LEAST. Words' first STEM bytes are tokens too, so that inflected forms count together; a
    word has the better score of the two, and words without such a score cost GAP.
@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python
-from .words import mix, word_hashes
+from .common import for_python, materialise
+from .minhash import text_classes, text_id
+from .words import word_hashes
 
 TRAIN_ROWS = 200_000
 PRIOR = 0.1
@@ -119,22 +120,28 @@ def training_sample(df: DataFrame, labels: DataFrame, key: str, text: str, label
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "key").select("text", "toxic", "counted")
 
 
-def count_tokens(sample: DataFrame) -> DataFrame:
-    """(token, toxic, clean, contexts): documents of each label that hold a token, and a bitmap of the words that stand before
-    it in toxic ones."""
+def without_copies(sample: DataFrame) -> DataFrame:
+    """(text, toxic): of the counted rows, one of each near-duplicate class and label."""
+    rows = sample.filter("counted").select(text_id(F.col("text")).alias("tid"), "toxic", "text")
+    texts = materialise(rows.groupBy("tid", "toxic").agg(F.min("text").alias("text")), "texts")
+    classes = text_classes(texts.select("tid", "text"))
+    named = texts.select("tid", "toxic").join(classes, "tid", "left")
+    kept = named.groupBy(F.coalesce("label", "tid").alias("_class"), "toxic").agg(F.min("tid").alias("tid")).select("tid", "toxic")
+    return texts.join(kept, ["tid", "toxic"], "left_semi").select("text", "toxic")
+
+
+def count_tokens(rows: DataFrame) -> DataFrame:
+    """(token, toxic, clean): documents of each label that hold a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, at = word_hashes(batch.column("text"), plain=True)
             stems, _ = word_hashes(batch.column("text"), plain=True, stem=STEM)
-            toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
+            toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            before = np.concatenate([words[:1], words[:-1]])
-            before[at[:-1][np.diff(at) > 0]] = 0
-            context = np.where(toxic[row], np.uint64(1) << (mix(before) >> np.uint64(58)), np.uint64(0)) if len(words) else words
-            words, row, context = np.concatenate([words, stems]), np.tile(row, 2), np.tile(context, 2)
+            words, row = np.concatenate([words, stems]), np.tile(row, 2)
             order = np.lexsort((row, words))
-            words, row, context = words[order], row[order], context[order]
+            words, row = words[order], row[order]
             first = np.ones(len(words), bool)
             first[1:] = words[1:] != words[:-1]
             new = first.copy()
@@ -142,18 +149,14 @@ def count_tokens(sample: DataFrame) -> DataFrame:
             starts = np.flatnonzero(first)
             n = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else starts
             bad = np.add.reduceat((new & toxic[row]).astype(np.int64), starts) if len(starts) else starts
-            bits = np.bitwise_or.reduceat(context, starts) if len(starts) else words
-            yield pa.RecordBatch.from_arrays([pa.array(words[starts].view(np.int64)), pa.array(bad), pa.array(n - bad), pa.array(bits.view(np.int64))], ["token", "toxic", "clean", "contexts"])
+            yield pa.RecordBatch.from_arrays([pa.array(words[starts].view(np.int64)), pa.array(bad), pa.array(n - bad)], ["token", "toxic", "clean"])
 
-    counted = sample.filter("counted").select("text", "toxic").mapInArrow(run, "token long, toxic long, clean long, contexts long")
-    return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("contexts").alias("contexts"))
+    counted = rows.select("text", "toxic").mapInArrow(run, "token long, toxic long, clean long")
+    return counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def log_odds(counts: DataFrame) -> DataFrame:
     """(token, score, clean_share) of the tokens with log-odds over LEAST and a positive score."""
-    # a token that stands in copies of one passage only has few words before it, however many the copies are
-    seen = -64 * F.log(F.greatest(F.lit(1), 64 - F.bit_count("contexts")) / F.lit(64.0))
-    counts = counts.withColumn("toxic", F.least(F.col("toxic").cast("double"), F.greatest(seen, F.lit(0.0))))
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = float(totals["t"] or 0), float(totals["c"] or 0)
     prior = (F.col("toxic") + F.col("clean")) * PRIOR
@@ -199,7 +202,7 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     for_python(df.sparkSession)
     sample = training_sample(df, labels, key, text, label, rows)
-    found = log_odds(count_tokens(sample)).collect()  # of a bounded sample
+    found = log_odds(count_tokens(without_copies(sample))).collect()  # of a bounded sample
     tokens, scores, shares = (np.array([r[c] for r in found], k) for c, k in (("token", np.int64), ("score", float), ("clean_share", float)))
     order = np.argsort(tokens.view(np.uint64))
     model = Model(tokens.view(np.uint64)[order], scores[order])

@@ -163,6 +163,27 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxic_tokens_of_200_000_rows(spark):
+    """A word that clean rows use too, and a phrase whose words always follow the same ones, keep their score in many rows."""
+    rows = spark.range(200_000).select(F.when(F.col("id") % 8 == 0, 1).otherwise(0).alias("toxic"), *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(3000)).cast("string")).alias(f"w{i}") for i in range(12)], "id")
+    bad = F.when((F.col("toxic") == 1) & (F.col("id") % 24 == 0), "always after these zorp").when((F.col("toxic") == 1) & (F.col("id") % 24 == 8), F.concat_ws(" ", "w3", F.lit("blarg"))).when((F.col("toxic") == 0) & (F.col("id") % 467 == 1), F.concat_ws(" ", "w4", F.lit("blarg"))).otherwise("w5")
+    counts = toxicity.count_tokens(rows.select(F.concat_ws(" ", *[f"w{i}" for i in range(6)], bad, *[f"w{i}" for i in range(6, 12)]).alias("text"), (F.col("toxic") == 1).alias("toxic"), F.lit(True).alias("counted")))
+    found = {r["token"]: r["score"] for r in toxicity.log_odds(counts).collect()}
+    zorp, blarg = words.word_hashes(pa.array(["zorp blarg"]), plain=True)[0].view(np.int64).tolist()
+    assert found[zorp] > 3 and found[blarg] > 3
+
+
+def test_toxic_copies_count_once(spark):
+    rng = random.Random(3)
+    base = [f"c{i}" for i in range(120)]
+    copies = [" ".join(base[:i] + ["edit"] + base[i + 1 :]) for i in range(40)] + [" ".join(base)] * 10
+    other = [" ".join([*rng.choices([f"o{i}" for i in range(5000)], k=60), "a fixed phrase"]) for _ in range(30)]
+    sample = spark.createDataFrame([(t, True, True) for t in copies + other] + [(copies[0], False, True), (other[0], True, False)], "text string, toxic boolean, counted boolean")
+    n = {r["token"]: (r["toxic"], r["clean"]) for r in toxicity.count_tokens(toxicity.without_copies(sample)).collect()}
+    fixed, copied = words.word_hashes(pa.array(["phrase c77"]), plain=True)[0].view(np.int64).tolist()
+    assert n[fixed] == (30, 0) and n[copied] == (1, 1)
+
+
 # 3 warc
 
 
