@@ -29,8 +29,8 @@ PATTERNS = {
     "card": r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w]|[.-]\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
     "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)",
-    "secret": r"(?<![\p{L}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|pwd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}",
-    "access_key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9_-])",
+    "secret": r"(?<![\p{L}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|pwd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+.-]*[A-Za-z0-9])[A-Za-z0-9_/+.-]{8,}",
+    "access_key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-(?=-*[A-Za-z0-9])[A-Za-z0-9-]{10,})(?![A-Za-z0-9_-])",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 PATTERN = "|".join(PATTERNS.values())
@@ -51,6 +51,8 @@ SYLLABLES = {"latin": "ba den do fer ga hol ka len mar nel or pe ro san ter vin"
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâãäåæçèéêëìíîïñòóôõöùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ")
 
 STREAM = 128  # numbers of a surrogate's stream; longer entities use it again
+WIDER = 8  # the draw from which more changes than an entity's form lets: few surrogates of that form are left
+ROUNDS = 64  # of draws, until it's an error that entities have no surrogate
 
 
 def mentions(text: Column) -> Column:
@@ -136,11 +138,17 @@ def _check_digit(digits: Column) -> Column:
 def surrogate(entity: Column, key: str, attempt: Column) -> Column:
     """What stands for an entity, in its normal form."""
     kind, form = F.substring_index(entity, ":", 1), F.substr(entity, F.locate(":", entity) + 1)
+    wider = attempt >= WIDER
+
+    def any_sign(word: Column, bits: Column) -> Column:
+        """In later draws signs change too."""
+        return disguise(F.when(wider, F.regexp_replace(word, r"[^A-Za-z0-9]", "x")).otherwise(word), bits)
 
     def of(bits: Column) -> Column:
         user, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
         ends = F.when(domain.endswith(".org"), "org").when(domain.endswith(".net"), "net").otherwise("com")
-        email = F.concat(disguise(user, bits), F.lit("@"), disguise(F.regexp_extract(domain, r"^([^.]+)", 1), bits, 64), F.lit(".example."), ends)
+        more = F.when(wider, disguise(F.lit("00000000"), bits, 32)).otherwise("")  # a later draw is longer
+        email = F.concat(disguise(user, bits), more, F.lit("@"), disguise(F.regexp_extract(domain, r"^([^.]+)", 1), bits, 64), F.lit(".example."), ends)
         octets = [draw(bits, F.lit(i)).cast("string") for i in range(1, 4)]
         ip = F.concat_ws(".", (draw(bits, F.lit(0)) % 223 + 1).cast("string"), *octets)
 
@@ -161,10 +169,10 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
 
         out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", let(body, card))
         prefix = F.regexp_extract(form, _PREFIX, 1)
-        out = out.when(kind == "access_key", F.concat(prefix, disguise(F.substr(form, F.length(prefix) + 1), bits)))
-        out = out.when(kind == "phone", F.concat(F.greatest(draw(bits, F.lit(0)) % 8 + 2, F.lit(2)).cast("string"), disguise(F.substr(form, F.lit(2)), bits, 1)))
+        out = out.when(kind == "access_key", F.concat(prefix, any_sign(F.substr(form, F.length(prefix) + 1), bits)))
+        out = out.when(kind == "phone", F.concat(F.greatest(draw(bits, F.lit(0)) % 8 + 2, F.lit(2)).cast("string"), disguise(F.substr(form, F.lit(2)), bits, 1), more))
         out = out.when(kind == "ssn", disguise(form, bits)).when(kind == "name", F.when(cyrillic, name("cyrillic")).otherwise(name("latin")))
-        return F.concat_ws(":", kind, out.when(form.rlike("^[0-9a-f]+$"), hexed).otherwise(disguise(form, bits)))
+        return F.concat_ws(":", kind, out.when(form.rlike("^[0-9a-f]+$"), hexed).otherwise(any_sign(form, bits)))
 
     return let(stream(entity, key, attempt), of)
 
@@ -173,12 +181,13 @@ def render(mention: Column, stand_in: Column) -> Column:
     """A surrogate in the format that the mention had."""
     kind, form = F.substring_index(stand_in, ":", 1), F.substr(stand_in, F.locate(":", stand_in) + 1)
     n, total = F.length(form), F.length(F.regexp_replace(mention, r"\D", ""))
+    extra = F.greatest(n - total, F.lit(0))  # a later draw is longer: its last digits follow
 
     def digit(c: Column, i: Column) -> Column:
-        at = n - total + F.length(F.regexp_replace(F.substr(mention, F.lit(1), i + 1), r"\D", ""))  # digits before the surrogate's own stay
+        at = n - extra - total + F.length(F.regexp_replace(F.substr(mention, F.lit(1), i + 1), r"\D", ""))  # digits before the surrogate's own stay
         return F.when(c.rlike(r"\d") & (at > 0), F.substr(form, at, F.lit(1))).otherwise(c)
 
-    digits = F.array_join(F.transform(F.split(mention, ""), digit), "")
+    digits = F.concat(F.array_join(F.transform(F.split(mention, ""), digit), ""), F.substr(form, n - extra + 1))
     name = F.concat(F.regexp_extract(mention, r"^(\p{L}+\.? )", 1), F.substr(form, F.lit(3)))
     label = F.regexp_extract(mention, f"({_LABEL})", 1)
     upper = (mention == F.upper(mention)) & (mention != F.lower(mention))
@@ -189,7 +198,7 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """(entity, surrogate) for the distinct entities, without collisions among surrogates or with entities."""
     entities = materialise(entities, "entities")
     waiting, settled = entities.withColumn("attempt", F.lit(0)), None
-    while True:
+    for _ in range(ROUNDS):
         drawn = waiting.withColumn("surrogate", surrogate(F.col("entity"), key, F.col("attempt")))
         real = entities.select(F.col("entity").alias("surrogate"), F.lit(True).alias("_real"))
         drawn = drawn.join(real, "surrogate", "left")
@@ -204,6 +213,8 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         waiting = drawn.filter("not _won").select("entity", (F.col("attempt") + 1).alias("attempt"))
         if waiting.isEmpty():
             return settled
+    kinds = waiting.groupBy(F.substring_index("entity", ":", 1).alias("kind")).count().collect()  # a row per kind
+    raise ValueError(f"no surrogates of their own after {ROUNDS} draws: {', '.join(f'{r['count']} of kind {r['kind']}' for r in kinds)}")
 
 
 def replace_private(df: DataFrame, text: str = "text", key: str = "corpus") -> DataFrame:
