@@ -22,16 +22,22 @@ from pyspark.sql import functions as F
 
 from .common import let, materialise
 
+#: A word of a name, with hyphens, apostrophes (but not those of 's and such) and inner capitals, or an initial; academic
+#: titles, and particles that stand before a word.
+_WORD = r"(?:(?:Dr|Prof|\p{Lu})\.|\p{Lu}[\p{L}\p{M}]+(?:-\p{L}[\p{L}\p{M}]*|['’](?!(?:s|d|m|t|ll|re|ve)(?![\p{L}]))\p{L}[\p{L}\p{M}]*)*|\p{Lu}['’]\p{L}[\p{L}\p{M}]*(?:[-'’]\p{Lu}[\p{L}\p{M}]*)*)"
+_PARTICLE = r"(?:(?:von|van|zu|de|del|della|di|da|dos|du|bin|ibn|ben|al|el|ter|ten)(?: (?:der|den|dem|la|las|los|le))? )"
 #: Forms of personal data. Each is one alternative of the pattern; none matches an empty string.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}_.%+-])[\p{L}\p{N}_.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "card": r"(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w]|[.-]\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
-    "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|[.-]\d)",
+    "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|(?:1[ .-])?(?:\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})|8[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}-\d{2}-\d{2}|[679]\d{2}(?: \d{2}){3}"
+    # national forms begin with 0; eight digits in twos and four are a date
+    r"|(?=\(?0(?:[ ().\/-]{0,2}\d){7,14}(?!\d))(?!\d{1,2}(?<dot>[.\/-])\d{1,2}\k<dot>\d{2,4}(?!\d|[ .\/-]\d))(?:\(0\d{1,5}\)|0\d{1,5}(?:[ ]?\/)?)[ .-]?\d{1,8}(?:[ .-]\d{1,8}){0,5})(?![\w]|[.-]\d)",
     "secret": r"(?<![\p{L}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|pwd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+.-]*[A-Za-z0-9])[A-Za-z0-9_/+.-]{8,}",
     "access_key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-(?=-*[A-Za-z0-9])[A-Za-z0-9-]{10,})(?![A-Za-z0-9_-])",
-    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.?(?: " + _PARTICLE + "?" + _WORD + ")+",
 }
 PATTERN = "|".join(PATTERNS.values())
 #: What every form has one of, so that most texts needn't be searched by the pattern: a sign, or a part of a title or key.
@@ -70,11 +76,10 @@ _LABEL = r"^[\p{L}_-]+\s{0,3}[=:]\s{0,3}[\"']?"
 
 def kind_of(mention: Column) -> Column:
     """The kind of a mention, from its own form."""
-    digits = F.length(F.regexp_replace(mention, r"\D", ""))
     kind = F.when(mention.rlike(_PREFIX + r"[A-Za-z0-9-]{10,}$"), "access_key").when(mention.rlike(_LABEL), "secret").when(mention.contains("@"), "email")
     kind = kind.when(mention.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip").when(mention.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-    kind = kind.when(mention.rlike(r"^[\d -]+$") & digits.between(13, 19), "card").when(mention.rlike(r"^[+(\d][\d ().-]*$") & digits.between(5, 15), "phone")
-    return kind.otherwise("name")
+    kind = kind.when(mention.rlike(r"^(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})$"), "card")
+    return kind.when(mention.rlike(r"^[+(\d]"), "phone").otherwise("name")  # all other numbers of the pattern, names begin with a title
 
 
 def entity_of(mention: Column) -> Column:
@@ -170,7 +175,7 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
         out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", let(body, card))
         prefix = F.regexp_extract(form, _PREFIX, 1)
         out = out.when(kind == "access_key", F.concat(prefix, any_sign(F.substr(form, F.length(prefix) + 1), bits)))
-        out = out.when(kind == "phone", F.concat(F.greatest(draw(bits, F.lit(0)) % 8 + 2, F.lit(2)).cast("string"), disguise(F.substr(form, F.lit(2)), bits, 1), more))
+        out = out.when(kind == "phone", F.concat(F.when(form.startswith("0"), "0").otherwise((draw(bits, F.lit(0)) % 8 + 2).cast("string")), disguise(F.substr(form, F.lit(2)), bits, 1), more))
         out = out.when(kind == "ssn", disguise(form, bits)).when(kind == "name", F.when(cyrillic, name("cyrillic")).otherwise(name("latin")))
         return F.concat_ws(":", kind, out.when(form.rlike("^[0-9a-f]+$"), hexed).otherwise(any_sign(form, bits)))
 

@@ -441,6 +441,22 @@ def test_surrogates_draw_again_on_collision(spark, monkeypatch):
     assert len(got) == 30 and len({r["surrogate"] for r in got}) == 30
 
 
+def test_mentions_are_whole(spark):
+    whole = ["Herr Karl-Heinz Meier", "Mr John Paul Smith", "Mrs O'Brien", "Mr McDonald", "Frau Prof. Dr. Anna Müller-Lüdenscheid", "Señora de la Cruz", "Mr J. R. Tolkien", "Mr D’souza", "Monsieur Jean Le Goff", "Mr Ludwig van Beethoven"]
+    phones = ["030 1234567", "06 12 34 56 78", "(030) 1234567", "0171/1234567", "020 7946 0958", "0049 30 12345678", "06.12.34.56.78", "8 (495) 123-45-67", "+1 234", "+1234", "+1 234 5678 9012 3456 78", "1-743-555-3824", "01712345678"]
+    rows = [f"so {x}'s, and" if x[0].isalpha() else f"so {x}, and" for x in whole + phones] + ["on 01.02.2020 and 08-12-2021, at 00:15, 0.12345678 or 01/02/2020"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = [r["m"] for r in df.select("doc_id", pii.mentions(F.col("text")).alias("m")).orderBy("doc_id").collect()]
+    assert found[:-1] == [[x] for x in whole + phones] and not found[-1]
+    kinds = spark.createDataFrame([(x,) for x in whole + phones], "m string").select("m", pii.kind_of(F.col("m")).alias("k")).collect()
+    assert all(r["k"] == ("name" if r["m"] in whole else "phone") for r in kinds)
+    got = [r["text"] for r in pii.replace_private(df).orderBy("doc_id").collect()]
+    assert got[-1] == rows[-1]
+    for x, old, new in zip(whole + phones, rows, got):
+        assert new != old and (x in phones or x.split()[-1] not in new)
+        assert x in whole or re.sub(r"\d", "9", new) == re.sub(r"\d", "9", old)
+
+
 def test_surrogates_of_signs_end(spark, monkeypatch):
     """Blank forms aren't secrets; what has too few surrogates of its form gets longer ones, or an error."""
     monkeypatch.setattr(pii, "ROUNDS", 20, raising=False)
