@@ -36,7 +36,9 @@ SMOOTH, DRAWN = 1.0, 10.0
 
 _HIDDEN = re.compile(r"(?is)<(script|style|nav|footer|head|noscript)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+#: What may quote markup of other pages; conditional comments may hold the page's own.
+_ASIDE = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--(?!\[if).*?-->")
+_DECLARED = re.compile(r"(?is)<html\b(?:(?!<html\b)[^>])*?\blang\s*=\s*[\"']?([a-z]{2,3})\b")
 
 
 def visible(page: str) -> str:
@@ -46,7 +48,7 @@ def visible(page: str) -> str:
 
 def declared(page: str) -> str:
     """The language that the markup declares, or nothing."""
-    found = _DECLARED.search(page[:4096])
+    found = _DECLARED.search(_ASIDE.sub(" ", page))
     return found[1].lower() if found else ""
 
 

@@ -8,6 +8,7 @@ import io
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -391,6 +392,14 @@ def test_visible_text():
     assert language_id.visible(page).split() == ["Bon", "jour", "x"] and language_id.declared(page) == "fr"
 
 
+def test_declared_is_found_anywhere():
+    """Markup may begin late, and a page of many tags without a language takes time in proportion."""
+    assert language_id.declared("<!-- " + "licence " * 1000 + "-->" + " " * 5000 + "<html class=x lang='pt-BR'>") == "pt"
+    assert language_id.declared("<html><script>x = '<html lang=en>'</script>") == ""
+    began = time.monotonic()
+    assert language_id.declared("<html " * 200_000) == "" and time.monotonic() - began < 5
+
+
 # 7 personal data
 
 PRIVATE = re.compile(r"[\w.]+@[\w.]+\.\w+|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w)|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\w)\d{16}(?!\w)|(?<=token = \")[0-9a-f]{40}")
