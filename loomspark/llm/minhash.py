@@ -1,24 +1,28 @@
 """Near duplicates by improved consistent weighted sampling (ICWS) over TF-IDF shingles, banded and verified.
 
-1. A pass over the texts counts the documents of each of 2^20 hash classes of shingles. Task counts are summed by
-   slice on the executors; the sum is 2^20 numbers whatever the corpus. The share of documents that a rare
-   shingle's class holds by accident depends on the length of texts alone, so the weights mean the same at every size.
-2. A shingle of five words weighs tf * idf, idf = 1 + ln(N / df) / 30: common passages weigh less, and a group of
-   copies, whose shingles are common for that reason alone, keeps its similarity. Weights are rounded to powers of
-   2^(1/16), which makes the sampling a table look-up: gamma and uniform variates come from a table of 2^16 triples.
-3. Each distinct text gets 64 samples, in 16 bands of 4. A pair of weighted similarity 0.8 misses all bands with
-   a probability of 0.0002.
+1. A shingle of five words weighs tf * idf, idf = 1 + ln(N / df). df is counted by 2^CLASS_BITS hash classes over all
+   documents, a table of fixed size. The share of documents that a rare shingle's class holds by accident depends on the
+   length of texts alone, so the weights mean the same at every size of the corpus.
+2. A large group of copies counts about once in N and df: otherwise what its members share would weigh little, for no other
+   reason than that they are copies, and each one's edits much. A sketch of each text (one permutation, SKETCHES keys of
+   SKETCH minima) finds such groups: a key that a HOT-th of all documents share, or more, is hot, and a document with hot keys
+   counts as one over the largest one's documents. There are SKETCHES * HOT hot keys at most. Smaller groups stay below what
+   hash classes hold by accident.
+3. Each text gets 64 samples, in 16 bands of 4. A pair of weighted similarity 0.8 misses all bands with a probability of
+   0.0002. A shingle's gamma and uniform variates are one of 2^16 sets, chosen by its hash for each sample; equal
+   variates are told apart by the hash.
 4. In each bucket the members are held against the most popular one (that with the largest buckets: an
    original rather than an edited copy of it), so the pairs are no more than the rows. Pairs whose signatures agree in
    38 of 64 samples or more (a pair of similarity 0.8 fails that with a probability of 0.00004) are verified by exact
    weighted Jaccard similarity. Links make classes (connected components).
-5. Buckets whose members are then of several classes are compared between classes, in pairs of blocks, by signature and
-   then by similarity; a pair that is of one class by then is passed over. Nothing is capped. Links make classes again.
+5. Buckets whose members are then of several classes are compared between classes, in pairs of blocks, by signature: first
+   the likeliest pair of each two classes is verified, then all pairs of the classes that are still apart. Nothing is
+   capped. Links make classes again.
 
 Defined results: texts with the same words are copies of each other, whatever the white space; texts without
-words, null among them, are such copies too. Texts under five words have one shingle of all their words. Null keys
-count as keys; a class is named by its least key (null only where all keys are). Repeated rows are rows of
-one class. Empty tables give empty ones. Extra columns don't take part.
+words, null among them, are such copies too. Texts under five words have one shingle of all their words. Texts of any length
+and shingles of any frequency are weighed exactly. Null keys count as keys; a class is named by its least key (null only
+where all keys are). Repeated rows are rows of one class. Empty tables give empty ones. Extra columns don't take part.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import for_python, materialise
@@ -38,15 +43,17 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND = 16, 4
 SAMPLES = BANDS * BAND
 CLASS_BITS, SLICES = 20, 64
+TASKS = 500  # tasks whose counts meet in one group, before the groups' counts do
+SKETCHES, SKETCH, HOT = 8, 3, 4000
 AGREE = 38  # samples of 64 that a pair's signatures share at least
 BLOCK = 512
-STEPS = 16  # of weights, to a doubling
 
 _rng = np.random.default_rng(811)
 _MULTIPLIERS = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_R = _rng.gamma(2, 1, 1 << 16)
-_C = _rng.gamma(2, 1, 1 << 16)
-_BETA = _rng.random(1 << 16)
+_R = np.maximum(_rng.gamma(2, 1, 1 << 16), 1e-3).astype(np.float32)
+_BETA = _rng.random(1 << 16).astype(np.float32)
+_START = (np.log(_rng.gamma(2, 1, 1 << 16)) + _R * _BETA - _R).astype(np.float32)  # ln a = this - r t
+_PER_R = (1 / _R).astype(np.float32)
 
 
 def text_id(text: Column) -> Column:
@@ -54,95 +61,121 @@ def text_id(text: Column) -> Column:
     return F.md5(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents with a shingle of each hash class, and the number of documents. texts: (tid, text)."""
+def distinct_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row in ascending order, how often each occurs there, and the rows' offsets."""
+    found, at = shingles(*word_hashes(column), SHINGLE)
+    parts, times = [], []
+    for i in range(len(at) - 1):
+        own, n = np.unique(found[at[i] : at[i + 1]], return_counts=True)
+        parts.append(own)
+        times.append(n)
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([*times, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, parts)])
+
+
+def sketch_keys(found: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SKETCHES keys of each row with shingles, of the least of them in equal ranges of hashes; an empty range takes the next
+    one's. Zeros for rows without shingles."""
+    bins = SKETCHES * SKETCH
+    places = (np.arange(bins, dtype=np.uint64) * np.uint64(2**64 // bins)).astype(np.uint64)
+    least = np.zeros((len(at) - 1, bins), np.uint64)
+    for i in np.flatnonzero(np.diff(at)):
+        own = found[at[i] : at[i + 1]]
+        least[i] = own[np.searchsorted(own, places) % len(own)]
+    keys = np.zeros((len(at) - 1, SKETCHES), np.uint64)
+    for k in range(SKETCH):
+        keys = mix(keys ^ mix(least[:, k::SKETCH] + np.uint64(k + 1)))
+    keys = mix(keys + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    keys[np.diff(at) == 0] = 0
+    return keys
+
+
+def hot_keys(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sketch keys that a HOT-th of all texts share (two at least), ascending, and the number of texts of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, _, at = distinct_shingles(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(sketch_keys(found, at)[np.diff(at) > 0].ravel().view(np.int64))], ["k"])
+
+    counted = materialise(texts.select("text").mapInArrow(run, "k long").groupBy("k").agg(F.count("*").alias("n")), "sketches")
+    n = (counted.agg(F.sum("n")).first()[0] or 0) / SKETCHES
+    hot = counted.filter(F.col("n") >= max(2.0, n / HOT)).collect()  # SKETCHES * HOT rows at most
+    keys, times = np.array([r["k"] for r in hot], np.int64).view(np.uint64), np.array([r["n"] for r in hot], float)
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, float]:
+    """Documents with a shingle of each hash class, and the number of documents, large groups of copies counted about once.
+    texts: (tid, text)."""
+    hot = texts.sparkSession.sparkContext.broadcast(hot_keys(texts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << CLASS_BITS, np.int64), 0
+        total, n, (keys, times) = np.zeros(1 << CLASS_BITS), 0.0, hot.value
         for batch in batches:
-            found, at = shingles(*word_hashes(batch.column("text")), SHINGLE)
-            classes = (found >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+            found, _, at = distinct_shingles(batch.column("text"))
+            share = np.ones(len(at) - 1)
+            if len(keys):
+                own = sketch_keys(found, at)
+                near = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                share /= np.where(keys[near] == own, times[near], 1.0).max(1)
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            both = np.unique((row << CLASS_BITS) | classes)
-            total += np.bincount(both & ((1 << CLASS_BITS) - 1), minlength=1 << CLASS_BITS)
-            n += batch.num_rows
+            both = np.unique((row << CLASS_BITS) | (found >> np.uint64(64 - CLASS_BITS)).astype(np.int64))
+            total += np.bincount(both & ((1 << CLASS_BITS) - 1), share[both >> CLASS_BITS], 1 << CLASS_BITS)
+            n += share[np.diff(at) > 0].sum()
         if n:
-            parts = np.split(total.astype("<i8"), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([n] * SLICES, pa.int64())], ["slice", "counts", "n"])
+            task = TaskContext.get().partitionId() // TASKS
+            parts = np.split(total.astype("<f4"), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([n] * SLICES, pa.float64())], ["slice", "part", "counts", "n"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((1 << CLASS_BITS) // SLICES, "<i8"), 0
+        total, n = np.zeros((1 << CLASS_BITS) // SLICES), 0.0
         for batch in batches:
             for counts, more in zip(batch.column("counts"), batch.column("n"), strict=True):
-                total += np.frombuffer(counts.as_buffer(), "<i8")
+                total += np.frombuffer(counts.as_buffer(), "<f4")
                 n += more.as_py()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["slice", "counts", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary()), pa.array([n], pa.float64())], ["slice", "part", "counts", "n"])
 
-    schema = "slice int, counts binary, n long"
-    rows = texts.select("text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()  # SLICES rows
-    total = np.zeros(1 << CLASS_BITS, np.int64)
+    schema = "slice int, part int, counts binary, n double"
+    counted = texts.select("text").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(add, schema)
+    rows = counted.groupBy("slice").applyInArrow(add, schema).collect()  # SLICES rows
+    total = np.zeros(1 << CLASS_BITS)
     for r in rows:
         width = (1 << CLASS_BITS) // SLICES
-        total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], "<i8")
-    return total, rows[0]["n"] if rows else 0
-
-
-def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
-    return (1 + np.log(max(n, 1) / np.clip(counts, 1, None)) / 30).astype(np.float32)
-
-
-def weighted(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row in ascending order, their levels (weight 2^(level / STEPS)), and the rows' offsets."""
-    found, at = shingles(*word_hashes(column), SHINGLE)
-    parts, times = [], []
-    for i in range(len(at) - 1):
-        own, n = np.unique(found[at[i] : at[i + 1]], return_counts=True)
-        parts.append(own)
-        times.append(n)
-    found = np.concatenate([*parts, np.zeros(0, np.uint64)])
-    weight = np.concatenate([*times, np.zeros(0, np.int64)]) * idf[(found >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
-    level = np.minimum(np.rint(STEPS * np.log2(weight)), 255).astype(np.uint8) if len(weight) else np.zeros(0, np.uint8)
-    return found, level, np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-
-
-class Sampler:
-    """ICWS of weights 2^(level / STEPS): ln a = ln c - r (t - beta) - r with t = floor(ln w / r + beta) is looked up by level and variate."""
-
-    def __init__(self):
-        self.rows: dict[int, int] = {}
-        self.a, self.t = np.zeros((0, 1 << 16), np.uint64), np.zeros((0, 1 << 16), np.int32)
-
-    def _row(self, level: int) -> int:
-        if level not in self.rows:
-            t = np.floor(level / STEPS * np.log(2) / _R + _BETA)
-            a = (np.log(_C) - _R * (t - _BETA) - _R).astype(np.float32)
-            bits = a.view(np.uint32)
-            bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)  # as numbers in the order of a
-            self.rows[level] = len(self.a)
-            self.a, self.t = np.vstack([self.a, bits[None] << np.uint64(32)]), np.vstack([self.t, t.astype(np.int32)[None]])
-        return self.rows[level]
-
-    def __call__(self, found: np.ndarray, level: np.ndarray, at: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
-        """Samples as 64-bit numbers, a row of SAMPLES for each row; rows without shingles get zeros."""
-        out = np.zeros((len(at) - 1, SAMPLES), np.uint64)
-        levels, place = np.unique(level, return_inverse=True)
-        base = np.array([self._row(int(x)) << 16 for x in levels], np.int64)
-        flat_a, flat_t = self.a.ravel(), self.t.ravel()
-        first = 0
-        while first < len(at) - 1:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + chunk, "right")) - 1)
-            own = found[at[first] : at[last]]
-            rows = first + np.flatnonzero(np.diff(at[first : last + 1]))
-            if len(own):
-                starts, offset, where = at[rows] - at[first], base[place[at[first] : at[last]]], np.arange(len(own), dtype=np.uint64)
-                for k in range(SAMPLES):
-                    index = ((own * _MULTIPLIERS[k]) >> np.uint64(48)).astype(np.int64)
-                    index += offset
-                    least = np.minimum.reduceat(flat_a[index] | where, starts)
-                    won = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    out[rows, k] = own[won] + flat_t[index[won]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            first = last
-        return out
+        total[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], "<f4")
+    return total, rows[0]["n"] if rows else 0.0
+
+
+def idf_table(counts: np.ndarray, n: float) -> np.ndarray:
+    """1 + ln(N / df) for each hash class; no class has less than one document."""
+    n = max(n, 1.0)
+    return (1 + np.log(n / np.clip(counts, 1, n))).astype(np.float32)
+
+
+def weights(found: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return times.astype(np.float32) * idf[(found >> np.uint64(64 - CLASS_BITS)).astype(np.int64)]
+
+
+def icws(found: np.ndarray, weight: np.ndarray, at: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
+    """Samples as 64-bit numbers, a row of SAMPLES for each row; rows without shingles get zeros. A sample is the shingle of
+    least a = c exp(-r (t - beta) - r), with its t = floor(ln w / r + beta)."""
+    out, first = np.zeros((len(at) - 1, SAMPLES), np.uint64), 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + chunk, "right")) - 1)
+        own, log = found[at[first] : at[last]], np.log(weight[at[first] : at[last]])
+        rows = first + np.flatnonzero(np.diff(at[first : last + 1]))
+        if len(own):
+            starts = at[rows] - at[first]
+            least = np.arange(len(own), dtype="<u8")  # low half: the place; high half: a, a positive float, whose bits have its order
+            high = least.view("<u4")[1::2]
+            for k in range(SAMPLES):
+                index = ((own * _MULTIPLIERS[k]) >> np.uint64(48)).astype(np.intp)
+                t = np.floor(log * _PER_R.take(index) + _BETA.take(index))
+                high[:] = np.exp(_START.take(index) - _R.take(index) * t).view(np.uint32)
+                won = (np.minimum.reduceat(least, starts) & np.uint64(0xFFFFFFFF)).astype(np.intp)
+                out[rows, k] = own[won] + t[won].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        first = last
+    return out
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -158,9 +191,9 @@ def signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     idf = texts.sparkSession.sparkContext.broadcast(idf)  # 2^20 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = Sampler()
         for batch in batches:
-            samples = sample(*weighted(batch.column("text"), idf.value))
+            found, times, at = distinct_shingles(batch.column("text"))
+            samples = icws(found, weights(found, times, idf.value), at)
             keys = band_keys(samples)
             short = (mix(samples) >> np.uint64(48)).astype("<u2")
             yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["tid", "keys", "signature"])
@@ -168,45 +201,43 @@ def signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return texts.select("tid", "text").mapInArrow(run, "tid string, keys array<long>, signature binary")
 
 
-def vectors(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(tid, shingles, levels): what verification compares, as bytes."""
-    idf = texts.sparkSession.sparkContext.broadcast(idf)
+def vectors(texts: DataFrame) -> DataFrame:
+    """(tid, shingles, times): what verification compares, as bytes; times in one byte each where all are under 256, else in four."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, level, at = weighted(batch.column("text"), idf.value)
-            rows = range(len(at) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([found[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary()), pa.array([level[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())], ["tid", "shingles", "levels"])
-
-    return texts.select("tid", "text").mapInArrow(run, "tid string, shingles binary, levels binary")
-
+            found, times, at = distinct_shingles(batch.column("text"))
+            rows = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+            counts = [times[r].astype("u1" if times[r].max(initial=0) < 256 else "<u4").tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([found[r].tobytes() for r in rows], pa.binary()), pa.array(counts, pa.binary())], ["tid", "shingles", "times"])
 
-_WEIGHTS = 2.0 ** (np.arange(256) / STEPS)
+    return texts.select("tid", "text").mapInArrow(run, "tid string, shingles binary, times binary")
 
 
-def similarity(a: bytes, a_levels: bytes, b: bytes, b_levels: bytes) -> float:
+def similarity(a: bytes, a_times: bytes, b: bytes, b_times: bytes, idf: np.ndarray) -> float:
     """Weighted Jaccard similarity of two vectors."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    wx, wy = _WEIGHTS[np.frombuffer(a_levels, np.uint8)], _WEIGHTS[np.frombuffer(b_levels, np.uint8)]
     if not len(x) or not len(y):
         return float(len(x) == len(y))
+    wx, wy = (weights(v, np.frombuffer(t, "u1" if len(t) == len(v) else "<u4"), idf) for v, t in ((x, memoryview(a_times)), (y, memoryview(b_times))))
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
     same = x[at] == y
-    both = np.minimum(wx[at[same]], wy[same]).sum()
-    return float(both / (wx.sum() + wy.sum() - both))
+    both = np.minimum(wx[at[same]], wy[same]).sum(dtype=float)
+    return float(both / (wx.sum(dtype=float) + wy.sum(dtype=float) - both))
 
 
-def verify(pairs: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
+def verify(pairs: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """The pairs (a, b) of that similarity at least. The side with hot keys is joined last, where its rows can be split."""
-    left = vecs.select(F.col("tid").alias("b"), F.col("shingles").alias("sb"), F.col("levels").alias("lb"))
-    right = vecs.select(F.col("tid").alias("a"), F.col("shingles").alias("sa"), F.col("levels").alias("la"))
+    idf = pairs.sparkSession.sparkContext.broadcast(idf)
+    left = vecs.select(F.col("tid").alias("b"), F.col("shingles").alias("sb"), F.col("times").alias("tb"))
+    right = vecs.select(F.col("tid").alias("a"), F.col("shingles").alias("sa"), F.col("times").alias("ta"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [similarity(*(x.as_buffer() for x in r)) >= least for r in zip(*(batch.column(c) for c in ("sa", "la", "sb", "lb")), strict=True)]
+            kept = [similarity(*(x.as_buffer() for x in r), idf.value) >= least for r in zip(*(batch.column(c) for c in ("sa", "ta", "sb", "tb")), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "sa", "la", "sb", "lb").mapInArrow(run, "a string, b string")
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "sa", "ta", "sb", "tb").mapInArrow(run, "a string, b string")
 
 
 def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -222,45 +253,46 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "ga", "gb").mapInArrow(run, "a string, b string")
 
 
-def between_classes(members: DataFrame, signed: DataFrame, vecs: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between members(tid, bucket, band, label) of one bucket but different labels: for any two labels with a
-    link in a group one link at least, directly or by way of others.
+def between_classes(members: DataFrame, signed: DataFrame, likeliest: bool) -> DataFrame:
+    """Pairs (a, b) of members(tid, bucket, band, label) of one bucket but different labels whose signatures agree often
+    enough: all of them, or the likeliest of each two labels in a group.
 
     Buckets are cut into blocks of about BLOCK members by hash, and each two blocks are one group, so no group grows with
-    its bucket. A pair is looked at in the first band that it shares, if its signatures agree often enough."""
+    its bucket; a row is a signature of some hundred bytes, whatever the text. A pair is looked at in the first band that it
+    shares."""
     mixed = members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x != y")
-    rows = members.join(mixed.select("bucket", "n"), "bucket").join(signed.select("tid", "signature"), "tid").join(vecs, "tid")
+    rows = members.join(mixed.select("bucket", "n"), "bucket").join(signed.select("tid", "signature"), "tid")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "tid", "label", "signature", "shingles", "levels")
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "tid", "label", "signature")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("tid").combine_chunks()
         tid, (_, label) = table["tid"].to_pylist(), np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
         own, sig = table["own"].to_numpy(), np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SAMPLES)
-        apart, band, label, a, b = key[1].as_py() != key[2].as_py(), table["band"][0].as_py(), label.copy(), [], []
-        vector = [(x.as_buffer(), y.as_buffer()) for x, y in zip(table["shingles"], table["levels"], strict=True)]
+        apart, band = key[1].as_py() != key[2].as_py(), table["band"][0].as_py()
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for i in range(len(tid) - 1):
             same = sig[i + 1 :] == sig[i]
-            ok = (label[i + 1 :] != label[i]) & (same.sum(1) >= AGREE)
+            agree = same.sum(1)
+            ok = (label[i + 1 :] != label[i]) & (agree >= AGREE)
             if apart:
                 ok &= own[i + 1 :] != own[i]
             at = np.flatnonzero(ok)
-            at = at[same[at].reshape(-1, BANDS, BAND).all(2).argmax(1) == band] + i + 1
-            for j in at:
-                if label[j] != label[i] and similarity(*vector[i], *vector[j]) >= least:
-                    a.append(tid[i])
-                    b.append(tid[j])
-                    label[label == label[j]] = label[i]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+            at = at[same[at].reshape(-1, BANDS, BAND).all(2).argmax(1) == band]
+            for j in at.tolist():
+                two = (min(label[i], label[i + 1 + j]), max(label[i], label[i + 1 + j])) if likeliest else (i, i + 1 + j)
+                if two not in best or best[two][0] < agree[j]:
+                    best[two] = (agree[j], i, i + 1 + j)
+        yield pa.RecordBatch.from_arrays([pa.array([tid[x[k]] for x in best.values()], pa.string()) for k in (1, 2)], ["a", "b"])
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a string, b string").distinct()
 
 
 def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(tid, label): for each tid of texts(tid, text) that has near duplicates the least tid of its class."""
-    for_python(texts.sparkSession)
+    for_python(texts.sparkSession, size="2m")
     idf = idf_table(*document_frequencies(texts))
     signed = materialise(signatures(texts, idf).dropDuplicates(["tid"]), "signatures")
 
@@ -273,13 +305,18 @@ def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs = members.join(hubs, "bucket").filter("tid != hub").select(F.col("hub").alias("a"), F.col("tid").alias("b")).distinct()
 
     wanted = members.select("tid").distinct()
-    vecs = materialise(vectors(texts.join(wanted, "tid", "left_semi"), idf).dropDuplicates(["tid"]), "vectors")
-    links = materialise(verify(alike(pairs, signed), vecs, least), "links")
+    vecs = materialise(vectors(texts.join(wanted, "tid", "left_semi")).dropDuplicates(["tid"]), "vectors")
+    links = materialise(verify(alike(pairs, signed), vecs, idf, least), "links")
     labels = components(links)
-    labelled = members.select("tid", "band", "bucket").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-    more = materialise(between_classes(labelled, signed, vecs, least), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    for likeliest in (True, False):
+        labelled = members.select("tid", "band", "bucket").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+        found = materialise(between_classes(labelled, signed, likeliest), "pairs")
+        if found.isEmpty():
+            break
+        more = materialise(verify(found, vecs, idf, least), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
     return labels.select(F.col("node").alias("tid"), "label")
 
 

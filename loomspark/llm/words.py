@@ -11,6 +11,7 @@ import pyarrow as pa
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_AT_ONCE = 1 << 18  # bytes
 _PLACES = 1024  # of a word's bytes that have factors of their own; later ones take them times an odd number
 _FACTORS = np.random.default_rng(20240).integers(0, 2**63, _PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -53,8 +54,18 @@ def word_hashes(column: pa.Array, plain: bool = False, stem: int | None = None)
     first = first[:-1] & inside
     starts = np.flatnonzero(first)
     counts = np.searchsorted(starts, at)
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # some words at a time: their bytes take many times their size
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _AT_ONCE)))
+        part = slice(starts[i], starts[j] if j < len(starts) else len(raw))
+        out[i:j] = _hashes(raw[part], inside[part], first[part], plain, stem)
+        i = j
+    return out, counts
+
+
+def _hashes(raw: np.ndarray, inside: np.ndarray, first: np.ndarray, plain: bool, stem: int | None) -> np.ndarray:
+    """Hashes of words, given which bytes are inside words and which are first in one."""
     kept = raw[inside].astype(np.uint64)
     if plain:
         kept += np.uint64(32) * ((kept >= 65) & (kept <= 90))
@@ -63,8 +74,8 @@ def word_hashes(column: pa.Array, plain: bool = False, stem: int | None = None)
     factors = _FACTORS[place % _PLACES] * (np.uint64(2) * (place // _PLACES).astype(np.uint64) + np.uint64(1))
     parts = (kept + np.uint64(1)) * factors
     if stem:
-        return mix(np.add.reduceat(parts * (place < stem), begins) + np.uint64(stem)), counts
-    return mix(np.add.reduceat(parts, begins)), counts
+        return mix(np.add.reduceat(parts * (place < stem), begins) + np.uint64(stem))
+    return mix(np.add.reduceat(parts, begins))
 
 
 _WINDOW = np.random.default_rng(4711).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

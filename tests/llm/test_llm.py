@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.llm import fingerprints, graph, language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, queries, toxicity, warc, words
+from loomspark.llm.common import materialise as new_materialise
 from loomspark.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -277,8 +278,8 @@ def test_quality_odd_rows(odd, none):
 def _similarities(texts, idf):
     vectors = []
     for t in texts:
-        found, level, _ = minhash.weighted(pa.array([t]), idf)
-        vectors.append(dict(zip(found.tolist(), minhash._WEIGHTS[level].tolist())))
+        found, times, _ = minhash.distinct_shingles(pa.array([t]))
+        vectors.append(dict(zip(found.tolist(), minhash.weights(found, times, idf).tolist())))
     inverted, pairs = collections.defaultdict(list), {}
     for i, v in enumerate(vectors):
         for s in v:
@@ -324,13 +325,60 @@ def test_samples_follow_weights():
     """Two texts' samples agree as often as their weighted Jaccard similarity says."""
     rng = np.random.default_rng(4)
     ids = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    agree, sample = [], minhash.Sampler()
+    agree, expected = [], []
     for _ in range(60):
         ids = rng.integers(0, 2**63, 400, dtype=np.uint64)
-        a, b = np.sort(ids[:300]), np.sort(ids[100:])
-        both = sample(np.concatenate([a, b]), np.full(600, 8, np.uint8), np.array([0, 300, 600]))
+        x, y = rng.exponential(5, 400) + 1, rng.exponential(5, 400) + 1
+        x[300:] = y[:100] = 0  # weights of absent shingles
+        a, b = np.flatnonzero(x), np.flatnonzero(y)
+        a, b = a[np.argsort(ids[a])], b[np.argsort(ids[b])]
+        both = minhash.icws(np.concatenate([ids[a], ids[b]]), np.concatenate([x[a], y[b]]).astype(np.float32), np.array([0, 300, 600]))
         agree.append((both[0] == both[1]).mean())
-    assert abs(np.mean(agree) - 0.5) < 0.03
+        expected.append(np.minimum(x, y).sum() / np.maximum(x, y).sum())
+    assert abs(np.mean(agree) - np.mean(expected)) < 0.02
+
+
+def test_frequent_shingles_weigh_exactly():
+    """A shingle that a text repeats 100,000 times."""
+    found, times, at = minhash.distinct_shingles(pa.array(["x " * 100_004 + "a b c d e f g", "x " * 50_004 + "a b c d e f g"]))
+    assert times.max() == 100_000
+    idf = np.ones(1 << minhash.CLASS_BITS, np.float32)
+    parts = [(found[a:b].tobytes(), times[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1], at[1:])]
+    assert abs(minhash.similarity(*parts[0], *parts[1], idf) - 50_007 / 100_007) < 1e-6
+
+
+def test_copies_count_once_in_document_frequencies(spark):
+    """A large group of near copies shares the weight of its shingles; passages that unlike texts share are common."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for k in range(300):
+        v = list(base)
+        for i in rng.sample(range(200), 3):
+            v[i] = f"e{k}x{i}"
+        rows.append(" ".join(v))
+    rows += [" ".join(["all share this very line", *(f"o{k}w{i}" for i in range(150))]) for k in range(300)]
+    counts, n = minhash.document_frequencies(spark.createDataFrame([(t,) for t in rows], "text string"))
+    found, _, at = minhash.distinct_shingles(pa.array([" ".join(base), "all share this very line"]))
+    classes = (found >> np.uint64(64 - minhash.CLASS_BITS)).astype(int)
+    assert 300 <= n < 315 and np.median(counts[classes[: at[1]]]) < 15 and counts[classes[at[1] :]].min() >= 300
+
+
+def test_recall_of_near_copies(spark):
+    """Of pairs whose shingles have a plain Jaccard similarity of 0.8 or more, nine in ten share a class at least, by brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = table.toPandas()
+    sets = [set(minhash.distinct_shingles(pa.array([t]))[0].tolist()) for t in rows["text"]]
+    inverted, pairs = collections.defaultdict(list), set()
+    for i, v in enumerate(sets):
+        for x in v:
+            inverted[x].append(i)
+    for v in inverted.values():
+        pairs |= set(itertools.combinations(v, 2))
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = minhash.near_duplicates(table).toPandas().set_index("doc_id")["class_id"]
+    joined = [got[rows["doc_id"][a]] == got[rows["doc_id"][b]] for a, b in near]
+    assert len(near) > 30 and np.mean(joined) >= 0.9
 
 
 def test_between_classes_loses_no_link(spark, monkeypatch):
@@ -353,9 +401,16 @@ def test_between_classes_loses_no_link(spark, monkeypatch):
 def test_components(spark):
     links = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "c"), ("x", "y"), ("z", "z")], "a string, b string")
     assert {r["node"]: r["label"] for r in graph.components(links).collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
-    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(60)], "a string, b string")
-    assert {r["label"] for r in graph.components(chain).collect()} == {"000"}
     assert graph.components(links.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a"), ("a", None), ("a", "b"), ("a", "b"), ("b", "a")], "a string, b string")
+    assert {r["node"]: r["label"] for r in graph.components(odd).collect()} == {"a": "a", "b": "a"}
+
+
+def test_components_of_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "materialise", lambda df, name: rounds.append(name) or new_materialise(df, name))
+    chain = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}") for i in range(1000)], "a string, b string")
+    assert {r["label"] for r in graph.components(chain).collect()} == {"0000"} and rounds.count("labels") < 15
 
 
 def test_near_duplicates_odd_rows(odd, none):
