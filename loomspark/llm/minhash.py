@@ -15,9 +15,8 @@
    original rather than an edited copy of it), so the pairs are no more than the rows. Pairs whose signatures agree in
    38 of 64 samples or more (a pair of similarity 0.8 fails that with a probability of 0.00004) are verified by exact
    weighted Jaccard similarity. Links make classes (connected components).
-5. Buckets whose members are then of several classes are compared between classes, in pairs of blocks, by signature: first
-   the likeliest pair of each two classes is verified, then all pairs of the classes that are still apart. Nothing is
-   capped. Links make classes again.
+5. Buckets whose members are then of several classes are compared between classes, in pairs of blocks, by signature and
+   then by similarity; a pair that is of one class by then is passed over. Nothing is capped. Links make classes again.
 
 Defined results: texts with the same words are copies of each other, whatever the white space; texts without
 words, null among them, are such copies too. Texts under five words have one shingle of all their words. Texts of any length
@@ -46,7 +45,7 @@ CLASS_BITS, SLICES = 20, 64
 TASKS = 500  # tasks whose counts meet in one group, before the groups' counts do
 SKETCHES, SKETCH, HOT = 8, 3, 4000
 AGREE = 38  # samples of 64 that a pair's signatures share at least
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 
 _rng = np.random.default_rng(811)
 _MULTIPLIERS = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -187,7 +186,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(tid, keys, signature) for each row of texts(tid, text)."""
+    """(tid, keys, signature, size) for each row of texts(tid, text); size: distinct shingles."""
     idf = texts.sparkSession.sparkContext.broadcast(idf)  # 2^20 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +195,9 @@ def signatures(texts: DataFrame, idf: np.ndarray) -> DataFrame:
             samples = icws(found, weights(found, times, idf.value), at)
             keys = band_keys(samples)
             short = (mix(samples) >> np.uint64(48)).astype("<u2")
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary())], ["tid", "keys", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([x.tobytes() for x in short], pa.binary()), pa.array(np.diff(at))], ["tid", "keys", "signature", "size"])
 
-    return texts.select("tid", "text").mapInArrow(run, "tid string, keys array<long>, signature binary")
+    return texts.select("tid", "text").mapInArrow(run, "tid string, keys array<long>, signature binary, size long")
 
 
 def vectors(texts: DataFrame) -> DataFrame:
@@ -253,41 +252,60 @@ def alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "ga", "gb").mapInArrow(run, "a string, b string")
 
 
-def between_classes(members: DataFrame, signed: DataFrame, likeliest: bool) -> DataFrame:
-    """Pairs (a, b) of members(tid, bucket, band, label) of one bucket but different labels whose signatures agree often
-    enough: all of them, or the likeliest of each two labels in a group.
-
-    Buckets are cut into blocks of about BLOCK members by hash, and each two blocks are one group, so no group grows with
-    its bucket; a row is a signature of some hundred bytes, whatever the text. A pair is looked at in the first band that it
-    shares."""
-    mixed = members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x != y")
-    rows = members.join(mixed.select("bucket", "n"), "bucket").join(signed.select("tid", "signature"), "tid")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _candidates(table: pa.Table, apart: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of the pairs of different labels and, if apart, blocks, whose signatures agree often enough and which
+    share this bucket's band first."""
+    _, label = np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
+    own, sig = table["own"].to_numpy(), np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SAMPLES)
+    band = table["band"][0].as_py()
+    for i in range(len(own) - 1):
+        same = sig[i + 1 :] == sig[i]
+        ok = (label[i + 1 :] != label[i]) & (same.sum(1) >= AGREE)
+        if apart:
+            ok &= own[i + 1 :] != own[i]
+        at = np.flatnonzero(ok)
+        at = at[same[at].reshape(-1, BANDS, BAND).all(2).argmax(1) == band]
+        if len(at):
+            yield i, at + i + 1
+
+
+def between_classes(members: DataFrame, signed: DataFrame, vecs: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Links (a, b) between members(tid, bucket, band, label, size) of one bucket but different labels: for any two labels with a
+    link in a group one link at least, directly or by way of others.
+
+    Buckets are cut into blocks of about BLOCK members or BLOCK_SHINGLES shingles by hash, and each two blocks are one group, so no
+    group grows with its bucket. Groups get signatures first, whatever the texts' length; only rows that may have a link in a
+    group come back with their vectors. A pair is looked at in the first band that it shares, and passed over once its labels are
+    joined, so no pairs leave a group but links."""
+    shared = members.sparkSession.sparkContext.broadcast(idf)
+    mixed = members.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n"), F.sum("size").alias("total")).filter("x != y")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    rows = members.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").join(signed.select("tid", "signature"), "tid")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "tid", "label", "signature")
 
+    def likely(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        kept = np.zeros(len(table), bool)
+        for i, later in _candidates(table, key[1].as_py() != key[2].as_py()):
+            kept[i] = kept[later] = True
+        yield from table.filter(pa.array(kept)).to_batches()
+
+    rows = rows.groupBy("bucket", "i", "j").applyInArrow(likely, rows.schema)
+
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("tid").combine_chunks()
-        tid, (_, label) = table["tid"].to_pylist(), np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True)
-        own, sig = table["own"].to_numpy(), np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SAMPLES)
-        apart, band = key[1].as_py() != key[2].as_py(), table["band"][0].as_py()
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i in range(len(tid) - 1):
-            same = sig[i + 1 :] == sig[i]
-            agree = same.sum(1)
-            ok = (label[i + 1 :] != label[i]) & (agree >= AGREE)
-            if apart:
-                ok &= own[i + 1 :] != own[i]
-            at = np.flatnonzero(ok)
-            at = at[same[at].reshape(-1, BANDS, BAND).all(2).argmax(1) == band]
-            for j in at.tolist():
-                two = (min(label[i], label[i + 1 + j]), max(label[i], label[i + 1 + j])) if likeliest else (i, i + 1 + j)
-                if two not in best or best[two][0] < agree[j]:
-                    best[two] = (agree[j], i, i + 1 + j)
-        yield pa.RecordBatch.from_arrays([pa.array([tid[x[k]] for x in best.values()], pa.string()) for k in (1, 2)], ["a", "b"])
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a string, b string").distinct()
+        tid, (_, label), a, b = table["tid"].to_pylist(), np.unique(np.array(table["label"].to_pylist(), object), return_inverse=True), [], []
+        vector = [(x.as_buffer(), y.as_buffer()) for x, y in zip(table["shingles"], table["times"], strict=True)]
+        for i, later in _candidates(table, key[1].as_py() != key[2].as_py()):
+            for j in later.tolist():
+                if label[j] != label[i] and similarity(*vector[i], *vector[j], shared.value) >= least:
+                    a.append(tid[i])
+                    b.append(tid[j])
+                    label[label == label[j]] = label[i]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+
+    return rows.join(vecs, "tid").groupBy("bucket", "i", "j").applyInArrow(run, "a string, b string").distinct()
 
 
 def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -296,11 +314,11 @@ def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     idf = idf_table(*document_frequencies(texts))
     signed = materialise(signatures(texts, idf).dropDuplicates(["tid"]), "signatures")
 
-    keys = signed.select("tid", F.posexplode("keys").alias("band", "bucket"))
+    keys = signed.select("tid", "size", F.posexplode("keys").alias("band", "bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(keys.join(shared, "bucket"), "members")
     popular = members.groupBy("tid").agg(F.sum("n").alias("popularity"))
-    members = members.select("tid", "band", "bucket").join(popular, "tid")
+    members = members.select("tid", "band", "bucket", "size").join(popular, "tid")
     hubs = members.groupBy("bucket").agg(F.max(F.struct("popularity", F.col("tid").alias("hub"))).alias("h")).select("bucket", "h.hub")
     pairs = members.join(hubs, "bucket").filter("tid != hub").select(F.col("hub").alias("a"), F.col("tid").alias("b")).distinct()
 
@@ -308,15 +326,10 @@ def text_classes(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     vecs = materialise(vectors(texts.join(wanted, "tid", "left_semi")).dropDuplicates(["tid"]), "vectors")
     links = materialise(verify(alike(pairs, signed), vecs, idf, least), "links")
     labels = components(links)
-    for likeliest in (True, False):
-        labelled = members.select("tid", "band", "bucket").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
-        found = materialise(between_classes(labelled, signed, likeliest), "pairs")
-        if found.isEmpty():
-            break
-        more = materialise(verify(found, vecs, idf, least), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+    labelled = members.select("tid", "band", "bucket", "size").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("label", F.coalesce("label", "tid"))
+    more = materialise(between_classes(labelled, signed, vecs, idf, least), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     return labels.select(F.col("node").alias("tid"), "label")
 
 
