@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from loomspark import catalogue
 from loomspark.operators.validate import summary, validate
-from loomspark.queries.flows import SHOP, generate_shop
+from loomspark.queries.flows import OBSERVATORY, observatory
+from loomspark.sinks import files
 from loomspark.sources.ddl import parse_ddl
+from loomspark.storage import new_path
 
 HEADLINE = ("validate_report", "validate_fk_orphans", "validate_fk_composite", "validate_child_before_parent", "fk_uniform", "fk_zipfian", "fk_allocation", "junction_unique", "coherence_floor", "coherence_anchor_rewrite", "coherence_lifecycle", "hierarchy_forest", "deferred_fk_backfill", "gen_timestamp", "gen_text", "rate_limit_replay", "stats_clicks_by_target", "stats_unique_sessions", "sink_sql_inserts")
 #: Of the generated schema: about 490,000 rows in all, as the published figure has.
@@ -32,9 +34,11 @@ def main() -> None:
         found[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
     began = time.time()
-    tables = generate_shop(spark, SCALE)
-    report = summary(validate(tables, parse_ddl(SHOP))).agg(F.sum("violations").alias("violations"), F.sum("constraints_checked").alias("checked")).first()
-    took["generate_and_validate"] = round(time.time() - began, 3)
+    schema, generator = parse_ddl(OBSERVATORY), observatory(spark, SCALE)
+    tables = generator.run()
+    report = summary(validate(tables, schema)).agg(F.sum("violations").alias("violations"), F.sum("constraints_checked").alias("checked")).first()
+    files.write_sql(generator.numbered(), schema, generator.plan.order, new_path(spark, "sql"))
+    took["generate_validate_write_sql"] = round(time.time() - began, 3)
     rows = sum(df.count() for df in tables.values())
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rpartition("sf")[2], "generated_rows": rows, "violations": report["violations"], "constraints_checked": report["checked"]}))
 

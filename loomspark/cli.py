@@ -11,6 +11,7 @@ import os
 import sys
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def row_specs(text: str | None, config: Config, schema, order: list[str]) -> dic
         specs |= {t.strip(): parse_rows(v) for t, v in (x.split("=", 1) for x in text.split(","))}
     elif text:
         specs |= integer_plan(schema, order, parse_rows(text))
-    if unknown := set(specs) - set(schema.tables):
+    if unknown := set(specs) - set(schema):
         raise ConfigError(f"row counts for unknown tables: {', '.join(sorted(unknown))}")
     return specs
 
@@ -91,7 +92,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             files.write_sql(made.numbered(), schema, plan.order, a.out)
         else:
             database.load(tables, plan.order, url)
-    except (SchemaError, OSError) as e:
+    except (SchemaError, OSError, PySparkException) as e:
         print(f"error: {redact(str(e))}", file=sys.stderr)
         return 1
     return 2 if bad else 0

@@ -9,10 +9,14 @@ from __future__ import annotations
 import datetime as dt
 import re
 import warnings
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.draws import below, uniform
@@ -26,6 +30,7 @@ from . import coherence as C
 from . import keys as K
 
 ATTEMPTS = 50
+AT_ONCE = 4  # tables that are made side by side
 _INVERSE = {">": "<", ">=": "<=", "<": ">", "<=": ">="}
 
 
@@ -34,88 +39,89 @@ def _date(v) -> dt.date:
 
 
 def _is_time(t: M.Table, c: str) -> str:
-    return {"DATE": "date", "TIMESTAMP": "timestamp"}.get(t.column(c).dtype, "number")
+    return {"DATE": "date", "TIMESTAMP": "timestamp"}.get(t.row[c].metadata["sql"], "number")
 
 
-def independent(table: M.Table, c: M.Column, row: Column, n: int, config: Config, salt: str = "", weights: tuple | None = None) -> Column:
-    """A column's value from its type, bounds and hint, without nulls."""
+def independent(table: M.Table, c: T.StructField, row: Column, n: int, config: Config, salt: str = "", weights: tuple | None = None, alone: bool | None = None) -> Column:
+    """A column's value from its type, bounds and hint, without nulls; alone: different for each row (None: if the table says so)."""
+    alone = c.name in table.lone if alone is None else alone
+    length = c.metadata.get("length")
     parts = (config.seed, table.name, c.name, *([salt] if salt else []))
     low, high, listed = M.bounds(table, c)
-    domain = c.enum if c.enum is not None else listed
-    kind = c.spark_type()
+    domain = c.metadata.get("domain") if c.metadata.get("domain") is not None else listed
+    kind = c.dataType
     if low is not None and high is not None and low > high:
         raise M.DomainExhausted(f"{table.name}.{c.name}: no value from {low} to {high}")
     if domain is not None:
         if not domain:
             raise M.DomainExhausted(f"{table.name}.{c.name} has no allowed value")
-        if c.unique:
+        if alone:
             if n > len(domain):
                 raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different values of {len(domain)}")
             return F.element_at(F.array(*[F.lit(v) for v in domain]), (K.affine(row, len(domain), *parts) + 1).cast("int")).cast(kind)
         made = V.weighted(row, list(domain), [round(w * 1000) for w in weights], *parts) if weights else V.choice(row, list(domain), *parts)
         return made.cast(kind)
-    if c.dtype in M.WHOLE:
+    if c.metadata["sql"] in M.WHOLE:
         lo = -(-low // 1) if low is not None else None
         hi = high // 1 if high is not None else None
         lo = int(lo) if lo is not None else (min(1, int(hi) - 1000) if hi is not None else 1)
-        hi = int(hi) if hi is not None else lo + max(1000, 2 * n if c.unique else 0)
-        if hi < lo or (c.unique and hi - lo + 1 < n):
+        hi = int(hi) if hi is not None else lo + max(1000, 2 * n if alone else 0)
+        if hi < lo or (alone and hi - lo + 1 < n):
             raise M.DomainExhausted(f"{table.name}.{c.name}: {n} values from {lo} to {hi}")
-        return (F.lit(lo) + K.affine(row, hi - lo + 1, *parts) if c.unique else V.integer(row, lo, hi, *parts)).cast(kind)
-    if c.dtype in ("NUMERIC", "FLOAT"):
-        precision, scale = c.precision or 38, (2 if c.scale is None else c.scale) if c.dtype == "NUMERIC" else 2
+        return (F.lit(lo) + K.affine(row, hi - lo + 1, *parts) if alone else V.integer(row, lo, hi, *parts)).cast(kind)
+    if c.metadata["sql"] in ("NUMERIC", "FLOAT"):
+        precision, scale = (c.dataType.precision, c.dataType.scale) if c.metadata["sql"] == "NUMERIC" else (38, 2)
         step = Decimal(1).scaleb(-scale)
-        cap = Decimal(10) ** (precision - scale) - step if c.dtype == "NUMERIC" and c.precision else Decimal(10) ** 12
+        cap = Decimal(10) ** (precision - scale) - step if precision < 38 else Decimal(10) ** 12
         lo = Decimal(low) if low is not None else (min(step, Decimal(high) - 10000) if high is not None else step)
         hi = min(Decimal(high) if high is not None else max(lo, Decimal(10000)), cap)
         if hi < lo:
             raise M.DomainExhausted(f"{table.name}.{c.name}: no value from {lo} to {hi}")
-        if c.unique:
+        if alone:
             first, span = int(lo / step), int(hi / step) - int(lo / step) + 1
             if span < n:
                 raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different values from {lo} to {hi}")
             return ((F.lit(first) + K.affine(row, span, *parts)).cast("decimal(38,0)") * F.lit(step)).cast(kind)
-        if c.hint == "money" and scale >= 2 and hi > 0:
+        if c.metadata.get("hint") == "money" and scale >= 2 and hi > 0:
             return V.money(row, float(max(lo, Decimal("0.01"))), float(hi), min(38, precision), scale, *parts).cast(kind)
         return V.numeric(row, lo, hi, min(38, precision), scale, *parts).cast(kind)
-    if c.dtype == "BOOLEAN":
+    if c.metadata["sql"] == "BOOLEAN":
         name = c.name.lower()
         p = 0.85 if any(x in name for x in ("active", "enabled", "verified")) else 0.08 if any(x in name for x in ("deleted", "banned", "blocked", "archived")) else 0.5
         return V.boolean(row, p, *parts)
-    if c.dtype in M.TIMED:
+    if c.metadata["sql"] in M.TIMED:
         hi = _date(high) if high is not None else config.as_of
         lo = _date(low) if low is not None else hi - dt.timedelta(days=V.WINDOW_DAYS)
         if low is not None and high is None and lo > hi:
             hi = lo + dt.timedelta(days=365)
-        if c.unique:
-            if (hi - lo).days + 1 < n and c.dtype == "DATE":
+        if alone:
+            if (hi - lo).days + 1 < n and c.metadata["sql"] == "DATE":
                 raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different days from {lo} to {hi}")
-            if c.dtype == "DATE":
+            if c.metadata["sql"] == "DATE":
                 return F.date_add(F.lit(lo), K.affine(row, (hi - lo).days + 1, *parts).cast("int"))
             span = max(1, (hi - lo).days * 86400)
             if span < n:
                 raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different seconds from {lo} to {hi}")
             return C.moment(C.seconds(F.lit(dt.datetime.combine(lo, dt.time()))) + K.affine(row, span, *parts))
-        if c.dtype == "DATE":
+        if c.metadata["sql"] == "DATE":
             return V.date(row, lo, hi, *parts)
         at = lambda v, d: v if isinstance(v, dt.datetime) else dt.datetime.combine(d, dt.time())
         return V.timestamp(row, at(low, lo), at(high, hi), *parts)
-    if c.dtype == "UUID":
+    if c.metadata["sql"] == "UUID":
         return V.uuid4(row, *parts)
-    made = V.text(row, c.hint, c.max_length, *parts)
-    if c.unique:
-        if c.max_length and 36**c.max_length < 2 * n:
-            raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different texts of {c.max_length} characters")
-        return V.unique_text(made, row, c.max_length)
+    made = V.text(row, c.metadata.get("hint"), length, *parts)
+    if alone:
+        if length and 36**length < 2 * n:
+            raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different texts of {length} characters")
+        return V.unique_text(made, row, length)
     return made
 
 
-def _single_key(table: M.Table, c: M.Column, row: Column, n: int, config: Config) -> Column:
-    if c.dtype in M.WHOLE:
+def _single_key(table: M.Table, c: T.StructField, row: Column, n: int, config: Config) -> Column:
+    if c.metadata["sql"] in M.WHOLE:
         low, _, _ = M.bounds(table, c)
-        return (row + (int(low) - 1 if low is not None else 0)).cast(c.spark_type())
-    own = M.Column(**{**c.__dict__, "unique": True})
-    return independent(table, own, row, n, config)
+        return (row + (int(low) - 1 if low is not None else 0)).cast(c.dataType)
+    return independent(table, c, row, n, config, alone=True)
 
 
 class Generator:
@@ -129,18 +135,28 @@ class Generator:
     def run(self) -> dict[str, DataFrame]:
         if missing := [t for t in self.plan.order if t not in self.specs]:
             raise M.SchemaError(f"no row count for {', '.join(missing)}")
-        for name in self.plan.order:
-            self.made[name] = materialise(self.table(name), name)
+        waiting = list(self.plan.order)
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # tables whose parents are there don't wait for each other
+            while waiting:
+                ready = [t for t in waiting if not self._parents(t) & set(waiting)]
+                self.made |= zip(ready, pool.map(lambda t: materialise(self.table(t), t), ready), strict=True)
+                waiting = [t for t in waiting if t not in ready]
         for name, fk in self.plan.deferred:
             self.made[name] = materialise(self.backfill(name, fk), name)
-        return {n: self.made[n].select(*[f"`{c.name}`" for c in t.columns]) for n, t in self.schema.tables.items()}
+        return {n: self.made[n].select(*[f"`{c.name}`" for c in t.row]) for n, t in self.schema.items()}
+
+    def _parents(self, name: str) -> set[str]:
+        """Tables that must be there before one."""
+        spec = self.specs[name]
+        own = {fk.table for fk in self.schema[name].references if not set(fk.columns) & self.plan.deferred_columns(name)}
+        return (own | ({spec.parent} if isinstance(spec, Fanout) else set())) & set(self.plan.order) - {name}
 
     def numbered(self) -> dict[str, DataFrame]:
         """The same with the row number in _rid."""
         return self.made
 
     def table(self, name: str) -> DataFrame:
-        table, config, seed = self.schema.tables[name], self.config, self.config.seed
+        table, config, seed = self.schema[name], self.config, self.config.seed
         deferred = self.plan.deferred_columns(name)
         spec, rid = self.specs[name], F.col("rid")
         pinned = None
@@ -148,76 +164,83 @@ class Generator:
             check_fanout(self.schema, self.plan, name, spec, set(self.n))
             parents = self.made[spec.parent].select(F.col("_rid").alias("rid"))
             rows = materialise(K.allocate(parents, spec.children(F.col("rid"), seed, name), seed, name), f"{name}-rows")
-            n, pinned = rows.count(), next(fk for fk in table.foreign_keys if fk.ref_table == spec.parent)
+            n, pinned = rows.count(), next(fk for fk in table.references if fk.table == spec.parent)
         else:
             n = spec
             rows = self.spark.range(1, n + 1).select(F.col("id").alias("rid"))
         self.n[name] = n
 
-        keys = [fk for fk in table.foreign_keys if not set(fk.columns) & deferred]
+        keys = [fk for fk in table.references if not set(fk.columns) & deferred]
         for fk in keys:
-            if not self.n[fk.ref_table] and n and not _may_be_null(table, fk):
-                raise M.DomainExhausted(f"{name}.{', '.join(fk.columns)} needs a row of {fk.ref_table}, which has none")
+            if not self.n[fk.table] and n and not _may_be_null(table, fk):
+                raise M.DomainExhausted(f"{name}.{', '.join(fk.columns)} needs a row of {fk.table}, which has none")
         picks: dict[int, Column] = {}
         rows = self._groups(table, keys, rows, n, picks, pinned)
+        own_roles = C.roles(table, deferred)
+        rewritten = config.coherence and own_roles.anchor and own_roles.rewritable  # else parents' anchors aren't looked at
         anchors: list[Column] = []
         values: dict[str, Column] = {}
         for i, fk in enumerate(keys):
             rows = self._pick(table, i, fk, rows, n, picks, fk is pinned)
-            parent = self.made[fk.ref_table]
-            anchor = C.roles(self.schema.tables[fk.ref_table], self.plan.deferred_columns(fk.ref_table)).anchor
-            got = parent.select(F.col("_rid").alias(f"_pick{i}"), *[F.col(f"`{r}`").alias(f"_key{i}_{j}") for j, r in enumerate(fk.ref_columns)], *([F.col(f"`{anchor}`").cast("timestamp_ntz").alias(f"_anchor{i}")] if anchor else []))
-            rows = rows.join(got, f"_pick{i}", "left")
-            for j, c in enumerate(fk.columns):
-                values.setdefault(c, F.col(f"_key{i}_{j}"))
+            parent, pick = self.schema[fk.table], F.col(f"_pick{i}")
+            anchor = C.roles(parent, self.plan.deferred_columns(fk.table)).anchor if rewritten else None
+            computed = fk.to == parent.key and not {*fk.to} & {c for r in parent.references for c in r.columns} and len(fk.to) == 1
+            if anchor or not computed:
+                got = self.made[fk.table].select(F.col("_rid").alias(f"_pick{i}"), *[F.col(f"`{r}`").alias(f"_key{i}_{j}") for j, r in enumerate(fk.to) if not computed], *([F.col(f"`{anchor}`").cast("timestamp_ntz").alias(f"_anchor{i}")] if anchor else []))
+                rows = rows.join(got, f"_pick{i}", "left")
+            if computed:  # a key is a function of its row's number
+                values.setdefault(fk.columns[0], F.when(pick.isNotNull(), _single_key(parent, parent.row[fk.to[0]], pick, self.n[fk.table], config)))
+            else:
+                for j, c in enumerate(fk.columns):
+                    values.setdefault(c, F.col(f"_key{i}_{j}"))
             if anchor:
                 anchors.append(F.col(f"_anchor{i}"))
 
-        rows, bound = self._pooled(table, rows, n, {*values, *deferred, *table.primary_key})
+        rows, bound = self._pooled(table, rows, n, {*values, *deferred, *table.key})
         values |= bound
-        compares = [c.parsed for c in table.checks if c.parsed and c.parsed[0] == "compare"]
+        compares = [c.form for c in table.checks if c.form and c.form[0] == "compare"]
         targets = {}
         for _, left, op, right in compares:
             # the left side follows from the right, but a key isn't moved
-            source, target, op = (right, left, op) if left not in table.primary_key and left not in targets else (left, right, _INVERSE[op])
+            source, target, op = (right, left, op) if left not in table.key and left not in targets else (left, right, _INVERSE[op])
             targets.setdefault(target, (source, op))
-        for c in table.columns:
+        for c in table.row:
             if c.name in deferred:
-                values[c.name] = F.lit(None).cast(c.spark_type())
+                values[c.name] = F.lit(None).cast(c.dataType)
             elif c.name in values or c.name in targets:
                 continue
-            elif table.primary_key == [c.name]:
+            elif table.key == [c.name]:
                 values[c.name] = _single_key(table, c, rid, n, config)
             else:
                 values[c.name] = self._nulls(table, c, self._own(table, c, rid, n))
         for target, (source, op) in targets.items():
             if target in values:
                 continue
-            c = table.column(target)
+            c = table.row[target]
             base, low_high = values.get(source, F.lit(None)), M.bounds(table, c)[:2]
             made = V.derived(base, op, rid, _is_time(table, source), config.seed, name, target)
             made = self._within(made, c, low_high)
             own = self._own(table, c, rid, n)
-            values[target] = self._nulls(table, c, F.coalesce(made.cast(c.spark_type()), own))
+            values[target] = self._nulls(table, c, F.coalesce(made.cast(c.dataType), own))
 
         rows = self._filtered(table, rows, values, n)
         if config.coherence:
             values = self._coherent(table, values, anchors, deferred)
-        columns = [values[c.name].cast(c.spark_type()).alias(c.name) for c in table.columns]
+        columns = [values[c.name].cast(c.dataType).alias(c.name) for c in table.row]
         return rows.select(F.col("rid").alias("_rid"), *columns)
 
     def _own(self, table: M.Table, c: M.Column, rid: Column, n: int, salt: str = "") -> Column:
         o = self.config.columns.get(f"{table.name}.{c.name}")
         grouped = {g[-1] for g in self._free_groups(table)}
-        own = M.Column(**{**c.__dict__, "unique": True}) if c.name in grouped else c
-        return independent(table, own, rid, n, self.config, salt, o.weights if o and not own.unique else None)
+        alone = c.name in grouped or c.name in table.lone
+        return independent(table, c, rid, n, self.config, salt, o.weights if o and not alone else None, alone)
 
     def _free_groups(self, table: M.Table) -> list[list[str]]:
         """Composite keys with a member that may have a value of its own for every row; that member makes them unique."""
-        in_keys = {c for fk in table.foreign_keys for c in fk.columns}
+        in_keys = {c for fk in table.references for c in fk.columns}
         out = []
-        for group in [*table.unique, *([table.primary_key] if len(table.primary_key) > 1 else [])]:
-            free = [c for c in group if c not in in_keys and table.column(c).enum is None and table.column(c).dtype != "BOOLEAN" and M.bounds(table, table.column(c))[2] is None]
+        for group in [*table.groups, *([table.key] if len(table.key) > 1 else [])]:
+            free = [c for c in group if c not in in_keys and table.row[c].metadata.get("domain") is None and table.row[c].metadata["sql"] != "BOOLEAN" and M.bounds(table, table.row[c])[2] is None]
             if free:
                 out.append([*group, free[-1]])
         return out
@@ -225,12 +248,12 @@ class Generator:
     def _groups(self, table: M.Table, keys: list, rows: DataFrame, n: int, picks: dict, pinned) -> DataFrame:
         """Composite keys of foreign keys only: different combinations of parents."""
         free = {tuple(g[:-1]) for g in self._free_groups(table)}
-        for group in [*([table.primary_key] if len(table.primary_key) > 1 else []), *table.unique]:
+        for group in [*([table.key] if len(table.key) > 1 else []), *table.groups]:
             members = [i for i, fk in enumerate(keys) if set(fk.columns) & set(group)]
             if tuple(group) in free or not members or any(i in picks for i in members) or {c for i in members for c in keys[i].columns} < set(group):
                 continue
             parts, rid = (self.config.seed, table.name, *group), F.col("rid")
-            sizes = [self.n[keys[i].ref_table] for i in members]
+            sizes = [self.n[keys[i].table] for i in members]
             at = next((k for k, i in enumerate(members) if keys[i] is pinned), None)
             if at is None:
                 for i, cell in zip(members, K.cells(sizes, n, rid, *parts), strict=True):
@@ -242,7 +265,7 @@ class Generator:
                 for s in rest:
                     total *= s
                 if n and rows.agg(F.max("place")).first()[0] > total:
-                    raise M.DomainExhausted(f"{table.name}: a row of {keys[members[at]].ref_table} has more children than there are combinations ({total})")
+                    raise M.DomainExhausted(f"{table.name}: a row of {keys[members[at]].table} has more children than there are combinations ({total})")
                 cell = F.pmod(F.col("place") * K.multiplier(total) + below(total, F.col("pick"), *parts), F.lit(total))
                 picks[members[at]] = F.col("pick")
                 for k in reversed([k for k in range(len(members)) if k != at]):
@@ -250,8 +273,8 @@ class Generator:
                     cell = F.floor(cell / F.lit(sizes[k]))
         return rows
 
-    def _pick(self, table: M.Table, i: int, fk: M.ForeignKey, rows: DataFrame, n: int, picks: dict, pinned: bool) -> DataFrame:
-        name, m, parts = f"_pick{i}", self.n[fk.ref_table], (self.config.seed, table.name, *fk.columns)
+    def _pick(self, table: M.Table, i: int, fk: M.Reference, rows: DataFrame, n: int, picks: dict, pinned: bool) -> DataFrame:
+        name, m, parts = f"_pick{i}", self.n[fk.table], (self.config.seed, table.name, *fk.columns)
         rid = F.col("rid")
         if i in picks:
             return rows.withColumn(name, picks[i])
@@ -259,12 +282,12 @@ class Generator:
             return rows.withColumn(name, F.col("pick"))
         if not m:
             return rows.withColumn(name, F.lit(None).cast("long"))
-        alone = len(fk.columns) == 1 and (table.column(fk.columns[0]).unique or table.primary_key == fk.columns)
+        alone = len(fk.columns) == 1 and (fk.columns[0] in table.lone or table.key == fk.columns)
         if alone:
             return rows.withColumn(name, K.permuted_pick(m, n, rid, *parts))
         if self.config.fanout == "zipfian":
-            parents = self.made[fk.ref_table].select(F.col("_rid").alias("rid"))
-            rows = K.zipf_pick(rows.withColumnRenamed("pick", "_pinned") if "pick" in rows.columns else rows, parents, *parts).withColumnRenamed("pick", name)
+            parents = self.made[fk.table].select(F.col("_rid").alias("rid"))
+            rows = K.zipf_pick(rows.withColumnRenamed("pick", "_pinned") if "pick" in rows.columns else rows, parents, *parts, m=m).withColumnRenamed("pick", name)
             rows = rows.withColumnRenamed("_pinned", "pick") if "_pinned" in rows.columns else rows
         else:
             rows = rows.withColumn(name, K.uniform_pick(m, rid, *parts))
@@ -272,20 +295,20 @@ class Generator:
             rows = rows.withColumn(name, V.nullable(F.col(name), self.config.fk_null_rate, rid, *parts))
         return rows
 
-    def _nulls(self, table: M.Table, c: M.Column, made: Column) -> Column:
-        if not c.nullable or c.name in table.primary_key:
+    def _nulls(self, table: M.Table, c: T.StructField, made: Column) -> Column:
+        if not c.nullable or c.name in table.key:
             return made
         return V.nullable(made, self.config.null_rate, F.col("rid"), self.config.seed, table.name, c.name)
 
     @staticmethod
-    def _within(made: Column, c: M.Column, low_high: tuple) -> Column:
+    def _within(made: Column, c: T.StructField, low_high: tuple) -> Column:
         low, high = low_high
-        if c.dtype in M.TIMED:
-            kind = "date" if c.dtype == "DATE" else "timestamp_ntz"
+        if c.metadata["sql"] in M.TIMED:
+            kind = "date" if c.metadata["sql"] == "DATE" else "timestamp_ntz"
             made = F.greatest(made.cast(kind), F.lit(low).cast(kind)) if low is not None else made
             return F.least(made.cast(kind), F.lit(high).cast(kind)) if high is not None else made
-        if c.dtype == "NUMERIC" and c.precision:
-            cap = Decimal(10) ** (c.precision - (c.scale or 0)) - Decimal(1).scaleb(-(c.scale or 0))
+        if c.metadata["sql"] == "NUMERIC":
+            cap = Decimal(10) ** (c.dataType.precision - c.dataType.scale) - Decimal(1).scaleb(-c.dataType.scale)
             high = cap if high is None else min(high, cap)
         made = F.greatest(made, F.lit(low)) if low is not None else made
         return F.least(made, F.lit(high)) if high is not None else made
@@ -297,7 +320,7 @@ class Generator:
             return rows, out
         for pool, columns in pool_groups(table, self.pools, taken):
             rid, parts = F.col("rid"), (self.config.seed, table.name, "pool", pool.name)
-            if any(c.unique for c, _ in columns):
+            if any(c.name in table.lone for c, _ in columns):
                 if n > len(pool.records):
                     warnings.warn(f"{table.name}: {n} rows need different records of pool {pool.name}, which has {len(pool.records)}", stacklevel=2)
                     continue
@@ -306,9 +329,9 @@ class Generator:
                 at = below(len(pool.records), rid, *parts)
             record = F.element_at(pool.as_array(), (at + 1).cast("int"))
             for c, key in columns:
-                text = F.coalesce(record.getField(key), V.text(rid, c.hint, None, *parts, "else"))  # a record may lack a field
-                out[c.name] = self._nulls(table, c, F.substring(text, 1, c.max_length) if c.max_length else text)
-            price = next((c for c in table.columns if c.hint == "money" and c.dtype in ("NUMERIC", "FLOAT") and not c.unique and c.name not in taken and c.enum is None), None)
+                text = F.coalesce(record.getField(key), V.text(rid, c.metadata.get("hint"), None, *parts, "else"))  # a record may lack a field
+                out[c.name] = self._nulls(table, c, F.substring(text, 1, c.metadata.get("length")) if c.metadata.get("length") else text)
+            price = next((c for c in table.row if c.metadata.get("hint") == "money" and c.metadata["sql"] in ("NUMERIC", "FLOAT") and c.name not in table.lone and c.name not in taken and c.metadata.get("domain") is None), None)
             if price is not None and {"price_min", "price_max"} <= pool.fields:
                 lo, hi = record.getField("price_min").cast("double"), record.getField("price_max").cast("double")
                 made = (lo + F.floor(uniform(rid, *parts, "price") * (hi - lo + 1))).cast("decimal(20,2)") - F.lit(Decimal("0.01"))
@@ -317,24 +340,31 @@ class Generator:
         return rows, out
 
     def _filtered(self, table: M.Table, rows: DataFrame, values: dict[str, Column], n: int) -> DataFrame:
-        """Redraws the columns of checks that have no simple form, until they hold; 50 times at most."""
-        fixed = C.protected(M.Table(table.name, table.columns, table.primary_key, table.foreign_keys, table.unique, [k for k in table.checks if k.parsed]), self.plan.deferred_columns(table.name))
-        for k, check in enumerate(c for c in table.checks if c.parsed is None):
+        """Redraws the columns of checks that have no simple form, until they hold; ATTEMPTS times at most."""
+        simple = M.Table(table.name, table.row, [r for r in table.rules if not isinstance(r, M.Check) or r.form])
+        fixed = C.protected(simple, self.plan.deferred_columns(table.name))
+        for k, check in enumerate(c for c in table.checks if c.form is None):
             free = [c for c in check.columns if c not in fixed]
             if not free or set(check.columns) & fixed:
                 continue
-            rid = F.concat_ws("/", F.col("rid").cast("string"), F.col("_try").cast("string"))
-            drawn = {c: F.when(F.col("_try") == 0, values[c].cast(table.column(c).spark_type())).otherwise(V.nullable(independent(table, table.column(c), rid, n, self.config, f"again{k}"), self.config.null_rate if table.column(c).nullable else 0.0, rid, self.config.seed, table.name, c, f"again{k}").cast(table.column(c).spark_type())) for c in free}
-            tried = rows.withColumn("_try", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS))))
-            tried = tried.select("*", *[v.alias(f"_new_{c}") for c, v in drawn.items()])
-            holds = F.coalesce(F.expr(_renamed(check, free)), F.lit(True))
-            least = F.min(F.when(holds, F.struct("_try", *[f"_new_{c}" for c in free]))).alias("_won")
-            won = tried.groupBy("rid").agg(least)
-            if not won.filter("_won is null").isEmpty():
+            if not evaluable(self.spark, table, check):
+                warnings.warn(f"{table.name}: Spark can't evaluate CHECK ({check.sql}), so it isn't looked at", stacklevel=2)
+                continue
+
+            def draw(attempt: Column, again: str = f"again{k}") -> dict[str, Column]:
+                rid, out = F.concat_ws("/", F.col("rid").cast("string"), attempt.cast("string")), {}
+                for c in free:
+                    column = table.row[c]
+                    made = independent(table, column, rid, n, self.config, again)
+                    out[c] = V.nullable(made, self.config.null_rate if column.nullable else 0.0, rid, self.config.seed, table.name, c, again).cast(column.dataType)
+                return out
+
+            rows = first_that_holds(rows, {c: values[c].cast(table.row[c].dataType) for c in free}, draw, check.sql, f"_kept{k}")
+            rows = materialise(rows, f"{table.name}-drawn")
+            if not rows.filter(f"_kept{k} is null").isEmpty():
                 raise M.DomainExhausted(f"{table.name}: no values satisfy {check.sql} in {ATTEMPTS} draws")
-            rows = rows.join(won.select("rid", *[F.col(f"_won._new_{c}").alias(f"_kept{k}_{c}") for c in free]), "rid")
             for c in free:
-                values[c] = F.col(f"_kept{k}_{c}")
+                values[c] = F.col(f"_kept{k}")[c]
         return rows
 
     def _coherent(self, table: M.Table, values: dict[str, Column], anchors: list[Column], deferred: set[str]) -> dict[str, Column]:
@@ -345,57 +375,83 @@ class Generator:
         cap = F.lit(dt.datetime.combine(self.config.as_of, dt.time())).cast("timestamp_ntz")
         anchor = values[own.anchor].cast("timestamp_ntz")
         if anchors and own.rewritable:
-            anchor = C.clamp(C.rewrite_anchor(anchor, C.floor_of(anchors), cap, rid, seed, table.name, own.anchor), *M.bounds(table, table.column(own.anchor))[:2])
-            if table.column(own.anchor).dtype == "DATE":
+            anchor = C.clamp(C.rewrite_anchor(anchor, C.floor_of(anchors), cap, rid, seed, table.name, own.anchor), *M.bounds(table, table.row[own.anchor])[:2])
+            if table.row[own.anchor].metadata["sql"] == "DATE":
                 anchor = anchor.cast("date").cast("timestamp_ntz")
             out[own.anchor] = anchor
 
         def kept(c: str, at: Column) -> Column:
-            return C.clamp(at, *M.bounds(table, table.column(c))[:2])
+            return C.clamp(at, *M.bounds(table, table.row[c])[:2])
 
         for c in own.updated:
             out[c] = kept(c, C.updated_at(values[c].cast("timestamp_ntz"), anchor, cap, rid, seed, table.name, c))
         for c in own.last:
             out[c] = kept(c, C.last_seen(values[c].cast("timestamp_ntz"), anchor, cap, rid, seed, table.name, c))
         status = values[own.status].cast("string") if own.status else None
-        stages = [(c, values[c], C.filled(status, values[c], c, not table.column(c).nullable)) for c in own.lifecycle]
+        stages = [(c, values[c], C.filled(status, values[c], c, not table.row[c].nullable)) for c in own.lifecycle]
         for (c, _, _), at in zip(stages, C.lifecycle(anchor, stages, rid, seed, table.name), strict=True):
             out[c] = kept(c, at)
         return out
 
-    def backfill(self, name: str, fk: M.ForeignKey) -> DataFrame:
+    def backfill(self, name: str, fk: M.Reference) -> DataFrame:
         """Fills a deferred key: with an earlier row of the same table, or with a parent that is not later."""
-        table, config, parts = self.schema.tables[name], self.config, (self.config.seed, name, *fk.columns)
-        rows, parent = self.made[name], self.made[fk.ref_table]
+        table, config, parts = self.schema[name], self.config, (self.config.seed, name, *fk.columns)
+        rows, parent = self.made[name], self.made[fk.table]
         own = C.roles(table, self.plan.deferred_columns(name)).anchor
-        theirs = C.roles(self.schema.tables[fk.ref_table], self.plan.deferred_columns(fk.ref_table)).anchor
+        theirs = C.roles(self.schema[fk.table], self.plan.deferred_columns(fk.table)).anchor
         start = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
 
         def anchored(df: DataFrame, anchor: str | None) -> DataFrame:
             return df.select(F.col("_rid").alias("rid"), (F.coalesce(F.col(f"`{anchor}`").cast("timestamp_ntz"), start) if anchor else start).alias("anchor"))
 
-        if fk.ref_table == name:
+        if fk.table == name:
             share = config.deferred_fk_null_rate if config.root_fraction is None else config.root_fraction
             picked = K.forest_parents(anchored(rows, own), share, *parts).select("rid", F.col("parent").alias("pick"))
         else:
             both = own and theirs
             picked = K.earlier_pick(anchored(rows, own if both else None), anchored(parent, theirs if both else None), config.deferred_fk_null_rate, *parts).select("rid", "pick")
-        got = parent.select(F.col("_rid").alias("pick"), *[F.col(f"`{r}`").alias(f"_key{j}") for j, r in enumerate(fk.ref_columns)])
+        got = parent.select(F.col("_rid").alias("pick"), *[F.col(f"`{r}`").alias(f"_key{j}") for j, r in enumerate(fk.to)])
         joined = rows.drop(*fk.columns).join(picked.join(got, "pick", "left").withColumnRenamed("rid", "_rid").drop("pick"), "_rid")
         for j, c in enumerate(fk.columns):
             joined = joined.withColumnRenamed(f"_key{j}", c)
-        return joined.select("_rid", *[f"`{c.name}`" for c in table.columns])
+        return joined.select("_rid", *[f"`{c.name}`" for c in table.row])
+
+
+def _may_be_null(table: M.Table, fk: M.Reference) -> bool:
+    return all(table.row[c].nullable and c not in table.key for c in fk.columns)
+
+
+def evaluable(spark: SparkSession, table: M.Table, check: M.Check) -> bool:
+    """Whether Spark can read a check over a table's columns."""
+    try:
+        return spark.createDataFrame([], table.row).select(F.expr(check.sql).cast("boolean")).columns is not None
+    except (ParseException, AnalysisException):
+        return False
+
+
+def first_that_holds(rows: DataFrame, first: dict[str, Column], draw: Callable[[Column], dict[str, Column]], sql: str, name: str) -> DataFrame:
+    """rows with a struct of the first values under which the check doesn't fail: first, or a draw by the number of its attempt, from
+    1 to ATTEMPTS; null if there is none. All within a row; later draws are made for rows without an earlier one only."""
 
+    def struct(d: dict[str, Column]) -> Column:
+        return F.struct(*[v.alias(c) for c, v in d.items()])
 
-def _may_be_null(table: M.Table, fk: M.ForeignKey) -> bool:
-    return all(table.column(c).nullable and c not in table.primary_key for c in fk.columns)
+    columns, won = [F.col(f"`{c}`") for c in rows.columns], None
+    for low, high in ((0, 0), (1, 7), (8, ATTEMPTS)):
+        made = F.array(struct(first)) if not high else F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: struct(draw(k)))
+        rows = rows.select(*columns, *([] if won is None else [name]), (made if won is None else F.when(F.col(name).isNull(), made)).alias("_draws"))
+        won = F.lit(None)
+        for i in reversed(range(high - low + 1)):
+            holds = F.coalesce(F.expr(_renamed(sql, list(first), f"_draws[{i}]")), F.lit(True))
+            won = F.when(holds, F.get("_draws", F.lit(i))).otherwise(won)
+        rows = rows.select(*columns, (F.coalesce(F.col(name), won) if high else won).alias(name))
+    return rows
 
 
-def _renamed(check: M.Check, free: list[str]) -> str:
-    """A check's SQL over the new draws."""
-    sql = check.sql
+def _renamed(sql: str, free: list[str], struct: str) -> str:
+    """A check's SQL over the fields of a struct."""
     for c in free:
-        sql = re.sub(rf"(?<![\w`']){re.escape(c)}(?![\w`'(])|`{re.escape(c)}`", f"`_new_{c}`", sql)
+        sql = re.sub(rf"(?<![\w`'.]){re.escape(c)}(?![\w`'(])|`{re.escape(c)}`", f"{struct}.`{c}`", sql)
     return sql
 
 

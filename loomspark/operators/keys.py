@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import below, shuffle_key, uniform
 from ..plans.model import DomainExhausted
-from .ranking import hash_bucket, number_rows, running_total
+from ..storage import materialise
+from .ranking import hash_buckets, number_rows, row_buckets, running_total, time_buckets
 
 ZIPF = 0.7
 
@@ -30,20 +31,21 @@ def permuted_pick(n_parents: int, n_children: int, rid: Column, *parts) -> Colum
     return affine(rid, n_parents, *parts) + 1
 
 
-def zipf_pick(children: DataFrame, parents: DataFrame, *parts) -> DataFrame:
-    """children with pick: parents in the order of a shuffle weigh 1 / rank^0.7.
+def zipf_pick(children: DataFrame, parents: DataFrame, *parts, m: int | None = None) -> DataFrame:
+    """children with pick: m parents (None: they are counted) in the order of a shuffle weigh 1 / rank^0.7.
 
     Weights are whole millionths. A child draws a place in their sum; parents' intervals and children's places are cut
     into as many bins as there are parents, so that the range join is an equi-join on the bin. A bin holds a few parents only, as the least
     weight is a third of the mean."""
-    m = parents.count()
+    m = parents.count() if m is None else m
+    if not m:
+        return children.withColumn("pick", F.lit(None).cast("long"))
     key = shuffle_key(F.col("rid"), *parts, "rank")
-    ranked = number_rows(parents.select("rid").withColumn("_key", key), hash_bucket(F.col("_key")), [F.col("_key"), F.col("rid")], "_rank")
+    ranked = number_rows(parents.select("rid").withColumn("_key", key), hash_buckets(F.col("_key"), m), [F.col("_key"), F.col("rid")], "_rank")
     weight = F.greatest(F.lit(1), F.floor(F.lit(1e6) * F.pow(F.col("_rank").cast("double"), F.lit(-ZIPF)))).cast("long")
-    summed = running_total(ranked.withColumn("_w", weight), F.col("_w"), F.shiftright("_rank", 16), [F.col("_rank")], "_hi")
+    summed = running_total(ranked.withColumn("_w", weight), F.col("_w"), row_buckets(F.col("_rank"), m), [F.col("_rank")], "_hi")
+    summed = materialise(summed.select("rid", "_w", "_hi"), "zipf")
     total = summed.agg(F.max("_hi")).first()[0]
-    if not total:
-        return children.withColumn("pick", F.lit(None).cast("long"))
     width = max(1, total // max(1, m))
     low = F.col("_hi") - F.col("_w")
     binned = summed.select(F.col("rid").alias("pick"), low.alias("_lo"), "_hi", F.explode(F.sequence(F.floor(low / width), F.floor((F.col("_hi") - 1) / width))).alias("_bin"))
@@ -58,7 +60,7 @@ def allocate(parents: DataFrame, n_children: Column, *parts) -> DataFrame:
     each = each.select("pick", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("place"))
     key = shuffle_key(F.concat_ws("/", F.col("pick").cast("string"), F.col("place").cast("string")), *parts, "order")
     each = each.withColumn("_key", key)
-    return number_rows(each, hash_bucket(F.col("_key")), [F.col("_key"), F.col("pick"), F.col("place")], "rid").select("rid", "pick", "place")
+    return number_rows(each, hash_buckets(F.col("_key")), [F.col("_key"), F.col("pick"), F.col("place")], "rid").select("rid", "pick", "place")
 
 
 def multiplier(n: int) -> int:
@@ -90,7 +92,7 @@ def cells(sizes: list[int], n: int, rid: Column, *parts) -> list[Column]:
 def forest_parents(rows: DataFrame, root_fraction: float, *parts) -> DataFrame:
     """rows(rid, anchor) with parent: the rid of a row that comes before in order of (anchor, rid), null for roots. No
     cycle can arise, and no parent is younger. The first row is a root."""
-    ranked = number_rows(rows, F.to_date("anchor"), [F.col("anchor"), F.col("rid")], "_rank")
+    ranked = number_rows(rows, time_buckets(F.col("anchor")), [F.col("anchor"), F.col("rid")], "_rank")
     n = F.col("_rank") - 1
     pick = F.when((uniform(F.col("rid"), *parts, "root") >= root_fraction) & (n > 0), below(n, F.col("rid"), *parts) + 1)
     above = ranked.select(F.col("_rank").alias("_pick"), F.col("rid").alias("parent"))
@@ -98,17 +100,17 @@ def forest_parents(rows: DataFrame, root_fraction: float, *parts) -> DataFrame:
 
 
 def as_of_count(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """rows(rid, anchor) with n_before: how many of others(anchor) are not later. Days are the buckets."""
+    """rows(rid, anchor) with n_before: how many of others(anchor) are not later. Days and minutes are the buckets."""
     both = rows.select("rid", "anchor", F.lit(0).cast("long").alias("_one")).unionByName(others.select(F.lit(None).cast("long").alias("rid"), "anchor", F.lit(1).cast("long").alias("_one")))
     order = [F.col("anchor"), F.col("_one").desc(), F.col("rid")]
-    counted = running_total(both.filter("anchor is not null"), F.col("_one"), F.to_date("anchor"), order, "n_before").filter("_one = 0").select("rid", "n_before")
+    counted = running_total(both.filter("anchor is not null"), F.col("_one"), time_buckets(F.col("anchor")), order, "n_before").filter("_one = 0").select("rid", "n_before")
     return rows.join(counted, "rid", "left").withColumn("n_before", F.coalesce("n_before", F.lit(0)))
 
 
 def earlier_pick(children: DataFrame, parents: DataFrame, null_rate: float, *parts) -> DataFrame:
     """children(rid, anchor) with pick: the rid of one of parents(rid, anchor) that are not later, null if there is none."""
     counted = as_of_count(children, parents)
-    ranked = number_rows(parents.filter("anchor is not null"), F.to_date("anchor"), [F.col("anchor"), F.col("rid")], "_rank").select(F.col("rid").alias("pick"), "_rank")
+    ranked = number_rows(parents.filter("anchor is not null"), time_buckets(F.col("anchor")), [F.col("anchor"), F.col("rid")], "_rank").select(F.col("rid").alias("pick"), "_rank")
     rank = F.when((F.col("n_before") > 0) & (uniform(F.col("rid"), *parts, "null") >= null_rate), below(F.col("n_before"), F.col("rid"), *parts) + 1)
     return counted.withColumn("_rank", rank).join(ranked, "_rank", "left").drop("_rank", "n_before")
 
@@ -116,6 +118,6 @@ def earlier_pick(children: DataFrame, parents: DataFrame, null_rate: float, *par
 def sort_anchors(rows: DataFrame) -> DataFrame:
     """rows(rid, anchor) with the anchors that aren't null in ascending order over the rows that have one."""
     some = rows.filter("anchor is not null")
-    by_row = number_rows(some.select("rid"), F.shiftright("rid", 16), [F.col("rid")], "_place")
-    by_time = number_rows(some.select("anchor", F.col("rid").alias("_tie")), F.to_date("anchor"), [F.col("anchor"), F.col("_tie")], "_place").drop("_tie")
+    by_row = number_rows(some.select("rid"), row_buckets(F.col("rid")), [F.col("rid")], "_place")
+    by_time = number_rows(some.select("anchor", F.col("rid").alias("_tie")), time_buckets(F.col("anchor")), [F.col("anchor"), F.col("_tie")], "_place").drop("_tie")
     return by_row.join(by_time, "_place").drop("_place").unionByName(rows.filter("anchor is null").select("rid", "anchor"))

@@ -55,8 +55,16 @@ def insert_ignore(table: DataFrame, rows: DataFrame, key: str, order: list[str])
 
 def replay_limits(df: DataFrame, key: str, at: str, tie: str, limit: int, window: float) -> DataFrame:
     """df(key, at in seconds, tie) with allowed and retry_after, as a sliding-window limiter decides: hits that are denied
-    don't count. A key's rows come to one task in order, one after another: it holds limit times of one key, never a group."""
+    don't count. Where a key has no hit for a window's time the limiter has forgotten all, so its hits are cut there, and each
+    run of them comes to one task in order, one after another: a task holds limit times of one run, never a group. Cuts are found
+    among the first and last hits of each key and stretch of a window's length."""
     ship(df.sparkSession)
+    hits = df.select(key, at, tie).withColumn("_stretch", F.floor(F.col(at) / window))
+    spans = hits.groupBy(key, "_stretch").agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    of_key = Window.partitionBy(key).orderBy("_stretch")
+    cut = F.coalesce(F.col("_first") - F.lag("_last").over(of_key) >= window, F.lit(True))
+    runs = spans.withColumn("_run", F.sum(cut.cast("long")).over(of_key)).select(F.col(key).alias("_key"), F.col("_stretch").alias("_of"), "_run")
+    hits = hits.join(runs, F.col(key).eqNullSafe(F.col("_key")) & F.col("_stretch").eqNullSafe(F.col("_of"))).select(key, at, tie, "_run")
     kind = df.select(key, at, tie).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kind) + ", allowed boolean, retry_after long"
 
@@ -64,15 +72,16 @@ def replay_limits(df: DataFrame, key: str, at: str, tie: str, limit: int, window
         current, kept = object(), deque()
         for frame in frames:
             allowed, wait = [], []
-            for k, t in zip(frame[key], frame[at], strict=True):
-                if k != current:
-                    current, kept = k, deque()
+            for k, r, t in zip(frame[key], frame.pop("_run"), frame[at], strict=True):
+                k = None if k != k else k  # a null key in pandas
+                if (k, r) != current:
+                    current, kept = (k, r), deque()
                 ok, seconds = decide(kept, t, limit, window)
                 allowed.append(ok)
                 wait.append(seconds)
             yield frame.assign(allowed=allowed, retry_after=wait)
 
-    return df.select(key, at, tie).repartition(F.col(key)).sortWithinPartitions(key, at, tie).mapInPandas(run, schema)
+    return hits.repartition(F.col(key), F.col("_run")).sortWithinPartitions(key, "_run", at, tie).mapInPandas(run, schema)
 
 
 def decide(kept, now: float, limit: int, window: float) -> tuple[bool, int]:
@@ -108,5 +117,6 @@ def event_report(events: DataFrame) -> dict[str, DataFrame]:
 
 def first_seen(df: DataFrame, value: str, row: str) -> DataFrame:
     """Rows that repeat a value, with the first row that has it."""
-    first = F.min(row).over(Window.partitionBy(value))
-    return df.filter(F.col(value).isNotNull()).select(row, value, first.alias("first_row")).filter(F.col(row) > F.col("first_row"))
+    some = df.filter(F.col(value).isNotNull()).select(row, value)
+    first = some.groupBy(value).agg(F.min(row).alias("first_row"))
+    return some.join(first, value).filter(F.col(row) > F.col("first_row")).select(row, value, "first_row")

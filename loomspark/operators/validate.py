@@ -2,44 +2,52 @@
 
 Findings are rows (table, kind, name, violations, severity). All row-local checks of a table are one aggregation over one scan;
 uniqueness is a grouping, foreign keys are anti-joins, chronology is a join with a residual. A null passes CHECK,
-enum, UNIQUE and foreign keys.
+enum, UNIQUE and foreign keys. A CHECK that Spark can't read is reported with the severity unverifiable, and no violations.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.graph import plan_generation
-from ..plans.model import TIMED, WHOLE, Schema, Table
+from ..plans.model import TIMED, WHOLE, Check, Schema, Table
 from .coherence import roles
 from .hierarchy import unrooted
 
 
 def type_violation(c: Column, column, actual: str) -> Column:
     """Whether a value isn't of the column's type; text stands for any type that it can be cast to."""
-    if column.dtype == "VARCHAR" and column.max_length:
-        return F.length(c) > column.max_length
-    if column.dtype == "NUMERIC":
-        scale = 2 if column.scale is None else column.scale
+    if column.metadata["sql"] == "VARCHAR" and column.metadata.get("length"):
+        return F.length(c) > column.metadata.get("length")
+    if column.metadata["sql"] == "NUMERIC":
         # what the type can't hold, or holds only when rounded
-        as_type = c.try_cast(f"decimal({column.precision or 38},{scale})")
+        as_type = c.try_cast(column.dataType)
         return c.isNotNull() & (as_type.isNull() | (c.try_cast("decimal(38,10)") != as_type.cast("decimal(38,10)")))
-    if column.dtype == "UUID":
+    if column.metadata["sql"] == "UUID":
         return c.isNotNull() & ~c.cast("string").rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
-    if column.dtype in WHOLE:
-        kind = {"INTEGER": "int", "BIGINT": "bigint", "SMALLINT": "smallint"}[column.dtype]
+    if column.metadata["sql"] in WHOLE:
+        kind = {"INTEGER": "int", "BIGINT": "bigint", "SMALLINT": "smallint"}[column.metadata["sql"]]
         return c.isNotNull() & (c.try_cast(kind).isNull() | (c.try_cast("decimal(38,10)") != c.try_cast(kind).cast("decimal(38,10)")))
-    if column.dtype in (*TIMED, "BOOLEAN", "FLOAT"):
-        kind = {"DATE": "date", "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "FLOAT": "double"}[column.dtype]
+    if column.metadata["sql"] in (*TIMED, "BOOLEAN", "FLOAT"):
+        kind = {"DATE": "date", "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "FLOAT": "double"}[column.metadata["sql"]]
         return c.isNotNull() & c.try_cast(kind).isNull() if actual == "string" else F.lit(False)
     return F.lit(False)
 
 
+def readable(df: DataFrame, check: Check) -> bool:
+    """Whether Spark can read a check over the columns of df."""
+    try:
+        return df.select(F.expr(check.sql).cast("boolean")).columns is not None
+    except (ParseException, AnalysisException):
+        return False
+
+
 def row_checks(df: DataFrame, table: Table) -> DataFrame:
     """(kind, name, violations) of not-null, type, enum and check rules: one scan."""
     kinds, rules = dict(df.dtypes), []
-    declared = {c.name: c.spark_type() for c in table.columns}
+    declared = {c.name: c.dataType for c in table.row}
     # checks read values of the declared types; text that isn't of its type is null to them, and a violation of type
 
     def typed(c: str) -> Column:
@@ -47,14 +55,15 @@ def row_checks(df: DataFrame, table: Table) -> DataFrame:
         return (value.try_cast(declared[c]) if kinds[c] == "string" and c in declared else value).alias(c)
 
     df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_raw"), *[typed(c) for c in df.columns])
-    for c in table.columns:
+    for c in table.row:
         value = F.col("_raw").getField(c.name)
         rules.append(("not_null", c.name, value.isNull() if not c.nullable else F.lit(False)))
         rules.append(("type", c.name, F.coalesce(type_violation(value, c, kinds[c.name]), F.lit(False))))
-        if c.enum is not None:
-            rules.append(("enum", c.name, value.isNotNull() & ~value.isin(*c.enum)))
+        if c.metadata.get("domain") is not None:
+            rules.append(("enum", c.name, value.isNotNull() & ~value.isin(*c.metadata.get("domain"))))
     for check in table.checks:
-        rules.append(("check", check.sql, ~F.coalesce(F.expr(check.sql), F.lit(True))))
+        if readable(df, check):
+            rules.append(("check", check.sql, ~F.coalesce(F.expr(check.sql), F.lit(True))))
     counted = df.agg(*[F.count_if(rule).alias(f"_{i}") for i, (_, _, rule) in enumerate(rules)])
     rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.col(f"_{i}").alias("violations")) for i, (k, n, _) in enumerate(rules)])
     return counted.select(F.inline(rows))
@@ -90,34 +99,34 @@ def before_parent(child: DataFrame, columns: list[str], anchor: str, parent: Dat
 
 
 def validate_table(tables: dict[str, DataFrame], schema: Schema, name: str, deferred: set[str] = frozenset()) -> DataFrame:
-    table, df = schema.tables[name], tables[name]
+    table, df = schema[name], tables[name]
     found = [row_checks(df, table).withColumn("severity", F.lit("error"))]
 
     def add(counted: DataFrame, kind: str, label: str, severity: str = "error") -> None:
         found.append(counted.select(F.lit(kind).alias("kind"), F.lit(label).alias("name"), F.col("violations").cast("long").alias("violations"), F.lit(severity).alias("severity")))
 
     count = F.count("*").alias("violations")
-    if table.primary_key:
-        add(primary_key(df, table.primary_key), "primary_key", ",".join(table.primary_key))
-    for c in table.columns:
-        if c.unique:
-            add(duplicates(df, [c.name]), "unique", c.name)
-    for group in table.unique:
+    for check in table.checks:
+        if not readable(df, check):
+            add(df.sparkSession.range(1).select(F.lit(0).alias("violations")), "check", check.sql, "unverifiable")
+    if table.key:
+        add(primary_key(df, table.key), "primary_key", ",".join(table.key))
+    for group in [*([c.name] for c in table.row if c.name in table.lone), *table.groups]:
         add(duplicates(df, group), "unique", ",".join(group))
-    for fk in table.foreign_keys:
-        add(orphans(df, fk.columns, tables[fk.ref_table], fk.ref_columns).agg(count), "foreign_key", ",".join(fk.columns))
+    for fk in table.references:
+        add(orphans(df, fk.columns, tables[fk.table], fk.to).agg(count), "foreign_key", ",".join(fk.columns))
     own = roles(table, deferred)
     if own.anchor:
         later = [c for c in (*own.updated, *own.last, *own.lifecycle)]
         for c in later:
             add(df.agg(F.count_if(F.col(f"`{c}`") < F.col(f"`{own.anchor}`")).alias("violations")), "coherence", f"{c} before {own.anchor}", "warning")
-        for fk in table.foreign_keys:
-            theirs = roles(schema.tables[fk.ref_table]).anchor
-            if theirs and fk.ref_table != name and not set(fk.columns) & deferred:
-                add(before_parent(df, fk.columns, own.anchor, tables[fk.ref_table], fk.ref_columns, theirs).agg(count), "coherence", f"{own.anchor} before {fk.ref_table}", "warning")
-    for fk in table.foreign_keys:
-        if fk.ref_table == name and len(fk.columns) == 1 and len(fk.ref_columns) == 1:
-            add(unrooted(df, fk.ref_columns[0], fk.columns[0]).agg(count), "coherence", f"{fk.columns[0]} cycle", "warning")
+        for fk in table.references:
+            theirs = roles(schema[fk.table]).anchor
+            if theirs and fk.table != name and not set(fk.columns) & deferred:
+                add(before_parent(df, fk.columns, own.anchor, tables[fk.table], fk.to, theirs).agg(count), "coherence", f"{own.anchor} before {fk.table}", "warning")
+    for fk in table.references:
+        if fk.table == name and len(fk.columns) == 1 and len(fk.to) == 1:
+            add(unrooted(df, fk.to[0], fk.columns[0]).agg(count), "coherence", f"{fk.columns[0]} cycle", "warning")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -127,7 +136,7 @@ def validate_table(tables: dict[str, DataFrame], schema: Schema, name: str, defe
 def validate(tables: dict[str, DataFrame], schema: Schema) -> DataFrame:
     """All findings, those without violations too."""
     plan, out = plan_generation(schema), None
-    for name in schema.tables:
+    for name in schema:
         more = validate_table(tables, schema, name, plan.deferred_columns(name))
         out = more if out is None else out.unionByName(more)
     return out

@@ -103,32 +103,32 @@ def apply_overrides(schema: Schema, overrides: dict[str, Override]) -> Schema:
 
     for name, o in overrides.items():
         t, c = name.split(".")
-        if t not in schema.tables:
+        if t not in schema:
             raise ConfigError(f"[columns.{name}]: there is no table {t}")
-        table = schema.tables[t]
+        table = schema[t]
         try:
-            column = table.column(c)
+            column = table.row[c]
         except KeyError:
             raise ConfigError(f"[columns.{name}]: {t} has no column {c}") from None
-        if c in table.primary_key or any(c in fk.columns for fk in table.foreign_keys):
+        if c in table.key or any(c in fk.columns for fk in table.references):
             raise ConfigError(f"[columns.{name}]: keys can't be overridden")
         if o.values is not None:
-            if column.enum is not None and (extra := set(o.values) - set(column.enum)):
+            if column.metadata.get("domain") is not None and (extra := set(o.values) - set(column.metadata.get("domain"))):
                 raise ConfigError(f"[columns.{name}]: {sorted(map(str, extra))} are not allowed by the schema")
-            if column.dtype in WHOLE and not all(isinstance(v, int) and not isinstance(v, bool) for v in o.values):
+            if column.metadata["sql"] in WHOLE and not all(isinstance(v, int) and not isinstance(v, bool) for v in o.values):
                 raise ConfigError(f"[columns.{name}]: values must be integers")
-            column.enum = list(o.values)
+            column.metadata["domain"] = list(o.values)
         if o.min is not None or o.max is not None:
-            if column.dtype not in (*WHOLE, "NUMERIC", "FLOAT", "DATE", "TIMESTAMP"):
+            if column.metadata["sql"] not in (*WHOLE, "NUMERIC", "FLOAT", "DATE", "TIMESTAMP"):
                 raise ConfigError(f"[columns.{name}]: min and max need a number, date or time")
-            dates = column.dtype in ("DATE", "TIMESTAMP")
+            dates = column.metadata["sql"] in ("DATE", "TIMESTAMP")
             if any(v is not None and isinstance(v, (dt.date, str)) != dates for v in (o.min, o.max)):
                 raise ConfigError(f"[columns.{name}]: min and max don't fit the type")
             as_value = (lambda v: dt.date.fromisoformat(v) if isinstance(v, str) else v) if dates else (lambda v: Decimal(str(v)))
             for op, v in ((">=", o.min), ("<=", o.max)):
                 if v is not None:
                     literal = f"DATE '{v}'" if dates else str(v)
-                    table.checks.append(Check(f"{c} {op} {literal}", [c], ("bound", c, op, as_value(v))))
+                    table.rules.append(Check(f"{c} {op} {literal}", [c], ("bound", c, op, as_value(v))))
             low, high, _ = bounds(table, column)
             if low is not None and high is not None and low > high:
                 raise ConfigError(f"[columns.{name}]: nothing is left between {low} and {high}")

@@ -48,9 +48,9 @@ def check_fanout(schema: Schema, plan: Plan, table: str, spec: Fanout, known: se
     """A fan-out needs exactly one single-column key to a parent that has a row count and isn't deferred."""
     if spec.parent == table:
         raise ConfigError(f"{table} can't fan out over itself; the share of roots shapes hierarchies")
-    if spec.parent not in schema.tables:
+    if spec.parent not in schema:
         raise ConfigError(f"{table} fans out over {spec.parent}, which is not in the schema")
-    keys = [fk for fk in schema.tables[table].foreign_keys if fk.ref_table == spec.parent]
+    keys = [fk for fk in schema[table].references if fk.table == spec.parent]
     if len(keys) != 1:
         raise ConfigError(f"{table} has {len(keys)} foreign keys to {spec.parent}; a fan-out needs one")
     if len(keys[0].columns) != 1:
@@ -65,7 +65,7 @@ def integer_plan(schema: Schema, order: list[str], base: int) -> dict[str, int]:
     """base rows for tables without parents; three times the largest parent for others, but ten times base at most."""
     counts: dict[str, int] = {}
     for name in order:
-        parents = [counts[fk.ref_table] for fk in schema.tables[name].foreign_keys if fk.ref_table in counts and fk.ref_table != name]
+        parents = [counts[fk.table] for fk in schema[name].references if fk.table in counts and fk.table != name]
         counts[name] = min(3 * max(parents), 10 * base) if parents else base
     return counts
 
@@ -88,9 +88,9 @@ MAX_DDL, MAX_TABLES, MAX_COLUMNS, MAX_ROWS = 50_000, 15, 120, 1000
 
 def check_caps(schema: Schema, ddl: str = "", rows: int = 1) -> None:
     """Raises ConfigError for a schema or a request that is larger than a public service takes."""
-    columns = sum(len(t.columns) for t in schema.tables.values())
-    for what, n, most in (("bytes of DDL", len(ddl.encode()), MAX_DDL), ("tables", len(schema.tables), MAX_TABLES), ("columns", columns, MAX_COLUMNS), ("rows", rows, MAX_ROWS)):
+    columns = sum(len(t.row) for t in schema.values())
+    for what, n, most in (("bytes of DDL", len(ddl.encode()), MAX_DDL), ("tables", len(schema), MAX_TABLES), ("columns", columns, MAX_COLUMNS), ("rows", rows, MAX_ROWS)):
         if n > most:
             raise ConfigError(f"{n} {what}; the most is {most}")
-    if not schema.tables:
+    if not schema:
         raise ConfigError("there is no table")

@@ -27,7 +27,7 @@ def declared() -> Schema:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: table(spark, sf_dir, n) for n in declared().tables}
+    return {n: table(spark, sf_dir, n) for n in declared()}
 
 
 def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def _of_kind(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema, found = declared(), None
         for name, df in tables(spark, sf_dir).items():
-            rows = validate.row_checks(df, schema.tables[name]).filter(F.col("kind") == kind).select(F.lit(name).alias("table"), "name", "violations")
+            rows = validate.row_checks(df, schema[name]).filter(F.col("kind") == kind).select(F.lit(name).alias("table"), "name", "violations")
             found = rows if found is None else found.unionByName(rows)
         return found
 
@@ -63,21 +63,21 @@ def _report_sql(kinds: tuple[str, ...] | None = None) -> str:
         some = " AND ".join(f"{c} IS NOT NULL" for c in columns)
         return f"(SELECT count(*) AS n FROM {t} WHERE {some} GROUP BY {', '.join(columns)})"
 
-    for t, model in declared().tables.items():
-        for c in model.columns:
+    for t, model in declared().items():
+        for c in model.row:
             add(t, "not_null", c.name, f"count(*) FILTER (WHERE {c.name} IS NULL)" if not c.nullable else "0", None if not c.nullable else "(SELECT 1)")
-            add(t, "type", c.name, f"count(*) FILTER (WHERE length({c.name}) > {c.max_length})" if c.max_length else "0", None if c.max_length else "(SELECT 1)")
-            if c.enum:
-                add(t, "enum", c.name, f"count(*) FILTER (WHERE {c.name} NOT IN ({', '.join(repr(v) for v in c.enum)}))")
+            add(t, "type", c.name, f"count(*) FILTER (WHERE length({c.name}) > {c.metadata.get("length")})" if c.metadata.get("length") else "0", None if c.metadata.get("length") else "(SELECT 1)")
+            if c.metadata.get("domain"):
+                add(t, "enum", c.name, f"count(*) FILTER (WHERE {c.name} NOT IN ({', '.join(repr(v) for v in c.metadata.get("domain"))}))")
         for check in model.checks:
             add(t, "check", check.sql, f"count(*) FILTER (WHERE NOT ({check.sql}))")
-        nulls = " OR ".join(f"{c} IS NULL" for c in model.primary_key)
-        add(t, "primary_key", ",".join(model.primary_key), f"coalesce(sum(n - 1), 0) + (SELECT count(*) FROM {t} WHERE {nulls})", repeats(t, model.primary_key))
-        for group in model.unique:
+        nulls = " OR ".join(f"{c} IS NULL" for c in model.key)
+        add(t, "primary_key", ",".join(model.key), f"coalesce(sum(n - 1), 0) + (SELECT count(*) FROM {t} WHERE {nulls})", repeats(t, model.key))
+        for group in model.groups:
             add(t, "unique", ",".join(group), "coalesce(sum(n - 1), 0)", repeats(t, group))
-        for fk in model.foreign_keys:
-            c, r = fk.columns[0], fk.ref_columns[0]
-            add(t, "foreign_key", c, "count(*)", f"{t} WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {fk.ref_table} WHERE {r} = {c})")
+        for fk in model.references:
+            c, r = fk.columns[0], fk.to[0]
+            add(t, "foreign_key", c, "count(*)", f"{t} WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {fk.table} WHERE {r} = {c})")
     return " UNION ALL ".join(out)
 
 
@@ -154,9 +154,9 @@ def stats_dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_insert_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users of events who aren't among the first customers."""
+    """Users of events who aren't among the customers with credit."""
     users = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id")
-    known = table(spark, sf_dir, "customer").filter("c_custkey <= 50").select(F.col("c_custkey").alias("id"))
+    known = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     return stats.insert_ignore(known, users, "id", ["event_id"])
 
 
@@ -210,7 +210,7 @@ SQL = {
     "stats_recent_topk": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
     "stats_zero_filled_domain": "SELECT d.event_type, count(e.event_id) AS n FROM (VALUES ('view'), ('click'), ('refund'), ('purchase')) d(event_type) LEFT JOIN events e ON e.event_type = d.event_type GROUP BY 1",
     "stats_dedupe_first": "SELECT min(c_custkey) AS c_custkey, lower(trim(c_mktsegment)) || CAST(c_custkey % 40 AS VARCHAR) || '@example.com' AS email FROM customer GROUP BY 2",
-    "stats_insert_ignore": "SELECT user_id AS id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey <= 50) GROUP BY user_id",
+    "stats_insert_ignore": "SELECT user_id AS id, min(event_id) AS event_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY user_id",
     "rate_limit_replay": _LIMIT_SQL,
     "null_injection": f"SELECT p_partkey, CASE WHEN {uniform_sql('p_partkey', 42, 'part', 'price', 'null')} >= 0.2 THEN p_retailprice END AS price FROM part",
 }

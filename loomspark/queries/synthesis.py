@@ -6,14 +6,15 @@ import datetime as dt
 import math
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..functions.draws import SEED, below, below_sql, bits_sql, shuffle_key, shuffle_key_sql, uniform_sql
 from ..operators import coherence as C
 from ..operators import keys as K
-from ..operators.ranking import hash_bucket, number_rows
+from ..operators.generate import first_that_holds
+from ..operators.ranking import hash_buckets, number_rows, row_buckets
 from ..plans.graph import plan_generation
 from ..plans.rows import Fanout, capped_plan, integer_plan
 from ..sources.ddl import parse_ddl
@@ -40,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
     """rid: the place of each key."""
-    return number_rows(df.select(F.col(key).cast("long").alias("key")), F.shiftright("key", 12), [F.col("key")], "rid")
+    return number_rows(df.select(F.col(key).cast("long").alias("key")), row_buckets(F.shiftleft("key", 4)), [F.col("key")], "rid")
 
 
 def _orders(spark: SparkSession, sf_dir: str, value) -> DataFrame:
@@ -114,10 +115,13 @@ _TRY = "(o_orderkey || '/' || t)"
 
 @query(f"SELECT o_orderkey AS rid, min(t) AS tries, arg_min(v, t) AS value FROM (SELECT o_orderkey, t, 1 + {below_sql(1000, _TRY, S, 't', 'score')} AS v FROM orders, range(51) r(t)) WHERE v % 7 = 3 GROUP BY 1")
 def check_filter_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of 51 draws for which value % 7 = 3; no order is left without one."""
-    tried = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(50).cast("long"))).alias("tries"))
-    drawn = tried.withColumn("value", V.integer(F.concat_ws("/", F.col("rid").cast("string"), F.col("tries").cast("string")), 1, 1000, S, "t", "score"))
-    return drawn.filter("value % 7 = 3").groupBy("rid").agg(F.min(F.struct("tries", "value")).alias("w")).select("rid", "w.tries", "w.value")
+    """The first of 51 draws for which value % 7 = 3; orders without one are left out."""
+
+    def draw(attempt: Column) -> dict:
+        return {"tries": attempt.cast("long"), "value": V.integer(F.concat_ws("/", F.col("rid").cast("string"), attempt.cast("string")), 1, 1000, S, "t", "score")}
+
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"))
+    return first_that_holds(rows, draw(F.lit(0)), draw, "value % 7 = 3", "w").filter("w is not null").select("rid", "w.tries", "w.value")
 
 
 # foreign keys: customers and suppliers as parents of orders
@@ -169,7 +173,7 @@ def fk_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nation and its region for each supplier, from one row of nation."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    ranked = number_rows(nations, F.shiftright("n_nationkey", 12), [F.col("n_nationkey")], "pick")
+    ranked = number_rows(nations, row_buckets(F.col("n_nationkey")), [F.col("n_nationkey")], "pick")
     picked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rid")).withColumn("pick", K.uniform_pick(ranked.count(), F.col("rid"), S, "s", "pair"))
     return picked.join(ranked, "pick").select("rid", "n_nationkey", "n_regionkey")
 
@@ -215,7 +219,7 @@ def junction_allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_rank_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of parents that zipfian weights follow."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid")).withColumn("_key", shuffle_key(F.col("rid"), S, "o", "rank"))
-    return number_rows(rows, hash_bucket(F.col("_key")), [F.col("_key"), F.col("rid")], "rank").select("rid", "rank")
+    return number_rows(rows, hash_buckets(F.col("_key")), [F.col("_key"), F.col("rid")], "rank").select("rid", "rank")
 
 
 # coherence

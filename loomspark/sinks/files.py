@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,11 +77,15 @@ def write_sql(numbered: dict[str, DataFrame], schema: Schema, order: list[str],
     spark = next(iter(numbered.values())).sparkSession
     paths = [f"{folder}/00-begin"]
     spark.createDataFrame([("BEGIN;",)], "value string").coalesce(1).write.text(paths[0])
-    for i, name in enumerate(order, 1):
-        paths.append(f"{folder}/{i:02}-{name}")
-        columns = [f"`{c.name}`" for c in schema.tables[name].columns]
-        dense = numbered[name].select("_rid", *columns)
-        insert_statements(dense, name, "_rid").sort("batch").select(F.col("statement").alias("value")).write.text(paths[-1])
+
+    def write(name: str, path: str) -> None:
+        dense = numbered[name].select("_rid", *[f"`{c.name}`" for c in schema[name].row])
+        insert_statements(dense, name, "_rid").sort("batch").select(F.col("statement").alias("value")).write.text(path)
+
+    named = [(name, f"{folder}/{i:02}-{name}") for i, name in enumerate(order, 1)]
+    with ThreadPoolExecutor(4) as pool:  # folders don't wait for each other
+        list(pool.map(lambda x: write(*x), named))
+    paths += [path for _, path in named]
     paths.append(f"{folder}/{len(order) + 1:02}-commit")
     spark.createDataFrame([("COMMIT;",)], "value string").coalesce(1).write.text(paths[-1])
     return paths

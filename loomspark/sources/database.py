@@ -8,8 +8,8 @@ from urllib.parse import parse_qsl, unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.model import Column, ForeignKey, Schema, Table, hint_of
-from .ddl import TYPE_NAMES, _fit, _tokens, make_check
+from ..plans.model import Reference, Schema, Table, Unique, column, hint_of
+from .ddl import TYPE_NAMES, _tokens, fit, make_check
 
 TABLES = "SELECT c.relname AS table_name FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE n.nspname = 'public' AND c.relkind = 'r'"
 COLUMNS = "SELECT table_name, column_name, ordinal_position, data_type, character_maximum_length, numeric_precision, numeric_scale, is_nullable, column_default FROM information_schema.columns WHERE table_schema = 'public'"
@@ -98,37 +98,28 @@ def _closes_last(s: str) -> bool:
 
 
 def assemble(tables: list[str], columns: list[dict], constraints: list[dict]) -> Schema:
-    schema = Schema({t: Table(t) for t in tables})
+    schema = {t: Table(t) for t in tables}
     for r in columns:
-        if r["table_name"] not in schema.tables:
+        if r["table_name"] not in schema:
             continue
         kind = str(r["data_type"]).lower()
-        dtype = CATALOGUE_TYPES.get(kind) or TYPE_NAMES.get(kind.upper(), "UNKNOWN")
-        c = Column(r["column_name"], dtype, nullable=r["is_nullable"] == "YES", default=r["column_default"], hint=hint_of(r["column_name"], r["table_name"]))
-        if dtype == "VARCHAR":
-            c.max_length = r["character_maximum_length"]
-        if dtype == "NUMERIC":
-            c.precision, c.scale = r["numeric_precision"], r["numeric_scale"]
-        schema.tables[r["table_name"]].columns.append(c)
+        sql = CATALOGUE_TYPES.get(kind) or TYPE_NAMES.get(kind.upper(), "UNKNOWN")
+        digits = (r["numeric_precision"], r["numeric_scale"] or 0) if sql == "NUMERIC" and r["numeric_precision"] else None
+        schema[r["table_name"]].row.add(column(r["column_name"], sql, r["is_nullable"] == "YES", r["character_maximum_length"] if sql == "VARCHAR" else None, digits, default=r["column_default"], hint=hint_of(r["column_name"], r["table_name"])))
     for r in constraints:
-        table = schema.tables.get(r["table_name"])
+        table = schema.get(r["table_name"])
         if table is None:
             continue
         columns_, kind = list(r["cols"] or []), r["contype"]
-        if kind == "p":
-            table.primary_key = columns_
-        elif kind == "u":
-            if len(columns_) == 1:
-                table.column(columns_[0]).unique = True
-            else:
-                table.unique.append(columns_)
+        if kind in ("p", "u"):
+            table.rules.append(Unique(columns_, kind == "p"))
         elif kind == "f":
-            table.foreign_keys.append(ForeignKey(columns_, r["ref_table"], list(r["ref_cols"] or []), all(table.column(c).nullable for c in columns_)))
+            table.rules.append(Reference(columns_, r["ref_table"], list(r["ref_cols"] or [])))
         elif kind == "c":
             check = make_check(_tokens(plain_check(r["definition"])), table)
-            if check.parsed and check.parsed[0] == "in":
-                column = table.column(check.parsed[1])
-                column.enum = [_fit(v, column) for v in check.parsed[2]]
+            if check.form and check.form[0] == "in":
+                c = table.row[check.form[1]]
+                c.metadata["domain"] = [fit(v, c) for v in check.form[2]]
             else:
-                table.checks.append(check)
+                table.rules.append(check)
     return schema

@@ -10,7 +10,9 @@ import datetime as dt
 import re
 from decimal import Decimal
 
-from ..plans.model import WHOLE, Check, Column, ForeignKey, Schema, SchemaError, Table, hint_of
+from pyspark.sql import types as T
+
+from ..plans.model import WHOLE, Check, Reference, Schema, SchemaError, Table, Unique, column, hint_of
 
 #: Type names and what they mean.
 TYPE_NAMES = {
@@ -67,10 +69,23 @@ def literal(token: str):
     return None
 
 
+#: PostgreSQL's pattern operators and what Spark calls them; a star is for either case.
+PATTERN_OPERATORS = {"!~~*": "NOT ILIKE", "~~*": "ILIKE", "!~~": "NOT LIKE", "~~": "LIKE", "!~*": "NOT RLIKE", "~*": "RLIKE", "!~": "NOT RLIKE", "~": "RLIKE"}
+
+
 def _sql(tokens: list[str]) -> str:
-    """Text of tokens; casts go, and what double quotes name goes into back quotes, as Spark reads it."""
+    """Text of tokens; casts go, what double quotes name goes into back quotes, and pattern operators get names, as Spark
+    reads them."""
     out, i = [], 0
     while i < len(tokens):
+        if found := next((p for p in PATTERN_OPERATORS if tokens[i : i + len(p)] == list(p)), None):
+            out.append(PATTERN_OPERATORS[found])
+            i += len(found)
+            if i < len(tokens) and tokens[i][0] == "'" and out[-1].endswith("RLIKE"):  # in Spark's literals a backslash escapes
+                start = "(?i)" if found.endswith("*") else ""
+                out.append(f"'{start}{tokens[i][1:-1].replace(chr(92), chr(92) * 2)}'")
+                i += 1
+            continue
         if tokens[i] == "::":
             i += 2
             if i < len(tokens) and tokens[i].upper() in ("VARYING", "PRECISION"):
@@ -119,7 +134,7 @@ def recognise(tokens: list[str], names: set[str]) -> tuple | None:
 
 
 def make_check(tokens: list[str], table: Table) -> Check:
-    names = {c.name for c in table.columns}
+    names = {c.name for c in table.row}
     used = [n for n in dict.fromkeys(_name(t) for t in tokens if t[0] != "'") if n in names]
     return Check(_sql(tokens), used, recognise(tokens, names))
 
@@ -139,11 +154,11 @@ def _reference(tokens: list[str], at: int) -> tuple[str, list[str], int]:
     return name, [], at
 
 
-def _fit(value, column: Column):
+def fit(value, column: T.StructField):
     """A literal as a value of the column's type."""
-    if column.dtype in WHOLE and isinstance(value, Decimal):
+    if column.metadata["sql"] in WHOLE and isinstance(value, Decimal):
         return int(value)
-    if column.dtype in ("VARCHAR", "TEXT", "UNKNOWN"):
+    if column.metadata["sql"] in ("VARCHAR", "TEXT", "UNKNOWN"):
         return str(value)
     return value
 
@@ -158,13 +173,11 @@ def _add_column(table: Table, tokens: list[str], later: list) -> None:
         else:
             kind.append(tokens[i].upper())
             i += 1
-    c = Column(name, TYPE_NAMES.get(kind[0] if kind else "", "UNKNOWN") if "[" not in kind else "UNKNOWN", hint=hint_of(name, table.name))
     sizes = [int(x) for x in inner if x.isdigit()]
-    if c.dtype == "VARCHAR" and sizes:
-        c.max_length = sizes[0]
-    if c.dtype == "NUMERIC" and sizes:
-        c.precision, c.scale = sizes[0], sizes[1] if len(sizes) > 1 else 0
-    table.columns.append(c)
+    sql = TYPE_NAMES.get(kind[0] if kind else "", "UNKNOWN") if "[" not in kind else "UNKNOWN"
+    digits = (sizes[0], sizes[1] if len(sizes) > 1 else 0) if sql == "NUMERIC" and sizes else None
+    c = column(name, sql, length=sizes[0] if sql == "VARCHAR" and sizes else None, digits=digits, hint=hint_of(name, table.name))
+    table.row.add(c)
     while i < len(tokens):
         word = tokens[i].upper()
         if word == "CONSTRAINT":
@@ -172,18 +185,20 @@ def _add_column(table: Table, tokens: list[str], later: list) -> None:
         elif word == "NOT" and tokens[i + 1].upper() == "NULL":
             c.nullable, i = False, i + 2
         elif word == "PRIMARY":
-            table.primary_key, c.nullable, i = [name], False, i + 2
+            c.nullable, i = False, i + 2
+            table.rules.append(Unique([name], True))
         elif word == "UNIQUE":
-            c.unique, i = True, i + 1
+            table.rules.append(Unique([name]))
+            i += 1
         elif word == "DEFAULT":
             i += 1
             start = i
             while i < len(tokens) and tokens[i].upper() not in _STOP - {"NULL"}:
                 i = _group(tokens, i)[1] if tokens[i] == "(" else i + 1
-            c.default = _sql(tokens[start:i])
+            c.metadata["default"] = _sql(tokens[start:i])
         elif word == "REFERENCES":
             ref, columns, i = _reference(tokens, i + 1)
-            table.foreign_keys.append(ForeignKey([name], ref, columns))
+            table.rules.append(Reference([name], ref, columns))
         elif word == "CHECK":
             body, i = _group(tokens, i + 1)
             later.append((table, body, c))
@@ -196,20 +211,15 @@ def _add_constraint(table: Table, tokens: list[str], later: list) -> bool:
     if tokens[0].upper() == "CONSTRAINT":
         tokens = tokens[2:]
     word = tokens[0].upper()
-    if word == "PRIMARY":
-        table.primary_key = _names(_group(tokens, 2)[0])
-        for c in table.primary_key:
-            table.column(c).nullable = False
-    elif word == "UNIQUE":
-        columns = _names(_group(tokens, 1)[0])
-        if len(columns) == 1:
-            table.column(columns[0]).unique = True
-        else:
-            table.unique.append(columns)
+    if word in ("PRIMARY", "UNIQUE"):
+        columns = _names(_group(tokens, 2 if word == "PRIMARY" else 1)[0])
+        table.rules.append(Unique(columns, word == "PRIMARY"))
+        for c in columns if word == "PRIMARY" else ():
+            table.row[c].nullable = False
     elif word == "FOREIGN":
         inner, at = _group(tokens, 2)
         ref, columns, _ = _reference(tokens, at + 1)
-        table.foreign_keys.append(ForeignKey(_names(inner), ref, columns))
+        table.rules.append(Reference(_names(inner), ref, columns))
     elif word == "CHECK":
         later.append((table, _group(tokens, 1)[0], None))
     else:
@@ -219,7 +229,7 @@ def _add_constraint(table: Table, tokens: list[str], later: list) -> bool:
 
 def parse_ddl(text: str) -> Schema:
     """The schema of all CREATE TABLE statements, with what ALTER TABLE ... ADD adds; statements on unknown tables are ignored."""
-    schema, later, alters = Schema(), [], []
+    schema, later, alters = {}, [], []
     statements: list[list[str]] = [[]]
     for t in _tokens(text):
         if t == ";":
@@ -243,26 +253,25 @@ def parse_ddl(text: str) -> Schema:
                     _add_column(table, item, later)
             for item in constraints:
                 _add_constraint(table, item, later)
-            schema.tables[name] = table
+            schema[name] = table
         elif words[:2] == ["ALTER", "TABLE"]:
             alters.append(tokens)
     for tokens in alters:
         words = [t.upper() for t in tokens]
         if "ADD" in words:
-            table = schema.tables.get(_name(tokens[words.index("ADD") - 1]))
+            table = schema.get(_name(tokens[words.index("ADD") - 1]))
             if table:
                 for item in _split(tokens[words.index("ADD") + 1 :]):
                     item = item[1:] if item[0].upper() == "ADD" else item
                     if not _add_constraint(table, item, later):
                         _add_column(table, item[1:] if item[0].upper() == "COLUMN" else item, later)
-    for table, body, column in later:
+    for table, body, c in later:
         check = make_check(body, table)
-        if column and check.parsed and check.parsed[0] == "in" and check.parsed[1] == column.name:
-            column.enum = [_fit(v, column) for v in check.parsed[2]]  # an inline list is the column's domain
+        if c and check.form and check.form[0] == "in" and check.form[1] == c.name:
+            c.metadata["domain"] = [fit(v, c) for v in check.form[2]]  # an inline list is the column's domain
         else:
-            table.checks.append(check)
-    for table, fk in schema.foreign_keys():
-        if not fk.ref_columns and fk.ref_table in schema.tables:
-            fk.ref_columns = list(schema.tables[fk.ref_table].primary_key)
-        fk.nullable = all(table.column(c).nullable for c in fk.columns)
+            table.rules.append(check)
+    for fk in (fk for table in schema.values() for fk in table.references):
+        if not fk.to and fk.table in schema:
+            fk.to = list(schema[fk.table].key)
     return schema

@@ -8,9 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.model import TEXTUAL, Table
-from ..plans.model import Column as SchemaColumn
 
 OWN = Path(__file__).parent / "pool_files"
 
@@ -46,12 +46,12 @@ def load_pools(folders: tuple[str, ...] = ()) -> list[Pool]:
     return [found[n] for n in sorted(found)]
 
 
-def pool_groups(table: Table, pools: list[Pool], taken: set[str]) -> list[tuple[Pool, list[tuple[SchemaColumn, str]]]]:
+def pool_groups(table: Table, pools: list[Pool], taken: set[str]) -> list[tuple[Pool, list[tuple[T.StructField, str]]]]:
     """(pool, [(column, field)]): text columns whose hint a pool matches; a column belongs to the first pool. Columns with a
     domain of their own don't take part."""
     out, used = [], set(taken)
     for pool in pools:
-        columns = [(c, c.hint) for c in table.columns if c.name not in used and c.hint in pool.match and c.hint in pool.fields and c.dtype in TEXTUAL and c.enum is None and not any(k.parsed and k.parsed[0] == "in" and k.parsed[1] == c.name for k in table.checks)]
+        columns = [(c, c.metadata.get("hint")) for c in table.row if c.name not in used and c.metadata.get("hint") in pool.match and c.metadata.get("hint") in pool.fields and c.metadata["sql"] in TEXTUAL and c.metadata.get("domain") is None and not any(k.form and k.form[0] == "in" and k.form[1] == c.name for k in table.checks)]
         if columns:
             out.append((pool, columns))
             used |= {c.name for c, _ in columns}

@@ -1,8 +1,11 @@
 """Generated data: every constraint re-derived, determinism, errors, corrupted data, command line, sinks, streams."""
 
+import collections
 import datetime as dt
 import io
+import itertools
 import json
+import random
 import zipfile
 
 import pytest
@@ -14,6 +17,7 @@ from loomspark.operators import stats
 from loomspark.operators.budget import BudgetExceeded, within
 from loomspark.operators.coherence import RANKS, TERMINAL
 from loomspark.operators.generate import generate
+from loomspark.operators.ranking import row_buckets, running_total
 from loomspark.operators.validate import validate
 from loomspark.plans.config import Config, Override
 from loomspark.plans.model import DomainExhausted, SchemaError
@@ -140,6 +144,16 @@ def test_validator_reports_corrupted_data(spark):
     assert got == {("type", "k"): 1, ("enum", "k"): 1, ("not_null", "id"): 1, ("not_null", "n"): 1, ("type", "n"): 1, ("check", "n BETWEEN 1 AND 9"): 1, ("type", "d"): 1, ("type", "u"): 1, ("type", "v"): 1, ("primary_key", "id"): 2, ("unique", "v"): 1, ("foreign_key", "p"): 1, ("coherence", "up cycle"): 3}
 
 
+def test_checks_in_the_database_s_own_words(spark):
+    """Pattern operators are read as Spark's; a check that Spark can't read is reported and doesn't stop anything."""
+    s = parse_ddl(r"CREATE TABLE t (id INT PRIMARY KEY, a TEXT CHECK (a ~ '^[a-z]+\d$'), b TEXT CHECK (b ~* '^X'), c TEXT CHECK (c !~~ '%no%'), d TEXT CHECK (d ~~* 'y%'), e INT CHECK (my_own_function(e) > 3), f INT CHECK (e @> f));")
+    rows = spark.createDataFrame([(1, "abc1", "xx", "yes", "Yes", 1, 1), (2, "ABC", "ox", "a no", "no", 1, 1), (3, None, None, None, None, None, None)], "id int, a string, b string, c string, d string, e int, f int")
+    got = {r["name"]: (r["violations"], r["severity"]) for r in validate({"t": rows}, s).filter("kind = 'check'").collect()}
+    assert len(got) == 6 and all(got[k.sql] == ((1, "error") if k.columns[0] in "abcd" else (0, "unverifiable")) for k in s["t"].checks)
+    with pytest.warns(UserWarning, match="can't evaluate"):
+        assert generate(spark, parse_ddl("CREATE TABLE t (id INT PRIMARY KEY, e INT CHECK (my_own_function(e) > 3));"), {"t": 5})["t"].count() == 5
+
+
 def test_zipf_shares(spark):
     parents, children = spark.range(1, 101).withColumnRenamed("id", "rid"), spark.range(20_000).withColumnRenamed("id", "rid")
     got = sorted((r["count"] for r in K.zipf_pick(children, parents, 1, "z").groupBy("pick").count().collect()), reverse=True)
@@ -167,6 +181,23 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--rows", "3", "--no-config"], spark) == 1
 
 
+def test_limits_are_replayed_in_runs(spark):
+    """Hits of a key are cut where the limiter has forgotten all; decisions are those of one pass."""
+    rng = random.Random(4)
+    rows = [(k, float(rng.randrange(3000)), i) for i, k in enumerate(rng.choices([1, 2, 3, None], [80, 10, 5, 5], k=600))]
+    got = {r["i"]: (r["allowed"], r["retry_after"]) for r in stats.replay_limits(spark.createDataFrame(rows, "k long, at double, i long"), "k", "at", "i", 2, 20.0).collect()}
+    kept: dict = {}
+    for k, at, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        assert got[i] == stats.decide(kept.setdefault(k, collections.deque()), at, 2, 20.0)
+
+
+def test_running_totals_over_buckets(spark):
+    rows = [(i, i % 7) for i in range(3000)] + [(70_000_000 + i, 1) for i in range(50)] + [(2**40, 5)]
+    df = spark.createDataFrame(rows, "rid long, v long")
+    got = {r["rid"]: r["t"] for r in running_total(df, F.col("v"), row_buckets(F.col("rid")), [F.col("rid")], "t").collect()}
+    assert got == dict(zip([r[0] for r in rows], itertools.accumulate(r[1] for r in rows)))
+
+
 def test_limiter_keeps_state_between_batches(spark):
     path = new_path(spark, "hits")
     for part in ([(1, 1, 0.0), (1, 2, 5.0), (2, 3, 5.0)], [(1, 4, 6.0), (1, 5, 61.0), (2, 6, 7.0)]):

@@ -24,13 +24,13 @@ ALTER TABLE kids ADD CONSTRAINT q UNIQUE (d), ADD COLUMN h BOOLEAN; ALTER TABLE
 
 def test_ddl():
     s = parse_ddl(DDL)
-    p, k = s.tables["parents"], s.tables["kids"]
-    assert p.primary_key == ["id"] and p.column("code").unique and p.column("code").max_length == 4 and not p.column("name").nullable and p.column("created_at").dtype == "TIMESTAMP"
-    assert k.primary_key == ["a", "b"] and k.unique == [["c", "d"]] and k.column("d").unique and k.column("f").enum == [1, 2] and k.column("g").dtype == "UNKNOWN" and k.column("h").dtype == "BOOLEAN"
-    assert [(f.columns, f.ref_table, f.ref_columns, f.nullable) for f in k.foreign_keys] == [(["a"], "parents", ["id"], False)]
-    assert {c.parsed for c in k.checks if c.parsed} == {("range", "b", Decimal(1), Decimal("5.5")), ("bound", "c", ">=", dt.date(2024, 1, 1)), ("bound", "e", ">", Decimal(-5)), ("compare", "d", ">", "c")}
-    assert [c.sql for c in k.checks if not c.parsed] == ["a + e < 7"]
-    assert bounds(k, k.column("e"))[0] == -4
+    p, k = s["parents"], s["kids"]
+    assert p.key == ["id"] and p.lone == {"code"} and p.row["code"].metadata["length"] == 4 and not p.row["name"].nullable and p.row["created_at"].metadata["sql"] == "TIMESTAMP"
+    assert k.key == ["a", "b"] and k.groups == [["c", "d"]] and k.lone == {"d"} and k.row["f"].metadata["domain"] == [1, 2] and k.row["g"].metadata["sql"] == "UNKNOWN" and k.row["h"].dataType.simpleString() == "boolean"
+    assert [(f.columns, f.table, f.to) for f in k.references] == [(["a"], "parents", ["id"])] and not k.row["a"].nullable
+    assert {c.form for c in k.checks if c.form} == {("range", "b", Decimal(1), Decimal("5.5")), ("bound", "c", ">=", dt.date(2024, 1, 1)), ("bound", "e", ">", Decimal(-5)), ("compare", "d", ">", "c")}
+    assert [c.sql for c in k.checks if not c.form] == ["a + e < 7"]
+    assert bounds(k, k.row["e"])[0] == -4
 
 
 def test_hints():
@@ -79,7 +79,7 @@ def test_config(tmp_path):
 def test_overrides():
     ddl = "CREATE TABLE t (id INT PRIMARY KEY, n INT CHECK (n > 3), s TEXT CHECK (s IN ('a', 'b')));"
     s = cfg.apply_overrides(parse_ddl(ddl), {"t.n": cfg.Override(max=10), "t.s": cfg.Override(values=("a",))})
-    assert bounds(s.tables["t"], s.tables["t"].column("n"))[:2] == (4, 10) and s.tables["t"].column("s").enum == ["a"]
+    assert bounds(s["t"], s["t"].row["n"])[:2] == (4, 10) and s["t"].row["s"].metadata["domain"] == ["a"]
     for name, o in (("t.n", cfg.Override(max=1)), ("t.s", cfg.Override(values=("c",))), ("t.id", cfg.Override(min=1)), ("x.y", cfg.Override(min=1)), ("t.y", cfg.Override(min=1)), ("t.s", cfg.Override(min=1)), ("t.n", cfg.Override(values=("q",)))):
         with pytest.raises(ConfigError):
             cfg.apply_overrides(parse_ddl(ddl), {name: o})
@@ -90,7 +90,7 @@ def test_catalogue_gives_the_same_model():
     cons = [dict(table_name="t", name=n, contype=k, definition=d, cols=c, ref_table=r, ref_cols=rc) for n, k, d, c, r, rc in (("a", "p", "", ["id"], None, None), ("b", "c", "CHECK (((s)::text = ANY ((ARRAY['x'::character varying, 'y'::character varying])::text[])))", ["s"], None, None), ("c", "c", "CHECK (((v >= (1)::numeric) AND (v <= 5.5)))", ["v"], None, None), ("d", "f", "", ["up"], "t", ["id"]))]
     got = assemble(["t"], rows, cons)
     want = parse_ddl("CREATE TABLE t (id INT PRIMARY KEY, s VARCHAR(9) CHECK (s IN ('x', 'y')), v NUMERIC(6,2) CHECK (v BETWEEN 1 AND 5.5), up INT REFERENCES t(id));")
-    assert got.tables["t"].columns == want.tables["t"].columns and got.tables["t"].foreign_keys == want.tables["t"].foreign_keys and got.tables["t"].checks == want.tables["t"].checks
+    assert got["t"].row == want["t"].row and got["t"].key == want["t"].key and got["t"].references == want["t"].references and got["t"].checks == want["t"].checks
     assert plain_check("CHECK ((price > (0)::numeric))") == "price > 0"
 
 
