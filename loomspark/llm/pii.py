@@ -1,11 +1,11 @@
 """Surrogates for personal data, in DataFrame operations only.
 
-1. One pattern finds emails, IPv4 addresses, phone numbers, payment cards, social security numbers, secrets, access keys
-   and names with a title. A mention's kind and normal form make an entity: letter case, blanks and separators don't
+1. One pattern finds emails, IPv4 addresses, phone numbers, payment cards (bare numbers with a valid check digit, or in
+   groups), social security numbers, secrets, access keys and names with a title. A mention's kind and normal form make an entity: letter case, blanks and separators don't
    matter, so mentions of one entity in any document and format are one.
 2. Each distinct entity of the corpus draws a surrogate from a stream keyed by a secret: letters by letters of the
-   same script and case, digits by digits, a card with a valid check digit by another valid one, a name by a name of
-   the same gender and script. Entities whose draws collide, with each other or with a real entity, draw again, all
+   same script and case, digits by digits, a card with a valid check digit by another valid one, a phone number by one of the same country, given
+   names and surnames, each on their own, by such of the same gender and script. Entities whose draws collide, with each other or with a real entity, draw again, all
    but the least of them, until none do: distinct entities keep distinct surrogates.
 3. Texts with mentions fetch the surrogates of their own entities by a join on the text's hash, and each mention is
    written in the format it had.
@@ -34,7 +34,7 @@ PATTERNS = {
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
     "phone": r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|(?:1[ .-])?(?:\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})|8[ -]?(?:\(\d{3}\)|\d{3})[ -]?\d{3}-\d{2}-\d{2}|[679]\d{2}(?: \d{2}){3}"
     # national forms begin with 0; eight digits in twos and four are a date
-    r"|(?=\(?0(?:[ ().\/-]{0,2}\d){7,14}(?!\d))(?!\d{1,2}(?<dot>[.\/-])\d{1,2}\k<dot>\d{2,4}(?!\d|[ .\/-]\d))(?:\(0\d{1,5}\)|0\d{1,5}(?:[ ]?\/)?)[ .-]?\d{1,8}(?:[ .-]\d{1,8}){0,5})(?![\w]|[.-]\d)",
+    r"|(?=\(?0(?:[ ().\/-]{0,2}\d){7,14}(?!\d))(?!\d{1,2}(?<dot>[.\/-])\d{1,2}\k<dot>\d{2,4}(?!\d|[ .\/-]\d))(?:\(0\d{1,5}\)|0\d{1,5}(?:[ ]?\/)?)[ .-]?\d{1,11}(?:[ .-]\d{1,8}){0,5})(?![\w]|[.-]\d)",
     "secret": r"(?<![\p{L}])(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|passwd|pwd|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+.-]*[A-Za-z0-9])[A-Za-z0-9_/+.-]{8,}",
     "access_key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|xox[abp]-(?=-*[A-Za-z0-9])[A-Za-z0-9-]{10,})(?![A-Za-z0-9_-])",
     "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа)\.?(?: " + _PARTICLE + "?" + _WORD + ")+",
@@ -82,18 +82,29 @@ def kind_of(mention: Column) -> Column:
     return kind.when(mention.rlike(r"^[+(\d]"), "phone").otherwise("name")  # all other numbers of the pattern, names begin with a title
 
 
-def entity_of(mention: Column) -> Column:
-    """kind:normal form."""
+def is_private(mention: Column) -> Column:
+    """Whether a mention is personal data: bare numbers are cards only with a valid check digit."""
+    bare = mention.rlike(r"^\d{13,19}$")
+    return ~bare | (_check_digit(F.substr(mention, F.lit(1), F.length(mention) - 1)) == F.right(mention, F.lit(1)))
+
+
+def entities_of(mention: Column) -> Column:
+    """The entities of a mention, each as kind:normal form. A name is a given name, if it has one, and a surname, so that who is
+    met by surname alone later is met again; a phone number with a country code keeps it, but 1 and ten digits are those ten."""
 
     def normal(kind: Column) -> Column:
         digits = F.regexp_replace(mention, r"\D", "")
-        form = F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "ssn"), digits)
-        form = form.when(kind == "phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits))
-        gender = F.when(F.regexp_extract(mention, r"^(\p{L}+)", 1).isin(*FEMALE_TITLES), "f").otherwise("m")
-        form = form.when(kind == "name", F.concat_ws(" ", gender, F.regexp_replace(mention, r"^\p{L}+\.? ", "")))
+        abroad = F.when(mention.startswith("+"), digits).when(digits.startswith("00"), F.substr(digits, F.lit(3)))
+        phone = F.when(F.coalesce(abroad, digits).rlike(r"^1\d{10}$"), F.right(digits, F.lit(10))).otherwise(F.coalesce(F.concat(F.lit("+"), abroad), digits))
+        form = F.when(kind == "email", F.lower(mention)).when(kind.isin("card", "ssn"), digits).when(kind == "phone", phone)
         return F.concat_ws(":", kind, form.otherwise(F.regexp_replace(mention, _LABEL, "")))
 
-    return let(kind_of(mention), normal)
+    gender = F.when(F.regexp_extract(mention, r"^(\p{L}+)", 1).isin(*FEMALE_TITLES), "f").otherwise("m")
+    words = F.regexp_replace(mention, r"^\p{L}+\.? ", "")
+    given = F.regexp_extract(words, f"^(.*?) (?:{_PARTICLE}?\\S+)$", 1)
+    surname = F.when(given == "", words).otherwise(F.substr(words, F.length(given) + 2))
+    named = F.filter(F.array(F.when(given != "", F.concat_ws(":", F.lit("given"), gender, given)), F.concat_ws(":", F.lit("surname"), gender, surname)), lambda x: x.isNotNull())
+    return let(kind_of(mention), lambda kind: F.when(kind == "name", named).otherwise(F.array(normal(kind))))
 
 
 def stream(entity: Column, key: str, attempt: Column) -> Column:
@@ -165,26 +176,29 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
         # the first digit of a card names its network and stays
         body = F.concat(F.left(form, F.lit(1)), disguise(F.substr(form, F.lit(2), F.length(form) - 2), bits))
         hexed = F.array_join(F.transform(F.split(form, ""), lambda c, i: _pick(list("0123456789abcdef"), draw(bits, i))), "")
-        cyrillic, female, both = form.rlike(r"\p{IsCyrillic}"), form.startswith("f"), form.rlike(r" .+ ")
+        cyrillic, female = form.rlike(r"\p{IsCyrillic}"), form.startswith("f")
 
         def name(script: str) -> Column:
             given = F.when(female, _pick(GIVEN["f", script], draw(bits, F.lit(1)))).otherwise(_pick(GIVEN["m", script], draw(bits, F.lit(1))))
-            surname = F.initcap(F.concat(*[_pick(SYLLABLES[script], draw(bits, F.lit(i))) for i in range(2, 5)], F.array_join(F.transform(F.slice(F.sequence(F.lit(0), attempt), 2, 8), lambda i: _pick(SYLLABLES[script], draw(bits, i + 8))), "")))
-            return F.concat_ws(" ", F.substr(form, F.lit(1), F.lit(1)), F.when(both, given), surname)
+            surname = F.initcap(F.concat(*[_pick(SYLLABLES[script], draw(bits, F.lit(i))) for i in range(2, 5)]))
+            more = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), attempt), 2, 8), lambda i: _pick(SYLLABLES[script], draw(bits, i + 8))), "")  # a later draw is longer
+            return F.concat(F.substr(form, F.lit(1), F.lit(2)), F.when(kind == "given", given).otherwise(surname), more)
 
         out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", let(body, card))
         prefix = F.regexp_extract(form, _PREFIX, 1)
         out = out.when(kind == "access_key", F.concat(prefix, any_sign(F.substr(form, F.length(prefix) + 1), bits)))
+        out = out.when((kind == "phone") & form.startswith("+"), F.concat(F.substr(form, F.lit(1), F.lit(3)), disguise(F.substr(form, F.lit(4)), bits, 1), more))
         out = out.when(kind == "phone", F.concat(F.when(form.startswith("0"), "0").otherwise((draw(bits, F.lit(0)) % 8 + 2).cast("string")), disguise(F.substr(form, F.lit(2)), bits, 1), more))
-        out = out.when(kind == "ssn", disguise(form, bits)).when(kind == "name", F.when(cyrillic, name("cyrillic")).otherwise(name("latin")))
+        out = out.when(kind == "ssn", disguise(form, bits)).when(kind.isin("given", "surname"), F.when(cyrillic, name("cyrillic")).otherwise(name("latin")))
         return F.concat_ws(":", kind, out.when(form.rlike("^[0-9a-f]+$"), hexed).otherwise(any_sign(form, bits)))
 
     return let(stream(entity, key, attempt), of)
 
 
 def render(mention: Column, stand_in: Column) -> Column:
-    """A surrogate in the format that the mention had."""
+    """A surrogate in the format that the mention had. That of a name is name: and its words."""
     kind, form = F.substring_index(stand_in, ":", 1), F.substr(stand_in, F.locate(":", stand_in) + 1)
+    form = F.when(kind == "phone", F.ltrim(form, F.lit("+"))).otherwise(form)
     n, total = F.length(form), F.length(F.regexp_replace(mention, r"\D", ""))
     extra = F.greatest(n - total, F.lit(0))  # a later draw is longer: its last digits follow
 
@@ -193,7 +207,7 @@ def render(mention: Column, stand_in: Column) -> Column:
         return F.when(c.rlike(r"\d") & (at > 0), F.substr(form, at, F.lit(1))).otherwise(c)
 
     digits = F.concat(F.array_join(F.transform(F.split(mention, ""), digit), ""), F.substr(form, n - extra + 1))
-    name = F.concat(F.regexp_extract(mention, r"^(\p{L}+\.? )", 1), F.substr(form, F.lit(3)))
+    name = F.concat(F.regexp_extract(mention, r"^(\p{L}+\.? )", 1), form)
     label = F.regexp_extract(mention, f"({_LABEL})", 1)
     upper = (mention == F.upper(mention)) & (mention != F.lower(mention))
     return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "name", name).when(kind == "secret", F.concat(label, form)).when((kind == "email") & upper, F.upper(form)).otherwise(form)
@@ -225,18 +239,21 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 def replace_private(df: DataFrame, text: str = "text", key: str = "corpus") -> DataFrame:
     """df with surrogates in its text. key is the secret: another one gives other surrogates."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-    found = df.select(row, F.col(f"`{text}`").alias("_text")).withColumn("_found", mentions(F.col("_text")))
-    clean = found.filter("_found is null or size(_found) = 0").select("_row.*")
+    found = df.select(row, F.col(f"`{text}`").alias("_text")).withColumn("_found", mentions(F.col("_text"))).withColumn("_private", F.filter("_found", is_private))
+    clean = found.filter("_private is null or size(_private) = 0").select("_row.*")
 
-    hit = found.filter("size(_found) > 0").withColumn("_id", F.md5("_text"))
-    per_text = hit.select("_id", F.explode(F.array_distinct("_found")).alias("mention")).distinct()
-    per_text = materialise(per_text.withColumn("entity", entity_of(F.col("mention"))), "mentions")
+    hit = found.filter("size(_private) > 0").withColumn("_id", F.md5("_text"))
+    per_text = hit.select("_id", F.explode(F.array_distinct("_private")).alias("mention")).distinct()
+    per_text = materialise(per_text.select("_id", "mention", F.posexplode(entities_of(F.col("mention"))).alias("at", "entity")), "mentions")
     table = assign(per_text.select("entity").distinct(), key)
-    rendered = per_text.join(table, "entity").select("_id", "mention", render(F.col("mention"), F.col("surrogate")).alias("stand_in"))
+    parts = per_text.join(table, "entity").groupBy("_id", "mention").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda x: x["surrogate"]).alias("s"))
+    words = F.array_join(F.transform("s", lambda x: F.substring_index(x, ":", -1)), " ")
+    stand_in = F.when(F.element_at("s", 1).rlike("^(given|surname):"), F.concat(F.lit("name:"), words)).otherwise(F.element_at("s", 1))
+    rendered = parts.select("_id", "mention", render(F.col("mention"), stand_in).alias("stand_in"))
     own = rendered.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("mention", "stand_in"))).alias("_map"))
 
     gaps = F.split(F.col("_text"), PATTERN, -1)
-    stand_ins = F.transform("_found", lambda m: F.element_at(F.col("_map"), m))
+    stand_ins = F.transform("_found", lambda m: F.coalesce(F.try_element_at(F.col("_map"), m), m))
     new = let(gaps, lambda g: F.concat(F.array_join(F.zip_with(F.slice(g, 1, F.size("_found")), stand_ins, lambda a, b: F.concat(a, b)), ""), F.element_at(g, -1)))
     done = hit.join(own, "_id").withColumn("_new", new).select(*[(F.col("_new") if c == text else F.col("_row").getField(c)).alias(c) for c in df.columns])
     return clean.unionByName(done)
