@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, new_path, ship
 
-__all__ = ["SPACE", "WORD", "for_python", "let", "materialise", "n_words", "new_path", "ship", "table"]
+__all__ = ["SPACE", "WORD", "for_python", "let", "materialise", "n_words", "new_path", "sampled", "ship", "table"]
 
 #: ASCII white space: what separates words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -28,6 +28,13 @@ def for_python(spark: SparkSession, rows: int = 100, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def sampled(value: Column, rows: int, n: int) -> Column:
+    """Whether a hash of value falls below rows / n of its 2^64 values: about rows of n rows whatever n is."""
+    if n <= rows:
+        return F.lit(True)
+    return F.xxhash64(value) < F.lit(-(2**63) + rows * 2**64 // n)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body repeats it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

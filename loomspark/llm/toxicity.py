@@ -3,14 +3,15 @@
 1. Tokens are counted by documents of either label, in a bounded sample of TRAIN_ROWS labelled rows; equal and nearly
    equal documents of one label count once, whatever the label, and all others in full. A token's score is
    its log-odds under an informative Dirichlet prior (a tenth of the sample, spread as the tokens are in both labels
-   together) less DEVIATIONS standard deviations, if they are over LEAST. Words' first STEM bytes are tokens too, so that inflected forms count together; a
-   word has the better score of the two, and words without such a score cost GAP.
+   together), drawn towards 0 by DEVIATIONS standard deviations. Log-odds over LEAST count, and those that cost more than GAP
+   when drawn; all other words cost GAP. Words' first STEM bytes are tokens too, so that inflected forms count together; a word
+   has the larger score of the two.
 2. A linear-time scan finds all maximal scoring segments of a text: the passages.
 3. Scores of chance segments follow an extreme-value law: a text of n tokens has K n exp(-lambda s) of score s or
    more. lambda makes the expected factor exp(lambda * score) of a clean token 1; K is counted on clean rows. A passage is
    significant if fewer than SIGNIFICANT such are expected.
 4. The law's exponent of the summed score of a text's passages, with its length, is turned into a probability by a
-   logistic curve, fitted on the fifth of the sample that isn't counted.
+   logistic curve, fitted on the fifth of the sample that isn't counted; it takes either label for as likely before a text is seen.
 
 Defined results: null and empty texts have no passages and the score of a text without any; texts of any length are
 scanned whole; equal texts get equal scores; a key with several labels is toxic if one is; null labels and null keys
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python, materialise
+from .common import for_python, materialise, sampled
 from .minhash import text_classes, text_id
 from .words import word_hashes
 
@@ -36,8 +37,8 @@ TRAIN_ROWS = 200_000
 PRIOR = 0.1
 GAP = 0.1
 STEM = 4
-DEVIATIONS = 2.5
-LEAST = 2.0  # log-odds that a toxic token has before the deviations go off; less tells a language or a topic
+DEVIATIONS = 2.25
+LEAST = 1.5  # log-odds that a toxic token has before the deviations go off; less tells a language or a topic
 SIGNIFICANT = 0.05
 
 
@@ -58,25 +59,29 @@ def held_out(key: Column) -> Column:
 
 
 def segments(scores: list[float], places: list[int], gap: float = GAP) -> list[tuple[int, int, float]]:
-    """(first place, place after the last, score) of all maximal scoring segments, in linear time. scores: the positive ones,
-    at those places; every place between costs gap."""
-    # a candidate: first place, last place + 1, total before it, total with it
-    found: list[tuple[int, int, float, float]] = []
+    """(first place, place after the last, score) of all maximal scoring segments, in linear time. scores: those of tokens with a
+    score of their own, at those places; every place between costs gap."""
+    # a candidate: first place, last place + 1, total before it, total with it, and the nearest candidate before it with less
+    # before it (-1: none). Whoever is stepped over along these links is never met again, so steps are no more than candidates.
+    found: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, 0
     for score, place in zip(scores, places, strict=True):
         total -= gap * (place - at)
         first, last, left, right = place, place + 1, total, total + score
         total, at = right, place + 1
-        while found:
-            j = len(found) - 1
+        if score <= 0:
+            continue
+        j = len(found) - 1
+        while True:
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
                 break
-            first, left = found[j][0], found[j][2]
+            first, left, above = found[j][0], found[j][2], found[j][4]
             del found[j:]
-        found.append((first, last, left, right))
-    return [(a, b, right - left) for a, b, left, right in found]
+            j = above
+        found.append((first, last, left, right, j))
+    return [(a, b, right - left) for a, b, left, right, _ in found]
 
 
 def passages_of(column: pa.Array, model: Model) -> tuple[list[list[tuple[int, int, float]]], np.ndarray]:
@@ -85,12 +90,12 @@ def passages_of(column: pa.Array, model: Model) -> tuple[list[list[tuple[int, in
     stems, _ = word_hashes(column, plain=True, stem=STEM)
     out: list[list[tuple[int, int, float]]] = [[] for _ in range(len(at) - 1)]
     if len(words) and len(model.tokens):
-        found = np.zeros(len(words))
+        found = np.full(len(words), -np.inf)
         for tokens in (words, stems):
             near = np.minimum(np.searchsorted(model.tokens, tokens), len(model.tokens) - 1)
             same = model.tokens[near] == tokens
             found[same] = np.maximum(found[same], model.scores[near[same]])
-        hit = np.flatnonzero(found)
+        hit = np.flatnonzero(found > -np.inf)
         score, bounds = found[hit], np.searchsorted(hit, at)
         for i in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[i], bounds[i + 1]
@@ -113,9 +118,8 @@ def training_sample(df: DataFrame, labels: DataFrame, key: str, text: str, label
     """(text, toxic, counted) of labelled rows that aren't held out: about rows of them at most, chosen by a hash of the key."""
     known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("toxic")).filter("key is not null and toxic is not null")
     known = known.filter(~held_out(F.col("key"))).groupBy("key").agg((F.max("toxic") > 0).alias("toxic"))
-    share = min(1.0, rows / max(1, known.count()))
-    place = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1_000_000))
-    known = known.filter(place < int(share * 1_000_000)).withColumn("counted", place % 5 != 0)
+    name = F.col("key").cast("string")
+    known = known.filter(sampled(name, rows, known.count())).withColumn("counted", F.pmod(F.xxhash64(name, F.lit("counted")), F.lit(5)) != 0)
     # no more than rows, give or take chance: bounded whatever the corpus
     return df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "key").select("text", "toxic", "counted")
 
@@ -156,15 +160,18 @@ def count_tokens(rows: DataFrame) -> DataFrame:
 
 
 def log_odds(counts: DataFrame) -> DataFrame:
-    """(token, score, clean_share) of the tokens with log-odds over LEAST and a positive score."""
+    """(token, score, clean_share) of the tokens with a score of their own: log-odds drawn towards 0 by DEVIATIONS standard
+    deviations, of those over LEAST if they stay positive, and of those that then are under -GAP."""
     totals = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = float(totals["t"] or 0), float(totals["c"] or 0)
     prior = (F.col("toxic") + F.col("clean")) * PRIOR
     n0 = PRIOR * (t + c)
     bad, good = F.col("toxic") + prior, F.col("clean") + prior
     delta = F.log(bad / (F.lit(t + n0) - bad)) - F.log(good / (F.lit(c + n0) - good))
-    score = delta - DEVIATIONS * F.sqrt(1 / bad + 1 / good)
-    return counts.filter((F.col("toxic") > 1.5) & (delta > LEAST) & (score > 0)).select("token", score.alias("score"), (good / F.lit(max(c + n0, 1.0))).alias("clean_share"))
+    doubt = DEVIATIONS * F.sqrt(1 / bad + 1 / good)
+    score = F.when(delta > 0, delta - doubt).otherwise(delta + doubt)
+    toxic, clean = (F.col("toxic") > 1.5) & (delta > LEAST) & (score > 0), (delta < 0) & (score < -GAP)
+    return counts.filter(toxic | clean).select("token", score.alias("score"), (good / F.lit(max(c + n0, 1.0))).alias("clean_share"))
 
 
 def _solve_rate(scores: np.ndarray, shares: np.ndarray, gap: float = GAP) -> float:
@@ -186,12 +193,14 @@ def _solve_rate(scores: np.ndarray, shares: np.ndarray, gap: float = GAP) -> flo
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope, with a small ridge; Newton's method."""
+    """Intercept and slope, with a small ridge; Newton's method. Both labels weigh the same, however many rows have them."""
     w, z = np.zeros(2), np.stack([np.ones_like(x), x], 1)
+    bad = max(1.0, y.sum())
+    weight = np.where(y > 0, len(y) / (2 * bad), len(y) / (2 * max(1.0, len(y) - bad)))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (p - y) + 0.01 * w
-        hessian = (z * (p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
+        gradient = z.T @ (weight * (p - y)) + 0.01 * w
+        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
