@@ -4,8 +4,8 @@
    each page's visible text a log-likelihood by language. Trigrams overlap and depend on each other, so it is
    divided by TEMPER.
 2. The page declares a language in its markup, and its host has a suffix. How often each is seen with each language is
-   counted over all pages with text by the text's posterior, and smoothed; a value that no such page has tells nothing.
-3. Hosts have priors: the posteriors of a host's pages, drawn towards its domain's, which are drawn towards all pages'. These
+   counted over all other pages with text by the text's posterior, and smoothed; a value that no such page has tells nothing.
+3. Hosts have priors: the posteriors of a host's other pages, drawn towards its domain's, which are drawn towards all pages'. These
    are grouped sums, so a host with a third of all pages is partly summed everywhere first.
 4. The evidence multiplies; the posterior's largest is the language.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python, materialise
+from .common import for_python, materialise, sampled
 from .words import text_bytes
 
 TRAIN_ROWS = 20_000
@@ -38,7 +38,7 @@ _HIDDEN = re.compile(r"(?is)<(script|style|nav|footer|head|noscript)\b.*?</\1\s*
 _TAG = re.compile(r"<[^>]*>")
 #: What may quote markup of other pages; conditional comments may hold the page's own.
 _ASIDE = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--(?!\[if).*?-->")
-_DECLARED = re.compile(r"(?is)<html\b(?:(?!<html\b)[^>])*?\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+_DECLARED = re.compile(r"(?is)<html\b(?:(?!<html\b)[^>])*?\slang\s*=\s*[\"']?([a-z]{2,3})\b")
 
 
 def visible(page: str) -> str:
@@ -64,9 +64,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRA
     """Languages, and log-likelihoods as [class, language]."""
     for_python(df.sparkSession)
     known = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null and text is not null")
-    share = min(1.0, rows / max(1, known.count()))
     # of equal texts one is enough: a text that many rows share stays one row of the sample
-    sample = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).dropDuplicates(["lang", "text"])
+    sample = known.filter(sampled(F.col("text"), rows, known.count())).dropDuplicates(["lang", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -153,16 +152,20 @@ def languages(pages: DataFrame, documents: DataFrame, key: str = "page_id", url:
     prior = F.array(*[F.lit((t + SMOOTH) / (sum(total) + SMOOTH * n)) for t in total])
     weights = F.array(*[F.lit(t) for t in total])
 
-    domains = _sums(taught, ["domain"], n, "_d").select("domain", _towards(F.col("_d"), prior).alias("_domain"))
-    hosts = _sums(taught, ["host", "domain"], n, "_h").join(domains, "domain").select("host", _towards(F.col("_h"), F.col("_domain")).alias("_host"))
-    fused = rows.join(seen("declared"), "declared", "left").join(seen("suffix"), "suffix", "left").join(hosts, "host", "left").join(domains, "domain", "left")
+    fused = rows.join(seen("declared"), "declared", "left").join(seen("suffix"), "suffix", "left").join(_sums(taught, ["host"], n, "_h"), "host", "left").join(_sums(taught, ["domain"], n, "_d"), "domain", "left")
+    # what a page itself has told is taken off what its host, domain, suffix and declaration have seen: its text counts once
+    for sums in ("_declared", "_suffix", "_h", "_d"):
+        own = F.zip_with(F.col(sums), F.col("posterior"), lambda a, p: F.greatest(a - p, F.lit(0.0)))
+        fused = fused.withColumn(sums, F.when(F.col("has_text"), own).otherwise(F.col(sums)))
     nothing = F.array(*[F.lit(0.0)] * n)
+    from_domain = _towards(F.coalesce("_d", nothing), prior)
+    host_prior = _towards(F.coalesce("_h", nothing), from_domain)
 
     def given(sums: str) -> Column:
         """ln P(value | language), or nothing where no page with text has the value."""
         return F.coalesce(F.zip_with(F.col(sums), weights, lambda s, t: F.log((s + SMOOTH) / (t + SMOOTH * 10))), nothing)
 
-    logs = F.zip_with(F.zip_with(F.col("likelihood"), F.transform(F.coalesce("_host", "_domain", prior), lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(given("_declared"), given("_suffix"), lambda a, b: a + b), lambda a, b: a + b)
+    logs = F.zip_with(F.zip_with(F.col("likelihood"), F.transform(host_prior, lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(given("_declared"), given("_suffix"), lambda a, b: a + b), lambda a, b: a + b)
     fused = fused.withColumn("_fused", _softmax(logs))
     names_column = F.array(*map(F.lit, names))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import for_python
+from .common import for_python, sampled
 from .words import mix, text_bytes, word_hashes
 
 TRAIN_ROWS = 10_000
@@ -172,10 +172,9 @@ def train(df: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> np.ndarr
         return np.zeros((1 << BITS) + 1)
     patterns, n = counted["pattern"].to_numpy(), counted["n"].to_numpy(float)
     posterior = dict(zip(patterns.tolist(), expectation_maximisation(patterns, n)[0].tolist(), strict=True))
-    share = min(1.0, rows / n.sum())
     body = F.col(f"`{text}`")
     # of equal texts one is enough: a text that many rows share stays one row of the sample
-    sample = df.filter(F.pmod(F.xxhash64(body), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).select(body.alias("_text")).distinct()
+    sample = df.filter(sampled(F.coalesce(body, F.lit("")), rows, int(n.sum()))).select(body.alias("_text")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

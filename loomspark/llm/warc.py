@@ -123,14 +123,32 @@ class Source:
         self.file.seek(max(0, start - 4))
         seen, base = self.file.read(1 << 16), max(0, start - 4)
         while True:
-            found = seen.find(b"\r\n\r\nWARC/")
-            if found >= 0:
-                return base + found + 4
+            found = -1
+            while (found := seen.find(b"\r\n\r\nWARC/", found + 1)) >= 0:
+                if self._begins(base + found + 4):
+                    return base + found + 4
             more = self.file.read(1 << 16)
             if not more:
                 return self.end
             base, seen = base + len(seen) - 16, seen[-16:] + more
 
+    def _begins(self, at: int) -> bool:
+        """Whether a record begins there: it has the headers that all have, and ends where the next one begins or the file ends. A
+        payload that quotes a record doesn't pass, unless it goes on with another one to the end of its own record."""
+        back = self.file.tell()
+        self.file.seek(at)
+        raw = b""
+        while (stop := raw.find(b"\r\n\r\n")) < 0 and len(raw) < 1 << 20 and (more := self.file.read(4096)):
+            raw += more
+        fields = parse_head(raw[:stop]) if stop >= 0 else {}
+        length, ok = fields.get("content-length", ""), False
+        if length.isdigit() and {"warc-type", "warc-record-id", "warc-date"} <= set(fields):
+            self.file.seek(at + stop + 4 + int(length))
+            end = self.file.read(9)
+            ok = end == b"\r\n\r\n" or end == b"\r\n\r\nWARC/"
+        self.file.seek(back)
+        return ok
+
     def head(self) -> dict[str, str] | None:
         if self.packed and self.rest is not None:
             self._finish()
@@ -287,12 +305,12 @@ class Written(WriterCommitMessage):
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.job = options["path"], uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, path = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(path, recursive=True)
-        name = f"{uuid.uuid4().hex}.warc.gz"
+        name = f"{self.job}-{uuid.uuid4().hex}.warc.gz"
         empty = True
         with fs.open_output_stream(posixpath.join(path, f"_{name}"), compression=None) as out:
             for batch in iterator:
@@ -309,7 +327,7 @@ class Writer(DataSourceArrowWriter):
             if m and m.name:
                 fs.move(posixpath.join(path, f"_{m.name}"), posixpath.join(path, m.name))
         for info in fs.get_file_info(pafs.FileSelector(path)):
-            if posixpath.basename(info.path).startswith("_"):
+            if posixpath.basename(info.path).startswith(f"_{self.job}-"):  # of this job's tasks that don't count
                 fs.delete_file(info.path)
 
     def abort(self, messages: list[Written | None]) -> None:
