@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words
+from .common import materialise, n_words, starts
 
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Training time and share of the weight at that time, for each weight of WEIGHTS in turn: the light sources fade, the heavy ones
@@ -91,10 +91,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sized = sized.withColumn("_salt", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * salts / F.lit(2**32)).cast("int"))
 
     groups = ["_s", "_u", "_salt"]
-    counted = sized.groupBy(*groups).agg(F.sum("size").alias("_size"), F.first("source").alias("source"))
+    counted = materialise(sized.groupBy(*groups).agg(F.sum("size").alias("_size"), F.first("source").alias("source")), "salts")
     sources = allocate(schedule(counted.groupBy("_s", "_u").agg(F.sum("_size").alias("source_size"), F.first("source").alias("source"))), repeats, share)
-    before = Window.partitionBy("_s", "_u").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    plan = counted.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size", "source").join(sources.drop("source"), ["_s", "_u"])
+    plan = starts(counted, ["_s", "_u"], "_salt", "_size", "_before").drop("_size", "source").join(sources.drop("source"), ["_s", "_u"])
 
     within = Window.partitionBy(*groups).orderBy("_order", key, "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(plan, groups)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import for_python, materialise
+from .common import for_python, materialise, starts
 
 CAPACITY = 4096
 END_ID = 1
@@ -276,16 +276,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 1000
 
 def pack(found: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, groups: int = 1000) -> DataFrame:
     """found (of pieces(), written) with sequence_id and offset."""
-    histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    salts = max(1, found.count() // 20_000)
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counted = materialise(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
+    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
     rows, _ = plan(histogram, capacity, groups)
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    salts = max(1, sum(histogram.values()) // 20_000)
 
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    before = starts(counted, ["length"], "_salt", "_n", "_before").drop("_n")
     within = Window.partitionBy("length", "_salt").orderBy(key, "piece", "ids_crc32", "start")
-    ranked = salted.withColumn("_at", F.row_number().over(within) - 1).join(starts, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_at"))
+    ranked = salted.withColumn("_at", F.row_number().over(within) - 1).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = rows[:, 0]

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import fingerprints, graph, language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, queries, toxicity, warc, words
+from loomspark.llm import common, fingerprints, graph, language_id, minhash, mixing, packing, pii, quality_classifier, quality_rules, queries, toxicity, warc, words
 from loomspark.llm.common import materialise as new_materialise
 from loomspark.llm.common import new_path, sampled
 
@@ -119,7 +119,17 @@ def test_mixing_odd_rows(odd, none):
     whole = mixing.mixed_documents(odd)
     assert whole.columns == odd.columns and mixing.mixed_documents(none).count() == 0
     words_of = sum(len(WORDS.findall(r["text"] or "")) for r in whole.collect())
-    assert abs(words_of - got["taken"].sum()) < 70_000
+    copies = [(2 * t + n) // (2 * n) if n else 1 for t, n in zip(got["taken"], got["size"], strict=True)]
+    assert words_of == sum(k * n for k, n in zip(copies, got["size"], strict=True)) and whole.count() == sum(copies)
+
+
+def test_starts_against_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(common, "SPAN", 4)
+    rows = [(g, s, (s * 7919 + g) % 11) for g in range(3) for s in range(0, 41, g + 1)]
+    df = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), "g int, s int, n long")
+    got = {(r["g"], r["s"]): r["before"] for r in common.starts(df, ["g"], "s", "n", "before").collect()}
+    assert got == {(g, s): sum(n for h, t, n in rows if h == g and t < s) for g, s, _ in rows}
+    assert common.starts(df.limit(0), ["g"], "s", "n", "before").count() == 0
 
 
 # 2 toxicity
