@@ -12,8 +12,8 @@ Running sums within a source are made from sums per (source, salt), so a source
 is spread over many tasks.
 
 Defined results: a null text counts no words; a null source is a source of its own, sorted last; documents
-without words are taken with 0 words and have no position; a null key sorts first; equal rows share one order and
-split what is taken between them; an empty table gives an empty one. Extra columns don't take part.
+without words are taken with 0 words and have no position; rows with a null key come in the order of a hash of their
+text, so that they spread over salts as others do; equal rows share one order and split what is taken between them; an empty table gives an empty one. Extra columns don't take part.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     s, t = F.col(f"`{source}`"), F.col(f"`{text}`")
     sized = df.select(
         F.col(f"`{key}`").alias(key), s.alias("source"), n_words(t).alias("size"), F.coalesce(s.cast("string"), F.lit("")).alias("_s"), s.isNull().alias("_u"),
-        F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))).alias("_order"), F.xxhash64(t).alias("_tie"), *carry,
+        F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.xxhash64(t).cast("string"))).alias("_order"), F.xxhash64(t).alias("_tie"), *carry,
     )
     if not carry:  # a few small columns: texts are then read once
         sized = materialise(sized, "sizes")

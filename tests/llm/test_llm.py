@@ -123,6 +123,13 @@ def test_mixing_odd_rows(odd, none):
     assert words_of == sum(k * n for k, n in zip(copies, got["size"], strict=True)) and whole.count() == sum(copies)
 
 
+def test_mixing_spreads_null_keys(spark):
+    rows = [(None, f"w{i} " * (1 + i % 3), "a") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).toPandas()
+    assert got["_order"].nunique() == 300 and got["taken"].sum() == 300
+    assert got["_start"].nunique() == 300
+
+
 def test_starts_against_running_sums(spark, monkeypatch):
     monkeypatch.setattr(common, "SPAN", 4)
     rows = [(g, s, (s * 7919 + g) % 11) for g in range(3) for s in range(0, 41, g + 1)]
