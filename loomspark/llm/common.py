@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import materialise, new_path, ship
 
-__all__ = ["SPACE", "WORD", "for_python", "let", "materialise", "n_words", "new_path", "sampled", "ship", "starts", "table"]
+__all__ = ["SPACE", "WORD", "for_python", "let", "materialise", "n_words", "new_path", "sampled", "ship", "starts", "table", "with_results"]
 
 SPAN = 4096  # salts that are summed together
 
@@ -60,3 +62,19 @@ def starts(totals: DataFrame, groups: list[str], salt: str, value: str, name: st
 def n_words(text: Column) -> Column:
     """Number of words; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def with_results(df: DataFrame, inputs: list[Column], results: T.StructType, make: Callable[..., list[pa.Array]]) -> DataFrame:
+    """df with the columns that make(*inputs) returns for an Arrow batch. Columns of df that are named like one of results give
+    way; the others pass through unread, whatever their names."""
+    kept = [f for f in df.schema if f.name not in results.names]
+    plain = [f"_{i}" for i in range(len(kept))]
+    names = [*plain, *[f"r{i}" for i in range(len(results))]]
+    rows = df.select(*[F.col(f"`{f.name}`").alias(p) for f, p in zip(kept, plain, strict=True)], *[c.alias(f"i{i}") for i, c in enumerate(inputs)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(plain)], *make(*batch.columns[len(plain) :])], names)
+
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, [*kept, *results], strict=True)])
+    return rows.mapInArrow(run, schema).toDF(*[f.name for f in kept], *results.names)
