@@ -30,6 +30,7 @@ from .common import materialise, ship
 ROWS, ANCHORS = 8192, 2048  # of a block, about
 STAGES = (8, 16, 32)  # leading components after which pairs are discarded
 STRIP = 1 << 19  # pairs whose bounds are in memory at one time
+FEW = 0.01  # of pairs: then they are followed one by one
 SLACK = 2.0**-36  # of the product of two norms: more than products of 1024 terms lose by rounding
 ROTATED = 1024  # components that are rotated; later ones are left for the remainder
 _SAFE = 2**62
@@ -128,26 +129,46 @@ def _best(group: np.ndarray, score: np.ndarray, ident: np.ndarray, k: int) -> np
 
 
 def _pairs(a: Block, b: Block, s: slice, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, room: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (i of anchors in s, j of rows, exact score) that are allowed and may be among an anchor's k best from low to high.
-    room: how far low and high may be off."""
-    n = allowed.shape[0]
-    i, j = np.nonzero(allowed)
-    done, product = 0, None
+    """Pairs (i of anchors in s, j of rows, exact score) that are allowed and may be among the k best from low to high, in one of an
+    anchor's bands (columns of low and high). room: how far low and high may be off. Products are of whole matrices until few
+    pairs are left, then of those pairs."""
+    n, bands, done = allowed.shape[0], range(low.shape[1]), 0
+    product, i, j = np.zeros(allowed.shape), None, None
     for stage in a.stages:
-        if product is None:
-            dense = a.turned[s, :stage] @ b.turned[:, :stage].T
-            product = dense[i, j]
+        if i is None:
+            product += a.turned[s, done:stage] @ b.turned[:, done:stage].T
+            rest = np.outer(a.left[stage][s], b.left[stage])
+            rest += SLACK * np.outer(a.norm[s], b.norm)
+            under, over = product - rest, product + rest
+            stay = allowed & (over >= (low - room).min(1)[:, None]) & (under <= (high + room).max(1)[:, None])
+            last, share = stage == a.stages[-1], np.count_nonzero(stay)
+            if share > FEW * stay.size and (last or share < 0.8 * np.count_nonzero(allowed)):  # else bounds are too wide as yet
+                kept = np.zeros(stay.shape, bool)
+                for c in bands:
+                    sure = stay & (under >= (low + room)[:, c, None]) & (over <= (high - room)[:, c, None])
+                    least = np.maximum((low - room)[:, c], _kth_of_rows(np.where(sure, under, -np.inf), k))
+                    kept |= (over >= least[:, None]) & (under <= (high + room)[:, c, None])
+                stay &= kept
+            if last or np.count_nonzero(stay) <= FEW * stay.size:
+                i, j = np.nonzero(stay)
+                product, under, over = product[i, j], under[i, j], over[i, j]
         else:
             product = product + _products(a.turned[s, done:stage], i, b.turned[:, done:stage], j)
+            rest = a.left[stage][s][i] * b.left[stage][j] + SLACK * a.norm[s][i] * b.norm[j]
+            under, over = product - rest, product + rest
         done = stage
-        rest = a.left[stage][s][i] * b.left[stage][j] + SLACK * a.norm[s][i] * b.norm[j]
-        under, over = product - rest, product + rest
-        sure = (under >= (low + room)[i]) & (over <= (high - room)[i])
-        least = np.maximum(low - room, _kth(i[sure], under[sure], k, n))
-        stay = (over >= least[i]) & (under <= (high + room)[i])
-        i, j, product = i[stay], j[stay], product[stay]
-    at = np.arange(a.whole.shape[0])[s][i]
-    return i, j, _exact(a, at, b, j, d)
+        if i is not None:
+            stay = np.zeros(len(i), bool)
+            for c in bands:
+                sure = (under >= (low + room)[i, c]) & (over <= (high - room)[i, c])
+                least = np.maximum((low - room)[:, c], _kth(i[sure], under[sure], k, n))
+                stay |= (over >= least[i]) & (under <= (high + room)[i, c])
+            i, j, product = i[stay], j[stay], product[stay]
+    return i, j, _exact(a, np.arange(a.whole.shape[0])[s][i], b, j, d)
+
+
+def _kth_of_rows(values: np.ndarray, k: int) -> np.ndarray:
+    return np.partition(values, -k, 1)[:, -k] if values.shape[1] >= k else np.full(len(values), -np.inf)
 
 
 def _strips(anchors: int, rows: int) -> Iterator[slice]:
@@ -188,7 +209,7 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
         found: dict[str, list[np.ndarray]] = {"anchor_id": [], "positive_id": [], "positive_score": []}
         for s in _strips(len(a.id), len(b.id)):
             allowed = (a.label[s][:, None] == b.label[None, :]) & (a.id[s][:, None] != b.id[None, :])
-            every = np.full(allowed.shape[0], np.inf)
+            every = np.full((allowed.shape[0], 1), np.inf)
             i, j, score = _pairs(a, b, s, allowed, -every, every, 0 / every, positives, d)
             best = _best(i, score, b.id[j], positives)
             for name, v in zip(found, (a.id[s][i[best]], b.id[j[best]], score[best]), strict=True):
@@ -206,22 +227,26 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
         names = ("anchor_id", "positive_id", "positive_score", "negative_id", "negative_score")
         found: dict[str, list[np.ndarray]] = {c: [] for c in names}
         if left.num_rows and right.num_rows:
-            b = Block(left, d, shared.value)
+            b, a = Block(left, d, shared.value), Block(right, d, shared.value)
             counts = pc.list_value_length(right.column("positive_id")).to_numpy()
-            index = np.repeat(np.arange(right.num_rows), counts)  # an anchor comes once for each of its positives
-            a = Block(right.select(["id", "label", "vector"]).take(pa.array(index)), d, shared.value)
-            positive, its = (right.column(c).combine_chunks().flatten().to_numpy() for c in ("positive_id", "positive_score"))
+            row, place = np.repeat(np.arange(len(counts)), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            positive, its = (np.zeros((len(counts), positives), np.int64) for _ in range(2))
+            there = np.zeros(positive.shape, bool)
+            there[row, place] = True
+            for c, out in (("positive_id", positive), ("positive_score", its)):
+                out[row, place] = right.column(c).combine_chunks().flatten().to_numpy()
             for s in _strips(len(a.id), len(b.id)):
                 top = its[s].astype(float)
-                room = np.abs(top) * 2.0**-40 + 1  # the band's ends as doubles; its exact test is below
-                i, j, score = _pairs(a, b, s, a.label[s][:, None] != b.label[None, :], top * band[0] / 100, top * band[1] / 100, room, negatives, d)
-                exact, bar = score.astype(object) * 100, its[s][i].astype(object)
-                inside = np.flatnonzero((bar * band[0] <= exact) & (exact <= bar * band[1]))
-                i, j, score = i[inside], j[inside], score[inside]
-                best = _best(i, score, b.id[j], negatives)
-                at = np.arange(len(a.id))[s][i[best]]
-                for name, v in zip(names, (a.id[at], positive[at], its[at], b.id[j[best]], score[best]), strict=True):
-                    found[name].append(v)
+                room = np.abs(top) * 2.0**-40 + 1  # the bands' ends as doubles; their exact test is below
+                low, high = (np.where(there[s], top * share / 100, missing) for share, missing in zip(band, (np.inf, -np.inf), strict=True))
+                i, j, score = _pairs(a, b, s, a.label[s][:, None] != b.label[None, :], low, high, room, negatives, d)
+                exact = score.astype(object) * 100
+                for c in range(positives):
+                    bar = its[s][i, c].astype(object)
+                    inside = np.flatnonzero(there[s][i, c] & (bar * band[0] <= exact).astype(bool) & (exact <= bar * band[1]).astype(bool))
+                    best = inside[_best(i[inside], score[inside], b.id[j[inside]], negatives)]
+                    for name, v in zip(names, (a.id[s][i[best]], positive[s][i[best], c], its[s][i[best], c], b.id[j[best]], score[best]), strict=True):
+                        found[name].append(v)
         return _table({c: (pa.int64(), v) for c, v in found.items()})
 
     dealt, asked = _grid(rows, wanted, n, m)

@@ -89,7 +89,7 @@ def test_rotation_discards_most_pairs():
     x = np.rint(base + rng.normal(size=base.shape)).astype(int)
     turn = np.linalg.eigh(x.T.astype(float) @ x)[1][:, ::-1]
     block = hard_negatives.Block(pa.table({"id": range(400), "label": [0] * 400, "vector": pa.array(list(x), pa.list_(pa.int64()))}), 48, turn)
-    allowed, every = ~np.eye(400, dtype=bool), np.full(400, np.inf)
+    allowed, every = ~np.eye(400, dtype=bool), np.full((400, 1), np.inf)
     i, j, score = hard_negatives._pairs(block, block, slice(0, 400), allowed, -every, every, 0 / every, 5, 48)
     assert len(i) < 0.1 * 400 * 400 and (score == (x[i] * x[j]).sum(1)).all()
     whole = np.where(allowed, x @ x.T, -(2**60))
