@@ -7,7 +7,6 @@ fetch parents' keys. Each table is written once, since its children read it.
 from __future__ import annotations
 
 import datetime as dt
-import re
 import warnings
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -20,7 +19,9 @@ from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.draws import below, uniform
+from ..plans import differences as D
 from ..plans import model as M
+from ..plans.checks import within
 from ..plans.config import Config
 from ..plans.graph import Plan, plan_generation
 from ..plans.rows import Fanout, check_fanout
@@ -28,31 +29,32 @@ from ..sources.pools import Pool, load_pools, pool_groups
 from ..storage import materialise
 from . import coherence as C
 from . import keys as K
+from .compared import Bind, Steps, let, unsettled
+from .compared import draw as draw_compared
 
 ATTEMPTS = 50
 AT_ONCE = 4  # tables that are made side by side
-_INVERSE = {">": "<", ">=": "<=", "<": ">", "<=": ">="}
 
 
 def _date(v) -> dt.date:
     return v.date() if isinstance(v, dt.datetime) else v
 
 
-def _is_time(t: M.Table, c: str) -> str:
-    return {"DATE": "date", "TIMESTAMP": "timestamp"}.get(t.row[c].metadata["sql"], "number")
-
-
-def independent(table: M.Table, c: T.StructField, row: Column, n: int, config: Config, salt: str = "", weights: tuple | None = None, alone: bool | None = None) -> Column:
-    """A column's value from its type, bounds and hint, without nulls; alone: different for each row (None: if the table says so)."""
+def independent(table: M.Table, c: T.StructField, row: Column, n: int, config: Config, salt: str = "", weights: tuple | None = None, alone: bool | None = None, limits: tuple = (None, None)) -> Column:
+    """A column's value from its type, bounds and hint, without nulls; alone: different for each row (None: if the table says so);
+    limits: (lowest, highest) besides the bounds of its checks."""
     alone = c.name in table.lone if alone is None else alone
     length = c.metadata.get("length")
     parts = (config.seed, table.name, c.name, *([salt] if salt else []))
     low, high, listed = M.bounds(table, c)
+    low, high = (best([v for v in pair if v is not None], default=None) for best, pair in ((max, (low, limits[0])), (min, (high, limits[1]))))
     domain = c.metadata.get("domain") if c.metadata.get("domain") is not None else listed
     kind = c.dataType
     if low is not None and high is not None and low > high:
         raise M.DomainExhausted(f"{table.name}.{c.name}: no value from {low} to {high}")
     if domain is not None:
+        if not any(isinstance(v, str) for v in domain):
+            domain = [v for v in domain if (low is None or v >= low) and (high is None or v <= high)]
         if not domain:
             raise M.DomainExhausted(f"{table.name}.{c.name} has no allowed value")
         if alone:
@@ -74,7 +76,7 @@ def independent(table: M.Table, c: T.StructField, row: Column, n: int, config: C
         step = Decimal(1).scaleb(-scale)
         cap = Decimal(10) ** (precision - scale) - step if precision < 38 else Decimal(10) ** 12
         lo = Decimal(low) if low is not None else (min(step, Decimal(high) - 10000) if high is not None else step)
-        hi = min(Decimal(high) if high is not None else max(lo, Decimal(10000)), cap)
+        lo, hi = max(lo, -cap), min(Decimal(high) if high is not None else max(lo, Decimal(10000)), cap)
         if hi < lo:
             raise M.DomainExhausted(f"{table.name}.{c.name}: no value from {lo} to {hi}")
         if alone:
@@ -176,14 +178,13 @@ class Generator:
                 raise M.DomainExhausted(f"{name}.{', '.join(fk.columns)} needs a row of {fk.table}, which has none")
         picks: dict[int, Column] = {}
         rows = self._groups(table, keys, rows, n, picks, pinned)
-        own_roles = C.roles(table, deferred)
-        rewritten = config.coherence and own_roles.anchor and own_roles.rewritable  # else parents' anchors aren't looked at
+        rewritten = config.coherence and C.anchor_of(table) in C.movable(table, "created", deferred) + C.movable(table, "started", deferred)  # else parents' anchors aren't looked at
         anchors: list[Column] = []
         values: dict[str, Column] = {}
         for i, fk in enumerate(keys):
             rows = self._pick(table, i, fk, rows, n, picks, fk is pinned)
             parent, pick = self.schema[fk.table], F.col(f"_pick{i}")
-            anchor = C.roles(parent, self.plan.deferred_columns(fk.table)).anchor if rewritten else None
+            anchor = C.anchor_of(parent) if rewritten else None
             computed = fk.to == parent.key and not {*fk.to} & {c for r in parent.references for c in r.columns} and len(fk.to) == 1
             if anchor or not computed:
                 got = self.made[fk.table].select(F.col("_rid").alias(f"_pick{i}"), *[F.col(f"`{r}`").alias(f"_key{i}_{j}") for j, r in enumerate(fk.to) if not computed], *([F.col(f"`{anchor}`").cast("timestamp_ntz").alias(f"_anchor{i}")] if anchor else []))
@@ -198,42 +199,63 @@ class Generator:
 
         rows, bound = self._pooled(table, rows, n, {*values, *deferred, *table.key})
         values |= bound
-        compares = [c.form for c in table.checks if c.form and c.form[0] == "compare"]
-        targets = {}
-        for _, left, op, right in compares:
-            # the left side follows from the right, but a key isn't moved
-            source, target, op = (right, left, op) if left not in table.key and left not in targets else (left, right, _INVERSE[op])
-            targets.setdefault(target, (source, op))
-        for c in table.row:
-            if c.name in deferred:
-                values[c.name] = F.lit(None).cast(c.dataType)
-            elif c.name in values or c.name in targets:
-                continue
-            elif table.key == [c.name]:
-                values[c.name] = _single_key(table, c, rid, n, config)
-            else:
-                values[c.name] = self._nulls(table, c, self._own(table, c, rid, n))
-        for target, (source, op) in targets.items():
-            if target in values:
-                continue
-            c = table.row[target]
-            base, low_high = values.get(source, F.lit(None)), M.bounds(table, c)[:2]
-            made = V.derived(base, op, rid, _is_time(table, source), config.seed, name, target)
-            made = self._within(made, c, low_high)
-            own = self._own(table, c, rid, n)
-            values[target] = self._nulls(table, c, F.coalesce(made.cast(c.dataType), own))
-
-        rows = self._filtered(table, rows, values, n)
+        for c in deferred:
+            values[c] = F.lit(None).cast(table.row[c].dataType)
+        if len(table.key) == 1 and table.key[0] not in values:
+            values[table.key[0]] = _single_key(table, table.row[table.key[0]], rid, n, config)
+        given = dict(values)
+        ranges = {c: self._range(table, c, keys, n) for c in given}
+        systems = D.systems(table, [*given, *self._alone(table), *(c.name for c in table.row if c.metadata.get("domain") is not None)], {c: r for c, r in ranges.items() if r}, set(deferred))
+        free = [c.name for c in table.row if c.name not in given]
+        steps = Steps(rows)  # values that others follow get columns of their own
+        values |= self._drawn(table, free, systems, given, rid, n, steps, dict)
+        rows = steps.rows
+        rows = self._filtered(table, rows, values, given, systems, n)
         if config.coherence:
-            values = self._coherent(table, values, anchors, deferred)
+            rows, values = self._coherent(table, rows, values, anchors, deferred, [fk for fk in table.references if fk.table == name])
         columns = [values[c.name].cast(c.dataType).alias(c.name) for c in table.row]
         return rows.select(F.col("rid").alias("_rid"), *columns)
 
-    def _own(self, table: M.Table, c: M.Column, rid: Column, n: int, salt: str = "") -> Column:
-        o = self.config.columns.get(f"{table.name}.{c.name}")
-        grouped = {g[-1] for g in self._free_groups(table)}
-        alone = c.name in grouped or c.name in table.lone
-        return independent(table, c, rid, n, self.config, salt, o.weights if o and not alone else None, alone)
+    def _range(self, table: M.Table, c: str, keys: list, n: int) -> tuple | None:
+        """The lowest and the highest of a key's values, where they are computed from row numbers."""
+        if table.row[c].metadata["sql"] not in M.WHOLE:
+            return None
+        if table.key == [c] and not any(c in fk.columns for fk in keys):
+            low = M.bounds(table, table.row[c])[0]
+            first = int(low) if low is not None else 1
+            return (first, first + n - 1) if n else None
+        fk = next((fk for fk in keys if fk.columns == [c]), None)
+        if fk and fk.to == self.schema[fk.table].key and not any(fk.to[0] in r.columns for r in self.schema[fk.table].references):
+            return self._range(self.schema[fk.table], fk.to[0], [], self.n[fk.table])
+        return None
+
+    def _alone(self, table: M.Table) -> set[str]:
+        """Columns whose values differ from row to row on their own."""
+        return table.lone | {g[-1] for g in self._free_groups(table)}
+
+    def _drawn(self, table: M.Table, names: list[str], systems: list, given: dict[str, Column], rid: Column, n: int, bind: Bind, then: Callable[[dict[str, Column]], object], salt: str = ""):
+        """then(values, with nulls, of columns that aren't given). salt: of another attempt, in which rid is no number."""
+        parts = (self.config.seed, table.name, *([salt] if salt else []))
+
+        def with_nulls(made: dict[str, Column]) -> dict[str, Column]:
+            return {c: self._nulls(table, table.row[c], v.cast(table.row[c].dataType), rid, salt) for c, v in made.items()}
+
+        def go(left: list, out: dict[str, Column]):
+            if not left:
+                compared = {c for s in systems for c in s.columns}
+                return then(out | with_nulls({c: self._own(table, table.row[c], rid, n, salt) for c in names if c not in compared}))
+            s = left[0]
+            own = {c: v for c, v in given.items() if c in s.columns}
+            return draw_compared(s, own, lambda c, limits: self._own(table, table.row[c], rid, n, salt, limits), self._distinct(table), rid, bind, lambda made: go(left[1:], out | with_nulls(made)), *parts)
+
+        return go([s for s in systems if set(s.columns) & set(names)], {})
+
+    def _distinct(self, table: M.Table) -> set[str]:
+        return self._alone(table) | (set(table.key) if len(table.key) == 1 else set())
+
+    def _own(self, table: M.Table, c: T.StructField, rid: Column, n: int, salt: str = "", limits: tuple = (None, None)) -> Column:
+        o, alone = self.config.columns.get(f"{table.name}.{c.name}"), c.name in self._alone(table)
+        return independent(table, c, rid, n, self.config, salt, o.weights if o and not alone else None, alone, limits)
 
     def _free_groups(self, table: M.Table) -> list[list[str]]:
         """Composite keys with a member that may have a value of its own for every row; that member makes them unique."""
@@ -295,10 +317,10 @@ class Generator:
             rows = rows.withColumn(name, V.nullable(F.col(name), self.config.fk_null_rate, rid, *parts))
         return rows
 
-    def _nulls(self, table: M.Table, c: T.StructField, made: Column) -> Column:
-        if not c.nullable or c.name in table.key:
+    def _nulls(self, table: M.Table, c: T.StructField, made: Column, rid: Column | None = None, salt: str = "") -> Column:
+        if M.filled(table, c.name) or c.name in table.key:
             return made
-        return V.nullable(made, self.config.null_rate, F.col("rid"), self.config.seed, table.name, c.name)
+        return V.nullable(made, self.config.null_rate, F.col("rid") if rid is None else rid, self.config.seed, table.name, c.name, *([salt] if salt else []))
 
     @staticmethod
     def _within(made: Column, c: T.StructField, low_high: tuple) -> Column:
@@ -339,66 +361,88 @@ class Generator:
                 out[price.name] = self._nulls(table, price, self._within(made, price, M.bounds(table, price)[:2]))
         return rows, out
 
-    def _filtered(self, table: M.Table, rows: DataFrame, values: dict[str, Column], n: int) -> DataFrame:
-        """Redraws the columns of checks that have no simple form, until they hold; ATTEMPTS times at most."""
-        simple = M.Table(table.name, table.row, [r for r in table.rules if not isinstance(r, M.Check) or r.form])
-        fixed = C.protected(simple, self.plan.deferred_columns(table.name))
-        for k, check in enumerate(c for c in table.checks if c.form is None):
-            free = [c for c in check.columns if c not in fixed]
-            if not free or set(check.columns) & fixed:
+    def _filtered(self, table: M.Table, rows: DataFrame, values: dict[str, Column], given: dict[str, Column], systems: list, n: int) -> DataFrame:
+        """Draws the columns of checks that the facts don't settle again, until all of them hold; ATTEMPTS times at most. Checks that share
+        columns, or columns of one system, are drawn together."""
+        loose = {p for s in systems for x, y in unsettled(s, set(given), self._distinct(table)) for p in ((x, y), (y, x))}
+        ensured = {(x, y) for s in systems for x in s.columns for y in s.columns} - loose
+        fixed = {*given, *self._alone(table)}
+        groups: list[tuple[list[M.Check], set[str]]] = []
+        for check in table.checks:
+            pairs = [(f[1], f[3]) for f in check.facts if f[0] == "compare"]
+            if check.enough and all(p in ensured for p in pairs):
                 continue
             if not evaluable(self.spark, table, check):
                 warnings.warn(f"{table.name}: Spark can't evaluate CHECK ({check.sql}), so it isn't looked at", stacklevel=2)
                 continue
+            if not set(check.columns) - fixed:
+                warnings.warn(f"{table.name}: CHECK ({check.sql}) is on keys and unique columns only, so it may not hold", stacklevel=2)
+                continue
+            columns = set(check.columns) | {c for s in systems for c in s.columns if set(s.columns) & set(check.columns)}
+            joined = [g for g in groups if g[1] & (columns - fixed)]
+            groups = [g for g in groups if g not in joined] + [([*(c for g in joined for c in g[0]), check], columns.union(*(g[1] for g in joined)))]
+        for k, (checks, columns) in enumerate(groups):
+            free = [c.name for c in table.row if c.name in columns - fixed]
+            seen = {c: values[c].cast(table.row[c].dataType) for c in sorted(columns)}
+            kept = {c: v for c, v in values.items() if c in columns and c in fixed}
+
+            def draw(attempt: Column, *, again: str = f"again{k}", free=free, kept=kept, seen=seen) -> Column:
+                def struct(made: dict[str, Column]) -> Column:
+                    return F.struct(*[(made[c].cast(table.row[c].dataType) if c in made else v).alias(c) for c, v in seen.items()])
 
-            def draw(attempt: Column, again: str = f"again{k}") -> dict[str, Column]:
-                rid, out = F.concat_ws("/", F.col("rid").cast("string"), attempt.cast("string")), {}
-                for c in free:
-                    column = table.row[c]
-                    made = independent(table, column, rid, n, self.config, again)
-                    out[c] = V.nullable(made, self.config.null_rate if column.nullable else 0.0, rid, self.config.seed, table.name, c, again).cast(column.dataType)
-                return out
+                rid = F.concat_ws("/", F.col("rid").cast("string"), attempt.cast("string"))
+                return self._drawn(table, free, systems, {**given, **kept}, rid, n, let, struct, again)
 
-            rows = first_that_holds(rows, {c: values[c].cast(table.row[c].dataType) for c in free}, draw, check.sql, f"_kept{k}")
-            rows = materialise(rows, f"{table.name}-drawn")
+            def holds(struct: str, checks=checks, columns=columns) -> str:
+                return " AND ".join(f"coalesce({within(c, table, struct, list(columns))}, true)" for c in checks)
+
+            rows = materialise(first_that_holds(rows, F.struct(*[v.alias(c) for c, v in seen.items()]), draw, holds, f"_kept{k}"), f"{table.name}-drawn")
             if not rows.filter(f"_kept{k} is null").isEmpty():
-                raise M.DomainExhausted(f"{table.name}: no values satisfy {check.sql} in {ATTEMPTS} draws")
+                raise M.DomainExhausted(f"{table.name}: no values satisfy {' and '.join(c.sql for c in checks)} in {ATTEMPTS} draws")
             for c in free:
                 values[c] = F.col(f"_kept{k}")[c]
         return rows
 
-    def _coherent(self, table: M.Table, values: dict[str, Column], anchors: list[Column], deferred: set[str]) -> dict[str, Column]:
-        own, rid, seed = C.roles(table, deferred), F.col("rid"), self.config.seed
-        if not own.anchor:
-            return values
+    def _coherent(self, table: M.Table, rows: DataFrame, values: dict[str, Column], anchors: list[Column], deferred: set[str], own_keys: list) -> tuple[DataFrame, dict[str, Column]]:
+        """Times in order: anchors after parents' ones (or, in a hierarchy of its own without parents, in the order of rows), and
+        what follows an anchor after it."""
+        name, rid, seed = C.anchor_of(table), F.col("rid"), self.config.seed
+        if not name:
+            return rows, values
         out = dict(values)
         cap = F.lit(dt.datetime.combine(self.config.as_of, dt.time())).cast("timestamp_ntz")
-        anchor = values[own.anchor].cast("timestamp_ntz")
-        if anchors and own.rewritable:
-            anchor = C.clamp(C.rewrite_anchor(anchor, C.floor_of(anchors), cap, rid, seed, table.name, own.anchor), *M.bounds(table, table.row[own.anchor])[:2])
-            if table.row[own.anchor].metadata["sql"] == "DATE":
+        anchor = values[name].cast("timestamp_ntz")
+        if name in C.movable(table, "created", deferred) + C.movable(table, "started", deferred):
+            if anchors:
+                anchor = C.clamp(C.rewrite_anchor(anchor, C.floor_of(anchors), cap, rid, seed, table.name, name), *M.bounds(table, table.row[name])[:2])
+            elif own_keys:
+                rows = materialise(rows.withColumn("_anchor", anchor), f"{table.name}-anchors")
+                slots = K.sort_anchors(rows.select("rid", F.col("_anchor").alias("anchor"))).withColumnRenamed("anchor", "_sorted")
+                rows, anchor = rows.drop("_anchor").join(slots, "rid"), F.col("_sorted")
+            if table.row[name].metadata["sql"] == "DATE":
                 anchor = anchor.cast("date").cast("timestamp_ntz")
-            out[own.anchor] = anchor
+            out[name] = anchor
 
         def kept(c: str, at: Column) -> Column:
             return C.clamp(at, *M.bounds(table, table.row[c])[:2])
 
-        for c in own.updated:
+        stages = [c for c in C.later(table, deferred) if table.row[c].metadata["role"] == "stage"]
+        for c in C.movable(table, "updated", deferred):
             out[c] = kept(c, C.updated_at(values[c].cast("timestamp_ntz"), anchor, cap, rid, seed, table.name, c))
-        for c in own.last:
+        for c in C.movable(table, "last_use", deferred):
             out[c] = kept(c, C.last_seen(values[c].cast("timestamp_ntz"), anchor, cap, rid, seed, table.name, c))
-        status = values[own.status].cast("string") if own.status else None
-        stages = [(c, values[c], C.filled(status, values[c], c, not table.row[c].nullable)) for c in own.lifecycle]
-        for (c, _, _), at in zip(stages, C.lifecycle(anchor, stages, rid, seed, table.name), strict=True):
+        by = C.status_of(table, stages)
+        status = values[by].cast("string") if by else None
+        gated = [(c, values[c], C.filled(status, values[c], C.stage_of(table, c), M.filled(table, c))) for c in stages]
+        for (c, _, _), at in zip(gated, C.lifecycle(anchor, gated, rid, seed, table.name), strict=True):
             out[c] = kept(c, at)
-        return out
+        return rows, out
 
     def backfill(self, name: str, fk: M.Reference) -> DataFrame:
         """Fills a deferred key: with an earlier row of the same table, or with a parent that is not later."""
         table, config, parts = self.schema[name], self.config, (self.config.seed, name, *fk.columns)
         rows, parent = self.made[name], self.made[fk.table]
-        own = C.roles(table, self.plan.deferred_columns(name)).anchor
-        theirs = C.roles(self.schema[fk.table], self.plan.deferred_columns(fk.table)).anchor
+        own, theirs = C.anchor_of(table), C.anchor_of(self.schema[fk.table])
         start = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
 
         def anchored(df: DataFrame, anchor: str | None) -> DataFrame:
@@ -429,32 +473,21 @@ def evaluable(spark: SparkSession, table: M.Table, check: M.Check) -> bool:
         return False
 
 
-def first_that_holds(rows: DataFrame, first: dict[str, Column], draw: Callable[[Column], dict[str, Column]], sql: str, name: str) -> DataFrame:
-    """rows with a struct of the first values under which the check doesn't fail: first, or a draw by the number of its attempt, from
-    1 to ATTEMPTS; null if there is none. All within a row; later draws are made for rows without an earlier one only."""
-
-    def struct(d: dict[str, Column]) -> Column:
-        return F.struct(*[v.alias(c) for c, v in d.items()])
-
+def first_that_holds(rows: DataFrame, first: Column, draw: Callable[[Column], Column], sql: Callable[[str], str], name: str) -> DataFrame:
+    """rows with a struct of the first values under which the check, sql(struct), doesn't fail: first, or a draw by the number of its attempt,
+    from 1 to ATTEMPTS; null if there is none. All within a row; later draws are made for rows without an earlier one only."""
     columns, won = [F.col(f"`{c}`") for c in rows.columns], None
     for low, high in ((0, 0), (1, 7), (8, ATTEMPTS)):
-        made = F.array(struct(first)) if not high else F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: struct(draw(k)))
+        made = F.array(first) if not high else F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: draw(k))
         rows = rows.select(*columns, *([] if won is None else [name]), (made if won is None else F.when(F.col(name).isNull(), made)).alias("_draws"))
         won = F.lit(None)
         for i in reversed(range(high - low + 1)):
-            holds = F.coalesce(F.expr(_renamed(sql, list(first), f"_draws[{i}]")), F.lit(True))
+            holds = F.coalesce(F.expr(sql(f"_draws[{i}]")), F.lit(True))
             won = F.when(holds, F.get("_draws", F.lit(i))).otherwise(won)
         rows = rows.select(*columns, (F.coalesce(F.col(name), won) if high else won).alias(name))
     return rows
 
 
-def _renamed(sql: str, free: list[str], struct: str) -> str:
-    """A check's SQL over the fields of a struct."""
-    for c in free:
-        sql = re.sub(rf"(?<![\w`'.]){re.escape(c)}(?![\w`'(])|`{re.escape(c)}`", f"{struct}.`{c}`", sql)
-    return sql
-
-
 def generate(spark: SparkSession, schema: M.Schema, rows: dict[str, int | Fanout], config: Config | None = None) -> dict[str, DataFrame]:
     """A DataFrame for each table of the schema."""
     return Generator(spark, schema, rows, config or Config()).run()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import plan_generation
 from ..plans.model import TIMED, WHOLE, Check, Schema, Table
-from .coherence import roles
+from .coherence import anchor_of, later
 from .hierarchy import unrooted
 
 
@@ -115,15 +115,14 @@ def validate_table(tables: dict[str, DataFrame], schema: Schema, name: str, defe
         add(duplicates(df, group), "unique", ",".join(group))
     for fk in table.references:
         add(orphans(df, fk.columns, tables[fk.table], fk.to).agg(count), "foreign_key", ",".join(fk.columns))
-    own = roles(table, deferred)
-    if own.anchor:
-        later = [c for c in (*own.updated, *own.last, *own.lifecycle)]
-        for c in later:
-            add(df.agg(F.count_if(F.col(f"`{c}`") < F.col(f"`{own.anchor}`")).alias("violations")), "coherence", f"{c} before {own.anchor}", "warning")
+    anchor = anchor_of(table)
+    if anchor:
+        for c in later(table, deferred):
+            add(df.agg(F.count_if(F.col(f"`{c}`") < F.col(f"`{anchor}`")).alias("violations")), "coherence", f"{c} before {anchor}", "warning")
         for fk in table.references:
-            theirs = roles(schema[fk.table]).anchor
+            theirs = anchor_of(schema[fk.table])
             if theirs and fk.table != name and not set(fk.columns) & deferred:
-                add(before_parent(df, fk.columns, own.anchor, tables[fk.table], fk.to, theirs).agg(count), "coherence", f"{own.anchor} before {fk.table}", "warning")
+                add(before_parent(df, fk.columns, anchor, tables[fk.table], fk.to, theirs).agg(count), "coherence", f"{anchor} before {fk.table}", "warning")
     for fk in table.references:
         if fk.table == name and len(fk.columns) == 1 and len(fk.to) == 1:
             add(unrooted(df, fk.to[0], fk.columns[0]).agg(count), "coherence", f"{fk.columns[0]} cycle", "warning")

@@ -128,7 +128,7 @@ def apply_overrides(schema: Schema, overrides: dict[str, Override]) -> Schema:
             for op, v in ((">=", o.min), ("<=", o.max)):
                 if v is not None:
                     literal = f"DATE '{v}'" if dates else str(v)
-                    table.rules.append(Check(f"{c} {op} {literal}", [c], ("bound", c, op, as_value(v))))
+                    table.rules.append(Check(f"{c} {op} {literal}", [c], [("bound", c, op, as_value(v))], True))
             low, high, _ = bounds(table, column)
             if low is not None and high is not None and low > high:
                 raise ConfigError(f"[columns.{name}]: nothing is left between {low} and {high}")

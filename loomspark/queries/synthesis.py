@@ -13,8 +13,10 @@ from ..functions import values as V
 from ..functions.draws import SEED, below, below_sql, bits_sql, shuffle_key, shuffle_key_sql, uniform_sql
 from ..operators import coherence as C
 from ..operators import keys as K
+from ..operators.compared import Steps, draw
 from ..operators.generate import first_that_holds
 from ..operators.ranking import hash_buckets, number_rows, row_buckets
+from ..plans.differences import systems
 from ..plans.graph import plan_generation
 from ..plans.rows import Fanout, capped_plan, integer_plan
 from ..sources.ddl import parse_ddl
@@ -117,11 +119,35 @@ _TRY = "(o_orderkey || '/' || t)"
 def check_filter_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of 51 draws for which value % 7 = 3; orders without one are left out."""
 
-    def draw(attempt: Column) -> dict:
-        return {"tries": attempt.cast("long"), "value": V.integer(F.concat_ws("/", F.col("rid").cast("string"), attempt.cast("string")), 1, 1000, S, "t", "score")}
+    def draw(attempt: Column) -> Column:
+        value = V.integer(F.concat_ws("/", F.col("rid").cast("string"), attempt.cast("string")), 1, 1000, S, "t", "score")
+        return F.struct(attempt.cast("long").alias("tries"), value.alias("value"))
 
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"))
-    return first_that_holds(rows, draw(F.lit(0)), draw, "value % 7 = 3", "w").filter("w is not null").select("rid", "w.tries", "w.value")
+    return first_that_holds(rows, draw(F.lit(0)), draw, lambda d: f"{d}.value % 7 = 3", "w").filter("w is not null").select("rid", "w.tries", "w.value")
+
+
+CHAIN = "CREATE TABLE t (lo INT CHECK (LO >= 10), mid INT, hi INT CHECK (hi <= 600), CHECK (lo < mid AND mid < hi), CHECK (lo + 5 <= hi))"
+_LO, _MID = (below_sql(n, R, S, "t", c, "away") for n, c in (("(last - first + 1)", "lo"), ("(last - first + 1)", "mid")))
+
+
+@query(
+    f"""WITH h AS (SELECT o_orderkey, 15 + {below_sql(586, R, S, 't', 'hi')} AS hi FROM orders),
+ l AS (SELECT o_orderkey, hi, first + {_LO} AS lo FROM (SELECT *, greatest(10, hi - 5 - 89) AS first, hi - 5 AS last FROM h)),
+ m AS (SELECT o_orderkey, hi, lo, first + {_MID} AS mid FROM (SELECT *, lo + 1 AS first, least(hi - 1, lo + 90) AS last FROM l))
+ SELECT o_orderkey AS rid, lo, mid, hi FROM m"""
+)
+def check_bounded_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns that are bounded and compared in a chain, for each order."""
+    t = parse_ddl(CHAIN)["t"]
+    (system,) = systems(t, [], {})
+    steps = Steps(_children(spark, sf_dir))
+
+    def own(c: str, limits: tuple) -> Column:
+        return V.integer(F.col("rid"), int(limits[0]), int(limits[1]), S, "t", c)
+
+    made = draw(system, {}, own, set(), F.col("rid"), steps, dict, S, "t")
+    return steps.rows.select("rid", *[made[c].cast("long").alias(c) for c in ("lo", "mid", "hi")])
 
 
 # foreign keys: customers and suppliers as parents of orders
@@ -301,7 +327,7 @@ _GATED = f"SELECT o_orderkey, o_orderdate, old, {', '.join(f'{v} AS f_{k}' for k
 def coherence_status_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which stages of an order's life cycle its status fills; half of the orders without a status have old values."""
     old = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), *[C.filled(_status(), old, f"{s}_at").alias(s) for s in ("shipped", "delivered", "cancelled")])
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), *[C.filled(_status(), old, s).alias(s) for s in ("shipped", "delivered", "cancelled")])
 
 
 def _chain_sql() -> str:
@@ -317,7 +343,7 @@ def _chain_sql() -> str:
 def coherence_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of the stages that are filled, one after another."""
     old, names = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate")), ["shipped_at", "delivered_at", "cancelled_at"]
-    stages = [(n, old, C.filled(_status(), old, n)) for n in names]
+    stages = [(n, old, C.filled(_status(), old, n.removesuffix("_at"))) for n in names]
     times = C.lifecycle(F.col("o_orderdate").cast("timestamp_ntz"), stages, F.col("o_orderkey"), S, "o")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), *[t.alias(n) for n, t in zip(names, times, strict=True)])
 

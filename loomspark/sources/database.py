@@ -8,8 +8,9 @@ from urllib.parse import parse_qsl, unquote, urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.checks import make_check, tokens_of
 from ..plans.model import Reference, Schema, Table, Unique, column, hint_of
-from .ddl import TYPE_NAMES, _tokens, fit, make_check
+from .ddl import TYPE_NAMES, fit
 
 TABLES = "SELECT c.relname AS table_name FROM pg_class c JOIN pg_namespace n ON n.oid = c.relnamespace WHERE n.nspname = 'public' AND c.relkind = 'r'"
 COLUMNS = "SELECT table_name, column_name, ordinal_position, data_type, character_maximum_length, numeric_precision, numeric_scale, is_nullable, column_default FROM information_schema.columns WHERE table_schema = 'public'"
@@ -116,7 +117,7 @@ def assemble(tables: list[str], columns: list[dict], constraints: list[dict]) ->
         elif kind == "f":
             table.rules.append(Reference(columns_, r["ref_table"], list(r["ref_cols"] or [])))
         elif kind == "c":
-            check = make_check(_tokens(plain_check(r["definition"])), table)
+            check = make_check(tokens_of(plain_check(r["definition"])), table)
             if check.form and check.form[0] == "in":
                 c = table.row[check.form[1]]
                 c.metadata["domain"] = [fit(v, c) for v in check.form[2]]

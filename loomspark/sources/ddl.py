@@ -1,18 +1,21 @@
 """Schemas from CREATE TABLE and ALTER TABLE ... ADD text.
 
-Only what the schema model holds is read. CHECK bodies stay SQL, for Spark to evaluate; four simple forms are also
-recognised, so that generation can satisfy them by construction.
+Only what the schema model holds is read. CHECK bodies stay SQL, for Spark to evaluate; plans.checks reads what they say of columns,
+so that generation can satisfy them by construction. Names that aren't quoted are found in any case.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import re
 from decimal import Decimal
 
 from pyspark.sql import types as T
 
-from ..plans.model import WHOLE, Check, Reference, Schema, SchemaError, Table, Unique, column, hint_of
+from ..plans.checks import group_at as _group
+from ..plans.checks import make_check, resolve, to_sql
+from ..plans.checks import name_of as _name
+from ..plans.checks import split_list as _split
+from ..plans.checks import tokens_of as _tokens
+from ..plans.model import WHOLE, Reference, Schema, SchemaError, Table, Unique, column, hint_of
 
 #: Type names and what they mean.
 TYPE_NAMES = {
@@ -21,124 +24,9 @@ TYPE_NAMES = {
     "TEXT": "TEXT", "BOOLEAN": "BOOLEAN", "BOOL": "BOOLEAN", "DATE": "DATE", "TIMESTAMP": "TIMESTAMP", "TIMESTAMPTZ": "TIMESTAMP", "DATETIME": "TIMESTAMP", "UUID": "UUID",
 }
 
-_TOKEN = re.compile(r"""\s+|--[^\n]*|/\*.*?\*/|('(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|[A-Za-z_][\w$]*|\d+(?:\.\d+)?|<=|>=|<>|!=|::|.)""", re.S)
 _STOP = {"NOT", "NULL", "PRIMARY", "UNIQUE", "DEFAULT", "REFERENCES", "CHECK", "CONSTRAINT", "GENERATED", "COLLATE"}
 
 
-def _tokens(text: str) -> list[str]:
-    return [m[1] for m in _TOKEN.finditer(text) if m[1]]
-
-
-def _name(token: str) -> str:
-    return token[1:-1].replace('""', '"') if token[0] in '"`' else token
-
-
-def _group(tokens: list[str], at: int) -> tuple[list[str], int]:
-    """What stands between the parenthesis at that place and its partner, and the place after it."""
-    depth = 0
-    for i in range(at, len(tokens)):
-        depth += (tokens[i] == "(") - (tokens[i] == ")")
-        if not depth:
-            return tokens[at + 1 : i], i + 1
-    raise SchemaError("a parenthesis is not closed")
-
-
-def _split(tokens: list[str]) -> list[list[str]]:
-    out, depth = [[]], 0
-    for t in tokens:
-        depth += (t == "(") - (t == ")")
-        if t == "," and not depth:
-            out.append([])
-        else:
-            out[-1].append(t)
-    return [x for x in out if x]
-
-
-def literal(token: str):
-    """A number, date, time or text from a literal; None for anything else."""
-    if re.fullmatch(r"-?\d+(\.\d+)?", token):
-        return Decimal(token)
-    if token.startswith("'"):
-        s = token[1:-1].replace("''", "'")
-        for read in (dt.date.fromisoformat, dt.datetime.fromisoformat):
-            try:
-                return read(s)
-            except ValueError:
-                pass
-        return s
-    return None
-
-
-#: PostgreSQL's pattern operators and what Spark calls them; a star is for either case.
-PATTERN_OPERATORS = {"!~~*": "NOT ILIKE", "~~*": "ILIKE", "!~~": "NOT LIKE", "~~": "LIKE", "!~*": "NOT RLIKE", "~*": "RLIKE", "!~": "NOT RLIKE", "~": "RLIKE"}
-
-
-def _sql(tokens: list[str]) -> str:
-    """Text of tokens; casts go, what double quotes name goes into back quotes, and pattern operators get names, as Spark
-    reads them."""
-    out, i = [], 0
-    while i < len(tokens):
-        if found := next((p for p in PATTERN_OPERATORS if tokens[i : i + len(p)] == list(p)), None):
-            out.append(PATTERN_OPERATORS[found])
-            i += len(found)
-            if i < len(tokens) and tokens[i][0] == "'" and out[-1].endswith("RLIKE"):  # in Spark's literals a backslash escapes
-                start = "(?i)" if found.endswith("*") else ""
-                out.append(f"'{start}{tokens[i][1:-1].replace(chr(92), chr(92) * 2)}'")
-                i += 1
-            continue
-        if tokens[i] == "::":
-            i += 2
-            if i < len(tokens) and tokens[i].upper() in ("VARYING", "PRECISION"):
-                i += 1
-            if i < len(tokens) and tokens[i] == "(":
-                i = _group(tokens, i)[1]
-            continue
-        out.append(f"`{_name(tokens[i])}`" if tokens[i][0] == '"' else tokens[i])
-        i += 1
-    return re.sub(r"\s*\.\s*", ".", re.sub(r"\( ", "(", re.sub(r" ([,)])", r"\1", " ".join(out))))
-
-
-_FLIP = {">": "<", "<": ">", ">=": "<=", "<=": ">="}
-
-
-def recognise(tokens: list[str], names: set[str]) -> tuple | None:
-    """The parsed form of a check, if it has one of the four."""
-    while tokens and tokens[0] == "(" and _group(tokens, 0)[1] == len(tokens):
-        tokens = tokens[1:-1]
-    signed: list[str] = []
-    for t in tokens:  # -5 is one token
-        if signed and signed[-1] == "-" and re.fullmatch(r"\d+(\.\d+)?", t) and (len(signed) == 1 or signed[-2] in (*_FLIP, "BETWEEN", "AND", "(", ",") or signed[-2].upper() in ("BETWEEN", "AND")):
-            signed[-1] = f"-{t}"
-        elif t.upper() in ("DATE", "TIMESTAMP") and _name(t) not in names:
-            continue
-        else:
-            signed.append(t)
-    t, upper = signed, [x.upper() for x in signed]
-    is_column = lambda x: _name(x) in names and x[0] != "'"
-    if len(t) == 3 and t[1] in _FLIP:
-        left, right = is_column(t[0]), is_column(t[2])
-        if left and right:
-            return "compare", _name(t[0]), t[1], _name(t[2])
-        value = literal(t[2] if left else t[0])
-        if left != right and value is not None and not isinstance(value, str):
-            return "bound", _name(t[0] if left else t[2]), t[1] if left else _FLIP[t[1]], value
-    if len(t) == 5 and upper[1] == "BETWEEN" and upper[3] == "AND" and is_column(t[0]):
-        low, high = literal(t[2]), literal(t[4])
-        if low is not None and high is not None and not isinstance(low, str):
-            return "range", _name(t[0]), low, high
-    if len(t) > 4 and upper[1] == "IN" and t[2] == "(" and is_column(t[0]):
-        values = [literal(x[0]) if len(x) == 1 else None for x in _split(t[3:-1])]
-        if values and None not in values:
-            return "in", _name(t[0]), values
-    return None
-
-
-def make_check(tokens: list[str], table: Table) -> Check:
-    names = {c.name for c in table.row}
-    used = [n for n in dict.fromkeys(_name(t) for t in tokens if t[0] != "'") if n in names]
-    return Check(_sql(tokens), used, recognise(tokens, names))
-
-
 def _names(tokens: list[str]) -> list[str]:
     return [_name(x[0]) for x in _split(tokens)]
 
@@ -195,7 +83,7 @@ def _add_column(table: Table, tokens: list[str], later: list) -> None:
             start = i
             while i < len(tokens) and tokens[i].upper() not in _STOP - {"NULL"}:
                 i = _group(tokens, i)[1] if tokens[i] == "(" else i + 1
-            c.metadata["default"] = _sql(tokens[start:i])
+            c.metadata["default"] = to_sql(tokens[start:i]).text()
         elif word == "REFERENCES":
             ref, columns, i = _reference(tokens, i + 1)
             table.rules.append(Reference([name], ref, columns))
@@ -208,18 +96,23 @@ def _add_column(table: Table, tokens: list[str], later: list) -> None:
 
 def _add_constraint(table: Table, tokens: list[str], later: list) -> bool:
     """A table's constraint, named or not; False if it is none."""
+
+    def columns_of(inner: list[str]) -> list[str]:
+        names = [c.name for c in table.row]
+        return [resolve(x[0], names) or _name(x[0]) for x in _split(inner)]
+
     if tokens[0].upper() == "CONSTRAINT":
         tokens = tokens[2:]
     word = tokens[0].upper()
     if word in ("PRIMARY", "UNIQUE"):
-        columns = _names(_group(tokens, 2 if word == "PRIMARY" else 1)[0])
+        columns = columns_of(_group(tokens, 2 if word == "PRIMARY" else 1)[0])
         table.rules.append(Unique(columns, word == "PRIMARY"))
         for c in columns if word == "PRIMARY" else ():
             table.row[c].nullable = False
     elif word == "FOREIGN":
         inner, at = _group(tokens, 2)
         ref, columns, _ = _reference(tokens, at + 1)
-        table.rules.append(Reference(_names(inner), ref, columns))
+        table.rules.append(Reference(columns_of(inner), ref, columns))
     elif word == "CHECK":
         later.append((table, _group(tokens, 1)[0], None))
     else:
@@ -272,6 +165,8 @@ def parse_ddl(text: str) -> Schema:
         else:
             table.rules.append(check)
     for fk in (fk for table in schema.values() for fk in table.references):
-        if not fk.to and fk.table in schema:
-            fk.to = list(schema[fk.table].key)
+        fk.table = resolve(fk.table, list(schema)) or fk.table
+        if fk.table in schema:
+            names = [c.name for c in schema[fk.table].row]
+            fk.to = [resolve(c, names) or c for c in fk.to] or list(schema[fk.table].key)
     return schema

@@ -51,7 +51,7 @@ def pool_groups(table: Table, pools: list[Pool], taken: set[str]) -> list[tuple[
     domain of their own don't take part."""
     out, used = [], set(taken)
     for pool in pools:
-        columns = [(c, c.metadata.get("hint")) for c in table.row if c.name not in used and c.metadata.get("hint") in pool.match and c.metadata.get("hint") in pool.fields and c.metadata["sql"] in TEXTUAL and c.metadata.get("domain") is None and not any(k.form and k.form[0] == "in" and k.form[1] == c.name for k in table.checks)]
+        columns = [(c, c.metadata.get("hint")) for c in table.row if c.name not in used and c.metadata.get("hint") in pool.match and c.metadata.get("hint") in pool.fields and c.metadata["sql"] in TEXTUAL and c.metadata.get("domain") is None and not any(f[:2] == ("in", c.name) for k in table.checks for f in k.facts)]
         if columns:
             out.append((pool, columns))
             used |= {c.name for c, _ in columns}
