@@ -304,7 +304,7 @@ def coherence_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), C.last_seen(at, at, F.lit(CAP).cast("timestamp_ntz"), F.col("o_orderkey"), S, "o", "seen").alias("last_seen"))
 
 
-_STATUS = {"F": "delivered", "O": "pending", "P": "cancelled"}
+_STATUS = {"F": "Delivered", "O": "pending", "P": "CANCELLED"}
 
 
 def _status():
@@ -314,7 +314,7 @@ def _status():
     return F.when(F.col("o_orderkey") % 13 != 0, status)
 
 
-_STATUS_SQL = "CASE WHEN o_orderkey % 13 <> 0 THEN CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'pending' WHEN 'P' THEN 'cancelled' END END"
+_STATUS_SQL = "lower(CASE WHEN o_orderkey % 13 <> 0 THEN CASE o_orderstatus WHEN 'F' THEN 'Delivered' WHEN 'O' THEN 'pending' WHEN 'P' THEN 'CANCELLED' END END)"
 _FULL = {
     "shipped_at": "CASE WHEN st = 'cancelled' THEN FALSE WHEN st IN ('delivered', 'pending') THEN st = 'delivered' ELSE old END",
     "delivered_at": "CASE WHEN st = 'cancelled' THEN FALSE WHEN st IN ('delivered', 'pending') THEN st = 'delivered' ELSE old END",
