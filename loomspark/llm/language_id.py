@@ -4,7 +4,8 @@
    each page's visible text a log-likelihood by language. Trigrams overlap and depend on each other, so it is
    divided by TEMPER.
 2. The page declares a language in its markup, and its host has a suffix. How often each is seen with each language is
-   counted over all other pages with text by the text's posterior, and smoothed; a value that no such page has tells nothing.
+   counted over all other pages with text by the text's posterior (under the shares of languages that texts alone give), and drawn towards the value's share of all those pages, so that a value
+   that no such page has tells nothing, and one that few have tells little, whatever the languages' own shares are.
 3. Hosts have priors: the posteriors of a host's other pages, drawn towards its domain's, which are drawn towards all pages'. These
    are grouped sums, so a host with a third of all pages is partly summed everywhere first.
 4. The evidence multiplies; the posterior's largest is the language.
@@ -33,6 +34,7 @@ TRAIN_ROWS = 20_000
 BITS = 16
 TEMPER = 8.0
 SMOOTH, DRAWN = 1.0, 10.0
+NONE = 1e-6  # pages: less is what rounding leaves of none
 
 _HIDDEN = re.compile(r"(?is)<(script|style|nav|footer|head|noscript)\b.*?</\1\s*>|<!--.*?-->")
 _TAG = re.compile(r"<[^>]*>")
@@ -127,9 +129,13 @@ def _sums(rows: DataFrame, by: list[str], n: int, name: str) -> DataFrame:
     return rows.groupBy(*by).agg(*parts).select(*by, F.array(*[f"_{i}" for i in range(n)]).alias(name))
 
 
+def _total(sums: Column) -> Column:
+    return F.aggregate(sums, F.lit(0.0), lambda a, x: a + x)
+
+
 def _towards(sums: Column, above: Column) -> Column:
     """Shares by language, drawn towards those of the group above."""
-    total = F.aggregate(sums, F.lit(0.0), lambda a, x: a + x)
+    total = _total(sums)
     return F.zip_with(sums, above, lambda s, p: (s + DRAWN * p) / (total + DRAWN))
 
 
@@ -141,29 +147,37 @@ def languages(pages: DataFrame, documents: DataFrame, key: str = "page_id", url:
         return pages.select(F.col(f"`{key}`").alias(key), *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("confidence", "double"), ("text_lang", "string"), ("declared", "string"))])
     rows = materialise(evidence(pages, names, likelihoods, key, url, page), "evidence")
 
+    def totals(df: DataFrame) -> list[float]:
+        found = df.agg(*[F.sum(F.get("posterior", F.lit(i))).alias(f"_{i}") for i in range(n)]).first()
+        return [float(found[f"_{i}"] or 0.0) for i in range(n)]
+
+    # what pages teach is told by their texts and the shares of all languages: a text that tells nothing then teaches nothing
+    shares = totals(rows.filter("has_text"))
+    shares = F.array(*[F.lit(float(np.log((t + SMOOTH) / (sum(shares) + SMOOTH * n)))) for t in shares])
+    rows = rows.withColumn("posterior", _softmax(F.zip_with("likelihood", shares, lambda a, b: a + b)))
     taught = rows.filter("has_text")  # pages without text teach nothing
 
     def seen(column: str) -> DataFrame:
         """How often each value is seen with each language: a row per value."""
         return _sums(taught, [column], n, f"_{column}")
 
-    every = taught.agg(*[F.sum(F.get("posterior", F.lit(i))).alias(f"_{i}") for i in range(n)]).first()
-    total = [float(every[f"_{i}"] or 0.0) for i in range(n)]
-    prior = F.array(*[F.lit((t + SMOOTH) / (sum(total) + SMOOTH * n)) for t in total])
-    weights = F.array(*[F.lit(t) for t in total])
+    total = totals(taught)
 
     fused = rows.join(seen("declared"), "declared", "left").join(seen("suffix"), "suffix", "left").join(_sums(taught, ["host"], n, "_h"), "host", "left").join(_sums(taught, ["domain"], n, "_d"), "domain", "left")
-    # what a page itself has told is taken off what its host, domain, suffix and declaration have seen: its text counts once
-    for sums in ("_declared", "_suffix", "_h", "_d"):
+    fused = fused.withColumn("_all", F.array(*[F.lit(t) for t in total]))
+    # what a page itself has told is taken off what all pages, its host, domain, suffix and declaration have seen: its text counts once
+    for sums in ("_all", "_declared", "_suffix", "_h", "_d"):
         own = F.zip_with(F.col(sums), F.col("posterior"), lambda a, p: F.greatest(a - p, F.lit(0.0)))
         fused = fused.withColumn(sums, F.when(F.col("has_text"), own).otherwise(F.col(sums)))
     nothing = F.array(*[F.lit(0.0)] * n)
+    prior = F.transform("_all", lambda t: (t + SMOOTH) / (_total(F.col("_all")) + SMOOTH * n))
     from_domain = _towards(F.coalesce("_d", nothing), prior)
     host_prior = _towards(F.coalesce("_h", nothing), from_domain)
 
     def given(sums: str) -> Column:
-        """ln P(value | language), or nothing where no page with text has the value."""
-        return F.coalesce(F.zip_with(F.col(sums), weights, lambda s, t: F.log((s + SMOOTH) / (t + SMOOTH * 10))), nothing)
+        """ln P(value | language), or nothing where no other page with text has the value."""
+        share = _total(F.col(sums)) / _total(F.col("_all"))
+        return F.when(_total(F.col(sums)) > NONE, F.zip_with(F.col(sums), F.col("_all"), lambda s, t: F.log((s + DRAWN * share) / (t + DRAWN)))).otherwise(nothing)
 
     logs = F.zip_with(F.zip_with(F.col("likelihood"), F.transform(host_prior, lambda x: F.log(x)), lambda a, b: a + b), F.zip_with(given("_declared"), given("_suffix"), lambda a, b: a + b), lambda a, b: a + b)
     fused = fused.withColumn("_fused", _softmax(logs))
@@ -172,4 +186,4 @@ def languages(pages: DataFrame, documents: DataFrame, key: str = "page_id", url:
     def best(x: Column) -> Column:
         return F.element_at(names_column, F.array_position(x, F.array_max(x)).cast("int"))
 
-    return fused.select(key, best(F.col("_fused")).alias("lang"), F.array_max("_fused").alias("confidence"), F.when(F.col("has_text"), best(F.col("posterior"))).alias("text_lang"), F.nullif("declared", F.lit("")).alias("declared"))
+    return fused.select(key, best(F.col("_fused")).alias("lang"), F.array_max("_fused").alias("confidence"), F.when(F.col("has_text"), best(F.col("likelihood"))).alias("text_lang"), F.nullif("declared", F.lit("")).alias("declared"))

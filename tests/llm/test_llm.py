@@ -188,8 +188,8 @@ def test_log_odds_and_rate_against_brute_force(spark):
     for i, a, b in counts:
         prior, n0 = (a + b) / 10, (t + c) / 10
         x, y = a + prior, b + prior
-        delta, doubt = np.log(x / (t + n0 - x)) - np.log(y / (c + n0 - y)), toxicity.DEVIATIONS * np.sqrt(1 / x + 1 / y)
-        if (delta > toxicity.LEAST and delta > doubt and a > 1.5) or (delta < 0 and delta + doubt < -toxicity.GAP):
+        delta, doubt = np.log(x / (t + n0 - x)) - np.log(y / (c + n0 - y)), toxicity.CHOSEN.deviations * np.sqrt(1 / x + 1 / y)
+        if (delta > toxicity.CHOSEN.least and delta > doubt and a > 1.5) or (delta < 0 and delta + doubt < -toxicity.GAP):
             want[i] = (np.sign(delta) * (abs(delta) - doubt), y / (c + n0))
     assert set(got) == set(want) and {1 if v[0] > 0 else -1 for v in got.values()} == {1, -1} and all(np.allclose(got[k], want[k]) for k in want)
     scores, shares = (np.array([want[k][i] for k in sorted(want)]) for i in (0, 1))
@@ -208,10 +208,56 @@ def test_toxicity_on_held_out_rows(spark):
     d, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     got = toxicity.toxicity(d, labels).join(labels, "doc_id").filter("held_out").select("toxic", "predicted", "score", "doc_id").toPandas()
     assert got["doc_id"].map(lambda k: zlib.crc32(str(k).encode()) % 3 == 1).all()
-    assert got["predicted"][got["toxic"] == 1].mean() > 0.9 and got["predicted"][got["toxic"] == 0].mean() < 0.01
+    # cross-validation within the other rows says 0.918 and 0.007; a tenth and a hundredth are left for chance
+    assert got["predicted"][got["toxic"] == 1].mean() > 0.918 - 0.1 and got["predicted"][got["toxic"] == 0].mean() < 0.007 + 0.01
+    print("held out:", got.groupby("toxic")["predicted"].mean().to_dict())
     assert ((got["score"] >= 0.7) == (got["predicted"] == 1)).all()
 
 
+def test_calibration_and_score_against_brute_force(spark):
+    """K, the logistic step and the score from tokens with scores that are given."""
+    rng = random.Random(9)
+    bad, mild = "grob", "naja"
+    hashes = {w: int(words.word_hashes(pa.array([w]), plain=True)[0][0]) for w in (bad, mild)}
+    order = sorted(hashes, key=hashes.get)
+    scores = {bad: 2.3173, mild: 0.7331}
+    model = toxicity.Model(np.array([hashes[w] for w in order], np.uint64), np.array([scores[w] for w in order]), rate=0.8)
+    texts = [(" ".join(rng.choices([bad, mild, "x", "yy"], [3 if toxic else 0.2, 1, 9, 9], k=rng.randrange(1, 40))), toxic) for toxic in rng.choices([True, False], [1, 3], k=300)]
+    for settings in (toxicity.Settings(2.0, 1.0, True), toxicity.Settings(2.0, 1.0, False)):
+        toxicity.calibrate(model, toxicity.sums_of(spark.createDataFrame(texts, "text string, toxic boolean"), model), settings)
+        found = [[v for _, _, v in _segments([scores.get(w, -toxicity.GAP) for w in t.split()])] for t, _ in texts]
+        n = [len(t.split()) for t, _ in texts]
+        over = sum(max(f, default=0) >= 1 for f, (_, toxic) in zip(found, texts, strict=True) if not toxic)
+        k = (over + 0.5) / (sum(c for c, (_, toxic) in zip(n, texts, strict=True) if not toxic) * np.exp(-0.8))
+        assert np.isclose(model.k, k)
+        evidence = [min(e, 0) if not f else e for f, c in zip(found, n, strict=True) if (e := 0.8 * sum(f) - np.log(k * c)) is not None]
+        y = np.array([float(toxic) for _, toxic in texts])
+        weight = np.where(y > 0, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum()) if settings.balanced else np.ones(len(y))
+
+        def loss(a, b):
+            z = a + b * np.array(evidence)
+            return (weight * (y * np.logaddexp(0, -z) + (1 - y) * np.logaddexp(0, z))).sum() + 0.005 * (a * a + b * b)
+
+        own = loss(model.intercept, model.slope)
+        assert all(own <= loss(model.intercept + da, model.slope + db) for da, db in itertools.product((-0.01, 0, 0.01), (-0.003, 0, 0.003)))
+        rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(300, ""), (301, None)], "doc_id long, text string")
+        got = {r["doc_id"]: r for r in toxicity.score(rows, model).collect()}
+        want = 1 / (1 + np.exp(-(model.intercept + model.slope * np.array([*evidence, min(0, -np.log(k)), min(0, -np.log(k))]))))
+        assert np.allclose([got[i]["score"] for i in range(302)], want)
+        assert all(len(got[i]["passages"]) == sum(k * c * np.exp(-0.8 * v) < toxicity.SIGNIFICANT for v in f) for i, (f, c) in enumerate(zip(found, n, strict=True)))
+
+
+def test_cross_validation_scores_rows_by_models_that_have_not_seen_them(spark):
+    """A word that tells toxic rows tells them in every fold; words of single rows tell nothing, whatever the settings."""
+    def rows(own):
+        return [(i, f"{'grob' if own and i % 4 == 0 else 'lieb'} " + " ".join(f"w{i}x{j}" for j in range(12)), int(i % 4 == 0)) for i in range(400)]
+
+    for own in (True, False):
+        df = spark.createDataFrame(rows(own), "doc_id long, text string, toxic int")
+        ((hit, wrong, _),) = toxicity.cross_validate(df.drop("toxic"), df.drop("text"), (toxicity.CHOSEN,), 3)
+        assert (hit, wrong) == (1.0, 0.0) if own else hit == wrong or abs(hit - wrong) < 0.2
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (3, 1), (3, None), (None, 1), (4, 1), (5, 0)], "doc_id long, toxic int")
     got = toxicity.toxicity(odd, labels).collect()
@@ -509,6 +555,56 @@ def test_languages_of_pages(spark, docs):
     assert (got["lang"] == got["said"]).mean() > 0.97 and (got["text_lang"] == got["said"]).mean() > 0.95 and got["confidence"].between(0, 1).all()
 
 
+def test_unseen_declarations_are_neutral(spark):
+    """1,200 English and 3 German pages: a language and a suffix that no other page has change nothing."""
+    words_of = {"en": "the quick house and other things were in that place with them", "de": "der schnelle und andere Dinge waren in dem Haus mit ihnen nicht"}
+    docs = spark.createDataFrame([(t, k) for k, t in words_of.items()], "text string, lang string")
+    page = lambda lang, text: f"<html lang='{lang}'><body>{text}</body></html>"
+    rows = [(i, f"http://h{i % 40}.example.com/", page("en", words_of["en"])) for i in range(1200)] + [(2000 + i, "http://d.example.de/", page("de", words_of["de"])) for i in range(3)]
+    rows += [(3000, "http://new.host.zz/", "<html lang='qq'><body>12 34</body></html>"), (3001, None, "<html><body>12 34</body></html>"), (3002, "http://other.place.yy/", "<html lang='xx'></html>"), (3003, None, None)]
+    got = {r["page_id"]: r for r in language_id.languages(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).collect()}
+    for odd, bare in ((3000, 3001), (3002, 3003)):
+        assert (got[odd]["lang"], got[bare]["lang"]) == ("en", "en") and abs(got[odd]["confidence"] - got[bare]["confidence"]) < 0.01
+    assert got[2000]["lang"] == "de" and got[5]["lang"] == "en"
+
+
+def test_fusion_against_brute_force(spark, docs):
+    """The posterior of every page from likelihoods, declarations and urls, by sums over all other pages."""
+    pages = read(spark, "pages")
+    names, table = language_id.train(docs)
+    rows = language_id.evidence(pages, names, table, "page_id", "url", "html").collect()
+    likelihood = np.array([r["likelihood"] for r in rows])
+    own = np.exp(likelihood) / np.exp(likelihood).sum(1, keepdims=True)
+    taught = np.array([r["has_text"] for r in rows])
+    alone = own[taught].sum(0)
+    own *= (alone + 1) / (alone.sum() + len(names))
+    own /= own.sum(1, keepdims=True)
+    own[~taught] = 0
+    everything = own.sum(0)
+
+    def others(column):
+        total = collections.defaultdict(lambda: np.zeros(len(names)))
+        for r, p in zip(rows, own, strict=True):
+            total[r[column]] = total[r[column]] + p
+        return [np.maximum(total[r[column]] - p, 0) for r, p in zip(rows, own, strict=True)]
+
+    sums = {c: others(c) for c in ("declared", "suffix", "host", "domain")}
+    got = {r["page_id"]: (r["lang"], r["confidence"]) for r in language_id.languages(pages, docs).collect()}
+    for i, r in enumerate(rows):
+        rest = everything - own[i]
+        shares = (rest + 1) / (rest.sum() + len(names))
+        for c in ("domain", "host"):
+            shares = (sums[c][i] + 10 * shares) / (sums[c][i].sum() + 10)
+        logs = likelihood[i] + np.log(shares)
+        for c in ("declared", "suffix"):
+            s = sums[c][i]
+            if s.sum() > 1e-6:
+                logs += np.log((s + 10 * s.sum() / rest.sum()) / (rest + 10))
+        p = np.exp(logs - logs.max())
+        p /= p.sum()
+        assert abs(got[r["page_id"]][1] - p.max()) < 1e-6 and (got[r["page_id"]][0] == names[p.argmax()] or np.sort(p)[-2] > p.max() - 1e-6)
+
+
 def test_languages_fuse_evidence(spark, docs):
     """Without text, what the page declares and its host decide."""
     rows = [(i, f"https://de.example.org/{i}", f"<html lang='de'><p>{t}</p></html>") for i, t in enumerate(r["text"] for r in docs.filter("lang = 'de'").limit(20).collect())]
