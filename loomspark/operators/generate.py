@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions import values as V
 from ..functions.draws import below, uniform
+from ..functions.permute import Permutation
 from ..plans import differences as D
 from ..plans import model as M
 from ..plans.checks import within
@@ -60,7 +61,7 @@ def independent(table: M.Table, c: T.StructField, row: Column, n: int, config: C
         if alone:
             if n > len(domain):
                 raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different values of {len(domain)}")
-            return F.element_at(F.array(*[F.lit(v) for v in domain]), (K.affine(row, len(domain), *parts) + 1).cast("int")).cast(kind)
+            return F.element_at(F.array(*[F.lit(v) for v in domain]), (Permutation(len(domain), *parts).of(row - 1) + 1).cast("int")).cast(kind)
         made = V.weighted(row, list(domain), [round(w * 1000) for w in weights], *parts) if weights else V.choice(row, list(domain), *parts)
         return made.cast(kind)
     if c.metadata["sql"] in M.WHOLE:
@@ -70,7 +71,7 @@ def independent(table: M.Table, c: T.StructField, row: Column, n: int, config: C
         hi = int(hi) if hi is not None else lo + max(1000, 2 * n if alone else 0)
         if hi < lo or (alone and hi - lo + 1 < n):
             raise M.DomainExhausted(f"{table.name}.{c.name}: {n} values from {lo} to {hi}")
-        return (F.lit(lo) + K.affine(row, hi - lo + 1, *parts) if alone else V.integer(row, lo, hi, *parts)).cast(kind)
+        return (F.lit(lo) + Permutation(hi - lo + 1, *parts).of(row - 1) if alone else V.integer(row, lo, hi, *parts)).cast(kind)
     if c.metadata["sql"] in ("NUMERIC", "FLOAT"):
         precision, scale = (c.dataType.precision, c.dataType.scale) if c.metadata["sql"] == "NUMERIC" else (38, 2)
         step = Decimal(1).scaleb(-scale)
@@ -83,7 +84,7 @@ def independent(table: M.Table, c: T.StructField, row: Column, n: int, config: C
             first, span = int(lo / step), int(hi / step) - int(lo / step) + 1
             if span < n:
                 raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different values from {lo} to {hi}")
-            return ((F.lit(first) + K.affine(row, span, *parts)).cast("decimal(38,0)") * F.lit(step)).cast(kind)
+            return ((F.lit(first) + Permutation(span, *parts).of(row - 1)).cast("decimal(38,0)") * F.lit(step)).cast(kind)
         if c.metadata.get("hint") == "money" and scale >= 2 and hi > 0:
             return V.money(row, float(max(lo, Decimal("0.01"))), float(hi), min(38, precision), scale, *parts).cast(kind)
         return V.numeric(row, lo, hi, min(38, precision), scale, *parts).cast(kind)
@@ -100,11 +101,11 @@ def independent(table: M.Table, c: T.StructField, row: Column, n: int, config: C
             if (hi - lo).days + 1 < n and c.metadata["sql"] == "DATE":
                 raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different days from {lo} to {hi}")
             if c.metadata["sql"] == "DATE":
-                return F.date_add(F.lit(lo), K.affine(row, (hi - lo).days + 1, *parts).cast("int"))
+                return F.date_add(F.lit(lo), Permutation((hi - lo).days + 1, *parts).of(row - 1).cast("int"))
             span = max(1, (hi - lo).days * 86400)
             if span < n:
                 raise M.DomainExhausted(f"{table.name}.{c.name}: {n} different seconds from {lo} to {hi}")
-            return C.moment(C.seconds(F.lit(dt.datetime.combine(lo, dt.time()))) + K.affine(row, span, *parts))
+            return C.moment(C.seconds(F.lit(dt.datetime.combine(lo, dt.time()))) + Permutation(span, *parts).of(row - 1))
         if c.metadata["sql"] == "DATE":
             return V.date(row, lo, hi, *parts)
         at = lambda v, d: v if isinstance(v, dt.datetime) else dt.datetime.combine(d, dt.time())
@@ -164,9 +165,8 @@ class Generator:
         pinned = None
         if isinstance(spec, Fanout):
             check_fanout(self.schema, self.plan, name, spec, set(self.n))
-            parents = self.made[spec.parent].select(F.col("_rid").alias("rid"))
-            rows = materialise(K.allocate(parents, spec.children(F.col("rid"), seed, name), seed, name), f"{name}-rows")
-            n, pinned = rows.count(), next(fk for fk in table.references if fk.table == spec.parent)
+            rows, n = K.allocate(self.spark, self.n[spec.parent], lambda rid: spec.children(rid, seed, name), seed, name)
+            rows, pinned = materialise(rows, f"{name}-rows"), next(fk for fk in table.references if fk.table == spec.parent)
         else:
             n = spec
             rows = self.spark.range(1, n + 1).select(F.col("id").alias("rid"))
@@ -308,8 +308,7 @@ class Generator:
         if alone:
             return rows.withColumn(name, K.permuted_pick(m, n, rid, *parts))
         if self.config.fanout == "zipfian":
-            parents = self.made[fk.table].select(F.col("_rid").alias("rid"))
-            rows = K.zipf_pick(rows.withColumnRenamed("pick", "_pinned") if "pick" in rows.columns else rows, parents, *parts, m=m).withColumnRenamed("pick", name)
+            rows = K.zipf_pick(rows.withColumnRenamed("pick", "_pinned") if "pick" in rows.columns else rows, m, *parts).withColumnRenamed("pick", name)
             rows = rows.withColumnRenamed("_pinned", "pick") if "_pinned" in rows.columns else rows
         else:
             rows = rows.withColumn(name, K.uniform_pick(m, rid, *parts))
@@ -346,7 +345,7 @@ class Generator:
                 if n > len(pool.records):
                     warnings.warn(f"{table.name}: {n} rows need different records of pool {pool.name}, which has {len(pool.records)}", stacklevel=2)
                     continue
-                at = K.affine(rid, len(pool.records), *parts)
+                at = Permutation(len(pool.records), *parts).of(rid - 1)
             else:
                 at = below(len(pool.records), rid, *parts)
             record = F.element_at(pool.as_array(), (at + 1).cast("int"))

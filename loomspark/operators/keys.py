@@ -7,14 +7,16 @@ and anchors follow by one equi-join.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.draws import below, shuffle_key, uniform
+from ..functions.draws import below, uniform
+from ..functions.permute import MOST, Permutation
 from ..plans.model import DomainExhausted
 from ..storage import materialise
-from .ranking import hash_buckets, number_rows, row_buckets, running_total, time_buckets
+from .ranking import number_rows, row_buckets, running_total, time_buckets
 
 ZIPF = 0.7
 
@@ -28,39 +30,53 @@ def permuted_pick(n_parents: int, n_children: int, rid: Column, *parts) -> Colum
     """Different parents for different children: for a unique foreign key."""
     if n_children > n_parents:
         raise DomainExhausted(f"{n_children} rows need different parents, and there are {n_parents}")
-    return affine(rid, n_parents, *parts) + 1
+    return Permutation(n_parents, *parts).of(rid - 1) + 1
 
 
-def zipf_pick(children: DataFrame, parents: DataFrame, *parts, m: int | None = None) -> DataFrame:
-    """children with pick: m parents (None: they are counted) in the order of a shuffle weigh 1 / rank^0.7.
+def zipf_pick(children: DataFrame, m: int, *parts) -> DataFrame:
+    """children with pick: m parents, of which that of rank r weighs 1 / r^0.7; a permutation gives their ranks.
 
-    Weights are whole millionths. A child draws a place in their sum; parents' intervals and children's places are cut
-    into as many bins as there are parents, so that the range join is an equi-join on the bin. A bin holds a few parents only, as the least
-    weight is a third of the mean."""
-    m = parents.count() if m is None else m
+    Weights are whole millionths. A child draws a place in their sum; ranks' intervals and children's places are cut
+    into as many bins as there are ranks, so that the range join is an equi-join on the bin. A bin holds a few ranks only, as the least
+    weight is a third of the mean. The table of ranks depends on m alone; parents are not read."""
     if not m:
         return children.withColumn("pick", F.lit(None).cast("long"))
-    key = shuffle_key(F.col("rid"), *parts, "rank")
-    ranked = number_rows(parents.select("rid").withColumn("_key", key), hash_buckets(F.col("_key"), m), [F.col("_key"), F.col("rid")], "_rank")
+    ranks = children.sparkSession.range(1, m + 1).select(F.col("id").alias("_rank"))
     weight = F.greatest(F.lit(1), F.floor(F.lit(1e6) * F.pow(F.col("_rank").cast("double"), F.lit(-ZIPF)))).cast("long")
-    summed = running_total(ranked.withColumn("_w", weight), F.col("_w"), row_buckets(F.col("_rank"), m), [F.col("_rank")], "_hi")
-    summed = materialise(summed.select("rid", "_w", "_hi"), "zipf")
+    summed = running_total(ranks.withColumn("_w", weight), F.col("_w"), row_buckets(F.col("_rank"), m), [F.col("_rank")], "_hi")
+    summed = materialise(summed.select("_rank", "_w", "_hi"), "zipf")
     total = summed.agg(F.max("_hi")).first()[0]
     width = max(1, total // max(1, m))
     low = F.col("_hi") - F.col("_w")
-    binned = summed.select(F.col("rid").alias("pick"), low.alias("_lo"), "_hi", F.explode(F.sequence(F.floor(low / width), F.floor((F.col("_hi") - 1) / width))).alias("_bin"))
+    binned = summed.select("_rank", low.alias("_lo"), "_hi", F.explode(F.sequence(F.floor(low / width), F.floor((F.col("_hi") - 1) / width))).alias("_bin"))
     placed = children.withColumn("_x", below(total, F.col("rid"), *parts)).withColumn("_bin", F.floor(F.col("_x") / width))
-    return placed.join(binned, "_bin").filter("_x >= _lo and _x < _hi").drop("_x", "_bin", "_lo", "_hi")
+    found = placed.join(binned, "_bin").filter("_x >= _lo and _x < _hi")
+    return found.withColumn("pick", ranked(m, *parts).back(F.col("_rank") - 1) + 1).drop("_x", "_bin", "_lo", "_hi", "_rank")
 
 
-def allocate(parents: DataFrame, n_children: Column, *parts) -> DataFrame:
-    """(rid, pick, place): exactly that many children for each parent, numbered in the order of a shuffle; place counts a
-    parent's children from 1."""
-    each = parents.select(F.col("rid").alias("pick"), n_children.alias("_k")).filter("_k > 0")
-    each = each.select("pick", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("place"))
-    key = shuffle_key(F.concat_ws("/", F.col("pick").cast("string"), F.col("place").cast("string")), *parts, "order")
-    each = each.withColumn("_key", key)
-    return number_rows(each, hash_buckets(F.col("_key")), [F.col("_key"), F.col("pick"), F.col("place")], "rid").select("rid", "pick", "place")
+def ranked(m: int, *parts) -> Permutation:
+    """Of m parents' row numbers less 1: their ranks less 1."""
+    return Permutation(m, *parts, "rank")
+
+
+BLOCK = 256  # parents whose children are counted together
+
+
+def allocate(spark: SparkSession, m: int, n_children: Callable[[Column], Column], *parts) -> tuple[DataFrame, int]:
+    """(rid, pick, place) and how many: parent p of 1 to m gets exactly n_children(p) children, numbered in the order of a shuffle;
+    place counts a parent's children from 1. Children are counted by blocks of parents, from row numbers alone; sums of
+    blocks give each block's first child, and a permutation shuffles. No row of a parent or child is shuffled or sorted."""
+    first = F.col("id") * BLOCK + 1
+    counts = F.transform(F.sequence(first, F.least(first + BLOCK - 1, F.lit(m).cast("long"))), lambda p: n_children(p).cast("long"))
+    blocks = spark.range(-(-m // BLOCK)).select("id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, k: a + k).alias("_n"))
+    blocks = materialise(running_total(blocks, F.col("_n"), row_buckets(F.col("id")), [F.col("id")], "_end").select("id", "_n", "_end"), "blocks")
+    total = blocks.agg(F.coalesce(F.max("_end"), F.lit(0))).first()[0]
+    # how many children come before each parent of the block
+    before = F.aggregate(counts, F.array(F.col("_end") - F.col("_n")), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + k)))
+    each = blocks.select(first.alias("_first"), F.posexplode(F.arrays_zip(counts.alias("k"), F.slice(before, 1, F.size(counts)).alias("before"))).alias("_pos", "_p"))
+    each = each.select((F.col("_first") + F.col("_pos")).alias("pick"), F.col("_p.before").alias("_before"), F.col("_p.k").alias("_k")).filter("_k > 0")
+    each = each.select("pick", "_before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("place"))
+    return each.select((Permutation(total, *parts, "order").of(F.col("_before") + F.col("place") - 1) + 1).alias("rid"), "pick", "place"), total
 
 
 def multiplier(n: int) -> int:
@@ -71,22 +87,19 @@ def multiplier(n: int) -> int:
     return a
 
 
-def affine(i: Column, n: int, *parts) -> Column:
-    """A permutation of 0 to n - 1, by row number; n times the row number stays under 2^63 with up to 2^32 rows."""
-    start = int.from_bytes(str(parts).encode()[-6:], "big") % n
-    return F.pmod(F.lit(multiplier(n)).cast("long") * F.pmod(i, F.lit(n).cast("long")) + F.lit(start).cast("long"), F.lit(n).cast("long"))
-
-
 def cells(sizes: list[int], n: int, rid: Column, *parts) -> list[Column]:
-    """Row numbers (from 1) in each of several domains, so that no two of n rows have the same combination."""
-    total = math.prod(sizes)
-    if n > total:
-        raise DomainExhausted(f"{n} rows need different combinations, and there are {total}")
-    cell, out = affine(rid, total, *parts), []
-    for size in reversed(sizes):
+    """Row numbers (from 1) in each of several domains, so that no two of n rows have the same combination. Where there are more
+    combinations than can be permuted, the first domains that have n of them are, and the others are drawn freely."""
+    if n > math.prod(sizes):
+        raise DomainExhausted(f"{n} rows need different combinations, and there are {math.prod(sizes)}")
+    k = len(sizes)
+    if math.prod(sizes) > MOST:
+        k = next(k for k in range(1, k + 1) if math.prod(sizes[:k]) >= n)
+    cell, out = Permutation(math.prod(sizes[:k]), *parts).of(rid - 1), []
+    for size in reversed(sizes[:k]):
         out.append((F.pmod(cell, F.lit(size)) + 1).cast("long"))
-        cell = F.floor(cell / F.lit(size)).cast("long")
-    return out[::-1]
+        cell = F.call_function("div", cell, F.lit(size).cast("long"))
+    return out[::-1] + [below(size, rid, *parts, f"free{i}") + 1 for i, size in enumerate(sizes[k:])]
 
 
 def forest_parents(rows: DataFrame, root_fraction: float, *parts) -> DataFrame:

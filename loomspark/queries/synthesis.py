@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.draws import SEED, below, below_sql, bits_sql, shuffle_key, shuffle_key_sql, uniform_sql
+from ..functions.draws import SEED, below, below_sql, bits_sql, uniform_sql
+from ..functions.permute import permute_sql
 from ..operators import coherence as C
 from ..operators import keys as K
 from ..operators.compared import Steps, draw
 from ..operators.generate import first_that_holds
-from ..operators.ranking import hash_buckets, number_rows, row_buckets
+from ..operators.ranking import number_rows, row_buckets
 from ..plans.differences import systems
 from ..plans.graph import plan_generation
 from ..plans.rows import Fanout, capped_plan, integer_plan
@@ -41,11 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """rid: the place of each key."""
-    return number_rows(df.select(F.col(key).cast("long").alias("key")), row_buckets(F.shiftleft("key", 4)), [F.col("key")], "rid")
-
-
 def _orders(spark: SparkSession, sf_dir: str, value) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), value.alias("value"))
 
@@ -156,7 +152,9 @@ _CUSTOMERS = "cust AS (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_cu
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(table(spark, sf_dir, "customer"), "c_custkey")
+    """Customers by row number: their keys are 0, 1, 2 ..."""
+    key = F.col("c_custkey").cast("long")
+    return table(spark, sf_dir, "customer").select(key.alias("key"), (key + 1).alias("rid"))
 
 
 def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +168,7 @@ def fk_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.join(parents.select(F.col("rid").alias("pick"), F.col("key").alias("parent")), "pick").select("rid", "parent")
 
 
-_ZIPF = f"""WITH {_CUSTOMERS}, ranked AS (SELECT key, row_number() OVER (ORDER BY {shuffle_key_sql('rid', S, 'o', 'zipf', 'rank')}, rid) AS r FROM cust),
+_ZIPF = f"""WITH {_CUSTOMERS}, {permute_sql('places', '(SELECT count(*) FROM customer)', S, 'o', 'zipf', 'rank')}, ranked AS (SELECT key, j + 1 AS r FROM cust JOIN places ON i = rid - 1),
  w AS (SELECT key, r, CAST(greatest(1, floor(1e6 * pow(CAST(r AS DOUBLE), -0.7))) AS BIGINT) AS w FROM ranked),
  s AS (SELECT key, CAST(sum(w) OVER (ORDER BY r) AS BIGINT) AS hi, w FROM w), c AS (SELECT o_orderkey AS rid, {below_sql('(SELECT max(hi) FROM s)', R, S, 'o', 'zipf')} AS x FROM orders)
  SELECT c.rid, s.key AS parent FROM c JOIN s ON x < hi AND x >= hi - w"""
@@ -179,19 +177,20 @@ _ZIPF = f"""WITH {_CUSTOMERS}, ranked AS (SELECT key, row_number() OVER (ORDER B
 @query(_ZIPF)
 def fk_zipfian(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = _customers(spark, sf_dir)
-    picked = K.zipf_pick(_children(spark, sf_dir), parents.select("rid"), S, "o", "zipf")
+    picked = K.zipf_pick(_children(spark, sf_dir), table(spark, sf_dir, "customer").count(), S, "o", "zipf")
     return picked.join(parents.select(F.col("rid").alias("pick"), F.col("key").alias("parent")), "pick").select("rid", "parent")
 
 
-_ALLOCATED = f"""WITH {_CUSTOMERS}, k AS (SELECT key, rid AS pick, CAST(2 + {below_sql(4, 'rid', S, 'fanout', 'o')} AS BIGINT) AS k FROM cust), e AS (SELECT key, pick, unnest(range(1, k + 1)) AS place FROM k)
- SELECT row_number() OVER (ORDER BY {shuffle_key_sql("pick || '/' || place", S, 'o', 'alloc', 'order')}, pick, place) AS rid, key AS parent, place FROM e"""
+_ALLOCATED = f"""WITH {_CUSTOMERS}, k AS (SELECT key, rid AS pick, CAST(2 + {below_sql(4, 'rid', S, 'fanout', 'o')} AS BIGINT) AS k FROM cust),
+ b AS (SELECT key, k, sum(k) OVER (ORDER BY pick) - k AS before FROM k), e AS (SELECT key, before, unnest(range(1, k + 1)) AS place FROM b), {permute_sql('places', '(SELECT sum(k) FROM k)', S, 'o', 'alloc', 'order')}
+ SELECT j + 1 AS rid, key AS parent, place FROM e JOIN places ON i = before + place - 1"""
 
 
 @query(_ALLOCATED)
 def fk_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2 to 5 children for each customer."""
     parents = _customers(spark, sf_dir)
-    made = K.allocate(parents.select("rid"), Fanout(2, 5, "customer").children(F.col("rid"), S, "o"), S, "o", "alloc")
+    made, _ = K.allocate(spark, table(spark, sf_dir, "customer").count(), lambda rid: Fanout(2, 5, "customer").children(rid, S, "o"), S, "o", "alloc")
     return made.join(parents.select(F.col("rid").alias("pick"), F.col("key").alias("parent")), "pick").select("rid", "parent", F.col("place").cast("long").alias("place"))
 
 
@@ -210,9 +209,6 @@ def fk_null_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("rid", V.nullable(F.col("parent"), 0.1, F.col("rid"), S, "o", "uniform").alias("parent"))
 
 
-_START = int.from_bytes(str((S, "j")).encode()[-6:], "big")
-
-
 def _multiplier_sql(n: str) -> str:
     """The least number from 0.618 n on that has no factor with n."""
     return f"(SELECT min(a) FROM (SELECT CAST(floor({n} * CAST(0.6180339887 AS DOUBLE)) AS BIGINT) + i AS a FROM range(64) t(i)) WHERE gcd(a, {n}) = 1)"
@@ -221,12 +217,12 @@ def _multiplier_sql(n: str) -> str:
 _CELLS = "(SELECT (SELECT count(*) FROM supplier) * (SELECT count(*) FROM part))"
 
 
-@query(f"WITH c AS (SELECT o_orderkey AS rid, ({_multiplier_sql(_CELLS)} * (o_orderkey % {_CELLS}) + {_START} % {_CELLS}) % {_CELLS} AS cell FROM orders) SELECT rid, cell // (SELECT count(*) FROM part) + 1 AS supplier, cell % (SELECT count(*) FROM part) + 1 AS part FROM c")
+@query(f"WITH {permute_sql('cells', _CELLS, S, 'j')} SELECT o_orderkey AS rid, j // (SELECT count(*) FROM part) + 1 AS supplier, j % (SELECT count(*) FROM part) + 1 AS part FROM orders JOIN cells ON i = o_orderkey")
 def junction_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A different pair of supplier and part for each order."""
     sizes = [table(spark, sf_dir, t).count() for t in ("supplier", "part")]
     orders = _children(spark, sf_dir)
-    first, second = K.cells(sizes, orders.count(), F.col("rid"), S, "j")
+    first, second = K.cells(sizes, orders.count(), F.col("rid") + 1, S, "j")
     return orders.select("rid", first.alias("supplier"), second.alias("part"))
 
 
@@ -241,11 +237,11 @@ def junction_allocated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("parent", "place", (F.pmod(F.col("place") * K.multiplier(n) + below(n, F.col("parent"), S, "j", "part"), F.lit(n)) + 1).cast("long").alias("part"))
 
 
-@query("SELECT c_custkey AS rid, row_number() OVER (ORDER BY " + shuffle_key_sql("c_custkey", S, "o", "rank") + ", c_custkey) AS rank FROM customer")
+@query(f"WITH {_CUSTOMERS}, {permute_sql('places', '(SELECT count(*) FROM customer)', S, 'o', 'rank')} SELECT rid, j + 1 AS rank FROM cust JOIN places ON i = rid - 1")
 def fk_rank_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of parents that zipfian weights follow."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rid")).withColumn("_key", shuffle_key(F.col("rid"), S, "o", "rank"))
-    return number_rows(rows, hash_buckets(F.col("_key")), [F.col("_key"), F.col("rid")], "rank").select("rid", "rank")
+    customers = _customers(spark, sf_dir)
+    return customers.select("rid", (K.ranked(customers.count(), S, "o").of(F.col("rid") - 1) + 1).alias("rank"))
 
 
 # coherence
