@@ -87,11 +87,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(t)
                 files.preview(made.numbered()[t], ["_rid"]).drop("_rid").show(10, False)
         elif a.format == "csv":
-            files.write_csv({t: made.numbered()[t].orderBy("_rid").drop("_rid") for t in plan.order}, plan.order, a.out)
+            files.write_csv(made.numbered(), plan.order, a.out, "_rid")
         elif a.format == "sql":
             files.write_sql(made.numbered(), schema, plan.order, a.out)
         else:
-            database.load(tables, plan.order, url)
+            late: dict[str, list[str]] = {}
+            for name, fk in plan.deferred:
+                late.setdefault(name, []).extend(fk.columns)
+            database.load(tables, plan.order, url, deferred=late, keys={t: schema[t].key for t in late})
     except (SchemaError, OSError, PySparkException) as e:
         print(f"error: {redact(str(e))}", file=sys.stderr)
         return 1

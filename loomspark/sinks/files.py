@@ -11,20 +11,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.stats import clean_events
 from ..plans.model import Schema
 
 ROWS_A_STATEMENT = 500
+PART = 256 << 20
 
 
-def write_csv(tables: dict[str, DataFrame], order: list[str], folder: str) -> list[str]:
-    """A folder for each table, with a header in each file, CRLF line ends, and nothing where a value is null."""
+def write_csv(tables: dict[str, DataFrame], order: list[str], folder: str, row: str | None = None) -> list[str]:
+    """A CSV file for each table in the order of its row number (None: as its rows come): one header, CRLF line ends, nothing where a value is null.
+    A file is a folder of parts whose manifest says which byte each starts at: one after another they are the same bytes however
+    the rows were partitioned."""
     paths = []
     for name in order:
+        df = tables[name]
+        columns = [c for c in df.columns if c != row]
+        place = F.col(f"`{row}`").cast("long") if row else F.monotonically_increasing_id() + 1
+        lines = df.select(place.alias("_place"), csv_line(df.select(*[f"`{c}`" for c in columns])).alias("value"))
+        cells = ['"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in columns]
+        head = df.sparkSession.createDataFrame([(0, ",".join(cells))], "_place long, value string")
         paths.append(f"{folder}/{name}")
-        tables[name].write.option("header", True).option("emptyValue", "").option("nullValue", "").option("escape", '"').option("lineSep", "\r\n").csv(paths[-1])
+        write_lines(head.unionByName(lines), ["_place"], paths[-1], "\r\n")
     return paths
 
 
+def write_lines(lines: DataFrame, order: list[str], path: str, separator: str = "\n") -> None:
+    """lines(value) in order, as parts of about PART bytes in a folder and a manifest (file, start, length) beside it, which is written last: what has
+    one is whole. A first pass over lengths says how many parts there are; rows are dealt to them by ranges of the order, so no task has more. Only
+    the first part begins as the whole does, with a header if there is one."""
+    spark = lines.sparkSession
+    n = -(-lines.agg(F.coalesce(F.sum(F.octet_length("value") + len(separator)), F.lit(0))).first()[0] // PART) or 1
+    lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.option("lineSep", separator).text(path)
+    parts = sorted((r["path"].rpartition("/")[2], r["length"]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())  # a row a task
+    starts = [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+    manifest = spark.createDataFrame([(i, json.dumps({"file": f, "start": s, "length": k})) for i, ((f, k), s) in enumerate(zip(parts, starts, strict=True))], "i long, value string")
+    manifest.coalesce(1).sortWithinPartitions("i").select("value").write.text(f"{path}.manifest")
+
+
+def write_script(numbered: dict[str, DataFrame], schema: Schema, order: list[str], path: str) -> None:
+    """One SQL script of all tables, parents first, as one transaction; a folder of parts and a manifest, as write_lines() makes them.
+    numbered has the row number in _rid."""
+    spark = next(iter(numbered.values())).sparkSession
+    lines = spark.createDataFrame([(-1, 0, "BEGIN;"), (len(order), 0, "COMMIT;")], "_table int, _place long, value string")
+    for i, name in enumerate(order):
+        dense = numbered[name].select("_rid", *[f"`{c.name}`" for c in schema[name].row])
+        lines = lines.unionByName(insert_statements(dense, name, "_rid").select(F.lit(i).alias("_table"), F.col("batch").alias("_place"), F.col("statement").alias("value")))
+    write_lines(lines, ["_table", "_place"], path)
+
+
 def csv_line(df: DataFrame) -> Column:
     """A row as a line of CSV: quoted where a value has a comma, a quote or a line end."""
 
@@ -110,7 +144,8 @@ def json_rows(df: DataFrame, order: list[str], n: int = 10) -> DataFrame:
 
 
 def append_events(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Appends the events that are page views or clicks, cut and completed as readers of the log expect; others are left out."""
+    clean_events(df).write.mode("append").json(path)
 
 
 def zipped_csv(tables: dict[str, DataFrame], order: dict[str, list[str]], rows: int = 1000) -> bytes:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.stats import decide
+from ..operators.stats import clean_events, decide
 from ..storage import new_path, ship
 
 
@@ -22,6 +22,39 @@ def event_stream(spark: SparkSession, path: str, schema, files: int = 10) -> Dat
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+#: Fields of an event in a JSON log.
+LOGGED = "event string, path string, target string, session string, ts string, ua string"
+
+
+def ingest_log(spark: SparkSession, path: str, out: str, checkpoint: str, files: int = 100) -> None:
+    """Takes a JSON-lines log in as it grows, all that is there now: page views and clicks go to out/events, lines that aren't JSON or name
+    no such event, with the reason, to out/rejected, and each batch's hourly counts and its sessions by hour to out/hours and out/sessions. Every batch replaces what an
+    earlier try of the same batch wrote, so one that is run again changes nothing."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        read = batch.select("value", F.from_json("value", f"{LOGGED}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("e"))
+        reason = F.when(F.col("e").isNull() | F.col("e._bad").isNotNull(), "not JSON").when(~F.coalesce(F.col("e.event").isin("pageview", "click"), F.lit(False)), "unknown event")
+        read = read.withColumn("reason", reason).persist()
+        good = clean_events(read.filter("reason is null").select("e.*").drop("_bad"))
+        timed = good.withColumn("hour", F.date_trunc("hour", "ts"))
+        hours = timed.groupBy("hour", "event").agg(F.count("*").alias("n"))
+        sessions = timed.filter("event = 'pageview' and session <> ''").select("hour", "session").distinct()
+        for name, df in (("events", good), ("rejected", read.filter("reason is not null").select("value", "reason")), ("hours", hours), ("sessions", sessions)):
+            df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        read.unpersist()
+
+    lines = spark.readStream.option("maxFilesPerTrigger", files).text(path).filter("trim(value) <> ''")
+    lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def hourly_totals(spark: SparkSession, out: str) -> DataFrame:
+    """(hour, pageviews, clicks, sessions) of all batches that ingest_log() has taken: counts add up, and sessions that view a page are counted
+    exactly over batches."""
+    counts = spark.read.parquet(f"{out}/hours").groupBy("hour").agg(*[F.sum(F.when(F.col("event") == e, F.col("n")).otherwise(0)).alias(f"{e}s") for e in ("pageview", "click")])
+    seen = spark.read.parquet(f"{out}/sessions").groupBy(F.col("hour").alias("_hour")).agg(F.countDistinct("session").alias("sessions"))
+    return counts.join(seen, F.col("hour").eqNullSafe(F.col("_hour")), "left").select("hour", "pageviews", "clicks", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+
+
 def window_counts(events: DataFrame, late: str = "1 day", size: str = "1 hour") -> DataFrame:
     """Events by type and window; a window is final when the watermark has passed it."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"))

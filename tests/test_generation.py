@@ -1,14 +1,17 @@
 """Generated data: every constraint re-derived, determinism, errors, corrupted data, command line, sinks, streams."""
 
 import collections
+import csv
 import datetime as dt
 import io
 import itertools
 import json
 import random
 import zipfile
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspark import cli
@@ -167,7 +170,72 @@ def test_sinks(spark, made, tmp_path):
     assert r["statement"] == 'INSERT INTO "t" ("s", "b", "f", "t") VALUES\n(\'it\'\'s\', TRUE, 1500000000.0, \'2024-01-02T03:04:05\'),\n(NULL, FALSE, NULL, NULL);'
     path = new_path(spark, "csv")
     files.write_csv({"t": rows.select("s", "b")}, ["t"], path)
-    assert sorted(map(tuple, spark.read.option("header", True).csv(f"{path}/t").collect()), key=str) == sorted([("it's", "true"), (None, "false")], key=str)
+    assert sorted(map(tuple, spark.read.option("header", True).csv(f"{path}/t").collect()), key=str) == sorted([("it's", "True"), (None, "False")], key=str)
+
+
+def whole(path, separator):
+    """A file's bytes by its manifest."""
+    parts = [json.loads(x) for f in sorted(Path(f"{path}.manifest").glob("part-*")) for x in f.read_text().splitlines()]
+    data = b"".join((Path(path) / p["file"]).read_bytes() for p in parts)
+    assert [p["start"] for p in parts] == [sum(q["length"] for q in parts[:i]) for i in range(len(parts))] and sum(p["length"] for p in parts) == len(data)
+    return data.decode()
+
+
+def test_files_are_the_same_however_rows_are_partitioned(spark, tmp_path, monkeypatch):
+    texts = ["plain", 'a "quote"', "comma, here", "two\r\nlines", None, "", "é"]
+    values = [(i, texts[i % 7], i % 3 == 0, 1.5 * i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(1, 1201)]
+    kind = '_rid long, "a, b" string, ok boolean, f double, at timestamp_ntz'.replace('"a, b"', "`a, b`")
+    found = set()
+    for n, size in ((1, 10**6), (3, 10**4), (8, 5000)):
+        monkeypatch.setattr(files, "PART", size)
+        df = spark.createDataFrame(values[::-1], kind).repartition(n)
+        files.write_csv({"t": df}, ["t"], f"{tmp_path}/csv{n}", "_rid")
+        found.add(whole(f"{tmp_path}/csv{n}/t", "\r\n"))
+    (text,) = found
+    rows = list(csv.reader(io.StringIO(text, newline="")))
+    assert rows[0] == ["a, b", "ok", "f", "at"] and len(rows) == 1201
+    assert rows[1:] == [[v[1] or "", str(v[2]), str(float(v[3])), str(v[4])] for v in values]
+
+
+def test_one_script_of_all_tables(spark, made, tmp_path):
+    schema = parse_ddl(SCHEMA)
+    order, found = ["orgs", "people"], set()
+    for n in (1, 5):
+        numbered = {t: made[t].select(F.row_number().over(Window.orderBy(made[t]["id"])).alias("_rid"), "*").repartition(n) for t in order}
+        files.write_script(numbered, schema, order, f"{tmp_path}/script{n}")
+        found.add(whole(f"{tmp_path}/script{n}", "\n"))
+    (text,) = found
+    assert text.startswith("BEGIN;\nINSERT INTO \"orgs\"") and text.endswith(";\nCOMMIT;\n") and text.index('INTO "orgs"') < text.index('INTO "people"') and text.count("\n(") == 44
+
+
+def test_events_are_taken_in_once(spark, tmp_path):
+    """Batches of a log, one of them run again, against the batch report; lines that are no events are kept apart with a reason."""
+    rng, lines = random.Random(4), []
+    for i in range(400):
+        event = {"event": rng.choice(["pageview", "click"]), "path": "/" * (i % 3), "target": rng.choice(["a", ""]), "session": rng.choice(["", "s1", "s2", f"x{i % 9}"]), "ts": f"2026-01-01T0{i % 4}:{i % 60:02}:00Z"}
+        lines.append(json.dumps(event))
+    lines[10:10] = ["not json", '{"event": "other"}', "[1, 2]", "", '{"path": "/"}']
+    for i in range(4):
+        (tmp_path / f"log{i}.jsonl").write_text("\n".join(lines[i::4]))
+    log, out = f"file://{tmp_path}/*.jsonl", f"file://{tmp_path}/out"
+    events.ingest_log(spark, log, out, f"file://{tmp_path}/state", 1)
+    before = sorted(map(tuple, events.hourly_totals(spark, out).collect()))
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # the last batch has been written, but not been noted as done
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    events.ingest_log(spark, log, out, f"file://{tmp_path}/state", 1)
+    assert sorted(map(tuple, events.hourly_totals(spark, out).collect())) == before
+    rejected = {r["value"]: r["reason"] for r in spark.read.parquet(f"{out}/rejected").collect()}
+    assert rejected == {"not json": "not JSON", '{"event": "other"}': "unknown event", "[1, 2]": rejected["[1, 2]"], '{"path": "/"}': "unknown event"}
+    good = [json.loads(x) for x in lines if '"ts"' in x]
+    want = collections.defaultdict(lambda: [0, 0, set()])
+    for e in good:
+        hour = want[dt.datetime.fromisoformat(e["ts"][:13] + ":00:00")]
+        hour[e["event"] == "click"] += 1
+        if e["event"] == "pageview" and e["session"]:
+            hour[2].add(e["session"])
+    assert before == sorted((h, v, c, len(s)) for h, (v, c, s) in want.items())
+    assert spark.read.parquet(f"{out}/events").count() == 400
 
 
 def test_command_line(spark, tmp_path, capsys):
