@@ -130,7 +130,7 @@ def _single_key(table: M.Table, c: T.StructField, row: Column, n: int, config: C
 class Generator:
     def __init__(self, spark: SparkSession, schema: M.Schema, counts: dict[str, int | Fanout], config: Config, pools: list[Pool] | None = None):
         self.spark, self.schema, self.specs, self.config = spark, schema, counts, config
-        self.pools = load_pools(config.pools) if pools is None else pools
+        self.pools = load_pools(config.pools, spark) if pools is None else pools
         self.plan: Plan = plan_generation(schema)
         self.made: dict[str, DataFrame] = {}
         self.n: dict[str, int] = {}
@@ -339,16 +339,17 @@ class Generator:
         out: dict[str, Column] = {}
         if not self.config.coherence:
             return rows, out
-        for pool, columns in pool_groups(table, self.pools, taken):
+        for k, (pool, columns) in enumerate(pool_groups(table, self.pools, taken)):
             rid, parts = F.col("rid"), (self.config.seed, table.name, "pool", pool.name)
             if any(c.name in table.lone for c, _ in columns):
-                if n > len(pool.records):
-                    warnings.warn(f"{table.name}: {n} rows need different records of pool {pool.name}, which has {len(pool.records)}", stacklevel=2)
+                if n > len(pool):
+                    warnings.warn(f"{table.name}: {n} rows need different records of pool {pool.name}, which has {len(pool)}", stacklevel=2)
                     continue
-                at = Permutation(len(pool.records), *parts).of(rid - 1)
+                at = Permutation(len(pool), *parts).of(rid - 1)
             else:
-                at = below(len(pool.records), rid, *parts)
-            record = F.element_at(pool.as_array(), (at + 1).cast("int"))
+                at = below(len(pool), rid, *parts)
+            priced = [f for f in ("price_min", "price_max") if f in pool.fields]
+            rows, record = pool.add_record(rows, at, f"_record{k}", list(dict.fromkeys([f for _, f in columns] + priced))), F.col(f"_record{k}")
             for c, key in columns:
                 text = F.coalesce(record.getField(key), V.text(rid, c.metadata.get("hint"), None, *parts, "else"))  # a record may lack a field
                 out[c.name] = self._nulls(table, c, F.substring(text, 1, c.metadata.get("length")) if c.metadata.get("length") else text)

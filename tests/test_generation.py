@@ -26,6 +26,7 @@ from loomspark.plans.config import Config, Override
 from loomspark.plans.model import DomainExhausted, SchemaError
 from loomspark.plans.rows import parse_rows
 from loomspark.sinks import files
+from loomspark.sources import pools
 from loomspark.sources.ddl import parse_ddl
 from loomspark.storage import new_path
 from loomspark.streaming import events
@@ -95,6 +96,22 @@ def test_pools_go_together(made):
     assert all(price[r["product_name"]][0] <= r["price"] <= price[r["product_name"]][1] for r in made["goods"].collect() if r["product_name"])
 
 
+@pytest.mark.parametrize("limit", [32 << 20, 1000])
+def test_large_pools_are_joined(spark, tmp_path, monkeypatch, limit):
+    """A pool of 300,000 records from files: columns come from one record, a unique one never twice; broadcast or not."""
+    monkeypatch.setattr(pools, "BROADCAST", limit)
+    spark.range(300_000).selectExpr("concat('city', id) AS city", "concat('state', id % 1000) AS state", "if(id % 10 = 0, null, concat('land', id % 7)) AS country").repartition(3).write.parquet(f"{tmp_path}/places.parquet")
+    (tmp_path / "geo.json").write_text(json.dumps({"name": "geo", "match": ["city", "state", "country"], "records": f"{tmp_path}/places.parquet"}))
+    s = parse_ddl("CREATE TABLE t (id INT PRIMARY KEY, city TEXT UNIQUE NOT NULL, state TEXT NOT NULL, country TEXT); CREATE TABLE u (id INT PRIMARY KEY, city TEXT NOT NULL, state TEXT NOT NULL);")
+    made = generate(spark, s, {"t": 5000, "u": 5000}, Config(pools=(str(tmp_path),), null_rate=0.0))
+    t, u = made["t"].collect(), made["u"].collect()
+    for r in (*t, *u):
+        i = int(r["city"][4:])
+        assert r["state"] == f"state{i % 1000}"
+    assert len({r["city"] for r in t}) == 5000 and len({r["city"] for r in u}) > 4900
+    assert all(r["country"] == f"land{int(r['city'][4:]) % 7}" for r in t if int(r["city"][4:]) % 10) and validate(made, s).filter("violations > 0").collect() == []
+
+
 def test_same_seed_same_rows_however_partitioned(spark, made):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
