@@ -1,8 +1,8 @@
 """WARC archives as a PySpark Python data source, for reading and writing.
 
-Reading: the driver plans a partition for each compressed file and for each range of SPLIT bytes of a plain one. A task
-parses a record's headers first; predicates on the record's type and other headers are pushed down and decide from
-those, so payloads of unwanted records are neither inflated nor decoded. With option payload=false none are.
+Reading: the driver plans a partition for each range of SPLIT bytes of a plain file, or of a compressed one whose members name their lengths,
+and for each other compressed file. A task parses a record's headers first; predicates on the record's type and other headers are pushed down and decide from
+those, so payloads of unwanted records are neither inflated nor decoded, nor read where the record's length is known. With option payload=false none are.
 
 A compressed file has a gzip member per record, as the standard recommends.
 
@@ -44,6 +44,8 @@ SCHEMA = "record_type string, record_id string, url string, date string, payload
 _ARROW = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "url": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 SPLIT = 64 << 20
+HEAD = 4096  # bytes of a member that are read for its head
+_MAGIC = b"\x1f\x8b\x08\x04"  # of a gzip member with an extra field
 BATCH_BYTES = 4 << 20
 #: The profile of revisits with an equal payload, and when all records are dated that have no date.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -108,15 +110,29 @@ def columns_of(fields: dict[str, str]) -> dict[str, str | None]:
     return row
 
 
+def member_length(raw: bytes) -> int | None:
+    """The length of a gzip member that names it, from its first bytes."""
+    if len(raw) < _SL.size or not raw.startswith(_MAGIC):
+        return None
+    own = _SL.unpack(raw[: _SL.size])
+    return own[10] if own[7] >= 12 and own[8] == b"SL" and own[10] > _SL.size + 8 else None
+
+
+def _sized(fs: pafs.FileSystem, path: str) -> bool:
+    """Whether the first member of a large file names its length."""
+    with fs.open_input_file(path) as file:
+        return member_length(file.read(_SL.size)) is not None
+
+
 class Source:
     """Records of a plain or compressed file, one after another: head() gives the next one's header fields or None, body() its
     block; head() steps over a block that wasn't asked for."""
 
     def __init__(self, file, start: int, end: int, packed: bool):
         self.file, self.end, self.packed, self.at, self.next = file, end, packed, start, start
-        self.rest = None
-        if not packed and start:
-            self.next = self._find(start)
+        self.rest, self.left = None, None
+        if start:
+            self.next = self._find_member(start) if packed else self._find(start)
 
     def _find(self, start: int) -> int:
         """Where the first record at or after start begins."""
@@ -132,6 +148,33 @@ class Source:
                 return self.end
             base, seen = base + len(seen) - 16, seen[-16:] + more
 
+    def _find_member(self, start: int) -> int:
+        """Where the first member at or after start begins, in a file whose members name their lengths: what looks like one is one if
+        another begins where it ends, or the file ends there."""
+        self.file.seek(0, 2)
+        at, step, size = start, 1 << 16, self.file.tell()
+        while at < self.end:
+            self.file.seek(at)
+            seen = self.file.read(step + _SL.size)
+            found = -1
+            while (found := seen.find(_MAGIC, found + 1)) >= 0 and found < step:
+                self.file.seek(at + found)
+                own = member_length(self.file.read(_SL.size))
+                if own and at + found + own <= size:
+                    self.file.seek(at + found + own)
+                    after = self.file.read(_SL.size)
+                    if not after or member_length(after):
+                        return at + found
+            at += step
+        return self.end
+
+    def _read(self, n: int) -> bytes:
+        """The next bytes of the file, or of a member that names its length."""
+        raw = self.file.read(n if self.left is None else min(n, self.left))
+        if self.left is not None:
+            self.left -= len(raw)
+        return raw
+
     def _begins(self, at: int) -> bool:
         """Whether a record begins there: it has the headers that all have, and ends where the next one begins or the file ends. A
         payload that quotes a record doesn't pass, unless it goes on with another one to the end of its own record."""
@@ -174,16 +217,17 @@ class Source:
         first = self.file.read(_SL.size)
         if len(first) < 18:
             return None
-        own = _SL.unpack(first) if len(first) == _SL.size else None
-        self.sized = own is not None and own[3] & 4 and own[8] == b"SL"
-        if self.sized:
-            self.next, raw = self.at + own[10], self.file.read(own[10] - _SL.size)
-            self.inflate, raw = zlib.decompressobj(-15), raw[:-8]
+        own = member_length(first)
+        self.sized = own is not None
+        if self.sized:  # a head is in the first bytes; the rest of an unwanted member is never read
+            self.next, self.left = self.at + own, own - _SL.size - 8
+            self.inflate, raw = zlib.decompressobj(-15), self._read(HEAD)
         else:
-            self.inflate, raw = zlib.decompressobj(31), first + self.file.read(1 << 16)
+            self.left = None
+            self.inflate, raw = zlib.decompressobj(31), first + self._read(1 << 16)
         self.record = self.inflate.decompress(raw, 2048)
         while (stop := self.record.find(b"\r\n\r\n")) < 0:
-            more = self.inflate.decompress(self.inflate.unconsumed_tail or self.file.read(1 << 16), 2048)
+            more = self.inflate.decompress(self.inflate.unconsumed_tail or self._read(HEAD), 2048)
             if not more:
                 return None
             self.record += more
@@ -195,7 +239,7 @@ class Source:
         """To the end of a member that doesn't name its length."""
         if not self.sized:
             while not self.inflate.eof:
-                raw = self.inflate.unconsumed_tail or self.file.read(1 << 16)
+                raw = self.inflate.unconsumed_tail or self._read(1 << 16)
                 if not raw:
                     break
                 self.inflate.decompress(raw, 1 << 20)
@@ -209,7 +253,7 @@ class Source:
         parts = [self.record]
         have = len(self.record)
         while have < self.block + self.length and not self.inflate.eof:
-            raw = self.inflate.unconsumed_tail or self.file.read(1 << 16)
+            raw = self.inflate.unconsumed_tail or self._read(1 << 18)
             if not raw:
                 break
             parts.append(self.inflate.decompress(raw, 1 << 20))
@@ -254,10 +298,9 @@ class Reader(DataSourceReader):
         for info in sorted(fs.get_file_info(pafs.FileSelector(path, recursive=True)) if fs.get_file_info(path).type == pafs.FileType.Directory else [fs.get_file_info(path)], key=lambda x: x.path):
             if info.type != pafs.FileType.File or posixpath.basename(info.path)[0] in "._":
                 continue
-            if info.path.endswith(".gz"):
-                out.append(Range(info.path, 0, info.size, True))
-            else:
-                out += [Range(info.path, a, min(a + SPLIT, info.size), False) for a in range(0, info.size, SPLIT)]
+            packed = info.path.endswith(".gz")
+            whole = packed and (info.size <= SPLIT or not _sized(fs, info.path))
+            out += [Range(info.path, 0, info.size, True)] if whole else [Range(info.path, a, min(a + SPLIT, info.size), packed) for a in range(0, info.size, SPLIT)]
         return out
 
     def _wanted(self, row: dict) -> bool:

@@ -8,6 +8,7 @@ import io
 import itertools
 import random
 import re
+import struct
 import time
 import zlib
 
@@ -369,11 +370,127 @@ def test_warc_forms_and_splits():
         got = walk(data, packed, step)
         assert [k for k, _ in got] == [f"<id{i}>" for i in range(30)] and all(b is None or b == blocks[int(k[3:-1])] for k, b in got)
     assert gzip.decompress(warc.member(records[2])) == records[2]
+    members = b"".join(map(warc.member, records))
+    for step in (1000, 77_777):  # members that name their lengths are found from any place
+        assert [k for k, _ in walk(members, True, step)] == [f"<id{i}>" for i in range(30)]
+    inner = warc.member(warc.encode("response", "false", "u", None, b"x", None))  # a stored member in a payload doesn't begin a record
+    nested = [warc.encode("response", f"id{i}", "u", None, rng.randbytes(500) + inner + rng.randbytes(500), None) for i in range(10)]
+    stored = b"".join(warc._SL.pack(0x1F, 0x8B, 8, 4, 0, 4, 255, 12, b"SL", 8, warc._SL.size + len(b) + 8, len(r)) + b + struct.pack("<II", zlib.crc32(r), len(r)) for r in nested for b in [stored_block(r)])
+    assert [k for k, _ in walk(stored, True, 700)] == [f"<id{i}>" for i in range(10)]
+
+
+def stored_block(raw):
+    c = zlib.compressobj(0, wbits=-15)
+    return c.compress(raw) + c.flush()
+
+
+def test_unwanted_payloads_are_not_read():
+    """Twenty unwanted records of 200 KB cost their heads' bytes only, in both forms."""
+    rng = random.Random(8)
+    records = [warc.encode("response", f"id{i}", "u", None, rng.randbytes(200_000), None) for i in range(20)]
+
+    class Counting(io.BytesIO):
+        n = 0
+
+        def read(self, k=-1):
+            got = super().read(k)
+            self.n += len(got)
+            return got
+
+    for data, packed in ((b"".join(map(warc.member, records)), True), (b"".join(records), False)):
+        file, heads = Counting(data), 0
+        source = warc.Source(file, 0, len(data), packed)
+        while source.head() is not None:
+            heads += 1
+        assert heads == 20 and file.n < 20 * 5000
+
+
+def test_large_sized_files_are_split(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT", 5000)
+    records = [warc.encode("response", f"id{i}", "u", None, random.Random(i).randbytes(3000), None) for i in range(12)]
+    (tmp_path / "sized.warc.gz").write_bytes(b"".join(map(warc.member, records)))
+    (tmp_path / "other.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    reader = warc.Reader({"path": str(tmp_path)})
+    parts = reader.partitions()
+    assert sum("sized" in p.path for p in parts) > 5 and sum("other" in p.path for p in parts) == 1
+    assert sorted(i for p in parts for b in reader.read(p) for i in b.column("record_id").to_pylist()) == sorted([f"id{i}" for i in range(12)] * 2)
 
 
 # 4 quality classifier
 
 
+def _votes(text):
+    """Of one text, by loops: the labellers' votes."""
+    words_, q = WORDS.findall(text), quality_classifier
+    n, letters = len(words_), 0
+    if not n:
+        return [q.NONE] * 8
+    raw = text.encode()
+    upper, lower, high = (sum(a <= b <= z for b in raw) for a, z in ((65, 90), (97, 122), (128, 255)))
+    letters = max(1, upper + lower + high)
+    inked = max(1, sum(b not in b" \t\n\x0b\x0c\r" for b in raw))
+    echoes = sum(any(i >= k and words_[i] == words_[i - k] for k in (1, 2)) for i in range(n)) / n
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    seen = 1 - len(set(lines)) / max(1, len(lines)) if raw.count(b"\n") >= 2 else 0
+    variety, share = len(set(words_)) / n, lambda signs: sum(raw.count(bytes([s])) for s in signs) / n
+    tests = [(share(b"#*$%&|<>{}[]\\^~=+_@"), 0.1, 0.02), (upper / letters, 0.3, 0.15), (share(b"!"), 0.1, 0.02), (echoes, 0.15, 0.08)]
+    out = [q.BAD if v > bad else q.GOOD if v < good else q.NONE for v, bad, good in tests]
+    out.append(q.BAD if variety < 0.3 and n >= 50 else q.GOOD if variety > 0.4 and n >= 20 else q.NONE)
+    out.append(q.BAD if seen > 0.3 else q.GOOD if seen == 0 and b"\n" in raw else q.NONE)
+    out.append(q.BAD if share(b"|") > 0.1 else q.GOOD if share(b"|") < 0.01 else q.NONE)
+    out.append(q.BAD if letters / inked < 0.7 else q.GOOD if letters / inked > 0.85 else q.NONE)
+    return out
+
+
+def _shapes(text):
+    """Features of one text by what they stand for: words' shapes, pairs of them, and whether a word echoes one of the two before it."""
+    kind = lambda c: "a" if c.islower() and c.isascii() or not c.isascii() else "A" if c.isupper() else "0" if c.isdigit() else c
+    words_ = WORDS.findall(text)
+    shapes = ["".join(k for k, _ in itertools.groupby(map(kind, w))) for w in words_]
+    echo = [any(i >= k and words_[i] == words_[i - k] for k in (1, 2)) for i in range(len(words_))]
+    return collections.Counter([*(("shape", s) for s in shapes), *(("pair", *p) for p in itertools.pairwise(shapes)), *(("echo", e) for e in echo)]), len(words_)
+
+
+def test_votes_features_and_scorer_against_loops(spark, docs):
+    q = quality_classifier
+    texts = [r["text"] or "" for r in docs.limit(120).collect()] + ["", "  ", "A!! b# b# b#", "é ü é", "x\nx\nx\ny", "1-2 Ab-3"]
+    votes, where, feature, value = q.look(pa.array(texts))
+    assert votes.tolist() == [_votes(t) for t in texts]
+    for i, t in enumerate(texts):
+        counts, n = _shapes(t)
+        norm = np.sqrt(sum(c / n for c in counts.values())) if n else 1
+        mine = where == i
+        assert np.isclose(sorted(value[mine] ** 2), sorted((c / n / norm**2) for c in counts.values())).all() if mine.sum() == len(counts) else mine.sum() < len(counts)  # classes can meet
+    # EM by loops over the rows
+    patterns, n = np.unique(q._pattern(votes), return_counts=True)
+    got, share, table = q.expectation_maximisation(patterns, n.astype(float), 30)
+    rows = [[p // 3**j % 3 for j in range(8)] for p in patterns.tolist() for _ in range(n[patterns.tolist().index(p)])]
+    post = [(r.count(q.GOOD) + 1) / (r.count(q.GOOD) + 2 * r.count(q.BAD) + 2) for r in rows]
+    for _ in range(30):
+        good = (sum(post) + 1) / (len(rows) + 2)
+        p = [[[1 + sum((x if k else 1 - x) for r, x in zip(rows, post, strict=True) if r[j] == v) for v in range(3)] for k in (0, 1)] for j in range(8)]
+        p = [[[c / sum(kind) for c in kind] for kind in labeller] for labeller in p]
+        like = [[(good if k else 1 - good) * np.prod([p[j][k][r[j]] for j in range(8)]) for k in (0, 1)] for r in rows]
+        new = [b / (a + b) for a, b in like]
+        done, post = max(abs(x - y) for x, y in zip(new, post, strict=True)) < 1e-6, new
+        if done:
+            break
+    assert np.allclose(got, [post[rows.index([x // 3**j % 3 for j in range(8)])] for x in patterns.tolist()], atol=1e-6) and np.allclose(share, good) and np.allclose(table, p)
+    # the scorer's weights by dense steps over all features
+    target = np.array([got[patterns.tolist().index(x)] for x in q._pattern(votes).tolist()])
+    dense = np.zeros((len(texts), (1 << q.BITS) + 1))
+    np.add.at(dense, (where, feature), value)
+    dense[:, -1] = 1
+    w, seen = np.zeros(dense.shape[1]), np.full(dense.shape[1], 1e-8)
+    for _ in range(q.ROUNDS):
+        g = dense.T @ (1 / (1 + np.exp(-(dense @ w))) - target) / len(texts) + 1e-5 * w
+        seen += g * g
+        w -= 0.5 * g / np.sqrt(seen)
+    assert np.allclose(q._fit(where, feature, value, target), w, atol=1e-6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert np.allclose([r["score"] for r in q.score(df, w).orderBy("doc_id").collect()], 1 / (1 + np.exp(-(dense @ w))), atol=1e-6)
+
+
 def test_weak_labels_agree_with_labels(spark, docs):
     got = quality_classifier.quality(docs).join(read(spark, "labels"), "doc_id").select("quality", "kept", "score").toPandas()
     assert ((got["quality"] == 1) == got["kept"]).mean() > 0.95
