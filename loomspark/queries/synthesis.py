@@ -421,13 +421,62 @@ def _counts(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
     return spark.createDataFrame(list(counts.items()), "name string, n long")
 
 
-@query("SELECT name, CAST(n AS BIGINT) AS n FROM (VALUES ('categories', 10), ('users', 10), ('employees', 10), ('products', 30), ('orders', 30), ('order_items', 90)) t(name, n)")
+_PLANNED = "SELECT name, CAST(k * (SELECT count(*) FROM customer) AS BIGINT) AS n FROM (VALUES ('categories', 1), ('users', 1), ('employees', 1), ('products', 3), ('orders', 3), ('order_items', 9)) t(name, k)"
+
+
+@query(_PLANNED)
 def rows_integer_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a schema's tables with as many users as there are customers."""
     schema = parse_ddl(SMALL)
-    return _counts(spark, integer_plan(schema, plan_generation(schema).order, 10))
+    return _counts(spark, integer_plan(schema, plan_generation(schema).order, table(spark, sf_dir, "customer").count()))
 
 
-@query("WITH t AS (SELECT name, n, greatest(1, n * 1000 // 1800) AS m FROM (VALUES ('categories', 100), ('users', 100), ('employees', 100), ('products', 300), ('orders', 300), ('order_items', 900)) t(name, n)) SELECT name, CAST(m - CASE WHEN name = 'order_items' THEN greatest(0, (SELECT sum(m) FROM t) - 1000) ELSE 0 END AS BIGINT) AS n FROM t")
+@query(f"WITH t AS (SELECT name, n, greatest(1, n * 1000 // (SELECT sum(n) FROM ({_PLANNED}))) AS m FROM ({_PLANNED})) SELECT name, CAST(m - CASE WHEN name = 'order_items' THEN greatest(0, (SELECT sum(m) FROM t) - 1000) ELSE 0 END AS BIGINT) AS n FROM t")
 def rows_capped_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, scaled to a thousand rows."""
     schema = parse_ddl(SMALL)
-    return _counts(spark, capped_plan(integer_plan(schema, plan_generation(schema).order, 100)))
+    return _counts(spark, capped_plan(integer_plan(schema, plan_generation(schema).order, table(spark, sf_dir, "customer").count())))
+
+
+# texts by hint
+
+
+def _texts_sql() -> str:
+    """All hints of texts, each drawn for the column of its own name."""
+
+    def part(hint: str, n: int | str, salt: str) -> str:
+        return below_sql(n, R, S, "t", hint, salt)
+
+    def pick(words: str, hint: str, salt: str) -> str:
+        return _pick_sql(words, salt, hint)
+
+    def capital(x: str) -> str:
+        return f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
+
+    number = lambda hint: part(hint, 10000, "n")
+    made = {
+        "email": f"lower({pick('first_name', 'email', 'a')}) || '.' || lower({pick('last_name', 'email', 'b')}) || {number('email')} || '@example.com'",
+        "phone": f"'+1-555-' || lpad(CAST({number('phone')} AS VARCHAR), 4, '0')",
+        "full_name": f"{pick('first_name', 'full_name', 'a')} || ' ' || {pick('last_name', 'full_name', 'b')}",
+        "street_address": f"({number('street_address')} + 1) || ' ' || {capital(pick('word', 'street_address', 'a'))} || ' Street'",
+        "zipcode": f"lpad(CAST({part('zipcode', 100000, 'zip')} AS VARCHAR), 5, '0')",
+        "url": f"'https://' || {pick('word', 'url', 'a')} || {number('url')} || '.example.com'",
+        "ipv4": "'10.' || " + " || '.' || ".join(part("ipv4", 256, f"o{i}") for i in range(3)),
+        "paragraph": f"{capital(pick('word', 'paragraph', 'a'))} || ' ' || concat_ws(' ', {', '.join(pick('word', 'paragraph', f'w{i}') for i in range(8))}) || '.'",
+        "money": f"CAST({number('money')} AS VARCHAR)",
+        "gender": f"(['female', 'male', 'nonbinary'])[CAST({below_sql(3, R, S, 't', 'gender')} + 1 AS INTEGER)]",
+        "tier": f"(['budget', 'mid', 'premium'])[CAST({below_sql(3, R, S, 't', 'tier')} + 1 AS INTEGER)]",
+        "category": capital(pick("word", "category", "a")),
+        "phrase": f"{capital(pick('word', 'phrase', 'a'))} || ' ' || {pick('word', 'phrase', 'b')} || ' ' || {pick('word', 'phrase', 'c')}",
+    } | {h: pick(h, h, "a") for h in ("first_name", "last_name", "city", "state", "country", "company", "job_title")}
+    return "SELECT o_orderkey AS rid, " + ", ".join(f"substr({sql}, 1, 40) AS {hint}" for hint, sql in made.items()) + " FROM orders"
+
+
+HINTED = ("email", "phone", "full_name", "street_address", "zipcode", "url", "ipv4", "paragraph", "money", "gender", "tier", "category", "first_name", "last_name", "city", "state", "country", "company", "job_title", "phrase")
+
+
+@query(_texts_sql())
+def gen_text_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of each hint, and one of none, for each order."""
+    rid = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(rid.alias("rid"), *[V.text(rid, h if h != "phrase" else None, 40, S, "t", h).alias(h) for h in HINTED])
