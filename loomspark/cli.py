@@ -24,6 +24,7 @@ from .plans.rows import ConfigError, integer_plan, parse_rows
 from .sinks import database, files
 from .sources.database import read_catalogue, redact
 from .sources.ddl import parse_ddl
+from .storage import scratch
 
 URL_VARIABLES = ("DATABASE_URL", "POSTGRES_URL")
 
@@ -74,27 +75,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             raise ConfigError("give either --ddl or --from-db")
         if (a.from_db or a.format == "db") and not url:
             raise ConfigError(f"a database URL is needed: --db-url or {' or '.join(URL_VARIABLES)}")
-        schema = read_catalogue(spark, url) if a.from_db else parse_ddl(Path(a.ddl).read_text())
-        apply_overrides(schema, config.columns)
-        plan = plan_generation(schema)
-        made = Generator(spark, schema, row_specs(a.rows, config, schema, plan.order), config)
-        tables = made.run()
-        found = validate(tables, schema)
-        summary(found).orderBy("table").show(1000, False)
-        bad = not found.filter((F.col("severity") == "error") & (F.col("violations") > 0)).isEmpty()
-        if a.preview:
-            for t in plan.order:
-                print(t)
-                files.preview(made.numbered()[t], ["_rid"]).drop("_rid").show(10, False)
-        elif a.format == "csv":
-            files.write_csv(made.numbered(), plan.order, a.out, "_rid")
-        elif a.format == "sql":
-            files.write_sql(made.numbered(), schema, plan.order, a.out)
-        else:
-            late: dict[str, list[str]] = {}
-            for name, fk in plan.deferred:
-                late.setdefault(name, []).extend(fk.columns)
-            database.load(tables, plan.order, url, deferred=late, keys={t: schema[t].key for t in late})
+        with scratch(spark):  # all is written or shown when it ends
+            schema = read_catalogue(spark, url) if a.from_db else parse_ddl(Path(a.ddl).read_text())
+            apply_overrides(schema, config.columns)
+            plan = plan_generation(schema)
+            made = Generator(spark, schema, row_specs(a.rows, config, schema, plan.order), config)
+            tables = made.run()
+            found = validate(tables, schema)
+            summary(found).orderBy("table").show(1000, False)
+            bad = not found.filter((F.col("severity") == "error") & (F.col("violations") > 0)).isEmpty()
+            if a.preview:
+                for t in plan.order:
+                    print(t)
+                    files.preview(made.numbered()[t], ["_rid"]).drop("_rid").show(10, False)
+            elif a.format == "csv":
+                files.write_csv(made.numbered(), plan.order, a.out, "_rid")
+            elif a.format == "sql":
+                files.write_sql(made.numbered(), schema, plan.order, a.out)
+            else:
+                late: dict[str, list[str]] = {}
+                for name, fk in plan.deferred:
+                    late.setdefault(name, []).extend(fk.columns)
+                database.load(tables, plan.order, url, deferred=late, keys={t: schema[t].key for t in late})
     except (SchemaError, OSError, PySparkException) as e:
         print(f"error: {redact(str(e))}", file=sys.stderr)
         return 1

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +30,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/loomspark/{name}-{uuid.uuid4().hex}"
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that materialise() writes inside are removed at the end, whatever thread wrote them: for runs whose results are then written
+    elsewhere or collected, since lazy results would still read them."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open[:] = [x for x in _open if x is not made]
+        for path in made:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df and reads it back: later steps start from files, which outlive executors."""
     path = new_path(df.sparkSession, name)
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -259,7 +259,10 @@ def test_command_line(spark, tmp_path, capsys):
     ddl = tmp_path / "s.sql"
     ddl.write_text("CREATE TABLE a (id INT PRIMARY KEY, s TEXT); CREATE TABLE b (id INT PRIMARY KEY, a INT REFERENCES a(id));")
     out = new_path(spark, "cli")
+    shared = Path(new_path(spark, "x").removeprefix("file://")).parent
+    before = set(shared.glob("*"))
     assert cli.main(["--ddl", str(ddl), "--rows", "5", "--no-config", "--format", "sql", "--out", out], spark) == 0
+    assert {p.name.rsplit("-", 1)[0] for p in set(shared.glob("*")) - before} == {"cli"}  # intermediate tables are gone
     assert spark.read.text(f"{out}/01-a").count() > 5
     assert cli.main(["--ddl", str(ddl), "--rows", "a=3,b=1..2/a", "--no-config", "--preview"], spark) == 0
     assert cli.main(["--ddl", str(ddl), "--rows", "zzz=3", "--no-config"], spark) == 1
