@@ -1025,5 +1025,5 @@ def test_pipeline_stages_take_empty_tables(spark, docs):
 
 
 def test_queries_have_a_name_for_each_operator():
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
