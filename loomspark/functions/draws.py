@@ -22,11 +22,6 @@ def bits(row: Column, *parts) -> Column:
     return F.conv(F.substring(F.md5(named(parts, row)), 1, 8), 16, 10).cast("long")
 
 
-def shuffle_key(row: Column, *parts) -> Column:
-    """48 random bits of a row, to order rows by."""
-    return F.conv(F.substring(F.md5(named(parts, row)), 1, 12), 16, 10).cast("long")
-
-
 def uniform(row: Column, *parts) -> Column:
     """A double from 0 up to, but less than, 1."""
     return bits(row, *parts) / F.lit(4294967296.0)
@@ -46,10 +41,6 @@ def bits_sql(row: str, *parts) -> str:
     return f"CAST('0x' || substr(md5({_text_sql(parts, row)}), 1, 8) AS BIGINT)"
 
 
-def shuffle_key_sql(row: str, *parts) -> str:
-    return f"CAST('0x' || substr(md5({_text_sql(parts, row)}), 1, 12) AS BIGINT)"
-
-
 def uniform_sql(row: str, *parts) -> str:
     return f"({bits_sql(row, *parts)} / CAST(4294967296.0 AS DOUBLE))"
 

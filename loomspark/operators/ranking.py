@@ -2,8 +2,7 @@
 
 Rows are put into buckets of buckets that follow the order, coarse ones first. Totals of the finest are a table, whose running
 sums within the next coarser ones, up to the whole, give each bucket its start; within a bucket a window does the rest. Tasks are
-as many as buckets. With 2^10 buckets of 2^10, as hash_buckets() makes them, 10^11 rows are 10^5 in a window; days of minutes
-have as many in a minute where a day has 1.4 * 10^8 rows.
+as many as buckets. Row numbers have 2^16 rows in a window; days of minutes have 10^5 in a minute where a day has 1.4 * 10^8 rows.
 """
 
 from __future__ import annotations
@@ -48,11 +47,6 @@ def number_rows(df: DataFrame, buckets: list[Column], order: list[Column], name:
 FEW = 10_000_000  # rows for which one level of buckets will do
 
 
-def hash_buckets(key: Column, n: int | None = None) -> list[Column]:
-    """Buckets of a 48-bit shuffle key, for n rows."""
-    return [F.shiftright(key, 38), F.shiftright(key, 28)][: 1 if n is not None and n < FEW else 2]
-
-
 def time_buckets(at: Column) -> list[Column]:
     """Days and their minutes."""
     return [F.to_date(at), F.date_trunc("minute", at)]
