@@ -132,15 +132,15 @@ def _text(df: DataFrame, column: str, other: str | None) -> Column:
     return F.coalesce(F.col(f"`{column}`").try_cast("decimal(38,10)").cast("string"), F.col(f"`{column}`").cast("string"))
 
 
-def key_stream(tables: dict[str, DataFrame], schema: Schema, sets: list[_Keys]) -> DataFrame:
+def key_stream(tables: dict[str, DataFrame], schema: Schema, sets: list[_Keys], samples: bool = False) -> DataFrame:
     """(g, key, child, anchor, row): for each row of each table its keys in set g (child -1), and those that it refers to as the child of
-    that number; nulls give none. row is its primary key, for samples. Each table is read once."""
+    that number; nulls give none. row is its primary key, if samples are asked for. Each table is read once."""
     streams = None
     for name, df in tables.items():
         table, entries = schema[name], []
         anchor = anchor_of(table)
         at = F.col(f"`{anchor}`").try_cast("timestamp_ntz") if anchor else F.lit(None).cast("timestamp_ntz")
-        row = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in table.key]) if table.key else F.lit(None).cast("string")
+        row = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in table.key]) if table.key and samples else F.lit(None).cast("string")
 
         def entry(g: int, child: int, columns: list[str], others: list[str | None], df=df, at=at, row=row) -> Column:
             some = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
@@ -165,18 +165,18 @@ def _older(child: Column, parent: Column, dates: bool) -> Column:
     return F.coalesce(F.to_date(child) < F.to_date(parent) if dates else child < parent, F.lit(False))
 
 
-def _key_findings(tables: dict[str, DataFrame], schema: Schema, deferred: dict[str, set[str]]) -> list[tuple]:
+def _key_findings(tables: dict[str, DataFrame], schema: Schema, deferred: dict[str, set[str]], samples: bool) -> list[tuple]:
     """(table, kind, name, violations, severity, sample) of uniqueness, foreign keys and chronology between tables."""
     sets = _key_sets(schema, deferred)
     if not sets:
         return []
-    stream, most = key_stream(tables, schema, sets), max(len(s.children) for s in sets)
+    stream, most = key_stream(tables, schema, sets, samples), max(len(s.children) for s in sets)
 
     def dates(s: _Keys, i: int) -> bool:
         return "DATE" in (schema[n].row[anchor_of(schema[n])].metadata["sql"] for n in (s.table, s.children[i][0]))
 
     own = F.col("child") == -1
-    parts = [F.count_if(own).alias("n"), F.max(F.when(own, F.col("anchor"))).alias("top"), F.min(F.when(own, F.col("row"))).alias("first"), F.max(F.when(own, F.col("row"))).alias("last")]
+    parts = [F.count_if(own).alias("n"), F.max(F.when(own, F.col("anchor"))).alias("top")]  # of fixed size, so that partial counts are by hash
     for i in range(most):
         parts += [F.count_if(F.col("child") == i).alias(f"c{i}"), F.min(F.when(F.col("child") == i, F.col("anchor"))).alias(f"low{i}")]
     late = F.lit(False)
@@ -188,7 +188,7 @@ def _key_findings(tables: dict[str, DataFrame], schema: Schema, deferred: dict[s
     keys = stream.groupBy("g", "key").agg(*parts).withColumn("late", late).filter((unique & (F.col("n") > 1)) | (F.col("n") == 0) | F.col("late"))
     keys = materialise(keys, "keys")
     counts = {r["g"]: r for r in keys.groupBy("g").agg(
-        F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("repeats"), F.min(F.when(F.col("n") > 1, F.struct("key", "first", "last"))).alias("repeated"), F.max("late").alias("late"),
+        F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("repeats"), F.min(F.when(F.col("n") > 1, F.col("key"))).alias("repeated"), F.max("late").alias("late"),
         *[F.sum(F.when(F.col("n") == 0, F.col(f"c{i}")).otherwise(0)).alias(f"c{i}") for i in range(most)], *[F.min(F.when((F.col("n") == 0) & (F.col(f"c{i}") > 0), F.col("key"))).alias(f"s{i}") for i in range(most)],
     ).collect()}  # a row for each set of keys
     older: dict[tuple[int, int], tuple] = {}
@@ -196,11 +196,15 @@ def _key_findings(tables: dict[str, DataFrame], schema: Schema, deferred: dict[s
         rows = stream.filter("child >= 0 and anchor is not null").join(keys.filter("late").select("g", "key", "top"), ["g", "key"])
         bad = reduce(lambda a, b: a | b, [(F.col("g") == g) & (F.col("child") == i) & _older(F.col("anchor"), F.col("top"), dates(s, i)) for g, s in enumerate(sets) for i, c in enumerate(s.children) if c[2]])
         older = {(r["g"], r["child"]): r for r in rows.filter(bad).groupBy("g", "child").agg(F.count("*").alias("n"), F.min(F.struct("key", "row")).alias("s")).collect()}
+    ends: dict[int, tuple] = {}
+    if samples:
+        repeated = keys.filter("n > 1").groupBy("g").agg(F.min("key").alias("key"))
+        ends = {r["g"]: r for r in stream.filter("child = -1").join(F.broadcast(repeated), ["g", "key"]).groupBy("g").agg(F.min("row").alias("first"), F.max("row").alias("last")).collect()}  # a key of each set
     out = []
     for g, s in enumerate(sets):
         r = counts.get(g)
         for rule in s.rules:
-            twice = f"{', '.join(r['repeated']['key'])}: rows {r['repeated']['first']} and {r['repeated']['last']}" if r and r["repeated"] else None
+            twice = f"{', '.join(r['repeated'])}: rows {ends[g]['first']} and {ends[g]['last']}" if g in ends and r and r["repeated"] else None
             out.append((s.table, "primary_key" if rule.primary else "unique", ",".join(rule.columns), r["repeats"] if r else 0, "error", twice))
         for i, (child, fk, compared) in enumerate(s.children):
             out.append((child, "foreign_key", ",".join(fk.columns), r[f"c{i}"] if r else 0, "error", ", ".join(r[f"s{i}"]) if r and r[f"s{i}"] else None))
@@ -223,7 +227,7 @@ def validate(tables: dict[str, DataFrame], schema: Schema, samples: bool = False
             if fk.table == name and len(fk.columns) == 1 and len(fk.to) == 1:
                 cycles = unrooted(tables[name], fk.to[0], fk.columns[0]).agg(F.count("*").alias("violations"))
                 found = found.unionByName(cycles.select(F.lit(name).alias("table"), F.lit("coherence").alias("kind"), F.lit(f"{fk.columns[0]} cycle").alias("name"), "violations", F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("sample")))
-    rest = _key_findings(tables, schema, deferred) + [(n, "check", c.sql, 0, "unverifiable", None) for n, t in schema.items() for c in t.checks if not readable(tables[n], c)]
+    rest = _key_findings(tables, schema, deferred, samples) + [(n, "check", c.sql, 0, "unverifiable", None) for n, t in schema.items() for c in t.checks if not readable(tables[n], c)]
     schema_of = "table string, kind string, name string, violations long, severity string, sample string"
     found = found.unionByName(spark.createDataFrame(rest, schema_of))
     # a primary key's missing values and its repeats are one finding; rules that are declared twice stay two
