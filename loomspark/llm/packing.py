@@ -20,11 +20,14 @@ Defined results: a null or empty text has the closing id alone; texts of any len
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
+import threading
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +40,14 @@ CAPACITY = 4096
 END_ID = 1
 #: Bounds of the memory that a worker keeps words in; without effect on results.
 CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+#: Seconds without texts after which a worker gives that memory back; Spark keeps idle workers for later stages and for a minute.
+IDLE = 5
 #: Signs that may follow a word; the tokenizer puts them into one pre-token, and the letters before them into another.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(_SIGNS)}]*)").fullmatch
 
 _encoders: dict = {}
+_users, _users_lock = [0, 0], threading.Lock()  # calls that use encoders now, and all calls so far
 
 
 def default_tokenizer() -> str:
@@ -131,6 +137,35 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release(calls: int | None = None) -> None:
+    """Gives the memory of this process's encoders back to the system, unless one is in use or, with calls, others have used them since."""
+    with _users_lock:
+        if _users[0] or calls not in (None, _users[1]):
+            return
+        _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+@contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The encoder of a file while texts are encoded. It stays for IDLE seconds more, for the next task."""
+    with _users_lock:
+        _users[:] = _users[0] + 1, _users[1] + 1
+    gc.disable()  # words are many objects without cycles, and looking for some takes a sixth of the time
+    try:
+        yield encoder(path)
+    finally:
+        gc.enable()
+        with _users_lock:
+            _users[0] -= 1
+            timer = threading.Timer(IDLE, release, [_users[1]])
+        timer.daemon = True
+        timer.start()
+
+
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """A row per piece: key, piece, start, length, ids_crc32."""
     path = tokenizer or default_tokenizer()
@@ -148,13 +183,9 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        gc.disable()  # words are many objects without cycles, and looking for some takes a sixth of the time
-        try:
+        with encoding(path) as encode:
             for batch in batches:
                 yield cut(batch, encode([t or "" for t in batch.column(1).to_pylist()]))
-        finally:
-            gc.enable()
 
     names = [key, "piece", "start", "length", "ids_crc32"]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]

@@ -892,6 +892,26 @@ def test_packing_plans_near_the_bound():
         assert n <= 1.005 * len(rooms) + 1
 
 
+def test_packing_workers_give_words_back(spark):
+    """Idle Python workers hold no words: Spark keeps the processes for later stages."""
+
+    def held(batches):
+        from loomspark.llm import packing
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._encoders)])], ["n"])
+
+    packing.pieces(spark.range(0, 400, 1, 4).selectExpr("id doc_id", "concat('word', id, ' more of them') text")).agg(F.sum("ids_crc32")).collect()
+    time.sleep(8)
+    assert spark.range(0, 400, 1, 4).mapInArrow(held, "n long").agg(F.sum("n")).first()[0] == 0
+    with packing.encoding(packing.default_tokenizer()) as encode:
+        before = encode(["words Again"])
+        packing.release()  # not while it is in use
+        assert packing._encoders and encode(["words Again"]) == before
+    packing.release()
+    assert not packing._encoders
+
+
 def test_packing_odd_rows(odd, none):
     got = packing.pack_documents(odd).toPandas()
     assert got[got["piece"] == 0].shape[0] == len(ODD) and packing.pack_documents(none).count() == 0
