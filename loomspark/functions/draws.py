@@ -13,8 +13,9 @@ SEED = 42
 
 
 def named(parts: tuple, row: Column) -> Column:
-    """The text that a draw hashes."""
-    return F.concat_ws("|", *[F.lit(str(p)) for p in parts], row.cast("string"))
+    """The text that a draw hashes: parts and row with bars between, without the row if that is null."""
+    head = "|".join(map(str, parts))
+    return F.coalesce(F.concat(F.lit(f"{head}|" if parts else ""), row.cast("string")), F.lit(head))
 
 
 def bits(row: Column, *parts) -> Column:

@@ -65,8 +65,9 @@ class Permutation:
     def _within(self, made: Column, walked: list[int]) -> Column:
         if not walked:
             return made
-        table = F.array(*[F.lit(w).cast("long") for w in walked])
-        return F.element_at(F.transform(F.array(made), lambda z: F.when(z < self.n, z).otherwise(F.get(table, (z - self.n).cast("int")))), 1)
+        # a sum and no branch: Spark computes what a column repeats once only outside of branches and lambdas
+        away = F.array(*[F.lit(w).cast("long") for w in (0, *(w - self.n - k for k, w in enumerate(walked)))])
+        return made + F.get(away, F.greatest(made - (self.n - 1), F.lit(0).cast("long")).cast("int"))
 
     def of(self, i: Column) -> Column:
         """Where i (from 0 to n - 1) goes."""

@@ -51,10 +51,11 @@ def boolean(row: Column, p: float, *parts) -> Column:
 
 
 def uuid4(row: Column, *parts) -> Column:
-    """A version 4 UUID."""
+    """A version 4 UUID; null if the row is."""
     h = F.md5(named(parts, row))
     variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    dash, some = F.lit("-"), F.when(row.isNotNull(), F.lit(""))
+    return F.concat(some, F.substring(h, 1, 8), dash, F.substring(h, 9, 4), dash, F.lit("4"), F.substring(h, 14, 3), dash, variant, F.substring(h, 18, 3), dash, F.substring(h, 21, 12))
 
 
 def _days_back(row: Column, span: int, *parts) -> Column:
@@ -150,9 +151,14 @@ def unique_text(made: Column, rank: Column, limit: int | None) -> Column:
     return F.concat(F.substr(made, F.lit(1), F.greatest(F.lit(0), F.lit(limit) - F.length(tail))), tail)
 
 
+def present(rate: float, row: Column, *parts) -> Column:
+    """Whether nullable() doesn't make a row's value null."""
+    return uniform(row, *parts, "null") >= rate if rate > 0 else F.lit(True)
+
+
 def nullable(made: Column, rate: float, row: Column, *parts) -> Column:
     """made, or null at that rate."""
-    return F.when(uniform(row, *parts, "null") >= rate, made) if rate > 0 else made
+    return F.when(present(rate, row, *parts), made) if rate > 0 else made
 
 
 def derived(base: Column, op: str, row: Column, kind: str, *parts) -> Column:

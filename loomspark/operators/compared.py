@@ -60,13 +60,16 @@ Bind = Callable[[Column, Callable[[Column], object]], object]
 class Steps:
     """Binds each value as a column of rows."""
 
-    def __init__(self, rows: DataFrame):
-        self.rows, self.n = rows, 0
+    def __init__(self, rows: DataFrame, name: str = "_step"):
+        self.rows, self.name, self.n = rows, name, 0
 
-    def __call__(self, value: Column, body: Callable[[Column], object]):
+    def column(self, value: Column) -> Column:
         self.n += 1
-        self.rows = self.rows.withColumn(f"_step{self.n}", value)
-        return body(F.col(f"_step{self.n}"))
+        self.rows = self.rows.withColumn(f"{self.name}{self.n}", value)
+        return F.col(f"{self.name}{self.n}")
+
+    def __call__(self, value: Column, body: Callable[[Column], object]):
+        return body(self.column(value))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -27,7 +27,7 @@ from ..plans.config import Config
 from ..plans.graph import Plan, plan_generation
 from ..plans.rows import Fanout, check_fanout
 from ..sources.pools import Pool, load_pools, pool_groups
-from ..storage import materialise
+from ..storage import compiled, materialise
 from . import coherence as C
 from . import keys as K
 from .compared import Bind, Steps, let, unsettled
@@ -136,6 +136,10 @@ class Generator:
         self.n: dict[str, int] = {}
 
     def run(self) -> dict[str, DataFrame]:
+        with compiled(self.spark):
+            return self._run()
+
+    def _run(self) -> dict[str, DataFrame]:
         if missing := [t for t in self.plan.order if t not in self.specs]:
             raise M.SchemaError(f"no row count for {', '.join(missing)}")
         waiting = list(self.plan.order)
@@ -166,7 +170,7 @@ class Generator:
         if isinstance(spec, Fanout):
             check_fanout(self.schema, self.plan, name, spec, set(self.n))
             rows, n = K.allocate(self.spark, self.n[spec.parent], lambda rid: spec.children(rid, seed, name), seed, name)
-            rows, pinned = materialise(rows, f"{name}-rows"), next(fk for fk in table.references if fk.table == spec.parent)
+            pinned = next(fk for fk in table.references if fk.table == spec.parent)
         else:
             n = spec
             rows = self.spark.range(1, n + 1).select(F.col("id").alias("rid"))
@@ -190,7 +194,9 @@ class Generator:
                 got = self.made[fk.table].select(F.col("_rid").alias(f"_pick{i}"), *[F.col(f"`{r}`").alias(f"_key{i}_{j}") for j, r in enumerate(fk.to) if not computed], *([F.col(f"`{anchor}`").cast("timestamp_ntz").alias(f"_anchor{i}")] if anchor else []))
                 rows = rows.join(got, f"_pick{i}", "left")
             if computed:  # a key is a function of its row's number
-                values.setdefault(fk.columns[0], F.when(pick.isNotNull(), _single_key(parent, parent.row[fk.to[0]], pick, self.n[fk.table], config)))
+                made = _single_key(parent, parent.row[fk.to[0]], pick, self.n[fk.table], config)
+                # whole numbers and UUIDs of no row are null by themselves
+                values.setdefault(fk.columns[0], made if parent.row[fk.to[0]].metadata["sql"] in (*M.WHOLE, "UUID") else F.when(pick.isNotNull(), made))
             else:
                 for j, c in enumerate(fk.columns):
                     values.setdefault(c, F.col(f"_key{i}_{j}"))
@@ -409,34 +415,43 @@ class Generator:
         name, rid, seed = C.anchor_of(table), F.col("rid"), self.config.seed
         if not name:
             return rows, values
-        out = dict(values)
+        out, steps = dict(values), Steps(rows, "_life")
         cap = F.lit(dt.datetime.combine(self.config.as_of, dt.time())).cast("timestamp_ntz")
+
+        def known(c: str) -> Column:
+            """Whether a value that no rule pins isn't null, told by the draw of nulls alone."""
+            return F.lit(True) if M.filled(table, c) or c in table.key else V.present(self.config.null_rate, rid, seed, table.name, c)
+
         anchor = values[name].cast("timestamp_ntz")
         if name in C.movable(table, "created", deferred) + C.movable(table, "started", deferred):
             if anchors:
-                anchor = C.clamp(C.rewrite_anchor(anchor, C.floor_of(anchors), cap, rid, seed, table.name, name), *M.bounds(table, table.row[name])[:2])
+                anchor = C.clamp(C.rewrite_anchor(anchor, C.floor_of(anchors), cap, rid, seed, table.name, name, known=known(name), bind=steps.column), *M.bounds(table, table.row[name])[:2])
             elif own_keys:
                 rows = materialise(rows.withColumn("_anchor", anchor), f"{table.name}-anchors")
                 slots = K.sort_anchors(rows.select("rid", F.col("_anchor").alias("anchor"))).withColumnRenamed("anchor", "_sorted")
-                rows, anchor = rows.drop("_anchor").join(slots, "rid"), F.col("_sorted")
+                steps.rows, anchor = rows.drop("_anchor").join(slots, "rid"), F.col("_sorted")
             if table.row[name].metadata["sql"] == "DATE":
                 anchor = anchor.cast("date").cast("timestamp_ntz")
-            out[name] = anchor
+            out[name] = anchor = steps.column(anchor)
+        elif len(C.later(table, deferred)) > 1:
+            anchor = steps.column(anchor)
 
         def kept(c: str, at: Column) -> Column:
             return C.clamp(at, *M.bounds(table, table.row[c])[:2])
 
         stages = [c for c in C.later(table, deferred) if table.row[c].metadata["role"] == "stage"]
         for c in C.movable(table, "updated", deferred):
-            out[c] = kept(c, C.updated_at(values[c].cast("timestamp_ntz"), anchor, cap, rid, seed, table.name, c))
+            out[c] = kept(c, C.updated_at(values[c].cast("timestamp_ntz"), anchor, cap, rid, seed, table.name, c, known=known(c)))
         for c in C.movable(table, "last_use", deferred):
-            out[c] = kept(c, C.last_seen(values[c].cast("timestamp_ntz"), anchor, cap, rid, seed, table.name, c))
+            out[c] = kept(c, C.last_seen(values[c].cast("timestamp_ntz"), anchor, cap, rid, seed, table.name, c, known=known(c)))
         by = C.status_of(table, stages)
-        status = values[by].cast("string") if by else None
-        gated = [(c, values[c], C.filled(status, values[c], C.stage_of(table, c), M.filled(table, c))) for c in stages]
-        for (c, _, _), at in zip(gated, C.lifecycle(anchor, gated, rid, seed, table.name), strict=True):
+        status = steps.column(values[by].cast("string")) if by else None
+        if by:
+            out[by] = status
+        gated = [(c, values[c], C.filled(status, F.when(known(c), F.lit(1)), C.stage_of(table, c), M.filled(table, c))) for c in stages]
+        for (c, _, _), at in zip(gated, C.lifecycle(anchor, gated, rid, seed, table.name, bind=steps.column), strict=True):
             out[c] = kept(c, at)
-        return rows, out
+        return steps.rows, out
 
     def backfill(self, name: str, fk: M.Reference) -> DataFrame:
         """Fills a deferred key: with an earlier row of the same table, or with a parent that is not later."""

@@ -44,14 +44,13 @@ def zipf_pick(children: DataFrame, m: int, *parts) -> DataFrame:
     ranks = children.sparkSession.range(1, m + 1).select(F.col("id").alias("_rank"))
     weight = F.greatest(F.lit(1), F.floor(F.lit(1e6) * F.pow(F.col("_rank").cast("double"), F.lit(-ZIPF)))).cast("long")
     summed = running_total(ranks.withColumn("_w", weight), F.col("_w"), row_buckets(F.col("_rank"), m), [F.col("_rank")], "_hi")
-    summed = materialise(summed.select("_rank", "_w", "_hi"), "zipf")
+    summed = materialise(summed.select((ranked(m, *parts).back(F.col("_rank") - 1) + 1).alias("pick"), "_w", "_hi"), "zipf")
     total = summed.agg(F.max("_hi")).first()[0]
     width = max(1, total // max(1, m))
     low = F.col("_hi") - F.col("_w")
-    binned = summed.select("_rank", low.alias("_lo"), "_hi", F.explode(F.sequence(F.floor(low / width), F.floor((F.col("_hi") - 1) / width))).alias("_bin"))
+    binned = summed.select("pick", low.alias("_lo"), "_hi", F.explode(F.sequence(F.floor(low / width), F.floor((F.col("_hi") - 1) / width))).alias("_bin"))
     placed = children.withColumn("_x", below(total, F.col("rid"), *parts)).withColumn("_bin", F.floor(F.col("_x") / width))
-    found = placed.join(binned, "_bin").filter("_x >= _lo and _x < _hi")
-    return found.withColumn("pick", ranked(m, *parts).back(F.col("_rank") - 1) + 1).drop("_x", "_bin", "_lo", "_hi", "_rank")
+    return placed.join(binned, "_bin").filter("_x >= _lo and _x < _hi").drop("_x", "_bin", "_lo", "_hi")
 
 
 def ranked(m: int, *parts) -> Permutation:
@@ -60,6 +59,7 @@ def ranked(m: int, *parts) -> Permutation:
 
 
 BLOCK = 256  # parents whose children are counted together
+PIECE = 100_000  # children of a file of blocks, which are too few bytes for Spark to split one file among tasks
 
 
 def allocate(spark: SparkSession, m: int, n_children: Callable[[Column], Column], *parts) -> tuple[DataFrame, int]:
@@ -68,12 +68,15 @@ def allocate(spark: SparkSession, m: int, n_children: Callable[[Column], Column]
     blocks give each block's first child, and a permutation shuffles. No row of a parent or child is shuffled or sorted."""
     first = F.col("id") * BLOCK + 1
     counts = F.transform(F.sequence(first, F.least(first + BLOCK - 1, F.lit(m).cast("long"))), lambda p: n_children(p).cast("long"))
-    blocks = spark.range(-(-m // BLOCK)).select("id", F.aggregate(counts, F.lit(0).cast("long"), lambda a, k: a + k).alias("_n"))
-    blocks = materialise(running_total(blocks, F.col("_n"), row_buckets(F.col("id")), [F.col("id")], "_end").select("id", "_n", "_end"), "blocks")
-    total = blocks.agg(F.coalesce(F.max("_end"), F.lit(0))).first()[0]
+    blocks = materialise(spark.range(-(-m // BLOCK)).select("id", counts.alias("_counts")), "blocks")
+    summed = blocks.select("id", F.aggregate("_counts", F.lit(0).cast("long"), lambda a, k: a + k).alias("_n"))
+    ends = materialise(running_total(summed, F.col("_n"), row_buckets(F.col("id")), [F.col("id")], "_end").select("id", "_n", "_end"), "ends")
+    total = ends.agg(F.coalesce(F.max("_end"), F.lit(0))).first()[0]
+    pieces = max(-(-total // PIECE), min(spark.sparkContext.defaultParallelism, -(-m // BLOCK)), 1)
     # how many children come before each parent of the block
-    before = F.aggregate(counts, F.array(F.col("_end") - F.col("_n")), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + k)))
-    each = blocks.select(first.alias("_first"), F.posexplode(F.arrays_zip(counts.alias("k"), F.slice(before, 1, F.size(counts)).alias("before"))).alias("_pos", "_p"))
+    before = F.aggregate("_counts", F.array(F.col("_end") - F.col("_n")), lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + k)))
+    each = materialise(blocks.join(ends, "id").repartition(pieces, "id"), "pieces").select("id", "_counts", before.alias("_before"))
+    each = each.select(first.alias("_first"), F.posexplode(F.arrays_zip(F.col("_counts").alias("k"), F.slice("_before", 1, F.size("_counts")).alias("before"))).alias("_pos", "_p"))
     each = each.select((F.col("_first") + F.col("_pos")).alias("pick"), F.col("_p.before").alias("_before"), F.col("_p.k").alias("_k")).filter("_k > 0")
     each = each.select("pick", "_before", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("place"))
     return each.select((Permutation(total, *parts, "order").of(F.col("_before") + F.col("place") - 1) + 1).alias("rid"), "pick", "place"), total

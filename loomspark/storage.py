@@ -48,6 +48,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Rows of many computed columns become one Java method, and HotSpot compiles none of more than 8000 bytes. Inside, Spark cuts
+    what is longer into short methods (it calls 8000 preferable on HotSpot); the session's own setting, if it has one, comes first."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(name) != "65535":  # Spark's default
+        yield
+        return
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df and reads it back: later steps start from files, which outlive executors."""
     path = new_path(df.sparkSession, name)
